@@ -158,3 +158,24 @@ def _bind(sql: str, inputs) -> str:
     for dep in inputs:
         sql = sql.replace("{" + dep + "}", dep)
     return sql
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture materialised once per application with a reliable checkpoint
+    in the shared checkpoint folder.
+
+    Raw log lines normally arrive as a scanned column; the synthetic
+    derivation of ``f_lines`` is a large expression that Catalyst would
+    otherwise inline into every pushed-down parser predicate.  Cutting the
+    lineage makes the parsers see a plain column, as with a real file.
+    """
+    from logweave.session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        ensure_checkpoint_dir(spark)
+        _STAGED[key] = fixture(spark, sf_dir, name).checkpoint(eager=True)
+    return _STAGED[key]

@@ -128,30 +128,22 @@ def disconnect_ip(msg: Column) -> Column:
     return F.when(msg.rlike(SSH_DISCONNECT), F.regexp_extract(msg, SSH_DISCONNECT, 1))
 
 
-def _parsed(source, ts, level, host, process, pid, message, raw, *, fail=None, ok=None,
-            disc=None, facility=None, severity=None, msgid=None, event_id=None) -> Column:
-    null = F.lit(None)
-    return F.struct(
-        F.lit(source).alias("source"),
-        ts.cast("timestamp_ntz").alias("log_timestamp"),
-        level.alias("level"),
-        (host if host is not None else null.cast("string")).alias("host"),
-        (process if process is not None else null.cast("string")).alias("process"),
-        (pid if pid is not None else null.cast("int")).alias("pid"),
-        message.alias("message"),
-        raw.alias("raw"),
-        (fail if fail is not None else null.cast(_AUTH)).alias("auth_failure"),
-        (ok if ok is not None else null.cast(_AUTH)).alias("auth_success"),
-        (disc if disc is not None else null.cast("string")).alias("disconnect_ip"),
-        (facility if facility is not None else null.cast("long")).alias("facility"),
-        (severity if severity is not None else null.cast("int")).alias("severity"),
-        (msgid if msgid is not None else null.cast("string")).alias("msgid"),
-        (event_id if event_id is not None else null.cast("long")).alias("event_id"),
-    )
+FIELDS = [
+    ("source", "string"), ("log_timestamp", "timestamp_ntz"), ("level", "string"),
+    ("host", "string"), ("process", "string"), ("pid", "int"), ("message", "string"),
+    ("raw", "string"), ("auth_failure", _AUTH), ("auth_success", _AUTH),
+    ("disconnect_ip", "string"), ("facility", "long"), ("severity", "int"),
+    ("msgid", "string"), ("event_id", "long"),
+]
 
 
-def parse_openssh(line: Column | str, year: int = 2024) -> Column:
-    raw = _col(line)
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[
+        (fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in FIELDS
+    ])
+
+
+def _ssh(raw: Column, year: int) -> tuple[Column, dict[str, Column]]:
     s = py_strip(raw)
     msg = F.regexp_extract(s, SSH_LINE, 7)
     day_text = F.regexp_extract(s, SSH_LINE, 2)
@@ -159,72 +151,81 @@ def parse_openssh(line: Column | str, year: int = 2024) -> Column:
     day = F.when(day_text.rlike(r"^(3[01]|[12][0-9]|0?[1-9])$"), day_text.try_cast("int"))
     ts = ntz_from_parts(year, month_number(F.regexp_extract(s, SSH_LINE, 1), True), day,
                         F.regexp_extract(s, SSH_LINE, 3))
-    level = F.when(
-        F.greatest(*[msg.contains(w) for w in SSH_ERROR_WORDS]), F.lit("ERROR")
-    ).otherwise(F.lit("INFO"))
-    parsed = _parsed(
-        "openssh", ts, level,
-        F.regexp_extract(s, SSH_LINE, 4),
-        F.regexp_extract(s, SSH_LINE, 5),
-        group(s, SSH_LINE, 6).try_cast("int"),
-        msg, raw,
-        fail=auth_failure(msg), ok=auth_success(msg), disc=disconnect_ip(msg),
-    )
-    return F.when(s.rlike(SSH_LINE), parsed)
-
-
-def parse_syslog(line: Column | str) -> Column:
-    raw = _col(line)
+    is_error = msg.contains(SSH_ERROR_WORDS[0])
+    for w in SSH_ERROR_WORDS[1:]:
+        is_error = is_error | msg.contains(w)
+    return s.rlike(SSH_LINE), {
+        "source": F.lit("openssh"), "log_timestamp": ts,
+        "level": F.when(is_error, F.lit("ERROR")).otherwise(F.lit("INFO")),
+        "host": F.regexp_extract(s, SSH_LINE, 4), "process": F.regexp_extract(s, SSH_LINE, 5),
+        "pid": group(s, SSH_LINE, 6).try_cast("int"), "message": msg, "raw": raw,
+        "auth_failure": auth_failure(msg), "auth_success": auth_success(msg),
+        "disconnect_ip": disconnect_ip(msg),
+    }
+
+
+def _syslog(raw: Column) -> tuple[Column, dict[str, Column]]:
     s = py_strip(raw)
     # groups: 1 pri, 2 version, 3 ts, 4 host, 5 app, 6 procid, 7 msgid, 8 sd, 9 msg
     pri = F.regexp_extract(s, SYSLOG_LINE, 1).try_cast("long")
     sev = (pri % 8).cast("int")
     procid = F.regexp_extract(s, SYSLOG_LINE, 6)
     ts_text = F.regexp_replace(F.regexp_extract(s, SYSLOG_LINE, 3), "Z", "+00:00")
-    ts = ts_text.try_cast("timestamp").cast("timestamp_ntz")  # session zone is UTC
-    level = F.coalesce(F.array(*[F.lit(x) for x in SYSLOG_SEVERITY])[sev], F.lit("INFO"))
-    parsed = _parsed(
-        "syslog", ts, level,
-        F.regexp_extract(s, SYSLOG_LINE, 4),
-        F.regexp_extract(s, SYSLOG_LINE, 5),
-        F.when(procid.rlike("^[0-9]+$"), procid.try_cast("int")),
-        F.regexp_extract(s, SYSLOG_LINE, 9), raw,
-        facility=F.shiftright(pri, 3), severity=sev,
-        msgid=F.regexp_extract(s, SYSLOG_LINE, 7),
-    )
-    return F.when(s.rlike(SYSLOG_LINE), parsed)
+    return s.rlike(SYSLOG_LINE), {
+        "source": F.lit("syslog"),
+        "log_timestamp": ts_text.try_cast("timestamp").cast("timestamp_ntz"),  # session zone UTC
+        "level": F.coalesce(F.array(*[F.lit(x) for x in SYSLOG_SEVERITY])[sev], F.lit("INFO")),
+        "host": F.regexp_extract(s, SYSLOG_LINE, 4), "process": F.regexp_extract(s, SYSLOG_LINE, 5),
+        "pid": F.when(procid.rlike("^[0-9]+$"), procid.try_cast("int")),
+        "message": F.regexp_extract(s, SYSLOG_LINE, 9), "raw": raw,
+        "facility": F.shiftright(pri, 3), "severity": sev,
+        "msgid": F.regexp_extract(s, SYSLOG_LINE, 7),
+    }
+
+
+def _windows(raw: Column) -> tuple[Column, dict[str, Column]]:
+    s = py_strip(raw)
+    return s.rlike(WINDOWS_LINE), {
+        "source": F.lit("windows_event"),
+        "log_timestamp": iso_to_ntz(F.regexp_extract(s, WINDOWS_LINE, 1)),
+        "level": F.upper(F.regexp_extract(s, WINDOWS_LINE, 2)),
+        "process": F.regexp_extract(s, WINDOWS_LINE, 3),
+        "message": F.regexp_extract(s, WINDOWS_LINE, 5), "raw": raw,
+        "event_id": F.regexp_extract(s, WINDOWS_LINE, 4).try_cast("long"),
+    }
+
+
+def _generic(raw: Column) -> dict[str, Column]:
+    level = F.upper(F.nullif(F.regexp_extract(raw, LEVEL_WORD, 1), F.lit("")))
+    return {
+        "source": F.lit("generic"),
+        "log_timestamp": iso_to_ntz(F.regexp_extract(raw, ISO_DATETIME, 1)),
+        "level": F.coalesce(level, F.lit("INFO")),
+        "message": py_strip(raw), "raw": raw,
+    }
+
+
+def parse_openssh(line: Column | str, year: int = 2024) -> Column:
+    ok, fields = _ssh(_col(line), year)
+    return F.when(ok, _struct(fields))
+
+
+def parse_syslog(line: Column | str) -> Column:
+    ok, fields = _syslog(_col(line))
+    return F.when(ok, _struct(fields))
 
 
 def parse_windows_event(line: Column | str) -> Column:
-    raw = _col(line)
-    s = py_strip(raw)
-    parsed = _parsed(
-        "windows_event",
-        iso_to_ntz(F.regexp_extract(s, WINDOWS_LINE, 1)),
-        F.upper(F.regexp_extract(s, WINDOWS_LINE, 2)),
-        None,
-        F.regexp_extract(s, WINDOWS_LINE, 3),
-        None,
-        F.regexp_extract(s, WINDOWS_LINE, 5), raw,
-        event_id=F.regexp_extract(s, WINDOWS_LINE, 4).try_cast("long"),
-    )
-    return F.when(s.rlike(WINDOWS_LINE), parsed)
+    ok, fields = _windows(_col(line))
+    return F.when(ok, _struct(fields))
 
 
 def parse_generic(line: Column | str) -> Column:
-    raw = _col(line)
-    level = F.upper(F.nullif(F.regexp_extract(raw, LEVEL_WORD, 1), F.lit("")))
-    return _parsed(
-        "generic",
-        iso_to_ntz(F.regexp_extract(raw, ISO_DATETIME, 1)),
-        F.coalesce(level, F.lit("INFO")),
-        None, None, None,
-        py_strip(raw), raw,
-    )
+    return _struct(_generic(_col(line)))
 
 
-def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2024) -> Column:
-    """Forced parser with generic fallback, else auto-detection.
+def detect_source(line: Column | str, source_hint: str | None = None, year: int = 2024) -> Column:
+    """Name of the parser that wins for each line.
 
     Auto-detection tests run on the unstripped line, in the reference's
     order: syslog (starts with '<', '>' within 6 chars), OpenSSH (month-day-
@@ -232,18 +233,47 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
     means auto-detect, as in the reference.
     """
     raw = _col(line)
-    generic = parse_generic(raw)
-    if source_hint == "openssh":
-        return F.coalesce(parse_openssh(raw, year), generic)
-    if source_hint == "syslog":
-        return F.coalesce(parse_syslog(raw), generic)
-    if source_hint == "windows_event":
-        return F.coalesce(parse_windows_event(raw), generic)
+    ssh_ok = _ssh(raw, year)[0]
+    sys_ok = _syslog(raw)[0]
+    win_ok = _windows(raw)[0]
+    forced = {"openssh": ssh_ok, "syslog": sys_ok, "windows_event": win_ok}
+    if source_hint in forced:
+        return F.when(forced[source_hint], F.lit(source_hint)).otherwise(F.lit("generic"))
     looks_syslog = raw.startswith("<") & F.substring(raw, 1, 6).contains(">")
     looks_ssh = raw.rlike(SSH_DETECT)
-    return F.coalesce(
-        F.when(looks_syslog, parse_syslog(raw)),
-        F.when(looks_ssh, parse_openssh(raw, year)),
-        parse_windows_event(raw),
-        generic,
+    return (
+        F.when(looks_syslog & sys_ok, F.lit("syslog"))
+        .when(looks_ssh & ssh_ok, F.lit("openssh"))
+        .when(win_ok, F.lit("windows_event"))
+        .otherwise(F.lit("generic"))
     )
+
+
+def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2024,
+               source: Column | None = None) -> Column:
+    """One struct per line from the winning parser.
+
+    Each field is a CASE over the detected source, so every parser's field
+    expression appears once (linear generated code, common sub-expressions
+    shared).  Pass a precomputed ``source`` column to avoid re-detection.
+    """
+    raw = _col(line)
+    src = source if source is not None else detect_source(raw, source_hint, year)
+    per_source = {
+        "openssh": _ssh(raw, year)[1],
+        "syslog": _syslog(raw)[1],
+        "windows_event": _windows(raw)[1],
+    }
+    generic = _generic(raw)
+    fields = {}
+    for name, _ in FIELDS:
+        expr = None
+        for sname, fdict in per_source.items():
+            if name in fdict:
+                expr = (F.when(src == sname, fdict[name]) if expr is None
+                        else expr.when(src == sname, fdict[name]))
+        if name in generic:
+            expr = generic[name] if expr is None else expr.otherwise(generic[name])
+        fields[name] = expr if expr is not None else F.lit(None)
+    fields["source"] = src
+    return _struct(fields)

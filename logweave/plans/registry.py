@@ -42,4 +42,5 @@ def load_all() -> None:
     """Import every query module so their decorators register."""
     from logweave.plans import (  # noqa: F401
         q_core,
+        q_parse,
     )

@@ -131,3 +131,78 @@ def _bind(sql: str, inputs) -> str:
     for dep in inputs:
         sql = sql.replace("{" + dep + "}", dep)
     return sql
+
+
+# -- multi-source parsers (oracle side) ---------------------------------------
+
+def parsers_sql(table: str = "f_lines", year: str = "2024") -> str:
+    """Every parser's fields side by side, one row per input line."""
+    ssh, sysl, win = P.SSH_LINE, P.SYSLOG_LINE, P.WINDOWS_LINE
+    day_ok = lit(r"^(3[01]|[12][0-9]|0?[1-9])$")
+    sev_case = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(P.SYSLOG_SEVERITY))
+    err_words = " OR ".join(f"contains({rx('s', ssh, 7)}, {lit(w)})" for w in P.SSH_ERROR_WORDS)
+    fail, ok, disc = P.SSH_FAIL, P.SSH_ACCEPT, P.SSH_DISCONNECT
+    msg = rx("s", ssh, 7)
+    return f"""
+SELECT line_id, raw_line,
+ regexp_matches(s, {lit(ssh)}) AS ssh_ok,
+ {ts_from_parts(year, month_num(rx('s', ssh, 1), True),
+   f"(CASE WHEN regexp_matches({rx('s', ssh, 2)}, {day_ok}) THEN try_cast({rx('s', ssh, 2)} AS INTEGER) END)",
+   rx('s', ssh, 3))} AS ssh_ts,
+ CASE WHEN {err_words} THEN 'ERROR' ELSE 'INFO' END AS ssh_level,
+ {rx('s', ssh, 4)} AS ssh_host, {rx('s', ssh, 5)} AS ssh_process,
+ try_cast({grp('s', ssh, 6)} AS INTEGER) AS ssh_pid, {msg} AS ssh_message,
+ CASE WHEN regexp_matches({msg}, {lit(fail)}) THEN {rx(msg, fail, 1)} END AS fail_method,
+ CASE WHEN regexp_matches({msg}, {lit(fail)}) THEN {rx(msg, fail, 2)} END AS fail_user,
+ CASE WHEN regexp_matches({msg}, {lit(fail)}) THEN {rx(msg, fail, 3)} END AS fail_ip,
+ CASE WHEN regexp_matches({msg}, {lit(ok)}) THEN {rx(msg, ok, 1)} END AS ok_method,
+ CASE WHEN regexp_matches({msg}, {lit(ok)}) THEN {rx(msg, ok, 2)} END AS ok_user,
+ CASE WHEN regexp_matches({msg}, {lit(ok)}) THEN {rx(msg, ok, 3)} END AS ok_ip,
+ CASE WHEN regexp_matches({msg}, {lit(disc)}) THEN {rx(msg, disc, 1)} END AS disconnect_ip,
+ regexp_matches(s, {lit(sysl)}) AS sys_ok,
+ timezone('UTC', try_cast(replace({rx('s', sysl, 3)}, 'Z', '+00:00') AS TIMESTAMPTZ)) AS sys_ts,
+ coalesce(CASE try_cast({rx('s', sysl, 1)} AS BIGINT) % 8 {sev_case} END, 'INFO') AS sys_level,
+ {rx('s', sysl, 4)} AS sys_host, {rx('s', sysl, 5)} AS sys_process,
+ CASE WHEN regexp_matches({rx('s', sysl, 6)}, '^[0-9]+$') THEN try_cast({rx('s', sysl, 6)} AS INTEGER) END AS sys_pid,
+ {rx('s', sysl, 9)} AS sys_message,
+ try_cast({rx('s', sysl, 1)} AS BIGINT) >> 3 AS facility,
+ CAST(try_cast({rx('s', sysl, 1)} AS BIGINT) % 8 AS INTEGER) AS severity,
+ {rx('s', sysl, 7)} AS msgid,
+ regexp_matches(s, {lit(win)}) AS win_ok,
+ {iso_to_ts(rx('s', win, 1))} AS win_ts,
+ upper({rx('s', win, 2)}) AS win_level, {rx('s', win, 3)} AS win_process,
+ {rx('s', win, 5)} AS win_message, try_cast({rx('s', win, 4)} AS BIGINT) AS win_event_id,
+ {iso_to_ts(rx('raw_line', P.ISO_DATETIME, 1))} AS gen_ts,
+ coalesce(upper(nullif({rx('raw_line', P.LEVEL_WORD, 1)}, '')), 'INFO') AS gen_level,
+ s AS gen_message,
+ starts_with(raw_line, '<') AND contains(substr(raw_line, 1, 6), '>') AS looks_syslog,
+ regexp_matches(raw_line, {lit(P.SSH_DETECT)}) AS looks_ssh
+FROM (SELECT line_id, raw_line, {py_strip('raw_line')} AS s FROM {table}) z
+"""
+
+
+def dispatch_sql(src: str) -> str:
+    """Common columns chosen by the ``src`` expression (openssh/syslog/...)."""
+    cols = {
+        "log_timestamp": ("ssh_ts", "sys_ts", "win_ts", "gen_ts"),
+        "level": ("ssh_level", "sys_level", "win_level", "gen_level"),
+        "host": ("ssh_host", "sys_host", "NULL", "NULL"),
+        "process": ("ssh_process", "sys_process", "win_process", "NULL"),
+        "pid": ("ssh_pid", "sys_pid", "NULL", "NULL"),
+        "message": ("ssh_message", "sys_message", "win_message", "gen_message"),
+    }
+    out = []
+    for name, (a, b, c, g) in cols.items():
+        out.append(
+            f"CASE {src} WHEN 'openssh' THEN {a} WHEN 'syslog' THEN {b} "
+            f"WHEN 'windows_event' THEN {c} ELSE {g} END AS {name}"
+        )
+    return ",\n ".join(out)
+
+
+AUTO_SOURCE = (
+    "CASE WHEN looks_syslog AND sys_ok THEN 'syslog' WHEN looks_ssh AND ssh_ok THEN 'openssh' "
+    "WHEN win_ok THEN 'windows_event' ELSE 'generic' END"
+)
+
+DERIVED["parsed_lines"] = (parsers_sql("{f_lines}"), ("f_lines",))
