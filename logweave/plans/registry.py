@@ -43,4 +43,5 @@ def load_all() -> None:
     from logweave.plans import (  # noqa: F401
         q_core,
         q_parse,
+        q_search,
     )

@@ -206,3 +206,32 @@ AUTO_SOURCE = (
 )
 
 DERIVED["parsed_lines"] = (parsers_sql("{f_lines}"), ("f_lines",))
+
+
+# -- vectors (oracle side) ----------------------------------------------------
+
+def hash_raw(text: str, dim: int = 384) -> str:
+    """Un-normalised signed bucket sums (DuckDB twin of functions.vector.hash_embed)."""
+    hs = (f"list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), "
+          f"lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT)")
+    return (f"list_transform(range(0, {dim}), lambda i: coalesce(list_sum(list_transform({hs}, "
+            f"lambda h: CASE WHEN h % {dim} = i THEN (CASE WHEN (h // {dim}) % 2 = 0 THEN 1.0::DOUBLE "
+            f"ELSE -1.0::DOUBLE END) ELSE 0.0::DOUBLE END)), 0.0::DOUBLE))")
+
+
+def hash_embed_from(relation: str, text: str, keep: str = "*", dim: int = 384) -> str:
+    """SELECT keep, embedding FROM relation — bit-identical to the Spark encoder."""
+    return f"""
+SELECT {keep}, list_transform(r, lambda x: (CASE WHEN n > 0 THEN x / n ELSE 0.0::DOUBLE END)::FLOAT) AS embedding
+FROM (SELECT *, sqrt(coalesce(list_sum(list_transform(r, lambda x: x * x)), 0.0::DOUBLE)) AS n
+      FROM (SELECT *, {hash_raw(text, dim)} AS r FROM {relation}) r0) r1"""
+
+
+def cosine(a: str, b: str) -> str:
+    return f"list_cosine_similarity(({a})::DOUBLE[], ({b})::DOUBLE[])"
+
+
+DERIVED["hash_vecs"] = (hash_embed_from("""(
+SELECT normalized_message, min(event_id) AS representative_event_id, min(level) AS representative_level,
+ count(*) AS occurrences FROM {prepared} GROUP BY normalized_message) g""", "normalized_message",
+    "normalized_message, representative_event_id, representative_level, occurrences"), ("prepared",))
