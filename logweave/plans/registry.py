@@ -44,4 +44,5 @@ def load_all() -> None:
         q_core,
         q_parse,
         q_search,
+        q_threat,
     )

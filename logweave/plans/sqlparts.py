@@ -235,3 +235,35 @@ DERIVED["hash_vecs"] = (hash_embed_from("""(
 SELECT normalized_message, min(event_id) AS representative_event_id, min(level) AS representative_level,
  count(*) AS occurrences FROM {prepared} GROUP BY normalized_message) g""", "normalized_message",
     "normalized_message, representative_event_id, representative_level, occurrences"), ("prepared",))
+
+
+# -- IP enrichment (oracle side) ---------------------------------------------
+
+def _nets(num: str, cidrs) -> str:
+    from logweave.functions.ip import cidr_range
+
+    return "(" + " OR ".join(f"({num} BETWEEN {lo} AND {hi})" for lo, hi in map(cidr_range, cidrs)) + ")"
+
+
+def ip_enrich_sql(rel: str, ip: str = "ip") -> str:
+    from logweave.functions import ip as I
+
+    parts = [f"try_cast(string_split({ip}, '.')[{i}] AS BIGINT)" for i in (1, 2, 3, 4)]
+    num = (f"CASE WHEN regexp_matches({ip}, {lit(I.STRICT_IPV4)}) AND " +
+           " AND ".join(f"{p} <= 255" for p in parts) +
+           f" THEN {parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]} END")
+    return f"""
+SELECT * EXCLUDE (num),
+ CASE WHEN NOT is_valid THEN 0.0 WHEN is_bogon AND NOT is_private THEN {I.RISK_SUSPICIOUS_BOGON}
+      WHEN NOT is_private AND NOT is_bogon THEN {I.RISK_PUBLIC} ELSE 0.0 END::DOUBLE AS risk_score,
+ CASE WHEN NOT is_valid THEN 'invalid' ELSE concat_ws(',',
+   CASE WHEN is_private THEN 'private' END, CASE WHEN is_bogon THEN 'bogon' END,
+   CASE WHEN is_loopback THEN 'loopback' END, CASE WHEN is_multicast THEN 'multicast' END,
+   CASE WHEN is_bogon AND NOT is_private THEN 'suspicious-bogon' END) END AS tags,
+ CASE WHEN is_valid THEN 4 END AS version
+FROM (SELECT *, num IS NOT NULL AS is_valid,
+  coalesce({_nets('num', I.PRIVATE_NETWORKS)} AND NOT {_nets('num', I.PRIVATE_EXCEPTIONS)}, false) AS is_private,
+  coalesce({_nets('num', I.BOGON_NETWORKS)}, false) AS is_bogon,
+  coalesce({_nets('num', [I.LOOPBACK_NETWORK])}, false) AS is_loopback,
+  coalesce({_nets('num', [I.MULTICAST_NETWORK])}, false) AS is_multicast
+ FROM (SELECT *, {num} AS num FROM {rel}) i0) i1"""
