@@ -45,4 +45,5 @@ def load_all() -> None:
         q_parse,
         q_search,
         q_threat,
+        q_anomaly,
     )
