@@ -46,4 +46,5 @@ def load_all() -> None:
         q_search,
         q_threat,
         q_anomaly,
+        q_sources,
     )
