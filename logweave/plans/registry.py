@@ -47,4 +47,5 @@ def load_all() -> None:
         q_threat,
         q_anomaly,
         q_sources,
+        q_stream,
     )
