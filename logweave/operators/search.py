@@ -46,11 +46,13 @@ def nearest_messages(vecs: DataFrame, query: Sequence[float], n: int) -> DataFra
     )
 
 
-HIT_ORDER = [
-    rank_key(F.col("distance")).asc_nulls_last(),
-    F.col("log_timestamp").asc_nulls_last(),
-    F.col("line_id"),
-]
+def hit_order() -> list:
+    """(distance, time NULLS LAST, line) — the reference's result order."""
+    return [
+        rank_key(F.col("distance")).asc_nulls_last(),
+        F.col("log_timestamp").asc_nulls_last(),
+        F.col("line_id"),
+    ]
 
 
 def _hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
@@ -60,7 +62,7 @@ def _hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
     hits = filter_level(hits, level)  # after the cut, as in the reference
     if exclude_id is not None:
         hits = hits.filter(F.col("id") != F.lit(exclude_id))
-    return hits.orderBy(*HIT_ORDER).limit(top_k)
+    return hits.orderBy(*hit_order()).limit(top_k)
 
 
 def _ranked_hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
@@ -142,7 +144,7 @@ def semantic_event_ids(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     a semantic result (at most 200 rows, so the global rank window is small)."""
     top_k = _check_k(top_k)
     hits = _hits(nearest_messages(vecs, query, max(top_k, DEFAULT.semantic_overfetch)), logs, top_k, None)
-    w = Window.orderBy(*HIT_ORDER)  # a global window over <= 200 rows
+    w = Window.orderBy(*hit_order())  # a global window over <= 200 rows
     ranked = hits.withColumn("rank", F.row_number().over(w).cast("long"))
     return (
         ranked.filter(F.col("event_id").isNotNull() & (F.col("event_id") != ""))

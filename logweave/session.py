@@ -79,3 +79,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.path.join(base, "rdd"))
     return base
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition a *scan* that arrives in fewer partitions than
+    the cluster has cores (e.g. one large unsplittable row group).
+
+    Call it on plain reads only: counting the partitions of a plan with an
+    exchange would run that exchange.  With thousands of input splits (the
+    large-scale case) this is a no-op and adds no shuffle.
+    """
+    spark = df.sparkSession
+    target = int(min_partitions or spark.sparkContext.defaultParallelism)
+    if target <= 1 or df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
