@@ -88,7 +88,8 @@ def volume_hour_level(logs: DataFrame, pivot: bool = False) -> DataFrame:
     if pivot:
         from logweave.functions.text import LEVELS
 
-        return rows.groupBy("time").pivot("level", LEVELS).count().orderBy("time")
+        # pivot values are listed, so no extra job discovers them; empty cells count 0
+        return rows.groupBy("time").pivot("level", LEVELS).count().na.fill(0, LEVELS).orderBy("time")
     return (
         rows.groupBy("time", "level").agg(F.count(F.lit(1)).alias("count"))
         .orderBy("time", "level")
@@ -146,6 +147,15 @@ def embedded_logs(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
+def embedded_log_count(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """J4 as a count: rows are first counted per message (partial aggregation
+    in every task), so the semi join sees one row per message and a message
+    holding a third of all rows cannot skew it."""
+    per_msg = logs.groupBy("normalized_message").agg(F.count(F.lit(1)).alias("_n"))
+    hit = per_msg.join(embeddings.select("normalized_message"), "normalized_message", "left_semi")
+    return hit.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("embedded_logs"))
+
+
 def stats_overview(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """A1: one row of global statistics, levels as ``LEVEL=count`` text.
 
@@ -168,7 +178,7 @@ def stats_overview(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     )).alias("levels"))
     return spark.range(1).select(
         base.select("total_logs").scalar().alias("total_logs"),
-        embedded_logs(logs, embeddings).agg(F.count(F.lit(1))).scalar().alias("embedded_logs"),
+        embedded_log_count(logs, embeddings).scalar().alias("embedded_logs"),
         embeddings.agg(F.count(F.lit(1))).scalar().alias("embedded_messages"),
         base.select("event_count").scalar().alias("event_count"),
         iso_text(base.select("first_log").scalar()).alias("first_log"),

@@ -75,13 +75,27 @@ class IsolationForestModel:
 
 
 def _sample(vecs: DataFrame, key: str, n: int, n_trees: int, max_samples: int, seed: int) -> DataFrame:
+    """Per-tree sub-samples of ``min(max_samples, n)`` rows.
+
+    A uniform pool of about 3 x trees x samples rows is drawn first with one
+    hash per row (so the full table is read once, at one hash per row); each
+    tree then ranks the pool by its own hash of (key, tree, seed) and keeps
+    its first ``size`` rows.  A hash threshold trims the pool x trees
+    candidates to ~3 x size per tree before the ranking shuffle, so every
+    window group stays a few hundred rows.  Deterministic and independent of
+    partitioning.
+    """
     size = min(max_samples, n)
-    # keep ~3x the needed rows per tree before ranking (all rows when small)
-    frac = min(1.0, 3.0 * size / max(n, 1))
-    cut = int(frac * (2 ** 31 - 1))
-    h = F.abs(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))) % F.lit(2 ** 31 - 1)
+    modulus = 2 ** 31 - 1
+    pool_target = min(n, 3 * n_trees * size)
+    pool_cut = int(min(1.0, 1.5 * pool_target / max(n, 1)) * modulus)
+    h0 = F.abs(F.xxhash64(F.col(key), F.lit(seed), F.lit(-1))) % F.lit(modulus)
+    pool = vecs.filter(h0 <= pool_cut) if pool_cut < modulus else vecs
+    pool_n = min(n, int(1.5 * pool_target)) if pool_cut < modulus else n
+    cut = int(min(1.0, 3.0 * size / max(pool_n, 1)) * modulus)
+    h = F.abs(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))) % F.lit(modulus)
     cand = (
-        vecs.select(key, "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+        pool.select(key, "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
         .withColumn("_h", h)
         .filter(F.col("_h") <= cut)
     )

@@ -158,6 +158,15 @@ def q_volume(spark, d):
     return an.volume_hour_level(logs(spark, d))
 
 
+@query("volume_hour_level_pivot", W("""
+SELECT CAST(date_trunc('hour', log_timestamp) AS TIMESTAMP) AS time,
+ count(*) FILTER (WHERE level = 'CRITICAL') AS CRITICAL, count(*) FILTER (WHERE level = 'ERROR') AS ERROR,
+ count(*) FILTER (WHERE level = 'WARNING') AS WARNING, count(*) FILTER (WHERE level = 'INFO') AS INFO
+FROM f_logs WHERE log_timestamp IS NOT NULL GROUP BY 1""", "f_logs"))
+def q_volume_pivot(spark, d):
+    return an.volume_hour_level(logs(spark, d), pivot=True)
+
+
 @query("top_error_templates", W("""
 SELECT event_template, count(*) AS occurrences FROM f_logs WHERE level = 'ERROR'
 GROUP BY event_template ORDER BY occurrences DESC, event_template LIMIT 20""", "f_logs"))
@@ -198,7 +207,7 @@ def q_distinct_messages(spark, d):
 SELECT count(*) AS embedded_logs FROM f_logs
 WHERE normalized_message IN (SELECT normalized_message FROM f_vecs)""", "f_logs", "f_vecs"))
 def q_embedded_logs(spark, d):
-    return an.embedded_logs(logs(spark, d), vecs(spark, d)).agg(F.count(F.lit(1)).alias("embedded_logs"))
+    return an.embedded_log_count(logs(spark, d), vecs(spark, d))
 
 
 @query("stats_overview", W(f"""

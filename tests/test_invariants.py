@@ -90,7 +90,7 @@ def test_encode_query_matches_spark_encoder(spark):
 def test_numbered_lines_follow_file_order(spark):
     lines = fx.fixture(spark, SF_SMALL, "f_lines").select("line_id", "raw_line")
     path = scratch_path(spark, "lines_test")
-    lines.repartition(3).orderBy("line_id").write.text(path)
+    lines.repartition(3).orderBy("line_id").select("raw_line").write.text(path)
     got = ln.read_numbered_lines(spark, path).orderBy("line_id").collect()
     want = lines.orderBy("line_id").collect()
     assert [(r.line_id, r.raw_line) for r in got] == [(r.line_id, r.raw_line) for r in want]
@@ -125,3 +125,23 @@ def test_stream_timeline_equals_batch(spark):
     s = {(r.bucket, r["count"]) for r in q["stream_timeline"](spark, SF_SMALL).collect()}
     b = {(r.bucket, r["count"]) for r in q["timeline_hour"](spark, SF_SMALL).collect()}
     assert s == b
+
+
+def test_forest_save_and_load(spark):
+    vecs = f_vecs(spark)
+    model = anomaly.train(vecs, n_trees=10, max_samples=64)
+    path = anomaly.save(model, scratch_path(spark, "forest"))
+    again = anomaly.load(spark, path)
+    a = anomaly.score(vecs, model).orderBy("normalized_message").collect()
+    b = anomaly.score(vecs, again).orderBy("normalized_message").collect()
+    assert [r.raw_score for r in a] == [r.raw_score for r in b]
+
+
+def test_contract_imports_without_spark():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                         cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
+    assert out.returncode == 0, out.stderr
