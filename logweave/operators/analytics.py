@@ -36,6 +36,8 @@ def frequent_errors(
     A given level *replaces* the default level set (so INFO is allowed).
     Ties on count are broken by the keys so the top-``limit`` is stable.
     """
+    if not 1 <= int(limit) <= 100:
+        raise ValueError("limit must be within 1..100")
     if level and level != "ALL":
         rows = logs.filter(F.col("level") == F.lit(level))
     else:

@@ -23,6 +23,7 @@ from logweave.operators.analytics import filter_level
 
 RESULT_COLUMNS = ["id", "line_id", "log_timestamp", "level", "event_id", "raw_message", "event_template"]
 MAX_TOP_K = 200
+BROADCAST_MAX_ROWS = 100_000  # candidate lists above this join without a broadcast hint
 
 
 def _check_k(top_k: int) -> int:
@@ -100,6 +101,8 @@ def similar_logs(logs: DataFrame, vecs: DataFrame, log_id: int,
     """K3: neighbours of a log row's message, excluding that row only
     (other rows with the same message stay); unknown id -> empty."""
     top_k = _check_k(top_k)
+    if int(log_id) < 1:
+        raise ValueError("log_id must be >= 1")
     vec = message_vector(logs, vecs, log_id)
     if vec is None:
         empty = _with_id(logs).limit(0)
@@ -120,6 +123,8 @@ def keyword_search(logs: DataFrame, query: str, top_k: int = DEFAULT.search_top_
                    level: str | None = None) -> DataFrame:
     """K2: case-insensitive substring match, oldest first (NULL times last)."""
     top_k = _check_k(top_k)
+    if not query:
+        raise ValueError("query must not be empty")
     rows = _with_id(logs).filter(F.col("raw_message").ilike(like_pattern(query)))
     rows = filter_level(rows, level)
     return (
@@ -170,12 +175,15 @@ def knn_documents(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     n = top_k
     while True:
         cand = nearest_messages(vecs, query, n)
-        present = logs.join(F.broadcast(cand.select("normalized_message")), "normalized_message",
+        names = cand.select("normalized_message")
+        present = logs.join(F.broadcast(names) if n <= BROADCAST_MAX_ROWS else names, "normalized_message",
                             "left_semi").select("normalized_message").distinct().count()
         if present >= top_k or n >= total:
             break
         n *= 2
-    rows = logs.join(F.broadcast(cand), "normalized_message")
+    # n is bounded by the doubling loop; past BROADCAST_MAX_ROWS the planner picks the join
+    small = n <= BROADCAST_MAX_ROWS
+    rows = logs.join(F.broadcast(cand) if small else cand, "normalized_message")
     top = rows.orderBy(rank_key(F.col("distance")).asc_nulls_last(), F.col("line_id")).limit(top_k)
     top = filter_level(top, level)
     keep = [c for c in logs.columns if c != "embedding"]
