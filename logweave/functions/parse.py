@@ -35,6 +35,8 @@ SYSLOG_SEVERITY = ["EMERG", "ALERT", "CRIT", "ERROR", "WARN", "NOTICE", "INFO",
 SSH_ERROR_WORDS = ["Failed", "error", "Invalid", "illegal"]
 # Python's str.isspace() set, so strip() behaves like the reference's parsers
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                  + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 # ---------------------------------------------------------------------------
 
 SOURCES = ("openssh", "syslog", "windows_event", "generic")
@@ -56,7 +58,8 @@ def month_number(month: Column, case_insensitive: bool = False) -> Column:
 
 
 def py_strip(line: Column) -> Column:
-    return F.regexp_replace(line, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """Python's ``str.strip()``: trim the whitespace character set natively."""
+    return F.btrim(line, F.lit(PY_SPACE_CHARS))
 
 
 def ntz_from_parts(year, month, day, hms: Column) -> Column:

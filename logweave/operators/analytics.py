@@ -127,18 +127,18 @@ def panel_totals(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
-def distinct_messages(logs: DataFrame, limit: int | None = None) -> DataFrame:
+def distinct_messages(logs: DataFrame, limit: int | None = None, ordered: bool = True) -> DataFrame:
     """One row per normalised message with MIN(event_id), MIN(level)
-    (alphabetical, as in SQL) and its count, most frequent first."""
-    out = (
-        logs.groupBy("normalized_message")
-        .agg(
-            F.min("event_id").alias("representative_event_id"),
-            F.min("level").alias("representative_level"),
-            F.count(F.lit(1)).alias("occurrences"),
-        )
-        .orderBy(F.col("occurrences").desc(), F.col("normalized_message"))
+    (alphabetical, as in SQL) and its count, most frequent first.
+
+    ``ordered=False`` skips the global sort when only the set matters."""
+    out = logs.groupBy("normalized_message").agg(
+        F.min("event_id").alias("representative_event_id"),
+        F.min("level").alias("representative_level"),
+        F.count(F.lit(1)).alias("occurrences"),
     )
+    if ordered or limit:
+        out = out.orderBy(F.col("occurrences").desc(), F.col("normalized_message"))
     return out.limit(limit) if limit else out
 
 

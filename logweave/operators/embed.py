@@ -67,11 +67,12 @@ def messages_to_embed(logs: DataFrame, existing: DataFrame | None = None,
                       limit_texts: int | None = None) -> DataFrame:
     """J3 + A8: distinct messages (with representative id/level and count)
     that have no vector yet, most frequent first."""
-    grouped = distinct_messages(logs)
+    grouped = distinct_messages(logs, ordered=False)
     if existing is not None:
         grouped = grouped.join(existing.select("normalized_message"), "normalized_message", "left_anti")
-        grouped = grouped.orderBy(F.col("occurrences").desc(), F.col("normalized_message"))
-    return grouped.limit(limit_texts) if limit_texts else grouped
+    if limit_texts:  # most frequent first only matters when the run is capped
+        return grouped.orderBy(F.col("occurrences").desc(), F.col("normalized_message")).limit(limit_texts)
+    return grouped
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
