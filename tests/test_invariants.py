@@ -145,3 +145,23 @@ def test_contract_imports_without_spark():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
                          cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
     assert out.returncode == 0, out.stderr
+
+
+def test_ann_finds_planted_near_copies(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(600, 16))
+    q = rng.normal(size=16)
+    near = q + rng.normal(size=(10, 16)) * 0.01
+    rows = [(f"b{i}", [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [(f"near{i}", [float(x) for x in v]) for i, v in enumerate(near)]
+    vecs = spark.createDataFrame(rows, "normalized_message string, embedding array<float>")
+    idx = ann.build(vecs, scratch_path(spark, "ann_planted"), n_cells=12)
+    got = {r.normalized_message for r in ann.search(spark, idx, list(q), k=10, nprobe=2).collect()}
+    assert len(got & {f"near{i}" for i in range(10)}) >= 9
+
+
+def test_covered_logs_equal_embedded_rows(spark):
+    logs = f_logs(spark)
+    table, new = em.embed_incremental(logs, None, dim=16, updated_at="2024-01-01 00:00:00")
+    covered = em.embed_summary(new).first()["covered_logs"]
+    assert covered == an.embedded_log_count(logs, table).first()["embedded_logs"] == logs.count()
