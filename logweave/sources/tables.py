@@ -64,18 +64,24 @@ def upsert_documents(existing: DataFrame | None, docs: DataFrame, key: str = "id
 
 
 def index_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Exists, document count and stored bytes of an index table."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    """Exists, document count and stored bytes of an index table (file
+    sizes from the hidden ``_metadata`` column; no extra file-system calls)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
         return spark.createDataFrame([(False, None, None)], "exists boolean, doc_count long, store_size_bytes long")
-    size = int(fs.getContentSummary(jvm_path).getLength())
-    df = spark.read.parquet(path)
-    return df.agg(F.count(F.lit(1)).alias("doc_count")).select(
-        F.lit(True).alias("exists"), "doc_count", F.lit(size).cast("long").alias("store_size_bytes"))
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return spark.range(1).select(
+        F.lit(True).alias("exists"),
+        df.agg(F.count(F.lit(1))).scalar().alias("doc_count"),
+        files.agg(F.sum("file_size")).scalar().cast("long").alias("store_size_bytes"),
+    )
 
 
 def drop_index(spark: SparkSession, path: str) -> bool:
+    """Delete an index folder (Hadoop FileSystem of the session)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jvm_path) and fs.delete(jvm_path, True))
