@@ -127,5 +127,13 @@ def vector_to_text(v: Column, decimals: int = 10) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", items), F.lit("]"))
 
 
+def vector_to_sparse_text(v: Column, decimals: int = 6) -> Column:
+    """``i:x`` pairs of the non-zero entries (0-based index), comma separated —
+    a compact, engine-independent text of a sparse (e.g. hashed) vector."""
+    pairs = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)
+    items = F.transform(pairs, lambda p: F.format_string(f"%d:%.{decimals}f", p["i"], p["x"].cast("double")))
+    return F.concat_ws(",", items)
+
+
 def text_to_vector(s: Column) -> Column:
     return F.from_json(s, "array<double>")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave import fixtures as fx
 from logweave.functions.text import iso_text
-from logweave.functions.vector import cosine_to_query, vector_to_text
+from logweave.functions.vector import cosine_to_query, vector_to_sparse_text
 from logweave.operators import analytics as an
 from logweave.operators import embed as em
 from logweave.operators import search as se
@@ -153,12 +153,13 @@ PREP_RES_COLS = "line_id AS id"
 
 @query("hash_embed", W("""
 SELECT normalized_message, representative_event_id, representative_level, occurrences,
- '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS embedding
+ array_to_string(list_transform(list_filter(list_transform(embedding, lambda x, i: {'i': i - 1, 'x': x}),
+   lambda p: p.x <> 0), lambda p: printf('%d:%.6f', p.i, p.x::DOUBLE)), ',') AS embedding
 FROM hash_vecs""", "hash_vecs"))
 def q_hash_embed(spark, d):
-    """E2 over every distinct prepared message; the vector as fixed-decimal text."""
+    """E2 over every distinct prepared message; the vector as sparse ``i:x`` text."""
     return hash_vecs(spark, d).drop("updated_at").withColumn(
-        "embedding", vector_to_text(F.col("embedding"), 6))
+        "embedding", vector_to_sparse_text(F.col("embedding"), 6))
 
 
 def _prep_logs(spark, d):
