@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.session import ensure_utc
+from logweave.session import ensure_utc, ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def query(name: str, oracle: str | None = None):
     def wrap(fn: Builder) -> Builder:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_utc(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__

@@ -41,6 +41,7 @@ def get_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ensure_utc(spark)
+    ship_package(spark)
     return spark
 
 
@@ -94,3 +95,33 @@ def spread(df, min_partitions: int | None = None):
     if target <= 1 or df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logweave`` importable in every Python worker (pandas UDFs,
+    ``mapInPandas``, ``applyInPandas`` pickle functions by module reference).
+
+    The runtime equivalent of ``spark-submit --py-files``: the package is
+    zipped once per application on the driver and registered with
+    ``addPyFile``; Spark's file server hands it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="logweave-pyfiles-"), "logweave.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
