@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.config import DEFAULT
-from logweave.functions.severity import at_least, severity_rank
+from logweave.functions.severity import at_least
 
 TITLE_PREFIX = "Anomalous log detected — "  # fixed value (reference wording)
 
@@ -48,5 +48,3 @@ def recent_anomalies(scores: DataFrame, ts_col: str = "ts", min_severity: str =
         .limit(limit)
     )
 
-
-__all__ = ["anomaly_alerts", "alert_gate", "recent_anomalies", "severity_rank"]

@@ -11,7 +11,7 @@ from logweave.operators import alerts as al
 from logweave.operators import anomaly as an
 from logweave.operators import quality as qa
 from logweave.plans import sqlparts as sp
-from logweave.plans.q_core import logs, prepared, vecs
+from logweave.plans.q_core import prepared, vecs
 from logweave.plans.registry import query
 from logweave.session import scratch_path
 from logweave.sources import tables as tb
@@ -137,5 +137,3 @@ def q_dq_vector_dim_384(spark, d):
     """Q4 against the reference's configured 384 dimensions: every driver vector (64) fails."""
     return qa.vector_check(vecs(spark, d), 384)
 
-
-__all__ = ["logs"]

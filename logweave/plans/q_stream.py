@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave import fixtures as fx
 from logweave.operators import ann
 from logweave.operators import anomaly as an
 from logweave.operators import search as se
@@ -137,5 +136,3 @@ def q_ann_recall(spark, d):
             for p in (1, 4, 8, 16)]
     return spark.createDataFrame(rows, "nprobe int, recall double")
 
-
-__all__ = ["fx"]

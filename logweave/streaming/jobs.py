@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.parse import parse_line
-from logweave.functions.text import truncate_ts
 
 
-def _run(writer, available_now: bool = True, timeout_s: int | None = None):
-    q = writer.trigger(availableNow=True).start() if available_now else writer.start()
+def _run(writer, live_trigger: str | None = None, timeout_s: int | None = None):
+    """Run to the end of the available input (batch-like ``availableNow``),
+    or, with ``live_trigger`` (e.g. "30 seconds", a dashboard's refresh
+    cadence), start a continuous query and return it without waiting."""
+    if live_trigger:
+        return writer.trigger(processingTime=live_trigger).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
     return q
 
 
 def ingest_lines(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
-                 year: int = 2024, max_files_per_trigger: int | None = None, run: bool = True):
+                 year: int = 2024, max_files_per_trigger: int | None = None, run: bool = True,
+                 live_trigger: str | None = None):
     """ST1: new text files -> parsed rows (auto-detected format) -> Parquet."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -32,7 +37,7 @@ def ingest_lines(spark: SparkSession, source_dir: str, out_path: str, checkpoint
     out = parsed.select("source", "log_timestamp", "level", "host", "process", "pid", "message", "raw")
     writer = (out.writeStream.format("parquet").option("path", out_path)
               .option("checkpointLocation", checkpoint).outputMode("append"))
-    return _run(writer) if run else writer
+    return _run(writer, live_trigger) if run else writer
 
 
 def _with_event_time(logs: DataFrame, ts_col: str) -> DataFrame:
@@ -48,7 +53,8 @@ def _overwrite_each_batch(path: str):
 
 
 def timeline(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
-             granularity: str = "hour", watermark: str = "1 hour", complete: bool = True):
+             granularity: str = "hour", watermark: str = "1 hour", complete: bool = True,
+             live_trigger: str | None = None):
     """ST2: live counts per tumbling hour/day window.
 
     ``complete`` re-emits every window each batch (equals the batch
@@ -66,11 +72,12 @@ def timeline(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "l
         writer = agg.writeStream.outputMode("complete").foreachBatch(_overwrite_each_batch(out_path))
     else:
         writer = agg.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    return _run(writer.option("checkpointLocation", checkpoint))
+    return _run(writer.option("checkpointLocation", checkpoint), live_trigger)
 
 
 def errors_sliding(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
-                   length: str = "24 hours", slide: str = "1 hour", level: str = "ERROR"):
+                   length: str = "24 hours", slide: str = "1 hour", level: str = "ERROR",
+                   live_trigger: str | None = None):
     """ST3: ERROR rows per sliding 24 h window, advancing hourly (complete)."""
     agg = (
         _with_event_time(stream, ts_col).filter(F.col("level") == level)
@@ -80,10 +87,11 @@ def errors_sliding(stream: DataFrame, out_path: str, checkpoint: str, ts_col: st
         .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "count")
     )
     writer = agg.writeStream.outputMode("complete").foreachBatch(_overwrite_each_batch(out_path))
-    return _run(writer.option("checkpointLocation", checkpoint))
+    return _run(writer.option("checkpointLocation", checkpoint), live_trigger)
 
 
-def embed_stream(stream: DataFrame, table_path: str, checkpoint: str, dim: int = 384):
+def embed_stream(stream: DataFrame, table_path: str, checkpoint: str, dim: int = 384,
+                 live_trigger: str | None = None):
     """ST4: each micro-batch embeds only messages not yet in the table and
     appends them (the table path is re-read per batch, so it is the state)."""
     from logweave.operators.embed import embed_incremental
@@ -101,11 +109,12 @@ def embed_stream(stream: DataFrame, table_path: str, checkpoint: str, dim: int =
         _, new = embed_incremental(batch, known, dim=dim)
         new.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(table_path)
 
-    return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+    return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), live_trigger)
 
 
 def alerts_stream(stream: DataFrame, model, alerts_path: str, checkpoint: str,
-                  key: str = "normalized_message", threshold: str = "high"):
+                  key: str = "normalized_message", threshold: str = "high",
+                  live_trigger: str | None = None):
     """ST5: score each micro-batch with a trained forest, build alerts, gate
     them by severity and append to the alert table."""
     from logweave.operators import anomaly
@@ -116,7 +125,5 @@ def alerts_stream(stream: DataFrame, model, alerts_path: str, checkpoint: str,
         alerts = alert_gate(anomaly_alerts(scores, message_col=key), threshold)
         alerts.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(alerts_path)
 
-    return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+    return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), live_trigger)
 
-
-__all__ = ["ingest_lines", "timeline", "errors_sliding", "embed_stream", "alerts_stream", "truncate_ts"]
