@@ -16,11 +16,13 @@ PREFIX = sp.PREFIX
 
 
 def lines(spark, d):
-    return fx.fixture(spark, d, "f_lines")
+    """Raw lines as stored input (materialised once per application)."""
+    return fx.staged(spark, d, "f_lines")
 
 
 def structured(spark, d):
-    return fx.fixture(spark, d, "f_struct")
+    """Structured rows as stored input (materialised once per application)."""
+    return fx.staged(spark, d, "f_struct")
 
 
 def prepared(spark, d, limit=None):
