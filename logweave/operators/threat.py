@@ -65,20 +65,22 @@ def threat_indicators(df: DataFrame, key: str, text_col: str = "text") -> DataFr
 
 
 def bogon_table(spark: SparkSession) -> DataFrame:
-    """The 13 fixed bogon blocks as (network, lo, hi)."""
-    rows = [(c, *cidr_range(c)) for c in BOGON_NETWORKS]
-    return spark.createDataFrame(rows, "network string, lo long, hi long")
+    """The 13 fixed bogon blocks as (network, lo, hi, octet): one row per
+    first octet a block covers (a /4 spans 16), so it joins on equality."""
+    rows = [(c, lo, hi, o) for c in BOGON_NETWORKS for lo, hi in [cidr_range(c)]
+            for o in range(lo >> 24, (hi >> 24) + 1)]
+    return spark.createDataFrame(rows, "network string, lo long, hi long, octet long")
 
 
 def ip_bogon_join(ips: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """Range join of addresses to the bogon blocks.  The block table is a
-    fixed 13-row constant, so broadcasting it is bounded; the big side is
-    only scanned (broadcast nested-loop on a range predicate)."""
+    """Range join of addresses to the bogon blocks as a bucketed
+    equi-join: hash join on the first octet, then the range test.  The
+    block table is a fixed constant (< 50 rows), so broadcasting it is
+    bounded and the address side is only scanned."""
     nets = F.broadcast(bogon_table(ips.sparkSession))
-    num = ips.withColumn("_num", ipv4_number(F.col(ip_col)))
-    return num.join(nets, (F.col("_num") >= F.col("lo")) & (F.col("_num") <= F.col("hi"))).select(
-        ip_col, "network"
-    )
+    num = ips.withColumn("_num", ipv4_number(F.col(ip_col))).withColumn("_octet", F.shiftright("_num", 24))
+    cond = (F.col("_octet") == F.col("octet")) & F.col("_num").between(F.col("lo"), F.col("hi"))
+    return num.join(nets, cond).select(ip_col, "network")
 
 
 def distinct_ips(df: DataFrame, text_col: str) -> DataFrame:

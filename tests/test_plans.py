@@ -34,3 +34,15 @@ def test_no_pair_tables_in_batch_search(spark):
     queries = emb.filter("label = 1").selectExpr("vec_id AS query_id", "embedding")
     p = plan(se.semantic_search_batch(emb, queries, k=5))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p and "MapInPandas" in p
+
+
+def test_no_registered_query_plans_a_cross_or_nested_loop_join(spark):
+    import __spark_entry__ as entry
+
+    offenders = []
+    for name, build in sorted(entry.queries().items()):
+        qe = build(spark, SF_SMALL)._jdf.queryExecution()
+        text = qe.executedPlan().toString() + qe.optimizedPlan().toString()
+        if any(k in text for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "Join Cross")):
+            offenders.append(name)
+    assert offenders == []
