@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.config import DEFAULT
 from logweave.functions.vector import hash_embed
@@ -35,7 +36,7 @@ def encode_with(df: DataFrame, model_fn: Callable[[list[str]], list[list[float]]
     """E2 hook: any batch model through ``mapInPandas`` (Arrow batches of
     ``batch_size`` texts; the model is built once per Python worker by the
     caller's ``model_fn`` closure)."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

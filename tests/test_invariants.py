@@ -165,3 +165,14 @@ def test_covered_logs_equal_embedded_rows(spark):
     table, new = em.embed_incremental(logs, None, dim=16, updated_at="2024-01-01 00:00:00")
     covered = em.embed_summary(new).first()["covered_logs"]
     assert covered == an.embedded_log_count(logs, table).first()["embedded_logs"] == logs.count()
+
+
+def test_encode_with_model_hook(spark):
+    df = spark.createDataFrame([("a b",), ("ccc",), (None,)], "normalized_message string")
+
+    def model(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    out = {r.normalized_message: list(r.embedding) for r in em.encode_with(df, model).collect()}
+    assert out == {"a b": [3.0, 1.0], "ccc": [3.0, 1.0], None: [0.0, 1.0]}
+    assert df.columns == ["normalized_message"]
