@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from logweave.config import DEFAULT
 from logweave.functions.severity import anomaly_probability, severity
 
+MAX_MODEL_NODES = 5_000_000  # the node table is collected and broadcast for scoring
 NODE_SCHEMA = ("tree long, node long, feature int, threshold double, left long, right long, "
                "size long, depth int")
 
@@ -108,6 +109,8 @@ def train(vecs: DataFrame, key: str = "normalized_message",
           contamination: float = DEFAULT.anomaly_contamination, seed: int = DEFAULT.anomaly_seed,
           ) -> IsolationForestModel | None:
     """M1: fit on all non-null vectors; ``None`` when there are none."""
+    if n_trees * 2 * max_samples > MAX_MODEL_NODES:
+        raise ValueError("forest too large to broadcast: n_trees x 2 x max_samples > %d" % MAX_MODEL_NODES)
     vecs = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding")
     n = vecs.count()
     if n == 0:

@@ -58,8 +58,12 @@ def hit_order() -> list:
 
 def _hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
           exclude_id: int | None = None) -> DataFrame:
-    """Top-k log rows of the matched messages, with the raw distance kept."""
-    hits = _with_id(logs).join(F.broadcast(matches), "normalized_message")  # matches <= 200 rows
+    """Top-k log rows of the matched messages, with the raw distance kept.
+
+    ``matches`` is a LIMIT-ed list (max(top_k, overfetch) rows), so the
+    broadcast is bounded; above BROADCAST_MAX_ROWS the hint is dropped."""
+    small = max(top_k, DEFAULT.semantic_overfetch) <= BROADCAST_MAX_ROWS
+    hits = _with_id(logs).join(F.broadcast(matches) if small else matches, "normalized_message")
     hits = filter_level(hits, level)  # after the cut, as in the reference
     if exclude_id is not None:
         hits = hits.filter(F.col("id") != F.lit(exclude_id))
@@ -81,6 +85,8 @@ def semantic_search(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     line).  The level filter runs after the cut, so fewer than ``top_k``
     rows can come back (reference semantics)."""
     top_k = _check_k(top_k)
+    if not 1 <= int(overfetch) <= BROADCAST_MAX_ROWS:
+        raise ValueError(f"overfetch must be within 1..{BROADCAST_MAX_ROWS}")
     matches = nearest_messages(vecs, query, max(top_k, overfetch))
     return _ranked_hits(matches, logs, top_k, level)
 
