@@ -280,3 +280,13 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
         fields[name] = expr if expr is not None else F.lit(None)
     fields["source"] = src
     return _struct(fields)
+
+
+def parse_lines(df, line_col: str = "raw_line", source_hint: str | None = None, year: int = 2024,
+                out: str = "parsed"):
+    """DataFrame form of ``parse_line``: the detected source is projected
+    first, so every field's CASE reads a plain column (Catalyst keeps the
+    two projections apart because the source is reused by every field)."""
+    raw = F.col(line_col)
+    staged = df.withColumn("_source", detect_source(raw, source_hint, year))
+    return staged.withColumn(out, parse_line(raw, source_hint, year, source=F.col("_source"))).drop("_source")

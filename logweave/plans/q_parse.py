@@ -104,7 +104,7 @@ def q_parse_generic(spark, d):
 SELECT line_id, source, {sp.dispatch_sql('source')}
 FROM (SELECT *, {sp.AUTO_SOURCE} AS source FROM parsed_lines) t""", "parsed_lines"))
 def q_parse_auto(spark, d):
-    df = lines(spark, d).select("line_id", P.parse_line(F.col("raw_line")).alias("p"))
+    df = P.parse_lines(lines(spark, d).select("line_id", "raw_line"), "raw_line", out="p")
     return df.select("line_id", "p.*").select("line_id", "source", *COMMON)
 
 
@@ -113,5 +113,5 @@ SELECT line_id, source, {sp.dispatch_sql('source')}
 FROM (SELECT *, CASE WHEN sys_ok THEN 'syslog' ELSE 'generic' END AS source FROM parsed_lines) t""",
                        "parsed_lines"))
 def q_parse_hint(spark, d):
-    df = lines(spark, d).select("line_id", P.parse_line(F.col("raw_line"), source_hint="syslog").alias("p"))
+    df = P.parse_lines(lines(spark, d).select("line_id", "raw_line"), "raw_line", source_hint="syslog", out="p")
     return df.select("line_id", "p.*").select("line_id", "source", *COMMON)
