@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.parse import parse_line
+from logweave.functions.parse import parse_lines
 
 
 def _run(writer, live_trigger: str | None = None, timeout_s: int | None = None):
@@ -33,7 +33,7 @@ def ingest_lines(spark: SparkSession, source_dir: str, out_path: str, checkpoint
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(source_dir)
-    parsed = lines.select(parse_line(F.col("value"), year=year).alias("p")).select("p.*")
+    parsed = parse_lines(lines, "value", year=year, out="p").select("p.*")
     out = parsed.select("source", "log_timestamp", "level", "host", "process", "pid", "message", "raw")
     writer = (out.writeStream.format("parquet").option("path", out_path)
               .option("checkpointLocation", checkpoint).outputMode("append"))
