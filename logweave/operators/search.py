@@ -273,6 +273,9 @@ def semantic_search_batch(vecs: DataFrame, queries: DataFrame, k: int = 10,
             .filter(F.col("rank") <= k)
             .select("query_id", "rank", key, F.round("similarity", 6).alias("similarity"))
         )
+    if not outs:  # no queries: an empty result with the same columns
+        spark = vecs.sparkSession
+        return spark.createDataFrame([], f"query_id long, rank long, {key} long, similarity double")
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

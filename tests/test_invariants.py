@@ -176,3 +176,10 @@ def test_encode_with_model_hook(spark):
     out = {r.normalized_message: list(r.embedding) for r in em.encode_with(df, model).collect()}
     assert out == {"a b": [3.0, 1.0], "ccc": [3.0, 1.0], None: [0.0, 1.0]}
     assert df.columns == ["normalized_message"]
+
+
+def test_batch_search_without_queries_is_empty(spark):
+    emb = fx.table(spark, SF_SMALL, "embeddings")
+    none = emb.filter(F.lit(False)).select(F.col("vec_id").alias("query_id"), "embedding")
+    out = se.semantic_search_batch(emb, none, k=3)
+    assert out.count() == 0 and out.columns == ["query_id", "rank", "vec_id", "similarity"]
