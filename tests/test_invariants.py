@@ -183,3 +183,24 @@ def test_batch_search_without_queries_is_empty(spark):
     none = emb.filter(F.lit(False)).select(F.col("vec_id").alias("query_id"), "embedding")
     out = se.semantic_search_batch(emb, none, k=3)
     assert out.count() == 0 and out.columns == ["query_id", "rank", "vec_id", "similarity"]
+
+
+def test_append_timeline_drops_rows_behind_the_watermark(spark):
+    import datetime as dt
+
+    from logweave.streaming import jobs as st
+
+    src = scratch_path(spark, "late_src")
+    schema = "log_timestamp timestamp_ntz, level string"
+    first = [(dt.datetime(2024, 1, 1, h, 5), "INFO") for h in range(0, 6)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(src + "/b1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    out, ckpt = scratch_path(spark, "late_out"), scratch_path(spark, "late_ckpt")
+    st.timeline(stream, out, ckpt, complete=False, watermark="1 hour")
+    # a later batch: one row far behind the watermark (dropped), one new row
+    late = [(dt.datetime(2024, 1, 1, 0, 30), "INFO"), (dt.datetime(2024, 1, 1, 9, 0), "INFO")]
+    spark.createDataFrame(late, schema).coalesce(1).write.parquet(src + "/b2")
+    st.timeline(stream, out, ckpt, complete=False, watermark="1 hour")
+    got = {r.bucket: r["count"] for r in spark.read.parquet(out).collect()}
+    assert got[dt.datetime(2024, 1, 1, 0, 0)] == 1  # the late 00:30 row did not count
+    assert dt.datetime(2024, 1, 1, 9, 0) not in got  # still open: behind no watermark yet
