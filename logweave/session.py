@@ -91,8 +91,12 @@ def spread(df, min_partitions: int | None = None):
     large-scale case) this is a no-op and adds no shuffle.
     """
     spark = df.sparkSession
-    target = int(min_partitions or spark.sparkContext.defaultParallelism)
-    if target <= 1 or df.rdd.getNumPartitions() >= target:
+    try:
+        target = int(min_partitions or spark.sparkContext.defaultParallelism)
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect): leave as is
+        return df
+    if target <= 1 or current >= target:
         return df
     return df.repartition(target)
 
@@ -110,8 +114,11 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - no JVM context: ship with --py-files instead
+        return
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
