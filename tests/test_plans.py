@@ -46,3 +46,26 @@ def test_no_registered_query_plans_a_cross_or_nested_loop_join(spark):
         if any(k in text for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "Join Cross")):
             offenders.append(name)
     assert offenders == []
+
+
+def test_hot_message_is_pre_aggregated_before_shuffles(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.operators import analytics as an
+    from logweave.operators import embed as em
+
+    n = 30_000
+    logs = spark.range(n).select(
+        F.col("id").alias("line_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot message")).otherwise(
+            F.concat(F.lit("msg "), (F.col("id") % 997).cast("string"))).alias("normalized_message"),
+        F.lit("E1").alias("event_id"), F.lit("ERROR").alias("level"),
+    )
+    vecs = spark.createDataFrame([("hot message",), ("msg 1",)], "normalized_message string")
+    hot = n // 3
+    msg1 = logs.filter("normalized_message = 'msg 1'").count()
+    assert an.embedded_log_count(logs, vecs).first()["embedded_logs"] == hot + msg1
+    top = an.distinct_messages(logs, limit=1).first()
+    assert (top.normalized_message, top.occurrences) == ("hot message", hot)
+    p = plan(em.messages_to_embed(logs, vecs))
+    assert "partial_min" in p or "partial_count" in p  # map-side aggregation before the exchange
