@@ -108,6 +108,7 @@ FROM f_logs WHERE log_timestamp IS NOT NULL
  AND ((SELECT count(*) FROM ids) = 0 OR event_id IN (SELECT event_id FROM ids))
 GROUP BY 1 ORDER BY 1""", "f_vecs", "f_logs"))
 def q_timeline_query(spark, d):
+    # at most five ids reach the driver (the reference applies them as an IN list)
     ids = [r[0] for r in se.semantic_event_ids(logs(spark, d), vecs(spark, d), query_vec(spark, d)).collect()]
     return an.timeline(logs(spark, d), "day", event_ids=ids or None).withColumn(
         "matched_event_ids", F.lit(",".join(ids)) if ids else F.lit(None).cast("string")
