@@ -129,10 +129,24 @@ def vector_to_text(v: Column, decimals: int = 10) -> Column:
 
 def vector_to_sparse_text(v: Column, decimals: int = 6) -> Column:
     """``i:x`` pairs of the non-zero entries (0-based index), comma separated —
-    a compact, engine-independent text of a sparse (e.g. hashed) vector."""
-    pairs = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)
-    items = F.transform(pairs, lambda p: F.format_string(f"%d:%.{decimals}f", p["i"], p["x"].cast("double")))
-    return F.concat_ws(",", items)
+    a compact, engine-independent text of a sparse (e.g. hashed) vector.
+    A small Arrow-batched helper: numpy finds the non-zeros, Python formats
+    them with exact (printf-style) rounding."""
+    fmt = f"%d:%.{decimals}f"
+
+    @F.pandas_udf("string")
+    def sparse(vs: pd.Series) -> pd.Series:
+        out = []
+        for vec in vs:
+            if vec is None:
+                out.append(None)
+                continue
+            a = np.asarray(vec, dtype=np.float64)
+            idx = np.flatnonzero(a)
+            out.append(",".join(fmt % (i, a[i]) for i in idx))
+        return pd.Series(out, dtype=object)
+
+    return sparse(v)
 
 
 def text_to_vector(s: Column) -> Column:

@@ -30,11 +30,13 @@ def prepared(spark, d, limit=None):
 
 
 def logs(spark, d):
-    return fx.fixture(spark, d, "f_logs")
+    """The search-side log_entries table (stored input, materialised once)."""
+    return fx.staged(spark, d, "f_logs")
 
 
 def vecs(spark, d):
-    return fx.fixture(spark, d, "f_vecs")
+    """The message_embeddings table (stored input, materialised once)."""
+    return fx.staged(spark, d, "f_vecs")
 
 
 LOG_COLS = ", ".join(pr.LOG_COLUMNS)
