@@ -69,3 +69,13 @@ def test_hot_message_is_pre_aggregated_before_shuffles(spark):
     assert (top.normalized_message, top.occurrences) == ("hot message", hot)
     p = plan(em.messages_to_embed(logs, vecs))
     assert "partial_min" in p or "partial_count" in p  # map-side aggregation before the exchange
+
+
+def test_line_limit_reaches_both_scans(spark):
+    lines_path, struct_path = scratch_path(spark, "plan_lines"), scratch_path(spark, "plan_struct")
+    fx.fixture(spark, SF_SMALL, "f_lines").select("line_id", "raw_line").write.parquet(lines_path)
+    fx.fixture(spark, SF_SMALL, "f_struct").write.parquet(struct_path)
+    df = prepare_log_entries(spark.read.parquet(lines_path), spark.read.parquet(struct_path), limit=100)
+    p = plan(df)
+    assert p.count("LessThanOrEqual(line_id,100)") >= 2
+    assert df.count() == 100
