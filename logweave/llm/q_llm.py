@@ -80,3 +80,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op3_kd_shards")
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    from logweave.llm.kd_shards import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op10_source_mix")
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from logweave.llm.source_mix import mix
+
+    return mix(table(spark, sf_dir, "documents"))
