@@ -96,3 +96,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.source_mix import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_piecewise_hash")
+def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    from logweave.llm.piecewise_hash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a lexicon learned outside the held-out fold."""
+    from logweave.llm.toxicity import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_pu_quality")
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of trusted positives and unlabelled text."""
+    from logweave.llm.pu_quality import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
