@@ -21,7 +21,7 @@ MOST_PASSES = 3
 ROUNDS = 16
 SEED = 20_240
 #: Rows whose running sums are taken together, about.
-ROWS_A_CHUNK = 50_000
+ROWS_A_CHUNK = 8_192
 
 
 def word_count(text: Column) -> Column:
