@@ -120,3 +120,19 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.pu_quality import held_out_scores
 
     return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_cgk_decontam")
+def op8_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the least number of edits."""
+    from logweave.llm.cgk_decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_lsh_forest")
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, similarity 0.8 or more."""
+    from logweave.llm.lsh_forest import jaccard_links
+
+    return jaccard_links(table(spark, sf_dir, "documents"))
