@@ -2,20 +2,71 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logweave.llm.cgk_decontam import clean_documents
+from logweave.llm.lsh_forest import one_of_each
+from logweave.llm.pu_quality import learn, score_quality
 from logweave.llm.shared import written
+from logweave.llm.source_mix import mixed_documents
+from logweave.llm.token_output import read_boundaries, write_token_ids
+from logweave.session import ensure_utc, ship_package
 
-#: Filled in the order of the pipeline.
-STAGES: list = []
 
-#: Model scores, signatures and token ids have no SQL form; tests hold the stages against brute force.
+def _ready(spark: SparkSession) -> None:
+    ensure_utc(spark)
+    ship_package(spark)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    _ready(spark)
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs, model)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    _ready(spark)
+    return one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    _ready(spark)
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents made of the words that the mix takes of each."""
+    _ready(spark)
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Written token ids, by document."""
+    _ready(spark)
+    return read_boundaries(write_token_ids(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed_sources),
+    ("token-ID / binary output", token_ids),
+]
+
+#: Model scores, embedded windows and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each result written and read again."""
+    _ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-stage-{k + 1}")
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from logweave.llm import textarrays as ta
 from logweave.llm.cgk_decontam import row_groups, utf8
 from logweave.llm.components import components
-from logweave.llm.shared import written
+from logweave.llm.shared import free_name, written
 
 WORDS = 5
 THRESHOLD = (4, 5)
@@ -113,17 +113,18 @@ def signatures(sets: np.ndarray, off: np.ndarray, trees: int, depth: int) -> tup
 
 
 def _signed(parts: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("labels", pa.list_(pa.int64())), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("labels", pa.list_(pa.int64())), ("signature", pa.binary())])
     for batch in parts:
-        data, off = utf8(batch.column(1))
+        data, off = utf8(batch.column(2))
         for a, b in row_groups(off, ta.PIECE_CHARS):
             sets, where = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
             keys = set_keys(sets, where)
             full = iter(zip(*signatures(sets, where, TREES, depth), strict=True))
             rows = []
-            for (x, y, n), doc_id in zip(keys, batch.column(0).slice(a, b - a).to_pylist(), strict=True):
+            ids, hashes = (batch.column(c).slice(a, b - a).to_pylist() for c in range(2))
+            for (x, y, n), doc_id, h in zip(keys, ids, hashes, strict=True):
                 labels, low = next(full) if n else (None, None)
-                rows.append((doc_id, x, y, n, labels.astype(np.int64).tolist() if n else [], low.tobytes() if n else b""))
+                rows.append((doc_id, h, x, y, n, labels.astype(np.int64).tolist() if n else [], low.tobytes() if n else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -271,24 +272,14 @@ def _member_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in keep], pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, class_id, text_id, n_links, n_linked_texts.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-    ``class_id`` is the least id of the documents that are connected by links, ``text_id`` that of those
-    with an equal set, ``n_links`` the documents linked to this one (copies too), ``n_linked_texts`` the
-    different sets among them.
-
-    Words are runs of bytes other than ASCII white space, compared as they are.  A text of one to four words
-    has one shingle; null, empty and blank texts have none: they are linked to nothing and are classes of
-    their own (by id).  Repeated rows are copies; null ids count as the least.  An empty table gives no row;
-    other columns are left out.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row a document: doc_id, h (of the text), n, root and cls (of its class; null without words),
+    class_id, text_id, copies, texts, docs."""
     num, den = THRESHOLD
     depth = matched_depth(num / den)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    signed = rows.mapInArrow(lambda parts: _signed(parts, depth), "doc_id long, x long, y long, n int, labels array<long>, signature binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    signed = rows.mapInArrow(lambda parts: _signed(parts, depth), "doc_id long, h long, x long, y long, n int, labels array<long>, signature binary")
     signed = written(signed.withColumn("rid", F.monotonically_increasing_id()), "forest-signatures")
 
     full = signed.where("n > 0")
@@ -307,8 +298,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     families = written(families, "forest-members")
 
     # the members' sets, by the texts of the rows that stand for them
-    ids = signed.join(families.select(F.col("vertex").alias("rid")), "rid").select(F.col("rid").alias("cls"), "x", "y", F.col("doc_id").alias("own_id"))
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cls", "x", "y", "text")
+    ids = signed.join(families.select(F.col("vertex").alias("rid")), "rid").select(F.col("rid").alias("cls"), "x", "y", *_identity())
+    texts = rows.select("text", *_identity()).join(ids, ["id", "no_id", "h"]).select("cls", "x", "y", "text")
     sets = texts.mapInArrow(_member_sets, "cls long, shingles binary").groupBy("cls").agg(F.min("shingles").alias("shingles"))
     sized = families.join(classes.select(F.col("cls").alias("vertex"), "copies"), "vertex").select(F.col("vertex").alias("cls"), "root", "copies")
     blocks = _blocks(sized, "root").join(sets, "cls")
@@ -321,8 +312,29 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_id = lambda c, null: F.when(~null, c)  # noqa: E731  a null id is the least
     named = named.withColumn("text_id", least_id(F.col("text_id"), F.col("null_id"))).withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.when(~F.max("null_id"), F.min("text_id")).alias("class_id"))
-    named = named.join(names, "root").select("x", "y", "copies", "text_id", "class_id", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    linked = signed.select("doc_id", "x", "y", "n").join(named, ["x", "y"], "left")
+    named = named.join(names, "root").select("x", "y", "root", "copies", "text_id", "class_id", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    return signed.select("doc_id", "h", "x", "y", "n", "rid").join(named, ["x", "y"], "left")
+
+
+def _identity() -> list:
+    """A row's id, never null, whether it is null, and its text's hash: join keys that tell texts apart."""
+    return [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("h")]
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, class_id, text_id, n_links, n_linked_texts.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+    ``class_id`` is the least id of the documents that are connected by links, ``text_id`` that of those
+    with an equal set, ``n_links`` the documents linked to this one (copies too), ``n_linked_texts`` the
+    different sets among them.
+
+    Words are runs of bytes other than ASCII white space, compared as they are.  A text of one to four words
+    has one shingle; null, empty and blank texts have none: they are linked to nothing and are classes of
+    their own (by id).  Repeated rows are copies; null ids count as the least.  An empty table gives no row;
+    other columns are left out.
+    """
+    linked = _classed(docs, id_col, text_col)
     empty = F.col("n") == 0
     return linked.select(
         "doc_id",
@@ -333,13 +345,17 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class of linked ones, that with the least id; same columns.
 
-    Documents without words stay; of repeated ids, one row stays."""
-    kept = jaccard_links(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = written(kept, "forest-kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # rows of one id are numbered by their text; ids are few to a document, so the groups are small
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    Documents without words stay.  Rows equal in id and text count as one document and stay once."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    linked = _classed(docs, id_col, text_col).withColumn("own", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.col("root"))).withColumn("empty", F.col("n") == 0)
+    first = linked.groupBy("empty", "own").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*")
+    kept = written(first.select(*_identity()).distinct(), "forest-kept")
+    names = {n: free_name(docs, n) for n in ("id", "no_id", "h", "n")}
+    key = [names[n] for n in ("id", "no_id", "h")]
+    own = docs.withColumns({names["id"]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0).cast("long")), names["no_id"]: F.col(f"`{id_col}`").isNull(), names["h"]: F.xxhash64(text)})
+    rows = own.join(kept.toDF(*key), key, "left_semi")
+    rows = rows.withColumn(names["n"], F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where(F.col(names["n"]) == 1)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
