@@ -25,7 +25,8 @@ LEAST_BITS = 3
 CHUNKS = 64
 BLOCK = 1 << 20
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_BASE, _WORD = 0xD6E8FEB86659FD93, 1 << 64
+_SIGNS = np.frombuffer(SIGNS.encode(), np.uint8)
+_BASE, _WORD = ta.BASE, 1 << 64
 _BYTES = ta.mix64(np.arange(1, 257, dtype=np.uint64))
 _ROLL = np.uint32(0x01000193)
 
@@ -43,29 +44,31 @@ def _block(data: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
     r ^= r >> np.uint32(14)
     own = data[skip:]
     sums = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(_BYTES[own] * ta._powers(len(own))[0][: len(own)], out=sums[1:])
+    np.cumsum(_BYTES[own] * ta.powers(len(own))[0][: len(own)], out=sums[1:])
     return r[skip:], sums
 
 
-def _signature(ends: list[int], prefix: list[int]) -> str:
-    """Symbols of the chunks that end at ``ends`` (the last: the text's end); prefix: hash sums there."""
+def _signature(ends: np.ndarray, sums: np.ndarray) -> str:
+    """Symbols of the chunks that end at ``ends`` (the last: the text's end); ``sums``: hash sums there."""
     if len(ends) > CHUNKS:
-        ends, prefix = [*ends[: CHUNKS - 1], ends[-1]], [*prefix[: CHUNKS - 1], prefix[-1]]
-    start = total = 0
-    signs = []
-    for end, here in zip(ends, prefix, strict=True):
-        h = (here - total) * pow(_BASE, -start, _WORD) % _WORD
-        h = (h ^ (end - start)) * 0xC2B2AE3D27D4EB4F % _WORD
-        h = (h ^ h >> 29) * 0x9E3779B97F4A7C15 % _WORD
-        signs.append(SIGNS[h >> 58] + SIGNS[h >> 52 & 63])
-        start, total = end, here
-    return "".join(signs)
+        ends, sums = np.append(ends[: CHUNKS - 1], ends[-1]), np.append(sums[: CHUNKS - 1], sums[-1])
+    starts = np.append([0], ends[:-1])
+    inverse = ta.powers(1)[1]
+    if starts[-1] < len(inverse):
+        back = inverse[starts]
+    else:
+        back = np.array([pow(_BASE, -s, _WORD) for s in starts.tolist()], np.uint64)
+    h = (sums - np.append(np.zeros(1, np.uint64), sums[:-1])) * back
+    h = ta.mix64(h ^ (ends - starts).astype(np.uint64)) >> np.uint64(52)
+    return _SIGNS[np.stack((h >> np.uint64(6), h & np.uint64(63)), 1).astype(np.intp)].tobytes().decode()
 
 
 def fingerprint(data: bytes) -> str:
     """``block size:signature:signature at twice the size``; empty data have empty signatures."""
     n = len(data)
     bits = max(LEAST_BITS, (-(-n // CHUNKS) - 1).bit_length() if n else 0)
+    if not n:
+        return f"{1 << bits}::"
     cuts: tuple[list, list] = ([], [])
     sums: tuple[list, list] = ([], [])
     before, scale = 0, 1
@@ -77,16 +80,16 @@ def fingerprint(data: bytes) -> str:
         found = np.flatnonzero((roll & low) == low)
         twice = found[(roll[found] >> np.uint32(bits)) & np.uint32(1) == 1]
         for k, places in enumerate((found, twice)):
-            cuts[k].extend((places + at + 1).tolist())
-            sums[k].extend((before + scale * p) % _WORD for p in prefix[places + 1].tolist())
+            cuts[k].append(places + at + 1)
+            sums[k].append(np.uint64(before) + np.uint64(scale) * prefix[places + 1])
         before = (before + scale * int(prefix[-1])) % _WORD
         scale = scale * pow(_BASE, len(roll), _WORD) % _WORD
     out = []
     for k in range(2):
-        if n and (not cuts[k] or cuts[k][-1] != n):
-            cuts[k].append(n)
-            sums[k].append(before)
-        out.append(_signature(cuts[k], sums[k]))
+        ends, total = np.concatenate(cuts[k]), np.concatenate(sums[k])
+        if not len(ends) or ends[-1] != n:
+            ends, total = np.append(ends, n), np.append(total, np.uint64(before))
+        out.append(_signature(ends, total))
     return f"{1 << bits}:{out[0]}:{out[1]}"
 
 

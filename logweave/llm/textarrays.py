@@ -19,7 +19,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 #: odd, so it has an inverse modulo 2**64
-_BASE = 0xD6E8FEB86659FD93
+BASE = 0xD6E8FEB86659FD93
 
 
 def batches(column, chars: int = PIECE_CHARS) -> Iterator[tuple[int, list]]:
@@ -186,11 +186,12 @@ def word_bpe_spans(cp: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tupl
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least up to the n-th."""
     if len(_POWERS[0]) <= n:
         size = 1 << max(21, int(n).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
+        inverse = pow(BASE, -1, 1 << 64)
+        for k, base in enumerate((BASE, inverse)):
             p = np.full(size, np.uint64(base), np.uint64)
             p[0] = 1
             _POWERS[k] = np.multiply.accumulate(p)
@@ -200,7 +201,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span ``values[start:end]``; the place of a span doesn't enter."""
     n = len(values)
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     v = (values.astype(np.uint64) + np.uint64(1)) * _MIX
     v ^= v >> np.uint64(29)
     v *= _MULT
