@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import written
+from logweave.llm.shared import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
@@ -146,18 +146,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
     passes stand on lines of their own.  Within a pass, words keep the white space after them.
     ``n_chars``, where there is one, is that of the new text.
     """
-    numbered = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-texts")
-    slim = written(_slim(numbered, F.col("_rid"), id_col, text_col, source_col), "mix-docs")
+    rid, takes_col, words_col = (free_name(docs, n) for n in ("_rid", "_takes", "_words"))
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-texts")
+    slim = written(_slim(numbered, F.col(rid), id_col, text_col, source_col), "mix-docs")
     _, takes = mix_blocks(slim, block_words)
-    listed = takes.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "times"))).alias("_takes"))
-    joined = numbered.join(listed, numbered["_rid"] == listed.rid)
+    listed = takes.groupBy(F.col("rid").alias(rid)).agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "times"))).alias(takes_col))
     words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    joined = joined.withColumn("_words", words)
+    joined = numbered.join(listed, rid).withColumn(words_col, words)
     one_pass = F.transform(
         F.sequence(F.lit(1), F.lit(MOST_PASSES)),
-        lambda p: F.array_join(F.flatten(F.transform(F.filter("_takes", lambda t: t["times"] >= p), lambda t: F.slice("_words", (t["lo"] + 1).cast("int"), (t["hi"] - t["lo"]).cast("int")))), ""),
+        lambda p: F.array_join(F.flatten(F.transform(F.filter(takes_col, lambda t: t["times"] >= p), lambda t: F.slice(words_col, (t["lo"] + 1).cast("int"), (t["hi"] - t["lo"]).cast("int")))), ""),
     )
-    whole = F.forall("_takes", lambda t: t["times"] == 1) & (F.aggregate("_takes", F.lit(0).cast("long"), lambda n, t: n + t["hi"] - t["lo"]) == F.size("_words"))
+    whole = F.forall(takes_col, lambda t: t["times"] == 1) & (F.aggregate(takes_col, F.lit(0).cast("long"), lambda n, t: n + t["hi"] - t["lo"]) == F.size(words_col))
     text = F.when(whole, F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(one_pass, lambda s: s != ""), "\n"))
     out = joined.withColumn(text_col, text)
     if "n_chars" in docs.columns:
