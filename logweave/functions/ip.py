@@ -105,34 +105,6 @@ def ipv4_tags(valid: Column, private: Column, bogon: Column, loopback: Column, m
     )
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a one-element
-    ``transform``), so a large sub-expression is not copied into every
-    place that reads it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def enrich_ipv4(ip: Column) -> Column:
-    """T1 + T2 as one expression: struct(value, type, is_valid, is_private,
-    is_bogon, is_loopback, is_multicast, risk_score, tags, version).
-
-    Convenient for single columns and array elements; over large tables
-    ``operators.threat.enrich_ips`` projects the same steps as columns.
-    """
-    def finish(f: Column) -> Column:
-        return F.struct(
-            ip.alias("value"), F.lit("ip").alias("type"), f["is_valid"].alias("is_valid"),
-            f["is_private"].alias("is_private"), f["is_bogon"].alias("is_bogon"),
-            f["is_loopback"].alias("is_loopback"), f["is_multicast"].alias("is_multicast"),
-            ipv4_risk(f["is_valid"], f["is_private"], f["is_bogon"]).alias("risk_score"),
-            ipv4_tags(f["is_valid"], f["is_private"], f["is_bogon"], f["is_loopback"],
-                      f["is_multicast"]).alias("tags"),
-            F.when(f["is_valid"], F.lit(4)).alias("version"),
-        )
-
-    return let(ipv4_number(ip), lambda n: let(ipv4_flags(n), finish))
-
-
 def extract_ipv4(text: Column) -> Column:
     """Distinct IPv4-looking tokens of a text (sorted, so deterministic)."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(IPV4_TOKEN), 1)))

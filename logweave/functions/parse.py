@@ -46,6 +46,20 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_SPACES = PY_SPACE[1:-1]
+
+
+def unicode(pattern: str) -> str:
+    """The pattern with Unicode classes (Python's white space), and ``.`` up to a line feed only."""
+    spaced = pattern.replace(r"[^\s]", f"[^{_SPACES}]").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]")
+    return "(?Ud)" + spaced
+
+
+# the patterns of the multi-source parsers, as their Unicode forms
+_SSH_LINE, _SSH_DETECT, _SYSLOG_LINE, _WINDOWS_LINE, _ISO_DATETIME, _LEVEL_WORD, _SSH_FAIL, _SSH_ACCEPT, _SSH_DISCONNECT = map(
+    unicode, (SSH_LINE, SSH_DETECT, SYSLOG_LINE, WINDOWS_LINE, ISO_DATETIME, LEVEL_WORD, SSH_FAIL, SSH_ACCEPT, SSH_DISCONNECT))
+
+
 def group(line: Column, pattern: str, idx: int) -> Column:
     """Regex group, NULL instead of '' when absent (Spark returns '')."""
     return F.nullif(F.regexp_extract(line, pattern, idx), F.lit(""))
@@ -83,6 +97,35 @@ def iso_to_ntz(text: Column) -> Column:
     )
 
 
+ISO_SHAPE = (
+    r"^(\d{4}-\d{2}-\d{2}|\d{8})(?:[^0-9](\d{2})(?:(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)|(?:(\d{2})(?:(\d{2})(?:[.,](\d+))?)?))?"
+    r"(?:([+-])(\d{2})(?::?(\d{2})(?::?(\d{2}))?)?)?)?$"
+)
+
+
+def iso_instant(text: Column) -> Column:
+    """ISO date or date and time, extended or basic, with or without an offset -> timestamp_ntz in UTC;
+    NULL for other shapes (a time or a year alone) and for instants that don't exist."""
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, ISO_SHAPE, i), F.lit(""))
+
+    def number(c: Column) -> Column:
+        return F.coalesce(c.try_cast("int"), F.lit(0))
+
+    date = F.replace(part(1), F.lit("-"), F.lit(""))
+    year, month, day = (F.substring(date, a, n).try_cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
+    hour, minute = number(part(2)), number(F.coalesce(part(3), part(6)))
+    second = number(F.coalesce(part(4), part(7)))
+    micros = number(F.rpad(F.substring(F.coalesce(part(5), part(8), F.lit("0")), 1, 6), 6, "0"))
+    seconds = (second.cast("decimal(16,6)") + micros / F.lit(1_000_000)).cast("decimal(8,6)")
+    local = F.try_make_timestamp_ntz(year, month, day, hour, minute, F.when(second < 60, seconds))
+    ahead = number(part(10)) * 3600 + number(part(11)) * 60 + number(part(12))
+    ahead = F.when(part(9) == "-", -ahead).otherwise(ahead)
+    valid = text.rlike(ISO_SHAPE) & (number(part(10)) < 24) & (number(part(11)) < 60)
+    return F.when(valid, local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ahead.cast("decimal(18,6)")))
+
+
 # -- P1 + P12 + P13: OpenSSH prefix (main storage path) ----------------------
 
 def openssh_prefix(line: Column | str, year: int = 2024) -> Column:
@@ -98,7 +141,8 @@ def openssh_prefix(line: Column | str, year: int = 2024) -> Column:
         group(line, OPENSSH_PREFIX, 4).alias("host"),
         F.trim(group(line, OPENSSH_PREFIX, 5)).alias("service"),
         group(line, OPENSSH_PREFIX, 6).try_cast("int").alias("process_id"),
-        group(line, OPENSSH_PREFIX, 7).alias("content"),
+        # '' is a line with empty content; NULL a line that doesn't match
+        F.when(line.rlike(OPENSSH_PREFIX), F.regexp_extract(line, OPENSSH_PREFIX, 7)).alias("content"),
         ntz_from_parts(year, month_number(month), day, time_text).alias("log_timestamp"),
     )
 
@@ -120,15 +164,15 @@ def _auth(msg: Column, pattern: str) -> Column:
 
 
 def auth_failure(msg: Column) -> Column:
-    return _auth(msg, SSH_FAIL)
+    return _auth(msg, _SSH_FAIL)
 
 
 def auth_success(msg: Column) -> Column:
-    return _auth(msg, SSH_ACCEPT)
+    return _auth(msg, _SSH_ACCEPT)
 
 
 def disconnect_ip(msg: Column) -> Column:
-    return F.when(msg.rlike(SSH_DISCONNECT), F.regexp_extract(msg, SSH_DISCONNECT, 1))
+    return F.when(msg.rlike(_SSH_DISCONNECT), F.regexp_extract(msg, _SSH_DISCONNECT, 1))
 
 
 FIELDS = [
@@ -148,20 +192,20 @@ def _struct(fields: dict[str, Column]) -> Column:
 
 def _ssh(raw: Column, year: int) -> tuple[Column, dict[str, Column]]:
     s = py_strip(raw)
-    msg = F.regexp_extract(s, SSH_LINE, 7)
-    day_text = F.regexp_extract(s, SSH_LINE, 2)
+    msg = F.regexp_extract(s, _SSH_LINE, 7)
+    day_text = F.regexp_extract(s, _SSH_LINE, 2)
     # strptime('%d') accepts 1-31 with an optional leading zero only
     day = F.when(day_text.rlike(r"^(3[01]|[12][0-9]|0?[1-9])$"), day_text.try_cast("int"))
-    ts = ntz_from_parts(year, month_number(F.regexp_extract(s, SSH_LINE, 1), True), day,
-                        F.regexp_extract(s, SSH_LINE, 3))
+    ts = ntz_from_parts(year, month_number(F.regexp_extract(s, _SSH_LINE, 1), True), day,
+                        F.regexp_extract(s, _SSH_LINE, 3))
     is_error = msg.contains(SSH_ERROR_WORDS[0])
     for w in SSH_ERROR_WORDS[1:]:
         is_error = is_error | msg.contains(w)
-    return s.rlike(SSH_LINE), {
+    return s.rlike(_SSH_LINE), {
         "source": F.lit("openssh"), "log_timestamp": ts,
         "level": F.when(is_error, F.lit("ERROR")).otherwise(F.lit("INFO")),
-        "host": F.regexp_extract(s, SSH_LINE, 4), "process": F.regexp_extract(s, SSH_LINE, 5),
-        "pid": group(s, SSH_LINE, 6).try_cast("int"), "message": msg, "raw": raw,
+        "host": F.regexp_extract(s, _SSH_LINE, 4), "process": F.regexp_extract(s, _SSH_LINE, 5),
+        "pid": group(s, _SSH_LINE, 6).try_cast("int"), "message": msg, "raw": raw,
         "auth_failure": auth_failure(msg), "auth_success": auth_success(msg),
         "disconnect_ip": disconnect_ip(msg),
     }
@@ -170,39 +214,39 @@ def _ssh(raw: Column, year: int) -> tuple[Column, dict[str, Column]]:
 def _syslog(raw: Column) -> tuple[Column, dict[str, Column]]:
     s = py_strip(raw)
     # groups: 1 pri, 2 version, 3 ts, 4 host, 5 app, 6 procid, 7 msgid, 8 sd, 9 msg
-    pri = F.regexp_extract(s, SYSLOG_LINE, 1).try_cast("long")
+    pri = F.regexp_extract(s, _SYSLOG_LINE, 1).try_cast("long")
     sev = (pri % 8).cast("int")
-    procid = F.regexp_extract(s, SYSLOG_LINE, 6)
-    ts_text = F.regexp_replace(F.regexp_extract(s, SYSLOG_LINE, 3), "Z", "+00:00")
-    return s.rlike(SYSLOG_LINE), {
+    procid = F.regexp_extract(s, _SYSLOG_LINE, 6)
+    ts_text = F.replace(F.regexp_extract(s, _SYSLOG_LINE, 3), F.lit("Z"), F.lit("+00:00"))
+    return s.rlike(_SYSLOG_LINE), {
         "source": F.lit("syslog"),
-        "log_timestamp": ts_text.try_cast("timestamp").cast("timestamp_ntz"),  # session zone UTC
+        "log_timestamp": iso_instant(ts_text),
         "level": F.coalesce(F.array(*[F.lit(x) for x in SYSLOG_SEVERITY])[sev], F.lit("INFO")),
-        "host": F.regexp_extract(s, SYSLOG_LINE, 4), "process": F.regexp_extract(s, SYSLOG_LINE, 5),
+        "host": F.regexp_extract(s, _SYSLOG_LINE, 4), "process": F.regexp_extract(s, _SYSLOG_LINE, 5),
         "pid": F.when(procid.rlike("^[0-9]+$"), procid.try_cast("int")),
-        "message": F.regexp_extract(s, SYSLOG_LINE, 9), "raw": raw,
+        "message": F.regexp_extract(s, _SYSLOG_LINE, 9), "raw": raw,
         "facility": F.shiftright(pri, 3), "severity": sev,
-        "msgid": F.regexp_extract(s, SYSLOG_LINE, 7),
+        "msgid": F.regexp_extract(s, _SYSLOG_LINE, 7),
     }
 
 
 def _windows(raw: Column) -> tuple[Column, dict[str, Column]]:
     s = py_strip(raw)
-    return s.rlike(WINDOWS_LINE), {
+    return s.rlike(_WINDOWS_LINE), {
         "source": F.lit("windows_event"),
-        "log_timestamp": iso_to_ntz(F.regexp_extract(s, WINDOWS_LINE, 1)),
-        "level": F.upper(F.regexp_extract(s, WINDOWS_LINE, 2)),
-        "process": F.regexp_extract(s, WINDOWS_LINE, 3),
-        "message": F.regexp_extract(s, WINDOWS_LINE, 5), "raw": raw,
-        "event_id": F.regexp_extract(s, WINDOWS_LINE, 4).try_cast("long"),
+        "log_timestamp": iso_to_ntz(F.regexp_extract(s, _WINDOWS_LINE, 1)),
+        "level": F.upper(F.regexp_extract(s, _WINDOWS_LINE, 2)),
+        "process": F.regexp_extract(s, _WINDOWS_LINE, 3),
+        "message": F.regexp_extract(s, _WINDOWS_LINE, 5), "raw": raw,
+        "event_id": F.regexp_extract(s, _WINDOWS_LINE, 4).try_cast("long"),
     }
 
 
 def _generic(raw: Column) -> dict[str, Column]:
-    level = F.upper(F.nullif(F.regexp_extract(raw, LEVEL_WORD, 1), F.lit("")))
+    level = F.upper(F.nullif(F.regexp_extract(raw, _LEVEL_WORD, 1), F.lit("")))
     return {
         "source": F.lit("generic"),
-        "log_timestamp": iso_to_ntz(F.regexp_extract(raw, ISO_DATETIME, 1)),
+        "log_timestamp": iso_to_ntz(F.regexp_extract(raw, _ISO_DATETIME, 1)),
         "level": F.coalesce(level, F.lit("INFO")),
         "message": py_strip(raw), "raw": raw,
     }
@@ -243,7 +287,7 @@ def detect_source(line: Column | str, source_hint: str | None = None, year: int
     if source_hint in forced:
         return F.when(forced[source_hint], F.lit(source_hint)).otherwise(F.lit("generic"))
     looks_syslog = raw.startswith("<") & F.substring(raw, 1, 6).contains(">")
-    looks_ssh = raw.rlike(SSH_DETECT)
+    looks_ssh = raw.rlike(_SSH_DETECT)
     return (
         F.when(looks_syslog & sys_ok, F.lit("syslog"))
         .when(looks_ssh & ssh_ok, F.lit("openssh"))

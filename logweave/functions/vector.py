@@ -31,11 +31,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    """K6: cosine similarity; NULL when either vector has zero norm."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-
-
 def cosine_to_query(a: Column, query: Sequence[float]) -> Column:
     """Cosine of every vector in ``a`` against one literal query vector.
 
@@ -63,15 +58,6 @@ def cosine_to_query(a: Column, query: Sequence[float]) -> Column:
     return cos(a)
 
 
-def cosine_to_query_expr(a: Column, query: Sequence[float]) -> Column:
-    """The same cosine as pure array functions (no Python), for plans that
-    must stay in the JVM."""
-    qn = math.sqrt(sum(float(x) * float(x) for x in query))
-    if qn == 0.0:
-        return F.lit(None).cast("double")
-    return dot(a, vector_literal(query)) / F.nullif(norm(a) * F.lit(qn), F.lit(0.0))
-
-
 def rank_key(distance: Column) -> Column:
     return F.round(distance, RANK_DECIMALS)
 

@@ -1,11 +1,13 @@
 """Approximate vector search (K7, K8): coarse cells + exact re-rank.
 
 K7 fits spherical k-means (MLlib ``KMeans`` with cosine distance, a
-distributed iterative job) and writes the vectors partitioned by cell.  K8
-scores the query against the centroids on the driver (``n_cells`` x dim,
-bounded by the parameter), reads only the ``nprobe`` nearest cell folders
-(partition pruning) and re-ranks exactly.  With ``nprobe = n_cells`` it is
-exact; recall against the exact search is measured by ``recall_at_k``.
+distributed iterative job) over vectors staged once, writes them partitioned
+by cell in a bounded number of files each, and stores the centroids beside
+them, so an index can be opened from its path.  K8 scores the query against
+the centroids on the driver (``n_cells`` x dim, bounded by the parameter),
+reads only the ``nprobe`` nearest cell folders (partition pruning) and
+re-ranks exactly.  With ``nprobe = n_cells`` it is exact; recall against the
+exact search is measured by ``recall_at_k``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.vector import cosine_to_query, rank_key
+from logweave.session import written
 
 
 @dataclass
@@ -27,18 +30,34 @@ class AnnIndex:
     centroids: np.ndarray  # n_cells x dim, unit norm
     key: str
 
+    @property
+    def cells(self) -> str:
+        return f"{self.path}/cells"
 
-def build(vecs: DataFrame, path: str, n_cells: int = 16, key: str = "normalized_message",
-          seed: int = 42, max_iter: int = 20) -> AnnIndex:
-    """K7: fit cells and write ``(key, embedding, cell)`` partitioned by cell."""
-    data = vecs.filter(F.col("embedding").isNotNull()).select(
-        key, "embedding", array_to_vector(F.col("embedding")).alias("features"))
+
+def build(vecs: DataFrame, path: str, n_cells: int, key: str = "normalized_message",
+          seed: int = 42, max_iter: int = 20, files_per_cell: int = 8) -> AnnIndex:
+    """K7: fit ``n_cells`` cells (about the square root of the vectors is usual) and write
+    ``(key, embedding, cell)`` and the centroids under ``path``, over any index that is there."""
+    data = written(vecs.filter(F.col("embedding").isNotNull()).select(
+        key, "embedding", array_to_vector(F.col("embedding")).alias("features")), "ann-features")
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
                    featuresCol="features", predictionCol="cell").fit(data)
-    model.transform(data).select(key, "embedding", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-    cents = np.array([c for c in model.clusterCenters()], dtype=np.float64)
+    placed = model.transform(data).select(key, "embedding", "cell")
+    salt = F.pmod(F.xxhash64(key), F.lit(files_per_cell))
+    placed.repartition("cell", salt).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    rows = [(i, [float(x) for x in c], key) for i, c in enumerate(model.clusterCenters())]
+    spark = vecs.sparkSession
+    spark.createDataFrame(rows, "cell int, centroid array<double>, key string").write.mode("overwrite").parquet(f"{path}/centroids")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> AnnIndex:
+    """An index that ``build`` has written, in this application or another (one row a cell is read)."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    cents = np.array([r.centroid for r in rows], dtype=np.float64)
     cents /= np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-300)
-    return AnnIndex(path, cents, key)
+    return AnnIndex(path, cents, rows[0].key)
 
 
 def search(spark: SparkSession, index: AnnIndex, query, k: int = 20, nprobe: int = 4) -> DataFrame:
@@ -46,7 +65,7 @@ def search(spark: SparkSession, index: AnnIndex, query, k: int = 20, nprobe: int
     q = np.asarray(query, dtype=np.float64)
     q = q / max(np.linalg.norm(q), 1e-300)
     cells = [int(c) for c in np.argsort(-(index.centroids @ q))[:nprobe]]
-    part = spark.read.parquet(index.path).filter(F.col("cell").isin(cells))  # folder pruning
+    part = spark.read.parquet(index.cells).filter(F.col("cell").isin(cells))  # folder pruning
     sim = cosine_to_query(F.col("embedding"), list(query))
     return (
         part.select(index.key, sim.alias("similarity"), (1 - sim).alias("distance"))

@@ -1,13 +1,13 @@
 """Isolation forest over vectors (M1-M7, A10) as Spark jobs.
 
-Training: every tree draws its own sub-sample by hashing (key, tree, seed),
-so sampling does not depend on partitioning; a hash threshold keeps only a
-few hundred candidate rows per tree before the shuffle, and each tree is
-grown by ``groupBy(tree).applyInPandas`` on at most ``max_samples`` rows.
-The model is a table of at most trees x (2 x max_samples) nodes, so it is
-safe to broadcast for scoring, which streams Arrow batches through numpy in
-``mapInPandas``.  The offset (contamination quantile of the training
-scores) comes from ``percentile_approx``, a bounded sketch.
+Training: every tree draws its own sub-sample from all rows by hashing
+(key, tree, seed), so sampling does not depend on partitioning; a hash
+threshold keeps a few hundred candidate rows per tree before the shuffle, and
+each tree is grown by ``groupBy(tree).applyInPandas`` on at most
+``max_samples`` rows.  The model is a table of nodes; scoring takes it in
+blocks of trees, each broadcast once and kept by the model until released,
+and adds up path lengths over the blocks.  The offset is the interpolated
+contamination quantile of the training scores.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from logweave.config import DEFAULT
 from logweave.functions.severity import anomaly_probability, severity
+from logweave.session import written
 
-MAX_MODEL_NODES = 5_000_000  # the node table is collected and broadcast for scoring
+TREES_A_BLOCK = 500  # trees of one broadcast
 NODE_SCHEMA = ("tree long, node long, feature int, threshold double, left long, right long, "
                "size long, depth int")
 
@@ -72,63 +73,95 @@ class IsolationForestModel:
     sample_size: int
     offset: float | None      # contamination quantile of training scores
     n_trees: int
-    node_table: pd.DataFrame | None = None  # driver copy (bounded size)
+    _blocks: list | None = None
+
+    def blocks(self) -> list:
+        """Broadcast node arrays of ``TREES_A_BLOCK`` trees each; made once."""
+        if self._blocks is None:
+            sc = self.nodes.sparkSession.sparkContext
+            self._blocks = []
+            for first in range(0, self.n_trees, TREES_A_BLOCK):
+                block = self.nodes.filter((F.col("tree") >= first) & (F.col("tree") < first + TREES_A_BLOCK)).toPandas()
+                self._blocks.append(sc.broadcast(_arrays(block)))
+        return self._blocks
+
+    def release(self) -> None:
+        """Drops the broadcasts; the next score makes them anew."""
+        for block in self._blocks or []:
+            block.unpersist()
+        self._blocks = None
 
 
 def _sample(vecs: DataFrame, key: str, n: int, n_trees: int, max_samples: int, seed: int) -> DataFrame:
-    """Per-tree sub-samples of ``min(max_samples, n)`` rows.
-
-    A uniform pool of about 3 x trees x samples rows is drawn first with one
-    hash per row (so the full table is read once, at one hash per row); each
-    tree then ranks the pool by its own hash of (key, tree, seed) and keeps
-    its first ``size`` rows.  A hash threshold trims the pool x trees
-    candidates to ~3 x size per tree before the ranking shuffle, so every
-    window group stays a few hundred rows.  Deterministic and independent of
-    partitioning.
+    """Per-tree sub-samples of ``min(max_samples, n)`` rows, drawn from all rows by one rule.
+
+    Each row is hashed once per tree; the threshold lets through so many that
+    a tree gets fewer than its sample with a probability below 1e-20, and the
+    first ``size`` by hash are kept.  Deterministic and independent of
+    partitioning and input size.
     """
     size = min(max_samples, n)
     modulus = 2 ** 31 - 1
-    pool_target = min(n, 3 * n_trees * size)
-    pool_cut = int(min(1.0, 1.5 * pool_target / max(n, 1)) * modulus)
-    h0 = F.abs(F.xxhash64(F.col(key), F.lit(seed), F.lit(-1))) % F.lit(modulus)
-    pool = vecs.filter(h0 <= pool_cut) if pool_cut < modulus else vecs
-    pool_n = min(n, int(1.5 * pool_target)) if pool_cut < modulus else n
-    cut = int(min(1.0, 3.0 * size / max(pool_n, 1)) * modulus)
-    h = F.abs(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))) % F.lit(modulus)
-    cand = (
-        pool.select(key, "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        .withColumn("_h", h)
-        .filter(F.col("_h") <= cut)
+    expected = size + 12 * math.sqrt(size) + 60
+    cut = int(min(1.0, expected / max(n, 1)) * modulus)
+    drawn = F.filter(
+        F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long")),
+        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(modulus)) <= cut,
     )
+    cand = vecs.select(key, "embedding", F.explode(drawn).alias("tree"))
+    cand = cand.withColumn("_h", F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(modulus)))
     w = Window.partitionBy("tree").orderBy("_h", key)
     return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size).drop("_r", "_h")
 
 
+def interpolated_percentile(df: DataFrame, column: str, share: float, accuracy: int = 100_000) -> float:
+    """The percentile between two order statistics, exactly, without a global sort: a sketch narrows the
+    range, and the two neighbours are found by rank among the few values in it."""
+    rows = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
+    place = (rows.count() - 1) * share
+    rank, part = math.floor(place), place - math.floor(place)
+    width = 2 / accuracy
+    while True:
+        ends = [max(0.0, share - width), min(1.0, share + width)]
+        lo, hi = rows.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
+        if width >= 1:
+            lo, hi = rows.agg(F.min("v"), F.max("v")).first()
+        below = rows.filter(F.col("v") < lo).count()
+        upto = F.sum("n").over(Window.orderBy("v")) + F.lit(below)
+        near = rows.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+        a, b = near.agg(F.min(F.when(F.col("upto") > rank, F.col("v"))), F.min(F.when(F.col("upto") > rank + 1, F.col("v")))).first()
+        if part == 0 and a is not None and below <= rank:
+            return float(a)
+        if a is not None and b is not None and below <= rank:
+            return float(a + (b - a) * part)
+        if width >= 1:
+            return float(hi)
+        width *= 8
+
+
 def train(vecs: DataFrame, key: str = "normalized_message",
           n_trees: int = DEFAULT.anomaly_n_estimators, max_samples: int = DEFAULT.anomaly_max_samples,
           contamination: float = DEFAULT.anomaly_contamination, seed: int = DEFAULT.anomaly_seed,
           ) -> IsolationForestModel | None:
     """M1: fit on all non-null vectors; ``None`` when there are none."""
-    if n_trees * 2 * max_samples > MAX_MODEL_NODES:
-        raise ValueError("forest too large to broadcast: n_trees x 2 x max_samples > %d" % MAX_MODEL_NODES)
     vecs = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding")
     n = vecs.count()
     if n == 0:
         return None
+    size = min(max_samples, n)
     sample = _sample(vecs, key, n, n_trees, max_samples, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < size:
+            raise RuntimeError(f"tree {pdf['tree'].iloc[0]} has {len(pdf)} of {size} rows")
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         return pd.DataFrame(_grow_tree(int(pdf["tree"].iloc[0]), x, seed),
                             columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
-    grown = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
-    table = grown.toPandas()  # at most n_trees x 2 x max_samples rows
-    spark = vecs.sparkSession
-    model = IsolationForestModel(spark.createDataFrame(table, NODE_SCHEMA), min(max_samples, n),
-                                 None, n_trees, table)
-    scored = score_samples(vecs, model, key)
-    model.offset = float(scored.agg(F.percentile_approx("score_sample", contamination, 100000)).first()[0])
+    nodes = written(sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA), "forest-nodes")
+    model = IsolationForestModel(nodes, size, None, n_trees)
+    scored = written(score_samples(vecs, model, key).select("score_sample"), "forest-scores")
+    model.offset = interpolated_percentile(scored, "score_sample", contamination)
     return model
 
 
@@ -156,26 +189,18 @@ def _arrays(pdf: pd.DataFrame):
     return feat, thr, left, right, leaf_len
 
 
-def score_samples(vecs: DataFrame, model: IsolationForestModel, key: str = "normalized_message") -> DataFrame:
-    """M2 core: ``score_sample`` = -(2 ** (-E[h(x)] / c(sample_size))) per vector."""
-    pdf = model.node_table
-    if pdf is None:
-        pdf = model.nodes.toPandas()  # bounded: trees x 2 x max_samples rows
-        model.node_table = pdf
-    spark = vecs.sparkSession
-    arrays = spark.sparkContext.broadcast(_arrays(pdf))
-    c_n = float(average_path_length(np.array([model.sample_size]))[0]) or 1.0
+def _path_lengths(block):
+    """Adds the path lengths of one block of trees to ``total``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feat, thr, left, right, leaf_len = arrays.value
-        n_trees = feat.shape[0]
-        for pdf_b in batches:
-            if len(pdf_b) == 0:
+        feat, thr, left, right, leaf_len = block.value
+        for pdf in batches:
+            if len(pdf) == 0:
                 continue
-            x = np.stack(pdf_b["embedding"].to_numpy()).astype(np.float64)
+            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             rows = np.arange(len(x))
-            total = np.zeros(len(x))
-            for t in range(n_trees):
+            total = pdf["total"].to_numpy(dtype=np.float64).copy()
+            for t in range(feat.shape[0]):
                 node = np.zeros(len(x), dtype=np.int64)
                 while True:
                     f = feat[t, node]
@@ -186,11 +211,20 @@ def score_samples(vecs: DataFrame, model: IsolationForestModel, key: str = "norm
                     nxt = np.where(go_left, left[t, node], right[t, node])
                     node = np.where(inner, nxt, node)
                 total += leaf_len[t, node]
-            mean_h = total / n_trees
-            yield pd.DataFrame({key: pdf_b[key].to_numpy(), "score_sample": -np.power(2.0, -mean_h / c_n)})
+            yield pdf.assign(total=total)
+
+    return run
+
 
-    return vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding").mapInPandas(
-        run, f"{key} {dict(vecs.dtypes)[key]}, score_sample double")
+def score_samples(vecs: DataFrame, model: IsolationForestModel, key: str = "normalized_message") -> DataFrame:
+    """M2 core: ``score_sample`` = -(2 ** (-E[h(x)] / c(sample_size))) per vector."""
+    c_n = float(average_path_length(np.array([model.sample_size]))[0]) or 1.0
+    out = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding", F.lit(0.0).alias("total"))
+    schema = f"{key} {dict(vecs.dtypes)[key]}, embedding {dict(vecs.dtypes)['embedding']}, total double"
+    for block in model.blocks():
+        out = out.mapInPandas(_path_lengths(block), schema)
+    mean = F.col("total") / F.lit(float(model.n_trees))
+    return out.select(key, (-F.pow(F.lit(2.0), -mean / F.lit(c_n))).alias("score_sample"))
 
 
 def score(vecs: DataFrame, model: IsolationForestModel, key: str = "normalized_message") -> DataFrame:

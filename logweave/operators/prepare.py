@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,24 +79,17 @@ def prepare_log_entries(
     )
 
 
-@dataclass(frozen=True)
-class PreparedDataset:
-    log_rows: int
-    template_rows: int
-    csv_dir: str
-    parquet_dir: str
-
-
 def prepare_dataset(
     entries: DataFrame,
     templates: DataFrame,
     parquet_dir: str,
     csv_dir: str,
     templates_csv_dir: str,
-) -> PreparedDataset:
+) -> DataFrame:
     """S5 + S6 + S9: write the entries once to Parquet (partitioned by level),
     export CSV from the written Parquet instead of re-running the parse, and
-    count rows with ``observe`` during the writes (no extra scan)."""
+    count rows with ``observe`` during the writes (no extra scan).  Gives one
+    row: log_rows, template_rows."""
     from pyspark.sql import Observation
 
     from logweave.sources.csv import write_csv
@@ -111,9 +102,5 @@ def prepare_dataset(
     write_csv(stored, csv_dir)
     obs_tpl = Observation("template_rows")
     write_csv(templates.observe(obs_tpl, F.count(F.lit(1)).alias("n")), templates_csv_dir)
-    return PreparedDataset(
-        log_rows=int(obs_logs.get["n"]),
-        template_rows=int(obs_tpl.get["n"]),
-        csv_dir=csv_dir,
-        parquet_dir=parquet_dir,
-    )
+    counts = (int(obs_logs.get["n"]), int(obs_tpl.get["n"]))
+    return spark.createDataFrame([counts], "log_rows long, template_rows long")

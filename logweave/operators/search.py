@@ -1,10 +1,9 @@
 """Semantic, keyword, neighbour and batch searches.
 
-Corpus-side work is one scan with a per-task top-N (TakeOrderedAndProject);
-the over-fetched match list is bounded by ``max(top_k, overfetch)`` (the API
-caps ``top_k`` at 200), which is what makes broadcasting it into the log
-scan safe.  Query vectors are literals, as in the reference where the query
-embedding is a bound SQL parameter.
+Corpus-side work is one scan with a per-task top-N (TakeOrderedAndProject).
+The matched messages are joined to the log rows without a hint: a short list
+is broadcast from its measured size at run time, a long one is shuffled.
+Query vectors are literals, as a bound SQL parameter would be.
 """
 
 from __future__ import annotations
@@ -22,13 +21,13 @@ from logweave.functions.vector import cosine_to_query, rank_key
 from logweave.operators.analytics import filter_level
 
 RESULT_COLUMNS = ["id", "line_id", "log_timestamp", "level", "event_id", "raw_message", "event_template"]
-MAX_TOP_K = 200
-BROADCAST_MAX_ROWS = 100_000  # candidate lists above this join without a broadcast hint
+QUERY_BLOCK = 512  # queries that one task of the batch search holds
+CORPUS_BLOCK = 50_000  # vectors that one task of the batch search holds
 
 
 def _check_k(top_k: int) -> int:
-    if not 1 <= int(top_k) <= MAX_TOP_K:
-        raise ValueError(f"top_k must be within 1..{MAX_TOP_K}")
+    if int(top_k) < 1:
+        raise ValueError("top_k must be at least 1")
     return int(top_k)
 
 
@@ -58,12 +57,8 @@ def hit_order() -> list:
 
 def _hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
           exclude_id: int | None = None) -> DataFrame:
-    """Top-k log rows of the matched messages, with the raw distance kept.
-
-    ``matches`` is a LIMIT-ed list (max(top_k, overfetch) rows), so the
-    broadcast is bounded; above BROADCAST_MAX_ROWS the hint is dropped."""
-    small = max(top_k, DEFAULT.semantic_overfetch) <= BROADCAST_MAX_ROWS
-    hits = _with_id(logs).join(F.broadcast(matches) if small else matches, "normalized_message")
+    """Top-k log rows of the matched messages, with the raw distance kept."""
+    hits = _with_id(logs).join(matches, "normalized_message")
     hits = filter_level(hits, level)  # after the cut, as in the reference
     if exclude_id is not None:
         hits = hits.filter(F.col("id") != F.lit(exclude_id))
@@ -85,8 +80,6 @@ def semantic_search(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     line).  The level filter runs after the cut, so fewer than ``top_k``
     rows can come back (reference semantics)."""
     top_k = _check_k(top_k)
-    if not 1 <= int(overfetch) <= BROADCAST_MAX_ROWS:
-        raise ValueError(f"overfetch must be within 1..{BROADCAST_MAX_ROWS}")
     matches = nearest_messages(vecs, query, max(top_k, overfetch))
     return _ranked_hits(matches, logs, top_k, level)
 
@@ -152,10 +145,10 @@ def semantic_event_ids(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
                        top_k: int = DEFAULT.semantic_event_ids_top_k,
                        max_events: int = DEFAULT.semantic_event_ids_max) -> DataFrame:
     """First ``max_events`` distinct non-empty event ids in rank order of
-    a semantic result (at most 200 rows, so the global rank window is small)."""
+    a semantic result (``top_k`` rows, ranked in one small window)."""
     top_k = _check_k(top_k)
     hits = _hits(nearest_messages(vecs, query, max(top_k, DEFAULT.semantic_overfetch)), logs, top_k, None)
-    w = Window.orderBy(*hit_order())  # a global window over <= 200 rows
+    w = Window.orderBy(*hit_order())  # a global window over top_k rows
     ranked = hits.withColumn("rank", F.row_number().over(w).cast("long"))
     return (
         ranked.filter(F.col("event_id").isNotNull() & (F.col("event_id") != ""))
@@ -171,25 +164,15 @@ def knn_documents(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     level as a post-filter, vector dropped, score = cosine similarity.
 
     Exact without joining every log row to its vector: the k best rows come
-    from the best messages that have at least one row, so candidates are the
-    top-n messages (n = k, doubled while fewer than k of them have rows),
-    broadcast into one log scan.  The driver only sees counts.
+    from the k best messages that have a row.  The logs are reduced to one
+    row per message once; the vectors of those messages give the k best, and
+    one more pass fetches their rows.
     """
     top_k = _check_k(top_k)
     logs = _with_id(logs)
-    total = vecs.filter(F.col("embedding").isNotNull()).count()
-    n = top_k
-    while True:
-        cand = nearest_messages(vecs, query, n)
-        names = cand.select("normalized_message")
-        present = logs.join(F.broadcast(names) if n <= BROADCAST_MAX_ROWS else names, "normalized_message",
-                            "left_semi").select("normalized_message").distinct().count()
-        if present >= top_k or n >= total:
-            break
-        n *= 2
-    # n is bounded by the doubling loop; past BROADCAST_MAX_ROWS the planner picks the join
-    small = n <= BROADCAST_MAX_ROWS
-    rows = logs.join(F.broadcast(cand) if small else cand, "normalized_message")
+    present = logs.groupBy("normalized_message").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    cand = nearest_messages(vecs.join(present, "normalized_message", "left_semi"), query, top_k)
+    rows = logs.join(cand, "normalized_message")
     top = rows.orderBy(rank_key(F.col("distance")).asc_nulls_last(), F.col("line_id")).limit(top_k)
     top = filter_level(top, level)
     keep = [c for c in logs.columns if c != "embedding"]
@@ -198,85 +181,58 @@ def knn_documents(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
 
 # -- K9: batch search -----------------------------------------------------------
 
-def _partition_topk(queries: np.ndarray, qids: np.ndarray, k: int, key: str):
-    """Per-task scorer: streams Arrow batches, keeps a running top-k per query
-    (memory = queries x (batch + k), independent of the partition size)."""
-    qn = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-    nq = len(qids)
-
-    def best(dist, ids, sims):
-        kk = min(k, dist.shape[1])
-        order = np.lexsort((ids, dist), axis=1)[:, :kk]
-        take = lambda a: np.take_along_axis(a, order, axis=1)
-        return take(dist), take(ids), take(sims)
-
-    def run(batches):
-        import pyspark
-
-        salt = pyspark.TaskContext.get().partitionId() % 64
-        run_d = np.zeros((nq, 0))
-        run_i = np.zeros((nq, 0), dtype=np.int64)
-        run_s = np.zeros((nq, 0))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cid = pdf[key].to_numpy(dtype=np.int64)
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            mn = np.linalg.norm(m, axis=1)
-            sims = (qn @ m.T) / np.where(mn == 0, np.nan, mn)[None, :]
+def _block_topk(k: int, key: str):
+    """Scorer of one block of vectors against one block of queries: the k best of each query."""
+
+    def run(pair, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], key: [], "similarity": [], "part": []})
+        q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+        m = np.stack(vectors["embedding"].to_numpy()).astype(np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        norm = np.linalg.norm(m, axis=1)
+        ids = vectors[key].to_numpy(dtype=np.int64)
+        best = min(k, len(ids))
+        out = []
+        for qid, vector in zip(queries["query_id"].to_numpy(dtype=np.int64), q, strict=True):
+            sims = (m @ vector) / np.where(norm == 0, np.nan, norm)
             dist = np.round(1.0 - sims, 9)
-            ids = np.broadcast_to(cid, dist.shape)
-            run_d, run_i, run_s = best(
-                np.concatenate([run_d, dist], axis=1),
-                np.concatenate([run_i, ids], axis=1),
-                np.concatenate([run_s, sims], axis=1),
-            )
-        if run_d.shape[1] == 0:
-            return
-        kk = run_d.shape[1]
-        yield pd.DataFrame({
-            "query_id": np.repeat(qids, kk), key: run_i.reshape(-1),
-            "similarity": run_s.reshape(-1), "salt": np.full(nq * kk, salt, dtype=np.int64),
-        })
+            order = np.lexsort((ids, dist))[:best]
+            out.append(pd.DataFrame({"query_id": qid, key: ids[order], "similarity": sims[order], "part": int(pair[0])}))
+        return pd.concat(out)
 
     return run
 
 
-def semantic_search_batch(vecs: DataFrame, queries: DataFrame, k: int = 10,
-                          key: str = "vec_id", max_queries_per_pass: int = 1024) -> DataFrame:
-    """K9: top-``k`` neighbours for many query vectors at once.
+def semantic_search_batch(vecs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
+                          query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """K9: top-``k`` neighbours for any number of query vectors.
 
-    Each corpus partition scores all queries with one matrix product
-    (``mapInPandas``) and keeps only its k best per query, so no pair table
-    is ever formed; a two-level ``row_number`` merge (by query and task salt,
-    then by query) bounds every group at k x (tasks / 64) and k x 64 rows.
-    Queries travel as a broadcast matrix; more than ``max_queries_per_pass``
-    are processed in passes, so the broadcast size stays bounded.
+    Queries and vectors are dealt into blocks by hash; each pair of blocks is
+    one cogrouped task that keeps the k best of each query, so no pair table
+    is formed and nothing passes through the driver but two counts.  The
+    results merge by query and a part of the corpus, then by query.
     """
-    qrows = queries.select("query_id", "embedding").orderBy("query_id")
-    n_q = qrows.count()
-    outs = []
-    for start in range(0, n_q, max_queries_per_pass):
-        chunk = qrows.offset(start).limit(max_queries_per_pass).collect()  # bounded pass
-        qids = np.array([r[0] for r in chunk], dtype=np.int64)
-        qmat = np.array([list(r[1]) for r in chunk], dtype=np.float64)
-        fn = _partition_topk(qmat, qids, k, key)
-        part = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding").mapInPandas(
-            fn, f"query_id long, {key} long, similarity double, salt long"
-        )
-        order = [F.round(1 - F.col("similarity"), 9), F.col(key)]
-        w1 = Window.partitionBy("query_id", "salt").orderBy(*order)
-        stage1 = part.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= k).drop("r")
-        w2 = Window.partitionBy("query_id").orderBy(*order)
-        outs.append(
-            stage1.withColumn("rank", F.row_number().over(w2).cast("long"))
-            .filter(F.col("rank") <= k)
-            .select("query_id", "rank", key, F.round("similarity", 6).alias("similarity"))
-        )
-    if not outs:  # no queries: an empty result with the same columns
-        spark = vecs.sparkSession
-        return spark.createDataFrame([], f"query_id long, rank long, {key} long, similarity double")
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    vecs = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    queries = queries.select("query_id", F.col("embedding").alias("vector"))
+    n_q = max(1, -(-queries.count() // query_block))
+    n_c = max(1, -(-vecs.count() // corpus_block))
+
+    def dealt(df: DataFrame, by: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        block = F.pmod(F.xxhash64(by), F.lit(own))
+        return df.withColumn(names[0], block).withColumn(
+            names[1], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+
+    left = dealt(vecs, key, n_c, n_q, ("_c", "_q"))
+    right = dealt(queries, "query_id", n_q, n_c, ("_q", "_c"))
+    found = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInPandas(
+        _block_topk(k, key), f"query_id long, {key} long, similarity double, part long")
+    order = [F.round(1 - F.col("similarity"), 9).asc_nulls_last(), F.col(key)]
+    w1 = Window.partitionBy("query_id", F.pmod("part", F.lit(64))).orderBy(*order)
+    stage1 = found.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= k).drop("r")
+    w2 = Window.partitionBy("query_id").orderBy(*order)
+    return (
+        stage1.withColumn("rank", F.row_number().over(w2).cast("long"))
+        .filter(F.col("rank") <= k)
+        .select("query_id", "rank", key, F.round("similarity", 6).alias("similarity"))
+    )

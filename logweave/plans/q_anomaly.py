@@ -71,24 +71,57 @@ def _forest(spark, d):
     return v, an.train(v)
 
 
-@query("iforest_train")
+@query("iforest_train", W("""
+SELECT range AS tree, least(256, (SELECT count(*) FROM f_vecs WHERE embedding IS NOT NULL)) AS root_size,
+ 0::BIGINT AS uneven, true AS shallow FROM range(100)""", "f_vecs"))
 def q_iforest_train(spark, d):
-    """M1: the node table of a 100-tree forest over all driver vectors."""
-    return _forest(spark, d)[1].nodes
+    """M1: the trees of a 100-tree forest over all driver vectors: rows at the root, inner nodes whose
+    children don't add up to them (none), and whether the depth stays within its bound."""
+    nodes = _forest(spark, d)[1].nodes
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("child_size"))
+    inner = nodes.filter("feature >= 0")
+    sums = inner.select("tree", "node", "size", F.explode(F.array("left", "right")).alias("child")).join(
+        child, ["tree", "child"]).groupBy("tree", "node", "size").agg(F.sum("child_size").alias("below"))
+    uneven = sums.groupBy("tree").agg(F.sum((F.col("below") != F.col("size")).cast("long")).alias("uneven"))
+    roots = nodes.groupBy("tree").agg(F.max(F.when(F.col("node") == 0, F.col("size"))).alias("root_size"),
+                                      (F.max("depth") <= 8).alias("shallow"))
+    return roots.join(uneven, "tree", "left").select("tree", "root_size", F.coalesce("uneven", F.lit(0)).alias("uneven"), "shallow")
 
 
-@query("iforest_score")
+#: A stored model of three stumps: tree t asks whether the t-th number of a vector is below 0.
+STUMPS = 3
+
+
+def stored_model(spark):
+    """M6: the stumps, saved as a table and loaded again."""
+    rows = [r for t in range(STUMPS) for r in ((t, 0, t, 0.0, 1, 2, 256, 0), (t, 1, -1, 0.0, -1, -1, 1, 1), (t, 2, -1, 0.0, -1, -1, 255, 1))]
+    model = an.IsolationForestModel(spark.createDataFrame(rows, an.NODE_SCHEMA), 256, -0.5, STUMPS)
+    return an.load(spark, an.save(model, scratch_path(spark, "stored_forest")))
+
+
+_C = "(2.0::DOUBLE * (ln({n}::DOUBLE - 1) + 0.5772156649015329) - 2.0::DOUBLE * ({n} - 1) / {n})"
+STORED_SQL = f"""(SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 - raw)) AS p FROM (
+ SELECT normalized_message, 0.5 - pow(2.0::DOUBLE, -(({' + '.join(
+    f"CASE WHEN embedding[{t + 1}] < 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + {_C.format(n=255)} END" for t in range(STUMPS))}) / {STUMPS}.0) / {_C.format(n=256)}) AS raw
+ FROM f_vecs WHERE embedding IS NOT NULL) s0) s1"""
+SEVERITY_SQL = "CASE WHEN p > 0.8 THEN 'critical' WHEN p > 0.65 THEN 'high' WHEN p > 0.5 THEN 'medium' ELSE 'low' END"
+
+
+@query("iforest_score", W(f"""
+SELECT normalized_message, raw < 0 AS is_anomaly, round(p, 4) AS anomaly_probability, round(raw, 4) AS raw_score,
+ {SEVERITY_SQL} AS severity FROM {STORED_SQL}""", "f_vecs"))
 def q_iforest_score(spark, d):
-    """M2/M3: decision value, flag, probability and severity per vector."""
-    v, model = _forest(spark, d)
-    return an.score(v, model)
+    """M2/M3/M6: decision value, flag, probability and severity per vector by a stored and loaded model."""
+    return an.score(vecs(spark, d), stored_model(spark))
 
 
-@query("anomaly_summary")
+@query("anomaly_summary", W("""
+SELECT count(*) AS n_samples, CAST(floor((count(*) - 1) * 0.05) AS BIGINT) + 1 AS n_anomalies,
+ 0.05::DOUBLE AS contamination FROM f_vecs WHERE embedding IS NOT NULL""", "f_vecs"))
 def q_anomaly_summary(spark, d):
-    """A10: n, anomalies (about contamination x n), mean and std of the decision values."""
+    """A10: rows, and anomalies below the interpolated quantile of the scores."""
     v, model = _forest(spark, d)
-    return an.summary(v, model)
+    return an.summary(v, model).select("n_samples", "n_anomalies", "contamination")
 
 
 # -- data quality ----------------------------------------------------------------

@@ -55,6 +55,14 @@ def q_frequent_errors(spark, d):
     return an.frequent_errors(prepared(spark, d))
 
 
+@query("frequent_errors_1000", W("""
+SELECT event_id, coalesce(event_template, normalized_message) AS template, level, count(*) AS count
+FROM f_logs WHERE level IN ('ERROR', 'CRITICAL', 'WARNING')
+GROUP BY 1, 2, 3 ORDER BY count DESC, event_id, template, level LIMIT 1000""", "f_logs"))
+def q_frequent_errors_1000(spark, d):
+    return an.frequent_errors(logs(spark, d), limit=1000)
+
+
 @query("frequent_errors_info", W("""
 SELECT event_id, coalesce(event_template, normalized_message) AS template, level, count(*) AS count
 FROM prepared WHERE level = 'INFO'

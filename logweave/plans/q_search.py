@@ -17,6 +17,7 @@ from logweave.operators import search as se
 from logweave.plans import sqlparts as sp
 from logweave.plans.q_core import logs, prepared, vecs
 from logweave.plans.registry import query
+from logweave.session import written
 
 W = sp.sql_with
 QUERY_VEC_ID = 7
@@ -220,11 +221,39 @@ def q_embed_summary(spark, d):
     return em.embed_summary(hash_vecs(spark, d))
 
 
-@query("embed_incremental")
+@query("embed_incremental", W("""
+SELECT normalized_message, representative_event_id, representative_level, occurrences,
+ array_to_string(list_transform(list_filter(list_transform(embedding, lambda x, i: {'i': i - 1, 'x': x}),
+   lambda p: p.x <> 0), lambda p: printf('%d:%.6f', p.i, p.x::DOUBLE)), ',') AS embedding,
+ TIMESTAMP '2024-01-31 00:00:00' AS updated_at
+FROM hash_vecs""", "hash_vecs"))
 def q_embed_incremental(spark, d):
-    """E1 twice: the second run finds nothing new (rows-only check)."""
+    """E1 twice: the second run finds nothing new, so every row keeps its first time."""
     entries = prepared(spark, d)
-    table, _ = em.embed_incremental(entries, None, updated_at="2024-01-31 00:00:00")
-    table = table.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else table.cache()
-    table2, new2 = em.embed_incremental(entries, table, updated_at="2024-02-01 00:00:00")
-    return table2
+    table = written(em.embed_incremental(entries, None, updated_at="2024-01-31 00:00:00")[0], "embedded")
+    table2, _ = em.embed_incremental(entries, table, updated_at="2024-02-01 00:00:00")
+    return table2.withColumn("embedding", vector_to_sparse_text(F.col("embedding"), 6))
+
+
+@query("semantic_search_1000", W(_semantic_sql(top_k=1000), "f_vecs", "f_logs"))
+def q_semantic_1000(spark, d):
+    """K1 with a large k."""
+    return se.semantic_search(logs(spark, d), vecs(spark, d), query_vec(spark, d), top_k=1000)
+
+
+@query("keyword_search_1000", W(_keyword_sql(KEYWORD, top_k=1000), "prepared"))
+def q_keyword_1000(spark, d):
+    """K2 with a large k."""
+    return se.keyword_search(_prep_logs(spark, d), KEYWORD, top_k=1000)
+
+
+@query("semantic_search_blocks", f"""
+SELECT q.vec_id AS query_id, r.rank, r.vec_id, r.similarity FROM embeddings q, LATERAL (
+ SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(1 - s, 9), vec_id) AS rank
+ FROM (SELECT e.vec_id, {sp.cosine("e.embedding", "q.embedding")} AS s FROM embeddings e WHERE e.embedding IS NOT NULL) c
+ ORDER BY round(1 - s, 9), vec_id LIMIT 5) r WHERE q.label IN (1, 2, 3)""")
+def q_batch_blocks(spark, d):
+    """K9 with the queries of three labels, in blocks smaller than their number."""
+    emb = fx.table(spark, d, "embeddings")
+    queries = emb.filter("label IN (1, 2, 3)").select(F.col("vec_id").alias("query_id"), "embedding")
+    return se.semantic_search_batch(emb, queries, k=5, query_block=16, corpus_block=128)

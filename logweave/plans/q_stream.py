@@ -6,28 +6,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.operators import ann
-from logweave.operators import anomaly as an
 from logweave.operators import search as se
 from logweave.plans import sqlparts as sp
 from logweave.plans.q_core import lines, logs, prepared, vecs
-from logweave.plans.q_search import query_vec
+from logweave.plans.q_anomaly import SEVERITY_SQL, STORED_SQL, stored_model
+from logweave.plans.q_search import COS, QV, query_vec
 from logweave.plans.registry import query
 from logweave.session import scratch_path
 from logweave.streaming import jobs as st
 
 W = sp.sql_with
-FILES = 4
 
 
-def _stage_parquet(spark, df, name, files=FILES):
+def _stage_parquet(spark, df, name):
     path = scratch_path(spark, name)
-    df.repartition(files).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
-def _parquet_stream(spark, path, max_files=1):
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def _parquet_stream(spark, path, max_files=None):
+    """A stream of the files of a folder, all that are new or ``max_files`` of them in each batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
@@ -39,9 +38,9 @@ FROM (SELECT *, {sp.AUTO_SOURCE} AS source FROM parsed_lines) t""", "parsed_line
 def q_stream_ingest(spark, d):
     """ST1: text files arriving in a folder, parsed by format detection."""
     src = scratch_path(spark, "incoming_logs")
-    lines(spark, d).select("raw_line").repartition(FILES).write.mode("overwrite").text(src)
+    lines(spark, d).select("raw_line").write.mode("overwrite").text(src)
     out, ckpt = scratch_path(spark, "ingested"), scratch_path(spark, "ckpt_ingest")
-    st.ingest_lines(spark, src, out, ckpt, max_files_per_trigger=1)
+    st.ingest_lines(spark, src, out, ckpt)
     return spark.read.parquet(out).select("source", "log_timestamp", "level", "host", "process", "pid", "message")
 
 
@@ -68,7 +67,7 @@ def q_stream_timeline_append(spark, d):
     out, ckpt = scratch_path(spark, "timeline_append"), scratch_path(spark, "ckpt_timeline_append")
     # all files in one batch: rows are not late relative to each other, so the
     # result is deterministic (later batches would drop rows behind the watermark)
-    st.timeline(_parquet_stream(spark, path, max_files=None), out, ckpt, complete=False)
+    st.timeline(_parquet_stream(spark, path), out, ckpt, complete=False)
     return spark.read.parquet(out)
 
 
@@ -85,54 +84,66 @@ def q_stream_errors(spark, d):
     return spark.read.parquet(out)
 
 
-@query("stream_embed")
+@query("stream_embed", W("""
+SELECT normalized_message, min(event_id) AS representative_event_id, min(level) AS representative_level,
+ count(*) AS occurrences, true AS embedded FROM prepared GROUP BY normalized_message""", "prepared"))
 def q_stream_embed(spark, d):
-    """ST4: continuous embedding; every distinct message ends embedded once."""
+    """ST4: continuous embedding; every distinct message ends embedded once, with all its occurrences."""
     path = _stage_parquet(spark, prepared(spark, d), "stream_entries")
     table, ckpt = scratch_path(spark, "stream_embeddings"), scratch_path(spark, "ckpt_embed")
-    st.embed_stream(_parquet_stream(spark, path), table, ckpt)
-    return spark.read.parquet(table).select("normalized_message", "occurrences", "batch_id")
+    st.embed_stream(_parquet_stream(spark, path, max_files=2), table, ckpt)
+    return st.stored_embeddings(spark, table).select(
+        "normalized_message", "representative_event_id", "representative_level", "occurrences",
+        (F.size("embedding") == 384).alias("embedded"))
 
 
-@query("stream_alerts")
+@query("stream_alerts", W(f"""
+SELECT 'Anomalous log detected — ' || upper(severity) AS title, severity, normalized_message AS message,
+ severity IN ('high', 'critical') AS dispatched,
+ CASE WHEN severity IN ('high', 'critical') THEN NULL ELSE 'below threshold' END AS reason
+FROM (SELECT normalized_message, {SEVERITY_SQL} AS severity FROM {STORED_SQL}) t""", "f_vecs"))
 def q_stream_alerts(spark, d):
-    """ST5: micro-batches of vectors scored by a trained forest -> gated alerts."""
-    v = vecs(spark, d)
-    model = an.train(v)
-    path = _stage_parquet(spark, v.select("normalized_message", "embedding"), "stream_vectors")
+    """ST5: micro-batches of vectors scored by a stored forest -> gated alerts."""
+    path = _stage_parquet(spark, vecs(spark, d).select("normalized_message", "embedding"), "stream_vectors")
     out, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "ckpt_alerts")
-    st.alerts_stream(_parquet_stream(spark, path), model, out, ckpt)
-    return spark.read.parquet(out).select("title", "severity", "message", "dispatched", "reason", "batch_id")
+    st.alerts_stream(_parquet_stream(spark, path, max_files=2), stored_model(spark), out, ckpt)
+    return spark.read.parquet(out).select("title", "severity", "message", "dispatched", "reason")
 
 
 # -- approximate search ---------------------------------------------------------------
 
 def _index(spark, d, n_cells=16):
-    return ann.build(vecs(spark, d), scratch_path(spark, "ann_index"), n_cells=n_cells)
+    """A built index, opened again from its path."""
+    return ann.open_index(spark, ann.build(vecs(spark, d), scratch_path(spark, "ann_index"), n_cells=n_cells).path)
 
 
-@query("ann_build")
+@query("ann_build", W("SELECT count(*) AS n_vectors, true AS within_cells FROM f_vecs WHERE embedding IS NOT NULL", "f_vecs"))
 def q_ann_build(spark, d):
-    """K7: vectors per coarse cell of the written index."""
+    """K7: vectors in the cells of a written index, none of them outside its centroids."""
     idx = _index(spark, d)
-    return spark.read.parquet(idx.path).groupBy("cell").agg(F.count(F.lit(1)).alias("n_vectors"))
+    cells = spark.read.parquet(idx.cells)
+    return cells.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.col("cell")) .alias("last")).select(
+        "n_vectors", (F.col("last") < len(idx.centroids)).alias("within_cells"))
 
 
-@query("ann_search")
+@query("ann_search", W(f"""
+WITH {QV} SELECT normalized_message, round({COS}, 6) AS similarity FROM f_vecs, qv WHERE embedding IS NOT NULL
+ORDER BY round(1 - {COS}, 9) NULLS LAST, normalized_message LIMIT 20""", "f_vecs"))
 def q_ann_search(spark, d):
-    """K8: approximate top-20 for the query vector, 4 of 16 cells probed."""
+    """K8: top-20 for the query vector from an opened index, all cells probed: equals the exact search."""
     idx = _index(spark, d)
-    return ann.search(spark, idx, query_vec(spark, d), k=20, nprobe=4).select(
+    return ann.search(spark, idx, query_vec(spark, d), k=20, nprobe=16).select(
         "normalized_message", F.round("similarity", 6).alias("similarity"))
 
 
-@query("ann_recall")
+@query("ann_recall", "SELECT nprobe, true AS in_range FROM (VALUES (1), (4), (8), (16)) t(nprobe) WHERE (SELECT count(*) FROM embeddings) > 0")
 def q_ann_recall(spark, d):
-    """Recall@20 of K8 against exact K1 matches, per probe count."""
+    """Recall@20 of K8 against exact K1 matches, per probe count: between 0 and 1, and 1 with all cells."""
     idx = _index(spark, d)
     q = query_vec(spark, d)
     exact = se.nearest_messages(vecs(spark, d), q, 20)
-    rows = [(p, float(ann.recall_at_k(ann.search(spark, idx, q, 20, p), exact, "normalized_message")))
-            for p in (1, 4, 8, 16)]
-    return spark.createDataFrame(rows, "nprobe int, recall double")
-
+    rows = []
+    for p in (1, 4, 8, 16):
+        recall = float(ann.recall_at_k(ann.search(spark, idx, q, 20, p), exact, "normalized_message"))
+        rows.append((p, recall == 1.0 if p == 16 else 0.0 <= recall <= 1.0))
+    return spark.createDataFrame(rows, "nprobe int, in_range boolean")

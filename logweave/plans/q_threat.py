@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from logweave import fixtures as fx
 from logweave.functions import ip as I
 from logweave.operators import threat as th
+from logweave.plans import oracle_values as V
 from logweave.plans import sqlparts as sp
 from logweave.plans.q_core import lines
 from logweave.plans.registry import query
 
 W = sp.sql_with
-IPS_SQL = f"(SELECT DISTINCT unnest(regexp_extract_all(raw_message, {sp.lit(I.IPV4_TOKEN)}, 1)) AS ip FROM f_lines) s"
+IPS_SQL = f"(SELECT DISTINCT unnest(regexp_extract_all(raw_message, {sp.lit(V.IPV4_TOKEN)}, 1)) AS ip FROM f_lines) s"
 FLAT = ["ip", "is_valid", "is_private", "is_bogon", "is_loopback", "is_multicast", "risk_score", "tags", "version"]
 
 
@@ -25,8 +26,8 @@ def q_enrich_ip(spark, d):
 @query("ip_bogon_join", W(f"""
 SELECT s.ip, n.network FROM {IPS_SQL}
 JOIN (VALUES {', '.join(f"({sp.lit(c)}, {lo}, {hi})" for c, (lo, hi) in
-                        ((c, I.cidr_range(c)) for c in I.BOGON_NETWORKS))}) n(network, lo, hi)
- ON (CASE WHEN regexp_matches(s.ip, {sp.lit(I.STRICT_IPV4)}) AND
+                        ((c, V.bounds(c)) for c in V.BOGON_NETWORKS))}) n(network, lo, hi)
+ ON (CASE WHEN regexp_matches(s.ip, {sp.lit(V.STRICT_IPV4)}) AND
      try_cast(string_split(s.ip, '.')[1] AS BIGINT) <= 255 AND try_cast(string_split(s.ip, '.')[2] AS BIGINT) <= 255 AND
      try_cast(string_split(s.ip, '.')[3] AS BIGINT) <= 255 AND try_cast(string_split(s.ip, '.')[4] AS BIGINT) <= 255
      THEN try_cast(string_split(s.ip, '.')[1] AS BIGINT) * 16777216 + try_cast(string_split(s.ip, '.')[2] AS BIGINT) * 65536
@@ -36,7 +37,7 @@ def q_bogon_join(spark, d):
     return th.ip_bogon_join(th.distinct_ips(lines(spark, d), "raw_message"))
 
 
-DOC_IPS = f"list_sort(list_distinct(regexp_extract_all(text, {sp.lit(I.IPV4_TOKEN)}, 1)))"
+DOC_IPS = f"list_sort(list_distinct(regexp_extract_all(text, {sp.lit(V.IPV4_TOKEN)}, 1)))"
 
 
 @query("threat_enrich", f"""
@@ -44,7 +45,7 @@ WITH d AS (SELECT doc_id, {DOC_IPS} AS ips FROM documents),
 x AS (SELECT doc_id, unnest(ips) AS ip FROM d),
 e AS ({sp.ip_enrich_sql('x')})
 SELECT d.doc_id, CAST(len(d.ips) AS BIGINT) AS ip_count,
- CAST(coalesce(sum(CASE WHEN e.risk_score >= {I.HIGH_RISK} THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_risk_count,
+ CAST(coalesce(sum(CASE WHEN e.risk_score >= {V.HIGH_RISK} THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_risk_count,
  coalesce(max(e.risk_score), 0.0)::DOUBLE AS overall_risk, array_to_string(d.ips, ',') AS ips
 FROM d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id, d.ips""")
 def q_threat_enrich(spark, d):
@@ -58,12 +59,12 @@ def q_threat_enrich(spark, d):
 
 
 @query("threat_enrich_logs", W(f"""
-WITH d AS (SELECT line_id, list_sort(list_distinct(regexp_extract_all(raw_message, {sp.lit(I.IPV4_TOKEN)}, 1))) AS ips
+WITH d AS (SELECT line_id, list_sort(list_distinct(regexp_extract_all(raw_message, {sp.lit(V.IPV4_TOKEN)}, 1))) AS ips
            FROM f_lines),
 x AS (SELECT line_id, unnest(ips) AS ip FROM d),
 e AS ({sp.ip_enrich_sql('x')})
 SELECT d.line_id, CAST(len(d.ips) AS BIGINT) AS ip_count,
- CAST(coalesce(sum(CASE WHEN e.risk_score >= {I.HIGH_RISK} THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_risk_count,
+ CAST(coalesce(sum(CASE WHEN e.risk_score >= {V.HIGH_RISK} THEN 1 ELSE 0 END), 0) AS BIGINT) AS high_risk_count,
  coalesce(max(e.risk_score), 0.0)::DOUBLE AS overall_risk
 FROM d LEFT JOIN e ON e.line_id = d.line_id GROUP BY d.line_id, d.ips""", "f_lines"))
 def q_threat_logs(spark, d):
@@ -75,7 +76,7 @@ def q_threat_logs(spark, d):
 
 
 @query("threat_indicators", f"""
-WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {sp.lit(I.IPV4_TOKEN)}, 1)) AS ip FROM documents)
+WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {sp.lit(V.IPV4_TOKEN)}, 1)) AS ip FROM documents)
 SELECT doc_id, ip, risk_score, tags, is_private FROM ({sp.ip_enrich_sql('x')}) e""")
 def q_threat_indicators(spark, d):
     out = th.threat_indicators(fx.table(spark, d, "documents"), "doc_id")
@@ -84,18 +85,35 @@ def q_threat_indicators(spark, d):
 
 @query("extract_domains", f"""
 SELECT page_id, domain, count(*) AS occurrences
-FROM (SELECT page_id, unnest(regexp_extract_all(html, {sp.lit(I.DOMAIN_TOKEN)}, 0)) AS domain FROM pages) t
+FROM (SELECT page_id, unnest(regexp_extract_all(html, {sp.lit(V.DOMAIN_TOKEN)}, 0)) AS domain FROM pages) t
 GROUP BY page_id, domain""")
 def q_domains(spark, d):
     return th.domains(fx.table(spark, d, "pages"), "page_id", "html")
 
 
-@query("enrich_ip_v6")
+V6_TOKENS = """
+SELECT DISTINCT CASE event_id % 7
+ WHEN 0 THEN concat('2a00:1450:', user_id % 10, '::', event_id % 10)
+ WHEN 1 THEN concat('fd00:', user_id % 10, '::', event_id % 10)
+ WHEN 2 THEN concat('fe80::', event_id % 10)
+ WHEN 3 THEN '::1'
+ WHEN 4 THEN concat('ff02::', event_id % 10)
+ WHEN 5 THEN concat('12345::', event_id % 10)
+ ELSE concat('1:2:3:', user_id % 10, ':::', event_id % 10) END AS ip FROM {events}"""
+
+
+@query("enrich_ip_v6", f"""
+WITH t AS ({V6_TOKENS.replace('{events}', 'events')}),
+c AS (SELECT *, ip LIKE 'fd%' AS ula, ip LIKE 'fe80%' AS link, ip = '::1' AS loop, ip LIKE 'ff02%' AS multi,
+ ip NOT LIKE '12345%' AND ip NOT LIKE '1:2:3%' AS ok FROM t)
+SELECT ip, ok AS is_valid, ula OR link OR loop AS is_private, loop AS is_loopback, multi AS is_multicast,
+ CASE WHEN ok AND NOT (ula OR link OR loop) THEN 0.3 ELSE 0.0 END::DOUBLE AS risk_score,
+ CASE WHEN NOT ok THEN 'invalid' ELSE concat_ws(',', CASE WHEN ula OR link OR loop THEN 'private' END,
+  CASE WHEN loop THEN 'loopback' END, CASE WHEN multi THEN 'multicast' END) END AS tags,
+ CASE WHEN ok THEN 6 END AS version FROM c""")
 def q_enrich_v6(spark, d):
-    """T4: colon-bearing address tokens of documents and pages, through the
-    IPv6 helper (rows-only: the driver data holds none)."""
-    pat = r"(?<![0-9A-Za-z:])((?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{0,4}|::(?:[0-9A-Fa-f]{1,4}:?){1,7})"
-    docs = fx.table(spark, d, "documents").select(F.col("text").alias("t"))
-    pages = fx.table(spark, d, "pages").select(F.col("html").alias("t"))
-    toks = docs.unionByName(pages).select(F.explode(F.regexp_extract_all("t", F.lit(pat), 1)).alias("ip")).distinct()
-    return toks.select("ip", I.enrich_ip_v6(F.col("ip")).alias("e")).select("ip", "e.*")
+    """T4: global, local, link-local, loopback, multicast and malformed IPv6 tokens made from the events."""
+    tokens = spark.sql(V6_TOKENS, events=fx.table(spark, d, "events"))
+    out = tokens.select("ip", I.enrich_ip_v6(F.col("ip")).alias("e"))
+    return out.select("ip", "e.is_valid", "e.is_private", "e.is_loopback", "e.is_multicast", "e.risk_score",
+                      F.concat_ws(",", "e.tags").alias("tags"), "e.version")

@@ -7,8 +7,7 @@ these strings.
 from __future__ import annotations
 
 from logweave import fixtures
-from logweave.functions import parse as P
-from logweave.functions import text as TX
+from logweave.plans import oracle_values as V
 
 
 def lit(s: str) -> str:
@@ -24,7 +23,7 @@ def rx(col: str, pattern: str, idx: int) -> str:
 
 
 def month_num(col: str, case_insensitive: bool = False) -> str:
-    keys = [m.upper() for m in P.MONTHS] if case_insensitive else P.MONTHS
+    keys = [m.upper() for m in V.MONTHS] if case_insensitive else V.MONTHS
     subject = f"upper({col})" if case_insensitive else col
     whens = " ".join(f"WHEN {lit(k)} THEN {i + 1}" for i, k in enumerate(keys))
     return f"(CASE {subject} {whens} END)"
@@ -53,9 +52,9 @@ def any_contains(col: str, markers: list[str]) -> str:
 def classify(col: str) -> str:
     low = f"lower({col})"
     return (
-        f"(CASE WHEN {any_contains(low, TX.CRITICAL_MARKERS)} THEN 'CRITICAL' "
-        f"WHEN {any_contains(low, TX.ERROR_MARKERS)} THEN 'ERROR' "
-        f"WHEN {any_contains(low, TX.WARNING_MARKERS)} THEN 'WARNING' ELSE 'INFO' END)"
+        f"(CASE WHEN {any_contains(low, V.CRITICAL_MARKERS)} THEN 'CRITICAL' "
+        f"WHEN {any_contains(low, V.ERROR_MARKERS)} THEN 'ERROR' "
+        f"WHEN {any_contains(low, V.WARNING_MARKERS)} THEN 'WARNING' ELSE 'INFO' END)"
     )
 
 
@@ -64,18 +63,18 @@ def norm_storage(tpl: str, msg: str) -> str:
 
 
 def norm_message(col: str) -> str:
-    return f"coalesce(lower(trim(regexp_replace({col}, {lit(P.PY_SPACE + '+')}, ' ', 'g'))), '')"
+    return f"coalesce(lower(trim(regexp_replace({col}, {lit(V.PY_SPACE + '+')}, ' ', 'g'))), '')"
 
 
 def py_strip(col: str) -> str:
-    return f"regexp_replace({col}, {lit('^' + P.PY_SPACE + '+|' + P.PY_SPACE + '+$')}, '', 'g')"
+    return f"regexp_replace({col}, {lit('^' + V.PY_SPACE + '+|' + V.PY_SPACE + '+$')}, '', 'g')"
 
 
 def iso_text(col: str) -> str:
     return f"regexp_replace(strftime({col}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '')"
 
 
-PREFIX = P.OPENSSH_PREFIX
+PREFIX = V.OPENSSH_PREFIX
 
 PREPARED = f"""
 SELECT line_id, 'OpenSSH' AS source,
@@ -85,7 +84,7 @@ SELECT line_id, 'OpenSSH' AS source,
  {norm_storage('event_template', 'raw_message')} AS normalized_message, event_template
 FROM (
  SELECT l.line_id, s.event_id, s.event_template,
-  coalesce(s.raw_message, {grp('l.raw_line', PREFIX, 7)}, l.raw_line) AS raw_message,
+  coalesce(s.raw_message, CASE WHEN regexp_matches(l.raw_line, {lit(PREFIX)}) THEN {rx('l.raw_line', PREFIX, 7)} END, l.raw_line) AS raw_message,
   {grp('l.raw_line', PREFIX, 1)} AS month,
   try_cast({grp('l.raw_line', PREFIX, 2)} AS INTEGER) AS day,
   {grp('l.raw_line', PREFIX, 3)} AS time_text,
@@ -137,11 +136,11 @@ def _bind(sql: str, inputs) -> str:
 
 def parsers_sql(table: str = "f_lines", year: str = "2024") -> str:
     """Every parser's fields side by side, one row per input line."""
-    ssh, sysl, win = P.SSH_LINE, P.SYSLOG_LINE, P.WINDOWS_LINE
+    ssh, sysl, win = V.SSH_LINE, V.SYSLOG_LINE, V.WINDOWS_LINE
     day_ok = lit(r"^(3[01]|[12][0-9]|0?[1-9])$")
-    sev_case = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(P.SYSLOG_SEVERITY))
-    err_words = " OR ".join(f"contains({rx('s', ssh, 7)}, {lit(w)})" for w in P.SSH_ERROR_WORDS)
-    fail, ok, disc = P.SSH_FAIL, P.SSH_ACCEPT, P.SSH_DISCONNECT
+    sev_case = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(V.SYSLOG_SEVERITY))
+    err_words = " OR ".join(f"contains({rx('s', ssh, 7)}, {lit(w)})" for w in V.SSH_ERROR_WORDS)
+    fail, ok, disc = V.SSH_FAIL, V.SSH_ACCEPT, V.SSH_DISCONNECT
     msg = rx("s", ssh, 7)
     return f"""
 SELECT line_id, raw_line,
@@ -172,11 +171,11 @@ SELECT line_id, raw_line,
  {iso_to_ts(rx('s', win, 1))} AS win_ts,
  upper({rx('s', win, 2)}) AS win_level, {rx('s', win, 3)} AS win_process,
  {rx('s', win, 5)} AS win_message, try_cast({rx('s', win, 4)} AS BIGINT) AS win_event_id,
- {iso_to_ts(rx('raw_line', P.ISO_DATETIME, 1))} AS gen_ts,
- coalesce(upper(nullif({rx('raw_line', P.LEVEL_WORD, 1)}, '')), 'INFO') AS gen_level,
+ {iso_to_ts(rx('raw_line', V.ISO_DATETIME, 1))} AS gen_ts,
+ coalesce(upper(nullif({rx('raw_line', V.LEVEL_WORD, 1)}, '')), 'INFO') AS gen_level,
  s AS gen_message,
  starts_with(raw_line, '<') AND contains(substr(raw_line, 1, 6), '>') AS looks_syslog,
- regexp_matches(raw_line, {lit(P.SSH_DETECT)}) AS looks_ssh
+ regexp_matches(raw_line, {lit(V.SSH_DETECT)}) AS looks_ssh
 FROM (SELECT line_id, raw_line, {py_strip('raw_line')} AS s FROM {table}) z
 """
 
@@ -240,30 +239,26 @@ SELECT normalized_message, min(event_id) AS representative_event_id, min(level)
 # -- IP enrichment (oracle side) ---------------------------------------------
 
 def _nets(num: str, cidrs) -> str:
-    from logweave.functions.ip import cidr_range
-
-    return "(" + " OR ".join(f"({num} BETWEEN {lo} AND {hi})" for lo, hi in map(cidr_range, cidrs)) + ")"
+    return "(" + " OR ".join(f"({num} BETWEEN {lo} AND {hi})" for lo, hi in map(V.bounds, cidrs)) + ")"
 
 
 def ip_enrich_sql(rel: str, ip: str = "ip") -> str:
-    from logweave.functions import ip as I
-
     parts = [f"try_cast(string_split({ip}, '.')[{i}] AS BIGINT)" for i in (1, 2, 3, 4)]
-    num = (f"CASE WHEN regexp_matches({ip}, {lit(I.STRICT_IPV4)}) AND " +
+    num = (f"CASE WHEN regexp_matches({ip}, {lit(V.STRICT_IPV4)}) AND " +
            " AND ".join(f"{p} <= 255" for p in parts) +
            f" THEN {parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]} END")
     return f"""
 SELECT * EXCLUDE (num),
- CASE WHEN NOT is_valid THEN 0.0 WHEN is_bogon AND NOT is_private THEN {I.RISK_SUSPICIOUS_BOGON}
-      WHEN NOT is_private AND NOT is_bogon THEN {I.RISK_PUBLIC} ELSE 0.0 END::DOUBLE AS risk_score,
+ CASE WHEN NOT is_valid THEN 0.0 WHEN is_bogon AND NOT is_private THEN {V.RISK_SUSPICIOUS_BOGON}
+      WHEN NOT is_private AND NOT is_bogon THEN {V.RISK_PUBLIC} ELSE 0.0 END::DOUBLE AS risk_score,
  CASE WHEN NOT is_valid THEN 'invalid' ELSE concat_ws(',',
    CASE WHEN is_private THEN 'private' END, CASE WHEN is_bogon THEN 'bogon' END,
    CASE WHEN is_loopback THEN 'loopback' END, CASE WHEN is_multicast THEN 'multicast' END,
    CASE WHEN is_bogon AND NOT is_private THEN 'suspicious-bogon' END) END AS tags,
  CASE WHEN is_valid THEN 4 END AS version
 FROM (SELECT *, num IS NOT NULL AS is_valid,
-  coalesce({_nets('num', I.PRIVATE_NETWORKS)} AND NOT {_nets('num', I.PRIVATE_EXCEPTIONS)}, false) AS is_private,
-  coalesce({_nets('num', I.BOGON_NETWORKS)}, false) AS is_bogon,
-  coalesce({_nets('num', [I.LOOPBACK_NETWORK])}, false) AS is_loopback,
-  coalesce({_nets('num', [I.MULTICAST_NETWORK])}, false) AS is_multicast
+  coalesce({_nets('num', V.PRIVATE_NETWORKS)} AND NOT {_nets('num', V.PRIVATE_EXCEPTIONS)}, false) AS is_private,
+  coalesce({_nets('num', V.BOGON_NETWORKS)}, false) AS is_bogon,
+  coalesce({_nets('num', [V.LOOPBACK_NETWORK])}, false) AS is_loopback,
+  coalesce({_nets('num', [V.MULTICAST_NETWORK])}, false) AS is_multicast
  FROM (SELECT *, {num} AS num FROM {rel}) i0) i1"""

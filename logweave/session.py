@@ -54,8 +54,9 @@ def ensure_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, a laptop) a private folder is
-    created and registered, so later checkpoints land there as well.
+    Without that setting a private folder is made and registered, but only on
+    a local master; on a cluster a folder of the driver is out of reach of the
+    executors, so there the missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -63,6 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="logweave-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -82,23 +86,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition a *scan* that arrives in fewer partitions than
-    the cluster has cores (e.g. one large unsplittable row group).
-
-    Call it on plain reads only: counting the partitions of a plan with an
-    exchange would run that exchange.  With thousands of input splits (the
-    large-scale case) this is a no-op and adds no shuffle.
-    """
-    spark = df.sparkSession
-    try:
-        target = int(min_partitions or spark.sparkContext.defaultParallelism)
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect): leave as is
-        return df
-    if target <= 1 or current >= target:
-        return df
-    return df.repartition(target)
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared folder, read again: cuts the
+    lineage, survives lost executors, and later scans prune and push down."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -5,38 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.session import written
+
+
+#: Splits whose offsets are broadcast (24 bytes each); beyond, the join is left to the planner.
+BROADCAST_SPLITS = 2_000_000
+
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_id, raw_line)`` with ``line_id`` = 1-based position in file order.
 
     Spark packs file splits into partitions by size, so partition order is
-    not file order.  Each row carries its split (file path + block start,
-    from the hidden ``_metadata`` column) and a per-partition increasing id;
-    one small aggregate per split gives its row count, a running sum over
-    the splits in (file, start) order gives each split's offset, and a
-    join puts the offset back.  The split table has one row per input split
-    (input bytes / maxPartitionBytes), so the ordered window over it and the
-    broadcast AQE picks for the join stay small at any input size.  Like
-    ``zipWithIndex`` it reads the text twice and never materialises it.
+    not file order.  Each row carries its split (a hash of file and block
+    start, from the hidden ``_metadata`` column) and a per-partition increasing
+    id; one small aggregate per split gives its row count, a running sum over
+    the splits in (file, start) order gives each split's offset.  The offsets
+    (three numbers a split) are written and broadcast, so the text is read
+    twice but neither stored nor shuffled.  The packing is pinned for both
+    scans; a row without an offset stops the job.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias("raw_line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mono"),
-    )
-    splits = raw.groupBy("_file", "_start").agg(
-        F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # else it follows the cores that happen to be there when a scan is planned
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path)
+    keyed = lines.select(file.alias("_file"), start.alias("_start"), F.xxhash64(file, start).alias("_split"), F.monotonically_increasing_id().alias("_mono"))
+    splits = keyed.groupBy("_file", "_start", "_split").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "_file", "_start", "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    return raw.join(offsets, ["_file", "_start"]).select(
-        (F.col("_offset") + F.col("_mono") - F.col("_first") + 1).alias("line_id"),
-        "raw_line",
-    )
+    offsets = written(splits.select("_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "line-offsets")
+    n, distinct = offsets.agg(F.count(F.lit(1)), F.count_distinct("_split")).first()
+    if n != distinct:
+        raise RuntimeError("two splits have one hash")
+    raw = lines.select(F.col("value").alias("raw_line"), F.xxhash64(file, start).alias("_split"), F.monotonically_increasing_id().alias("_mono"))
+    joined = raw.join(F.broadcast(offsets) if n <= BROADCAST_SPLITS else offsets, "_split", "left")
+    shift = F.coalesce("_shift", F.raise_error(F.lit("the text changed between its two scans")).cast("long"))
+    return joined.select((F.col("_mono") + shift).alias("line_id"), "raw_line")
 
 
 def limit_lines(df: DataFrame, limit: int | None, column: str = "line_id") -> DataFrame:

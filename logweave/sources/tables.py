@@ -18,7 +18,7 @@ from logweave import schemas
 
 def conform(df: DataFrame, schema) -> DataFrame:
     """Select and cast ``df`` to a table schema (column order and types)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema.fields])
 
 
 def load_table(df: DataFrame, path: str, reset: bool = True, partition_by: str | None = None) -> int:
@@ -36,7 +36,9 @@ def load_table(df: DataFrame, path: str, reset: bool = True, partition_by: str |
 
 def load_processed(spark: SparkSession, logs: DataFrame, templates: DataFrame, root: str,
                    reset: bool = True) -> dict[str, int]:
-    """event_templates then log_entries, as the reference's loader."""
+    """event_templates then log_entries; a reset empties the embeddings of the old entries too."""
+    if reset:
+        load_table(spark.createDataFrame([], schemas.MESSAGE_EMBEDDINGS), f"{root}/message_embeddings", True)
     return {
         "event_templates": load_table(conform(templates, schemas.EVENT_TEMPLATES), f"{root}/event_templates", reset),
         "log_entries": load_table(conform(logs, schemas.LOG_ENTRIES), f"{root}/log_entries", reset),
@@ -44,19 +46,25 @@ def load_processed(spark: SparkSession, logs: DataFrame, templates: DataFrame, r
 
 
 def upsert_documents(existing: DataFrame | None, docs: DataFrame, key: str = "id",
-                     dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+                     dim: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Keyed upsert of search documents.  Rows with a NULL key or a
-    vector of the wrong dimension are errors and are not indexed.
-    Returns ``(index after upsert, one-row {indexed, errors})``."""
+    vector of the wrong dimension are errors and are not indexed.  Of several
+    rows with one key the last by ``order_by`` stays (NULL first; ties and no
+    column: by a hash of the row), so the index holds one document a key.
+    Returns ``(index after upsert, one-row {indexed, errors})``; ``indexed``
+    counts the accepted rows."""
     bad = F.col(key).isNull() | F.col("embedding").isNull()
     if dim is not None:
         bad = bad | (F.size("embedding") != dim)
-    flagged = docs.withColumn("_bad", bad)
+    flagged = docs.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     good = flagged.filter(~F.col("_bad")).drop("_bad")
     counts = flagged.agg(
-        F.sum((~F.col("_bad")).cast("long")).alias("indexed"),
-        F.sum(F.col("_bad").cast("long")).alias("errors"),
+        F.coalesce(F.sum((~F.col("_bad")).cast("long")), F.lit(0)).alias("indexed"),
+        F.coalesce(F.sum(F.col("_bad").cast("long")), F.lit(0)).alias("errors"),
     )
+    rank = [F.col(order_by)] if order_by else []
+    last = F.max_by(F.struct(*docs.columns), F.struct(*rank, F.xxhash64(*docs.columns)))
+    good = good.groupBy(key).agg(last.alias("_d")).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
     if existing is None:
         return good, counts
     kept = existing.join(good.select(key), key, "left_anti")

@@ -2,12 +2,14 @@
 
 Every query keeps its checkpoint in the shared folder, so a restarted
 driver or lost executors resume from the last committed batch.  Sinks are
-file tables (exactly-once via the checkpoint); ``foreachBatch`` sinks
-overwrite or append idempotently per batch id.
+file tables (exactly-once via the checkpoint); each batch of a
+``foreachBatch`` sink overwrites the folder of its own id, so a replayed
+batch leaves the same rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,54 +78,82 @@ def timeline(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "l
 
 
 def errors_sliding(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
-                   length: str = "24 hours", slide: str = "1 hour", level: str = "ERROR",
-                   live_trigger: str | None = None):
-    """ST3: ERROR rows per sliding 24 h window, advancing hourly (complete)."""
-    agg = (
+                   hours: int = 24, level: str = "ERROR", live_trigger: str | None = None):
+    """ST3: ERROR rows per sliding window of ``hours``, advancing hourly.
+
+    The state is one count an hour; each batch adds up the windows from those
+    counts, so a row is counted once and not once per window."""
+    counts = (
         _with_event_time(stream, ts_col).filter(F.col("level") == level)
-        .withWatermark("_et", length)
-        .groupBy(F.window("_et", length, slide).alias("w"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "count")
+        .groupBy(F.window("_et", "1 hour").alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
     )
-    writer = agg.writeStream.outputMode("complete").foreachBatch(_overwrite_each_batch(out_path))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        back = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("back")
+        starts = batch.select("hour", "n", back).select(
+            (F.col("hour") - F.make_dt_interval(F.lit(0), F.col("back"))).alias("window_start"), "n")
+        starts.groupBy("window_start").agg(F.sum("n").alias("count")).write.mode("overwrite").parquet(out_path)
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(write)
     return _run(writer.option("checkpointLocation", checkpoint), live_trigger)
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows of the batches before ``batch_id``; None while the table doesn't exist."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return table.filter(F.col("batch_id") < batch_id)
+
+
 def embed_stream(stream: DataFrame, table_path: str, checkpoint: str, dim: int = 384,
                  live_trigger: str | None = None):
-    """ST4: each micro-batch embeds only messages not yet in the table and
-    appends them (the table path is re-read per batch, so it is the state)."""
-    from logweave.operators.embed import embed_incremental
+    """ST4: each micro-batch writes its messages with their counts to a folder of its own; a message
+    gets its vector in the first batch that has it.  ``stored_embeddings`` is the table of them."""
+    from logweave.operators.analytics import distinct_messages
+    from logweave.operators.embed import encode
 
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            existing = spark.read.parquet(table_path)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            existing = None
-        if existing is not None and existing.filter(F.col("batch_id") == batch_id).limit(1).count():
-            return  # replay of a committed batch: already appended
-        known = existing.drop("batch_id") if existing is not None else None
-        _, new = embed_incremental(batch, known, dim=dim)
-        new.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(table_path)
+        counted = distinct_messages(batch, ordered=False)
+        before = _earlier(spark, table_path, batch_id)
+        if before is None:
+            rows = encode(counted, dim=dim)
+        else:
+            known = before.filter(F.col("embedding").isNotNull()).select("normalized_message").distinct()
+            rows = encode(counted.join(known, "normalized_message", "left_anti"), dim=dim).unionByName(
+                counted.join(known, "normalized_message", "left_semi"), allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), live_trigger)
 
 
+def stored_embeddings(spark: SparkSession, table_path: str) -> DataFrame:
+    """One row per message of an ``embed_stream`` table: least id and level, all occurrences, its vector."""
+    return spark.read.parquet(table_path).groupBy("normalized_message").agg(
+        F.min("representative_event_id").alias("representative_event_id"),
+        F.min("representative_level").alias("representative_level"),
+        F.sum("occurrences").alias("occurrences"),
+        F.first("embedding", ignorenulls=True).alias("embedding"))
+
+
 def alerts_stream(stream: DataFrame, model, alerts_path: str, checkpoint: str,
                   key: str = "normalized_message", threshold: str = "high",
                   live_trigger: str | None = None):
-    """ST5: score each micro-batch with a trained forest, build alerts, gate
-    them by severity and append to the alert table."""
+    """ST5: score each micro-batch with a trained forest, build alerts, gate them by severity and write
+    them to the folder of the batch.  All batches share the model's one set of broadcasts."""
     from logweave.operators import anomaly
     from logweave.operators.alerts import alert_gate, anomaly_alerts
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scores = anomaly.score(batch, model, key)
         alerts = alert_gate(anomaly_alerts(scores, message_col=key), threshold)
-        alerts.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(alerts_path)
+        alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
 
     return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), live_trigger)
-

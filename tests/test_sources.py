@@ -43,3 +43,53 @@ def test_upsert_counts_errors(spark):
     assert (c.indexed, c.errors) == (1, 3) and index.count() == 1
     again, _ = tb.upsert_documents(index, spark.createDataFrame([(1, [0.0, 1.0])], "id long, embedding array<double>"), "id", 2)
     assert [list(r.embedding) for r in again.collect()] == [[0.0, 1.0]]
+
+
+def test_repeated_ids_leave_one_document(spark):
+    schema = "id long, embedding array<double>, version int, source string"
+    docs = spark.createDataFrame([(1, [1.0], 2, "new"), (1, [0.0], 1, "old"), (2, [3.0], None, "x")], schema)
+    index, counts = tb.upsert_documents(None, docs, "id", dim=1, order_by="version")
+    assert sorted((r.id, r.source) for r in index.collect()) == [(1, "new"), (2, "x")]
+    assert tuple(counts.first()) == (3, 0)
+
+
+def test_reset_empties_embeddings(spark):
+    root = scratch_path(spark, "reset")
+    schemas.create_empty_tables(spark, root)
+    row = spark.createDataFrame([("m", None, "INFO", 1, [0.5], None)], schemas.MESSAGE_EMBEDDINGS.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    tb.load_table(tb.conform(row, schemas.MESSAGE_EMBEDDINGS), f"{root}/message_embeddings", reset=False)
+    empty = {n: spark.createDataFrame([], schemas.TABLES[n]) for n in ("log_entries", "event_templates")}
+    tb.load_processed(spark, empty["log_entries"], empty["event_templates"], root, reset=False)
+    assert spark.read.parquet(f"{root}/message_embeddings").count() == 1
+    tb.load_processed(spark, empty["log_entries"], empty["event_templates"], root, reset=True)
+    assert spark.read.parquet(f"{root}/message_embeddings").count() == 0
+
+
+def test_failed_pipeline_is_recorded_and_raised(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from logweave.operators.pipeline import run_pipeline
+
+    root = scratch_path(spark, "failing")
+    with pytest.raises(AnalysisException):
+        run_pipeline(spark, root + "/none", root + "/none", root + "/none", root)
+    row = spark.read.parquet(f"{root}/pipeline_runs").first()
+    assert row.status == "FAILED" and "PATH_NOT_FOUND" in row.details
+
+
+def test_missing_shared_folder_is_an_error_on_a_cluster():
+    import pytest
+
+    from logweave.session import shared_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster)

@@ -1,15 +1,16 @@
-"""Literal cases for prefix parsing, normalisation, levels and vector text."""
+"""Literal cases for prefix parsing, preparation, normalisation, levels and vector text."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions.parse import openssh_prefix
 from logweave.functions.text import classify_level, normalize_message, normalize_storage
-from logweave.functions.vector import vector_to_text
+from logweave.functions.vector import text_to_vector, vector_to_text
+from logweave.operators.prepare import prepare_log_entries
 
-LINE = ("Dec 10 06:55:48 LabSZ sshd[24200]: Failed password for invalid user webmaster "
-        "from 173.234.31.186 port 38926 ssh2")
+LINE = "Jan  9 00:00:59 node3 sudo[8]: session opened for operator"
 
 
 def one(spark, expr, value, schema="v string"):
@@ -17,44 +18,45 @@ def one(spark, expr, value, schema="v string"):
 
 
 def test_openssh_prefix(spark):
-    r = one(spark, openssh_prefix(F.col("v"), 2024), LINE)
-    assert (r.month, r.day, r.host, r.service, r.process_id) == ("Dec", 10, "LabSZ", "sshd", 24200)
-    assert r.log_timestamp == dt.datetime(2024, 12, 10, 6, 55, 48)
-    assert r.content.startswith("Failed password")
+    r = one(spark, openssh_prefix(F.col("v"), 2025), LINE)
+    assert (r.month, r.day, r.host, r.service, r.process_id) == ("Jan", 9, "node3", "sudo", 8)
+    assert r.log_timestamp == dt.datetime(2025, 1, 9, 0, 0, 59) and r.content == "session opened for operator"
 
 
-def test_openssh_prefix_no_match_gives_nulls(spark):
-    r = one(spark, openssh_prefix(F.col("v"), 2024), "not a log line")
-    assert r.month is None and r.day is None and r.log_timestamp is None and r.content is None
+def test_lines_without_prefix_and_impossible_dates(spark):
+    r = one(spark, openssh_prefix(F.col("v"), 2024), "kernel panic")
+    assert (r.month, r.day, r.log_timestamp, r.content) == (None, None, None, None)
+    assert one(spark, openssh_prefix(F.col("v"), 2023), "Feb 29 10:00:00 h d[1]: x").log_timestamp is None
+    assert one(spark, openssh_prefix(F.col("v"), 2024), "Feb 29 10:00:00 h d[1]: x").log_timestamp.day == 29
 
 
-def test_impossible_date_is_null(spark):
-    r = one(spark, openssh_prefix(F.col("v"), 2024), "Feb 30 10:00:00 h sshd[1]: x")
-    assert r.day == 30 and r.log_timestamp is None
+def test_empty_content_is_not_a_missing_match(spark):
+    lines = spark.createDataFrame([(1, "Jan 9 00:00:59 node3 sudo[8]: "), (2, "no prefix")], "line_id long, raw_line string")
+    got = {r.line_id: r.raw_message for r in prepare_log_entries(lines).collect()}
+    assert got == {1: "", 2: "no prefix"}
 
 
-def test_normalize_message(spark):
-    assert one(spark, normalize_message(F.col("v")), "  Failed   Password  ") == "failed password"
-    assert one(spark, normalize_message(F.col("v")), None) == ""
-    assert one(spark, normalize_message(F.col("v")), "a  b") == "a b"
+@pytest.mark.parametrize(("text", "expected"), [("\t Disk\u00a0 FULL \n", "disk full"), ("", ""), (None, ""), ("one\u2003two", "one two"), ("\x1fA", "a")])
+def test_normalize_message(spark, text, expected):
+    assert one(spark, normalize_message(F.col("v")), text) == expected
 
 
 def test_normalize_storage_keeps_edges(spark):
-    df = spark.createDataFrame([(None, "  A   b ")], "t string, m string")
-    assert df.select(normalize_storage(F.col("t"), F.col("m"))).first()[0] == " a b "
+    df = spark.createDataFrame([(None, "\tX \n y  "), ("T <*>  Z", "ignored")], "t string, m string")
+    assert [r[0] for r in df.select(normalize_storage(F.col("t"), F.col("m"))).collect()] == [" x y ", "t <*> z"]
 
 
-def test_classify_level(spark):
-    cases = {
-        "POSSIBLE BREAK-IN ATTEMPT!": "CRITICAL",
-        "Failed password for root": "ERROR",
-        "Connection closed by host [preauth]": "WARNING",
-        "Accepted publickey for user": "INFO",
-    }
-    for text, level in cases.items():
-        assert one(spark, classify_level(F.col("v")), text) == level
+@pytest.mark.parametrize(("text", "level"), [
+    ("too MANY authentication failures for x", "CRITICAL"), ("fatal: no memory", "ERROR"), ("invalid USER guest", "ERROR"),
+    ("reverse mapping of h", "WARNING"), ("preauth step", "WARNING"), ("session opened", "INFO"), ("", "INFO"),
+    ("fatal after disconnect", "ERROR"), ("possible break-in attempt, error", "CRITICAL"),
+])
+def test_classify_level(spark, text, level):
+    assert one(spark, classify_level(F.col("v")), text) == level
 
 
 def test_vector_text(spark):
-    df = spark.createDataFrame([([0.0, 1.5, -2.0],)], "v array<double>")
-    assert df.select(vector_to_text(F.col("v"))).first()[0] == "[0.0000000000,1.5000000000,-2.0000000000]"
+    df = spark.createDataFrame([([0.25, -3.0, 1e-7],)], "v array<double>")
+    text = df.select(vector_to_text(F.col("v")).alias("t"))
+    assert text.first()[0] == "[0.2500000000,-3.0000000000,0.0000001000]"
+    assert list(text.select(text_to_vector(F.col("t"))).first()[0]) == [0.25, -3.0, 1e-7]

@@ -1,70 +1,51 @@
 """Literal cases for IP enrichment and text risk."""
 
+import ipaddress
+
+import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions.ip import enrich_ipv4
+from logweave.functions.ip import enrich_ip_v6
 from logweave.operators.threat import enrich_ips, threat_enrich
 
 
-def enrich(spark, ip):
-    return spark.createDataFrame([(ip,)], "v string").select(enrich_ipv4(F.col("v")).alias("e")).first()["e"]
-
-
-def test_private(spark):
-    e = enrich(spark, "192.168.1.100")
-    assert e.is_private and "private" in e.tags and e.risk_score == 0.0
-
-
-def test_loopback(spark):
-    assert "loopback" in enrich(spark, "127.0.0.1").tags
-
-
-def test_public(spark):
-    e = enrich(spark, "8.8.8.8")
-    assert not e.is_private and e.risk_score > 0.0
-
-
-def test_invalid(spark):
-    assert enrich(spark, "not_an_ip").tags == ["invalid"]
-    assert enrich(spark, "01.2.3.4").tags == ["invalid"]
-    assert enrich(spark, "300.1.1.1").tags == ["invalid"]
-
-
-def test_bogon(spark):
-    assert enrich(spark, "0.0.0.1").is_bogon
-
-
-def test_suspicious_bogon_and_multicast(spark):
-    e = enrich(spark, "100.64.0.1")
-    assert e.risk_score == 0.7 and e.tags == ["bogon", "suspicious-bogon"]
-    assert enrich(spark, "192.0.0.9").risk_score == 0.7
-    m = enrich(spark, "224.0.0.1")
-    assert m.tags == ["multicast"] and m.risk_score == 0.3
+def enriched(spark, *ips):
+    return {r.ip: r for r in enrich_ips(spark.createDataFrame([(i,) for i in ips], "ip string")).collect()}
 
 
-def test_enrich_ips_matches_single_expression(spark):
-    ips = ["10.0.0.1", "8.8.8.8", "100.64.1.2", "224.1.1.1", "300.1.1.1", "192.0.2.5", "255.255.255.255"]
-    df = spark.createDataFrame([(i,) for i in ips], "ip string")
-    flat = {r.ip: (r.risk_score, r.tags) for r in enrich_ips(df).collect()}
-    for ip in ips:
-        e = enrich(spark, ip)
-        assert flat[ip] == (e.risk_score, e.tags)
+def test_classes(spark):
+    e = enriched(spark, "172.31.0.9", "127.8.8.8", "185.60.1.2", "0.9.9.9", "100.127.255.255", "239.1.2.3", "192.0.0.10", "241.0.0.1")
+    assert e["172.31.0.9"].tags == ["private", "bogon"] and e["172.31.0.9"].risk_score == 0.0
+    assert "loopback" in e["127.8.8.8"].tags
+    assert (e["185.60.1.2"].tags, e["185.60.1.2"].risk_score) == ([], 0.3)
+    assert "bogon" in e["0.9.9.9"].tags
+    assert (e["100.127.255.255"].tags, e["100.127.255.255"].risk_score) == (["bogon", "suspicious-bogon"], 0.7)
+    assert (e["239.1.2.3"].tags, e["239.1.2.3"].risk_score) == (["multicast"], 0.3)
+    assert e["192.0.0.10"].risk_score == 0.7 and e["241.0.0.1"].risk_score == 0.0
 
 
-def texts(spark, *t):
-    return threat_enrich(spark.createDataFrame([(x,) for x in t], "text string")).collect()
+@pytest.mark.parametrize("text", ["", "1.2.3", "1.2.3.4.5", "1.2.3.256", "1.02.3.4", "one.two.three.four", "::1"])
+def test_not_an_ipv4_address(spark, text):
+    assert enriched(spark, text)[text].tags == ["invalid"]
 
 
-def test_extract_one(spark):
-    r = texts(spark, "Failed password from 218.145.123.45 port 22")[0]
-    assert r.ip_count == 1 and r.ips == ["218.145.123.45"]
+def test_private_equals_the_standard_library(spark):
+    ips = [str(ipaddress.ip_address(n * 65_537_003 % 2**32)) for n in range(400)]
+    for ip, r in enriched(spark, *ips).items():
+        assert ("private" in r.tags) == ipaddress.ip_address(ip).is_private
 
 
-def test_no_ips(spark):
-    r = texts(spark, "no ip address here at all")[0]
-    assert r.ip_count == 0 and r.overall_risk == 0.0 and r.high_risk_count == 0
+def test_ipv6(spark):
+    df = spark.createDataFrame([(i,) for i in ("2606:4700::1", "fd12::9", "::1", "ff05::2", "1::2::3", None)], "ip string")
+    got = {r.ip: r.e for r in df.select("ip", enrich_ip_v6(F.col("ip")).alias("e")).collect()}
+    assert got["2606:4700::1"].risk_score == 0.3 and got["fd12::9"].tags == ["private"]
+    assert got["::1"].is_loopback and got["ff05::2"].is_multicast
+    assert got["1::2::3"].tags == ["invalid"] and got[None].is_valid is False
 
 
-def test_multiple(spark):
-    r = texts(spark, "src=10.0.0.1 dst=8.8.8.8 attacker=1.2.3.4")[0]
-    assert r.ip_count == 3 and r.overall_risk == 0.3
+def test_text_risk(spark):
+    texts = ["probe by 91.10.20.30 on port 2222", "nothing to see", "via 172.16.5.5, 91.1.1.1 and 100.100.0.1", None]
+    rows = {r.text: r for r in threat_enrich(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert rows[texts[0]].ips == ["91.10.20.30"] and rows[texts[0]].ip_count == 1
+    assert (rows[texts[1]].ip_count, rows[texts[1]].overall_risk, rows[texts[1]].high_risk_count) == (0, 0.0, 0)
+    assert (rows[texts[2]].ip_count, rows[texts[2]].overall_risk, rows[texts[2]].high_risk_count) == (3, 0.7, 1)
