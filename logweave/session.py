@@ -74,8 +74,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique table location under the shared folder."""
-    return f"{shared_dir(spark)}/logweave/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique table location in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/logweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Deletes all tables that this application has written by ``scratch_path``: call it at the end, when
+    no DataFrame over them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/logweave/{spark.sparkContext.applicationId}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
