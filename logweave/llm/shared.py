@@ -1,19 +1,10 @@
-"""Helpers shared by the operators: written intermediate tables, free column names, Arrow output."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logweave.session import ensure_checkpoint_dir, scratch_path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from logweave.session import written  # noqa: F401
 
 
 def free_name(df: DataFrame, name: str) -> str:
