@@ -190,55 +190,78 @@ def _struct(fields: dict[str, Column]) -> Column:
     ])
 
 
-def _ssh(raw: Column, year: int) -> tuple[Column, dict[str, Column]]:
+#: Stands between the groups of a match; a stripped line can't begin with it, and no group but the
+#: last can hold it.
+_MARK = "\x1f"
+
+
+def marked(line: Column, pattern: str, groups: int) -> Column:
+    """The line with its match replaced by all groups, each after a mark: one evaluation of the pattern.
+    A line that doesn't match stays as it is."""
+    return F.regexp_replace(py_strip(line), pattern, "".join(f"{_MARK}${i}" for i in range(1, groups + 1)))
+
+
+def groups_of(mark: Column, groups: int) -> Column:
+    """Array of the groups of a ``marked`` line from place 1 on; NULL if it didn't match."""
+    return F.when(mark.startswith(_MARK), F.split(mark, _MARK, groups + 1))
+
+
+def _access(raw: Column, pattern: str, parts: Column | None):
+    """(whether it matches, i-th group): from the staged groups, or by evaluating the pattern."""
+    if parts is not None:
+        return parts.isNotNull(), lambda i: F.get(parts, F.lit(i))
     s = py_strip(raw)
-    msg = F.regexp_extract(s, _SSH_LINE, 7)
-    day_text = F.regexp_extract(s, _SSH_LINE, 2)
+    return s.rlike(pattern), lambda i: F.regexp_extract(s, pattern, i)
+
+
+def _ssh(raw: Column, year: int, parts: Column | None = None) -> tuple[Column, dict[str, Column]]:
+    ok, g = _access(raw, _SSH_LINE, parts)
+    msg = g(7)
+    day_text = g(2)
     # strptime('%d') accepts 1-31 with an optional leading zero only
     day = F.when(day_text.rlike(r"^(3[01]|[12][0-9]|0?[1-9])$"), day_text.try_cast("int"))
-    ts = ntz_from_parts(year, month_number(F.regexp_extract(s, _SSH_LINE, 1), True), day,
-                        F.regexp_extract(s, _SSH_LINE, 3))
+    ts = ntz_from_parts(year, month_number(g(1), True), day, g(3))
     is_error = msg.contains(SSH_ERROR_WORDS[0])
     for w in SSH_ERROR_WORDS[1:]:
         is_error = is_error | msg.contains(w)
-    return s.rlike(_SSH_LINE), {
+    return ok, {
         "source": F.lit("openssh"), "log_timestamp": ts,
         "level": F.when(is_error, F.lit("ERROR")).otherwise(F.lit("INFO")),
-        "host": F.regexp_extract(s, _SSH_LINE, 4), "process": F.regexp_extract(s, _SSH_LINE, 5),
-        "pid": group(s, _SSH_LINE, 6).try_cast("int"), "message": msg, "raw": raw,
+        "host": g(4), "process": g(5),
+        "pid": F.nullif(g(6), F.lit("")).try_cast("int"), "message": msg, "raw": raw,
         "auth_failure": auth_failure(msg), "auth_success": auth_success(msg),
         "disconnect_ip": disconnect_ip(msg),
     }
 
 
-def _syslog(raw: Column) -> tuple[Column, dict[str, Column]]:
-    s = py_strip(raw)
+def _syslog(raw: Column, parts: Column | None = None) -> tuple[Column, dict[str, Column]]:
+    ok, g = _access(raw, _SYSLOG_LINE, parts)
     # groups: 1 pri, 2 version, 3 ts, 4 host, 5 app, 6 procid, 7 msgid, 8 sd, 9 msg
-    pri = F.regexp_extract(s, _SYSLOG_LINE, 1).try_cast("long")
+    pri = g(1).try_cast("long")
     sev = (pri % 8).cast("int")
-    procid = F.regexp_extract(s, _SYSLOG_LINE, 6)
-    ts_text = F.replace(F.regexp_extract(s, _SYSLOG_LINE, 3), F.lit("Z"), F.lit("+00:00"))
-    return s.rlike(_SYSLOG_LINE), {
+    procid = g(6)
+    ts_text = F.replace(g(3), F.lit("Z"), F.lit("+00:00"))
+    return ok, {
         "source": F.lit("syslog"),
         "log_timestamp": iso_instant(ts_text),
         "level": F.coalesce(F.array(*[F.lit(x) for x in SYSLOG_SEVERITY])[sev], F.lit("INFO")),
-        "host": F.regexp_extract(s, _SYSLOG_LINE, 4), "process": F.regexp_extract(s, _SYSLOG_LINE, 5),
+        "host": g(4), "process": g(5),
         "pid": F.when(procid.rlike("^[0-9]+$"), procid.try_cast("int")),
-        "message": F.regexp_extract(s, _SYSLOG_LINE, 9), "raw": raw,
+        "message": g(9), "raw": raw,
         "facility": F.shiftright(pri, 3), "severity": sev,
-        "msgid": F.regexp_extract(s, _SYSLOG_LINE, 7),
+        "msgid": g(7),
     }
 
 
-def _windows(raw: Column) -> tuple[Column, dict[str, Column]]:
-    s = py_strip(raw)
-    return s.rlike(_WINDOWS_LINE), {
+def _windows(raw: Column, parts: Column | None = None) -> tuple[Column, dict[str, Column]]:
+    ok, g = _access(raw, _WINDOWS_LINE, parts)
+    return ok, {
         "source": F.lit("windows_event"),
-        "log_timestamp": iso_to_ntz(F.regexp_extract(s, _WINDOWS_LINE, 1)),
-        "level": F.upper(F.regexp_extract(s, _WINDOWS_LINE, 2)),
-        "process": F.regexp_extract(s, _WINDOWS_LINE, 3),
-        "message": F.regexp_extract(s, _WINDOWS_LINE, 5), "raw": raw,
-        "event_id": F.regexp_extract(s, _WINDOWS_LINE, 4).try_cast("long"),
+        "log_timestamp": iso_to_ntz(g(1)),
+        "level": F.upper(g(2)),
+        "process": g(3),
+        "message": g(5), "raw": raw,
+        "event_id": g(4).try_cast("long"),
     }
 
 
@@ -271,7 +294,8 @@ def parse_generic(line: Column | str) -> Column:
     return _struct(_generic(_col(line)))
 
 
-def detect_source(line: Column | str, source_hint: str | None = None, year: int = 2024) -> Column:
+def detect_source(line: Column | str, source_hint: str | None = None, year: int = 2024,
+                  staged: dict[str, Column] | None = None) -> Column:
     """Name of the parser that wins for each line.
 
     Auto-detection tests run on the unstripped line, in the reference's
@@ -280,9 +304,10 @@ def detect_source(line: Column | str, source_hint: str | None = None, year: int
     means auto-detect, as in the reference.
     """
     raw = _col(line)
-    ssh_ok = _ssh(raw, year)[0]
-    sys_ok = _syslog(raw)[0]
-    win_ok = _windows(raw)[0]
+    at = staged or {}
+    ssh_ok = _ssh(raw, year, at.get("openssh"))[0]
+    sys_ok = _syslog(raw, at.get("syslog"))[0]
+    win_ok = _windows(raw, at.get("windows_event"))[0]
     forced = {"openssh": ssh_ok, "syslog": sys_ok, "windows_event": win_ok}
     if source_hint in forced:
         return F.when(forced[source_hint], F.lit(source_hint)).otherwise(F.lit("generic"))
@@ -297,7 +322,7 @@ def detect_source(line: Column | str, source_hint: str | None = None, year: int
 
 
 def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2024,
-               source: Column | None = None) -> Column:
+               source: Column | None = None, staged: dict[str, Column] | None = None) -> Column:
     """One struct per line from the winning parser.
 
     Each field is a CASE over the detected source, so every parser's field
@@ -305,11 +330,12 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
     shared).  Pass a precomputed ``source`` column to avoid re-detection.
     """
     raw = _col(line)
-    src = source if source is not None else detect_source(raw, source_hint, year)
+    src = source if source is not None else detect_source(raw, source_hint, year, staged)
+    at = staged or {}
     per_source = {
-        "openssh": _ssh(raw, year)[1],
-        "syslog": _syslog(raw)[1],
-        "windows_event": _windows(raw)[1],
+        "openssh": _ssh(raw, year, at.get("openssh"))[1],
+        "syslog": _syslog(raw, at.get("syslog"))[1],
+        "windows_event": _windows(raw, at.get("windows_event"))[1],
     }
     generic = _generic(raw)
     fields = {}
@@ -328,9 +354,17 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
 
 def parse_lines(df, line_col: str = "raw_line", source_hint: str | None = None, year: int = 2024,
                 out: str = "parsed"):
-    """DataFrame form of ``parse_line``: the detected source is projected
-    first, so every field's CASE reads a plain column (Catalyst keeps the
-    two projections apart because the source is reused by every field)."""
+    """DataFrame form of ``parse_line``: each parser's pattern is evaluated once a line, its groups and
+    then the detected source are projected first, and every field reads plain columns (Catalyst keeps
+    the projections apart because their columns are read by many fields)."""
     raw = F.col(line_col)
-    staged = df.withColumn("_source", detect_source(raw, source_hint, year))
-    return staged.withColumn(out, parse_line(raw, source_hint, year, source=F.col("_source"))).drop("_source")
+    patterns = {"openssh": (_SSH_LINE, 7), "syslog": (_SYSLOG_LINE, 9), "windows_event": (_WINDOWS_LINE, 5)}
+    if source_hint in patterns:
+        patterns = {source_hint: patterns[source_hint]}
+    steps = df.withColumns({f"_{n}": marked(raw, p, k) for n, (p, k) in patterns.items()})
+    steps = steps.withColumns({f"_{n}": groups_of(F.col(f"_{n}"), k) for n, (_, k) in patterns.items()})
+    never = F.lit(None).cast("array<string>")
+    staged = {n: F.col(f"_{n}") if n in patterns else never for n in ("openssh", "syslog", "windows_event")}
+    steps = steps.withColumn("_source", detect_source(raw, source_hint, year, staged))
+    parsed = steps.withColumn(out, parse_line(raw, source_hint, year, source=F.col("_source"), staged=staged))
+    return parsed.drop("_source", *[f"_{n}" for n in patterns])

@@ -89,3 +89,12 @@ def test_detection_and_hints(spark):
         assert run(spark, P.parse_line, line).source == source
     for hint, line, source in (("syslog", LET_IN, "generic"), ("syslog", QUEUE, "syslog"), ("openssh", "  " + LET_IN, "openssh"), ("generic", QUEUE, "syslog")):
         assert run(spark, lambda c, h=hint: P.parse_line(c, source_hint=h), line).source == source
+
+
+@pytest.mark.parametrize("hint", [None, "openssh", "syslog", "windows_event", "generic"])
+def test_table_form_equals_expression_form(spark, hint):
+    lines = [REFUSED, LET_IN, QUEUE, AUDIT, "plain", "", None, "  " + LET_IN, "\x1f" + LET_IN, LET_IN + " a\x1fb\x1f", "Nov 3 21:40:07 h sérv: a\rb", "$1 \\ " + AUDIT, QUEUE + " $2 \\1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, raw_line string")
+    table = {r.i: r.parsed for r in P.parse_lines(df, source_hint=hint).collect()}
+    single = {r.i: r.p for r in df.select("i", P.parse_line("raw_line", hint).alias("p")).collect()}
+    assert table == single
