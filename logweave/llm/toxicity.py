@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.labelled import in_fold, sample
+from logweave.llm.shared import written
 
 #: Labelled documents that are learned from, at most.
 TRAIN_ROWS = 16_000
@@ -204,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2)
     ``exceptions`` adds phrases to those learned.  Without toxic (or without any) rows the lexicon is
     empty and all scores are the base rate.
     """
-    train = sample(docs, labels, "toxic", held_out, rows).select("text", "y")
+    train = written(sample(docs, labels, "toxic", held_out, rows).select("text", "y"), "toxicity-sample")
     sizes = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
