@@ -46,7 +46,7 @@ def test_one_hot_value_is_split(spark):
 
 def test_shards_of_odd_rows(clashing, none):
     check_shards(sharded(clashing, shards=4), clashing, 4)
-    check_shards(sharded(clashing, shards=60), clashing, 60)
+    check_shards(sharded(clashing, shards=20), clashing, 20)
     assert sharded(none, shards=3) == [] and sharded(none, target_bytes=100) == []
     with pytest.raises(ValueError):
         kd.kd_shards(none)
