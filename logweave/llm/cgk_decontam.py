@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
+from logweave.llm.shared import free_name, written
 
 #: Steps of a walk (half as many bytes), sampled steps and repetitions.  Measured recall of one item with
 #: scattered edits of single signs: 1.0 without, over 0.99 at 3 %, 0.95 at 5 % of its length.
@@ -198,44 +199,40 @@ def row_groups(off: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-SCHEMA = "doc_id long, item long, n_edits int"
+SCHEMA = "doc_id long, h long, item long, n_edits int"
 
 
 def _search(docs: DataFrame, items: list[tuple]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("n_edits", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("item", pa.int64()), ("n_edits", pa.int32())])
         index = _index(shared.value)
         for batch in parts:
-            ids = batch.column(0)
-            data, off = utf8(batch.column(1))
+            ids, hashes = batch.column(0), batch.column(1)
+            data, off = utf8(batch.column(2))
             rows = []
             for a, b in row_groups(off, ta.PIECE_CHARS):
                 part = _FOLD[data[off[a] : off[b]]]
                 part = np.concatenate((part, np.zeros(STEPS, np.uint8)))
-                rows += [(ids[a + row].as_py(), item, edits) for row, item, edits in _hits(index, part, off[a : b + 1] - off[a])]
+                rows += [(ids[a + row].as_py(), hashes[a + row].as_py(), item, edits) for row, item, edits in _hits(index, part, off[a : b + 1] - off[a])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     found = docs.mapInArrow(search, SCHEMA)
     names = docs.sparkSession.createDataFrame([(k, i, len(_folded(t))) for k, (i, t) in enumerate(items)], "item long, item_id long, item_chars int")
-    return found.join(F.broadcast(names), "item").select("doc_id", "item_id", "item_chars", "n_edits")
+    return found.join(F.broadcast(names), "item").select("doc_id", "h", "item_id", "item_chars", "n_edits")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents that hold a benchmark item: doc_id, item_id, item_chars, n_edits (the least).
+def _text_hash(text_col: str):
+    """Hash that tells texts of one id (or of no id) apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
-    Compared are texts with A-Z lower-cased and white space runs as one space; up to ``MOST_EDITS`` of the
-    item's length may differ.  Null or empty texts hold nothing; null, empty and short items (below
-    ``LEAST_BYTES``) are in no document; items of equal text are reported each; repeated documents give
-    one row an item.  Empty tables give no row; other columns are left out.
 
-    Documents are read in place, without a shuffle, once for each block of items; a block is broadcast and
-    has at most about ``block_bytes`` of text (or one item).
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (doc_id, h, item_id, item_chars, n_edits) of the documents that hold an item; ``h``: the text's hash."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text_hash(text_col).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= LEAST_BYTES)
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-total // block_bytes))
@@ -244,12 +241,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         found = _search(rows, [(r.item_id, r.text) for r in block])
         out = found if out is None else out.unionByName(found)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents that hold a benchmark item: doc_id, item_id, item_chars, n_edits (the least).
+
+    Compared are texts with A-Z lower-cased and white space runs as one space; up to ``MOST_EDITS`` of the
+    item's length may differ.  Null or empty texts hold nothing; null, empty and short items (below
+    ``LEAST_BYTES``) are in no document; items of equal text are reported each; repeated documents give
+    one row an item.  Empty tables give no row; other columns are left out.
+
+    Documents are read in place, without a shuffle, once for each block of items; a block is broadcast and
+    has at most about ``block_bytes`` of text (or one item).
+    """
+    out = _held(docs, benchmark, id_col, text_col, block_bytes)
     return out.groupBy("doc_id", "item_id").agg(F.min("item_chars").alias("item_chars"), F.min("n_edits").alias("n_edits"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; same columns."""
-    from logweave.llm.shared import written
-
-    held = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct(), "leaks")
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; same columns.  A document is its id and
+    its text: other texts of the same id (or without an id) stay."""
+    held = written(_held(docs, benchmark).select("doc_id", "h").distinct(), "leaks")
+    name = free_name(docs, "_h")
+    held = held.select(F.col("doc_id").alias("_" + name), F.col("h").alias("__" + name))
+    own = docs.withColumn(name, _text_hash("text"))
+    same = own["doc_id"].cast("long").eqNullSafe(held["_" + name]) & (own[name] == held["__" + name])
+    return own.join(held, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -224,6 +224,16 @@ def test_decontamination_of_odd_rows(spark, clashing, none, benchmark_items):
     assert cg.clean_documents(clashing, benchmark_items).columns == clashing.columns
 
 
+def test_clean_documents_of_one_id_are_told_apart(spark, benchmark_items):
+    rng = random.Random(11)
+    item = benchmark_items.first().text
+    held = prose(rng, 30) + " " + item + " " + prose(rng, 30)
+    clean = [(i, prose(rng, 40)) for i in (None, None, 9, 9, 10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [*clean, (None, held), (9, held), (None, None)]], SCHEMA)
+    got = [(r.doc_id, r.text) for r in cg.clean_documents(docs, benchmark_items).collect()]
+    assert sorted(got, key=str) == sorted([*clean, (None, None)], key=str)
+
+
 def test_pipeline_stages(spark, monkeypatch):
     import corpus_pipeline as cp
 
