@@ -35,9 +35,12 @@ BLOCK_BYTES = 1 << 20
 SEED = 51
 _FLAG_BITS = 22
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_FOLD[[9, 10, 11, 12, 13]] = 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: White space of one, two and three UTF-8 bytes, as ``str.split`` has it.
+_WHITE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WHITE_TWO = np.array([0x85, 0xA0], np.uint8)
+_WHITE_THREE = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 class Walks:
@@ -61,8 +64,33 @@ class Walks:
         return ta.mix64(key), at
 
 
+def folded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (UTF-8) with A-Z lower-cased, white space runs as one space and none at either end, and where
+    each begins.  Items and documents are compared in this form."""
+    white = _WHITE[data]
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[np.isin(data[two + 1], _WHITE_TWO)]
+    three = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3))
+    code = (data[three].astype(np.int32) & 15) << 12 | (data[three + 1].astype(np.int32) & 63) << 6 | data[three + 2] & 63
+    three = three[np.isin(code, _WHITE_THREE)]
+    for places, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            white[places + k] = True
+    # of a run, its last byte stays if a word comes before it and after it in the text
+    keep = ~white
+    keep[:-1] |= white[:-1] & ~white[1:]
+    last = off[1:][np.diff(off) > 0] - 1
+    keep[last] &= ~white[last]
+    words = np.concatenate(([0], np.cumsum(~white)))
+    spaces = np.flatnonzero(keep & white)
+    row = np.searchsorted(off, spaces, "right") - 1
+    keep[spaces[words[spaces] == words[off[row]]]] = False
+    return np.where(white, np.uint8(32), _LOWER[data])[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+
+
 def _folded(text: str | None) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in " ".join((text or "").split()))
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return folded(data, np.array([0, len(data)]))[0].tobytes().decode("utf-8", "surrogatepass")
 
 
 class Index:
@@ -157,7 +185,7 @@ def _hits(index: Index, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
     raw = data.tobytes() if grouped else b""
     for (row, item), places in grouped.items():
         size = len(index.texts[item].encode("utf-8", "surrogatepass"))
-        slack = 2 * index.budget[item] + 16
+        slack = 4 * index.budget[item] + 16
         best = index.budget[item] + 1
         end = None
         for k, place in enumerate(places):
@@ -167,7 +195,7 @@ def _hits(index: Index, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
             if k + 1 < len(places) and places[k + 1] - place <= slack and places[k + 1] - begin <= 4 * size:
                 continue
             lo, hi = max(int(off[row]), begin - slack), min(int(off[row + 1]), end + size + slack)
-            text = _folded(raw[lo:hi].decode("utf-8", "ignore"))
+            text = raw[lo:hi].decode("utf-8", "ignore")
             best = min(best, least_edits(text, index.patterns[item], len(index.texts[item])))
             end = None
         if best <= index.budget[item]:
@@ -213,9 +241,9 @@ def _search(docs: DataFrame, items: list[tuple]) -> DataFrame:
             data, off = utf8(batch.column(2))
             rows = []
             for a, b in row_groups(off, ta.PIECE_CHARS):
-                part = _FOLD[data[off[a] : off[b]]]
+                part, where = folded(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 part = np.concatenate((part, np.zeros(STEPS, np.uint8)))
-                rows += [(ids[a + row].as_py(), hashes[a + row].as_py(), item, edits) for row, item, edits in _hits(index, part, off[a : b + 1] - off[a])]
+                rows += [(ids[a + row].as_py(), hashes[a + row].as_py(), item, edits) for row, item, edits in _hits(index, part, where)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

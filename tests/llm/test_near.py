@@ -205,6 +205,26 @@ def test_planted_items_are_found(spark, benchmark_items, rate, least):
     assert len(got & planted) >= least * len(planted) and max(i for i, _ in got) < 10_000
 
 
+def test_folded_texts():
+    rng = random.Random(8)
+    signs = [*" \t\n\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u205f\u3000", "a", "B", "Ä", "\u2010", "中", "\u3001", "🙂"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3_000)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    data, where = cg.folded(np.frombuffer(b"".join(raw), np.uint8), off)
+    got = [data[a:b].tobytes().decode() for a, b in zip(where[:-1], where[1:], strict=True)]
+    assert got == [re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(t.split())) for t in texts]
+
+
+@pytest.mark.parametrize("gap", ["  ", "\r\n", "\n        ", "\u00a0 "])
+def test_items_with_other_white_space_are_found(spark, benchmark_items, gap):
+    rng = random.Random(12)
+    items = benchmark_items.collect()
+    docs = [(k, gap.join([*prose(rng, 60).split(), *i.text.upper().split(), *prose(rng, 60).split()])) for k, i in enumerate(items)]
+    got = {(r.doc_id, r.item_id): r.n_edits for r in cg.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark_items).collect()}
+    assert all(got.get((k, i.item_id)) == 0 for k, i in enumerate(items) if i.text.isascii())
+
+
 def test_exact_items_of_the_small_table(spark, small, benchmark_items):
     items, docs = benchmark_items.collect(), small.collect()
     verbatim = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
