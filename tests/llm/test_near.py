@@ -225,6 +225,45 @@ def test_items_with_other_white_space_are_found(spark, benchmark_items, gap):
     assert all(got.get((k, i.item_id)) == 0 for k, i in enumerate(items) if i.text.isascii())
 
 
+def test_short_items_equal_brute_force(spark):
+    rng = random.Random(21)
+    items = [(k, "".join(rng.choice("abcdé 中") for _ in range(n))) for k, n in enumerate([1, 2, 4, 8, 9, 10, 12, 19, 20, 25, 31, 39, 44, 55, 63, 64] * 2)]
+    docs = [(-1, None), (-2, ""), (-3, "ab")]
+    for k, text in items * 2:
+        edited = [c for c in text for c in (rng.choice([[], [c, "q"], ["z"]]) if rng.random() < 0.08 else [c])]
+        docs.append((len(docs), "".join([*("".join(rng.choice("fghij ") for _ in range(40))), *edited, *prose(rng, 4)])))
+    expected = {}
+    for d, text in docs:
+        for k, item in items:
+            own, other = cg._folded(text), cg._folded(item)
+            if other:
+                edits = cg.least_edits(own, cg._pattern(other), len(other))
+                if edits <= int(cg.MOST_EDITS * len(other)):
+                    expected[d, k] = edits
+    assert len({k for _, k in expected}) > 20 and max(expected.values()) > 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    found = cg.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_edits for r in found} == expected
+
+
+@pytest.mark.parametrize("size", [60, 70, 90])
+def test_items_with_the_most_edits_are_found(spark, benchmark_items, size):
+    rng = random.Random(size)
+    items = [(i.item_id, i.text[:size]) for i in benchmark_items.collect()]
+    docs = []
+    for k, (_, text) in enumerate(items * 8):
+        signs = list(text)
+        for _ in range(int(cg.MOST_EDITS * len(cg._folded(text)))):
+            at = rng.randrange(len(signs))
+            signs[at : at + 1] = rng.choice([[], [signs[at], "q"], ["z"]])
+        docs.append((k, prose(rng, 20) + " " + "".join(signs) + " " + prose(rng, 20)))
+    found = cg.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    recall = np.mean([(k, items[k % len(items)][0]) in got for k in range(len(docs))])
+    print(size, len(docs), recall)
+    assert recall >= 0.99
+
+
 def test_exact_items_of_the_small_table(spark, small, benchmark_items):
     items, docs = benchmark_items.collect(), small.collect()
     verbatim = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
