@@ -1,9 +1,10 @@
 """Context-triggered piecewise hashing of whole texts.
 
 A rolling hash over 8 bytes ends a chunk where its low bits are all ones; each chunk adds one symbol of
-12 bits (two base64 signs) to the signature.  The block size, 2**k bytes a chunk on average, follows
-from the length so that about 32 to 64 chunks arise; a fingerprint has the signatures at that size and
-at twice that size.  Two fingerprints are compared where they have a size in common, by the edit
+12 bits (two base64 signs) to the signature.  The block size, 2**k bytes a chunk on average, is the
+largest one at which the text has 32 chunks or more (or the least size); a fingerprint has the signatures
+at that size and at twice that size.  Every chunk has its own symbol: most texts have 32 to 64 or a few
+more, those with repeated lines as many as lines trigger.  Two fingerprints are compared where they have a size in common, by the edit
 distance of their signatures (insertions and deletions; a change costs two), as a likeness of 0 to 1.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from logweave.llm import textarrays as ta
 
 WINDOW = 8
-LEAST_BITS = 3
+LEAST_BITS, MOST_BITS = 3, 30
+LEAST_CHUNKS = 32
+#: Symbols of signatures that are compared side by side; longer ones are compared one pair at a time.
 CHUNKS = 64
 BLOCK = 1 << 20
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -50,8 +53,6 @@ def _block(data: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signature(ends: np.ndarray, sums: np.ndarray) -> str:
     """Symbols of the chunks that end at ``ends`` (the last: the text's end); ``sums``: hash sums there."""
-    if len(ends) > CHUNKS:
-        ends, sums = np.append(ends[: CHUNKS - 1], ends[-1]), np.append(sums[: CHUNKS - 1], sums[-1])
     starts = np.append([0], ends[:-1])
     inverse = ta.powers(1)[1]
     if starts[-1] < len(inverse):
@@ -63,14 +64,10 @@ def _signature(ends: np.ndarray, sums: np.ndarray) -> str:
     return _SIGNS[np.stack((h >> np.uint64(6), h & np.uint64(63)), 1).astype(np.intp)].tobytes().decode()
 
 
-def fingerprint(data: bytes) -> str:
-    """``block size:signature:signature at twice the size``; empty data have empty signatures."""
+def _cuts(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ends of the chunks at 2**``bits``, how many low bits are ones there, hash sums there and of all."""
     n = len(data)
-    bits = max(LEAST_BITS, (-(-n // CHUNKS) - 1).bit_length() if n else 0)
-    if not n:
-        return f"{1 << bits}::"
-    cuts: tuple[list, list] = ([], [])
-    sums: tuple[list, list] = ([], [])
+    ends, ones, sums = [], [], []
     before, scale = 0, 1
     low = np.uint32((1 << bits) - 1)
     for at in range(0, n, BLOCK):
@@ -78,19 +75,41 @@ def fingerprint(data: bytes) -> str:
         part = np.frombuffer(data, np.uint8, min(BLOCK, n - at) + skip, at - skip)
         roll, prefix = _block(part, skip)
         found = np.flatnonzero((roll & low) == low)
-        twice = found[(roll[found] >> np.uint32(bits)) & np.uint32(1) == 1]
-        for k, places in enumerate((found, twice)):
-            cuts[k].append(places + at + 1)
-            sums[k].append(np.uint64(before) + np.uint64(scale) * prefix[places + 1])
+        ends.append(found + at + 1)
+        ones.append(np.bitwise_count((~roll[found] & (roll[found] + np.uint32(1))) - np.uint32(1)))
+        sums.append(np.uint64(before) + np.uint64(scale) * prefix[found + 1])
         before = (before + scale * int(prefix[-1])) % _WORD
         scale = scale * pow(_BASE, len(roll), _WORD) % _WORD
+    return np.concatenate(ends), np.concatenate(ones), np.concatenate(sums), before
+
+
+def fingerprint(data: bytes) -> str:
+    """``block size:signature:signature at twice the size``; empty data have empty signatures."""
+    n = len(data)
+    if not n:
+        return f"{1 << LEAST_BITS}::"
+    # a first guess from the length; the boundaries found decide
+    least = min(MOST_BITS, max(LEAST_BITS, (n // CHUNKS).bit_length() - 2))
+    while True:
+        ends, ones, sums, total = _cuts(data, least)
+        fit = least
+        while fit < MOST_BITS and _chunks(ends, ones, n, fit + 1) >= LEAST_CHUNKS:
+            fit += 1
+        if least == LEAST_BITS or _chunks(ends, ones, n, fit) >= LEAST_CHUNKS:
+            break
+        least = max(LEAST_BITS, least - 3)
     out = []
-    for k in range(2):
-        ends, total = np.concatenate(cuts[k]), np.concatenate(sums[k])
-        if not len(ends) or ends[-1] != n:
-            ends, total = np.append(ends, n), np.append(total, np.uint64(before))
-        out.append(_signature(ends, total))
-    return f"{1 << bits}:{out[0]}:{out[1]}"
+    for bits in (fit, fit + 1):
+        own, upto = ends[ones >= bits], sums[ones >= bits]
+        if not len(own) or own[-1] != n:
+            own, upto = np.append(own, n), np.append(upto, np.uint64(total))
+        out.append(_signature(own, upto))
+    return f"{1 << fit}:{out[0]}:{out[1]}"
+
+
+def _chunks(ends: np.ndarray, ones: np.ndarray, n: int, bits: int) -> int:
+    """Chunks at 2**``bits``; the text's end ends one."""
+    return int((ones >= bits).sum()) + (not len(ends) or ends[-1] != n or ones[-1] < bits)
 
 
 def _symbols(signatures: list[str], fill: int) -> np.ndarray:
@@ -105,6 +124,13 @@ def _symbols(signatures: list[str], fill: int) -> np.ndarray:
 def common(a: list[str], b: list[str]) -> np.ndarray:
     """Longest common subsequence, in symbols, of each pair of signatures; bit-parallel over all pairs.
     The edit distance is both lengths less twice this."""
+    long = [i for i, pair in enumerate(zip(a, b, strict=True)) if max(map(len, pair)) > 2 * CHUNKS]
+    if long:
+        out = np.zeros(len(a), np.int64)
+        out[long] = [_common_long(a[i], b[i]) for i in long]
+        rest = np.setdiff1d(np.arange(len(a)), long)
+        out[rest] = common([a[i] for i in rest], [b[i] for i in rest])
+        return out
     left, right = _symbols(a, -1), _symbols(b, -2)
     v = np.full(len(a), _WORD - 1, np.uint64)
     for j in range(CHUNKS):
@@ -114,6 +140,24 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     return np.bitwise_count(~v).astype(np.int64)
 
 
+def _common_long(a: str, b: str) -> int:
+    """The same of one pair of signatures of any length."""
+    x, y = ([s[i : i + 2] for i in range(0, len(s), 2)] for s in (a, b))
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i] != y[i]), least)
+    tail = next((i for i in range(least - head) if x[-1 - i] != y[-1 - i]), least - head)
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    masks: dict[str, int] = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    ones = (1 << len(x)) - 1
+    v = ones
+    for c in y:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & ones
+    return head + tail + len(x) - v.bit_count()
+
+
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
     """Likeness of each pair of fingerprints: 1 - distance / both lengths, the best of the sizes that
     both have; 1 for equal ones, 0 without a common size."""

@@ -44,6 +44,31 @@ def test_fingerprint_does_not_depend_on_blocks(monkeypatch):
     assert ph.fingerprint(b"") == "8::" and len(ph.fingerprint(b"a").split(":")[1]) == 2
 
 
+def test_repeated_lines_are_described_to_the_end():
+    rng = random.Random(31)
+    none = cut = 0
+    for k in range(60):
+        line = prose(rng, 20)[:59] + "\n"
+        own = (line * 200).encode()
+        other = own[:6_000] + prose(rng, 20)[:59].encode() + b"\n" + own[6_060:]
+        mark, edited = ph.fingerprint(own), ph.fingerprint(other)
+        none += len(mark.split(":")[1]) // 2 < 32
+        # one more line at the end leaves the symbols of all chunks before
+        more = ph.fingerprint(own + line.encode())
+        cut += ph.likeness([mark], [more])[0] < 0.95
+        assert ph.likeness([mark], [edited])[0] > 0.9
+    assert (none, cut) == (0, 0)
+
+
+def test_likeness_of_long_signatures():
+    rng = random.Random(32)
+    for _ in range(30):
+        a, b = ([rng.choice("ABC") + rng.choice("AB") for _ in range(rng.randint(1, 150))] for _ in range(2))
+        b = rng.choice([b, a[:40] + b + a[60:]])
+        x, y = "".join(a), "".join(b)
+        assert len(a) + len(b) - 2 * ph.common([x], [y])[0] == edit_distance(a, b)
+
+
 def check_fingerprints(docs):
     rows = docs.select("doc_id", "text").collect()
     texts = {r.doc_id: r.text or "" for r in rows}
