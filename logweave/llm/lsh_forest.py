@@ -1,8 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
-Texts are sets of five-word shingles.  Each tree of the forest sorts the documents' MinHash values of its
-own; documents that share a prefix meet.  The prefix is shortened value by value from the whole depth
-until a pair at the threshold meets in some tree with the target recall.  Where prefixes meet, all
+Texts are sets of five-word shingles.  Each band (tree) has MinHash values of its own; documents that
+share a prefix of one fixed depth meet: the longest with which a pair at the threshold meets in some band
+with the target recall.  There are no prefix tries, and no prefix is shortened or extended by document:
+pairs that share a longer prefix share this one too.  Where prefixes meet, all
 signatures are compared, and pairs whose estimate is near or above the threshold link their documents to
 one family.  Inside a family, every pair of different sets is verified exactly, in blocks of documents.
 
