@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.labelled import first_by_hash, in_fold, sample
+from logweave.llm.shared import written
 
 #: Rows of either kind that are learned from, at most.
 POSITIVE_ROWS = 8_000
 UNLABELLED_ROWS = 8_000
 BINS = 12
 STEPS = 400
+#: Bins of a margin of 1, in histograms over all rows.
+RESOLUTION = 1024
 
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
@@ -145,29 +148,45 @@ def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = S
 
 
 def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in the unlabelled rows, from every other row of both: the least ratio of the
-    tails above a score, where the margins of both tails still allow a statement."""
+    """Share of positives in the unlabelled rows, from every other row of both."""
+    w = _ranking(p, u)
+    return tail_ratio(p[1::2] @ w, u[1::2] @ w, np.ones(len(u[1::2]), np.int64))
+
+
+def _ranking(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Weights that tell every other row of both apart; the rows between are held back."""
     w = np.zeros(p.shape[1])
     adam = _Adam(len(w))
     for _ in range(STEPS // 2):
         grad = p[::2].T @ (_sigmoid(p[::2] @ w) - 1) / len(p[::2]) + u[::2].T @ _sigmoid(u[::2] @ w) / len(u[::2])
         adam.step(w, grad + 1e-3 * w)
-    sp, su = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
-    if not len(sp) or not len(su):
+    return w
+
+
+def tail_ratio(positives: np.ndarray, margins: np.ndarray, counts: np.ndarray) -> float:
+    """The least ratio of the tails above a margin, where the margins of error of both still allow a
+    statement; of the unlabelled rows, ``counts`` have each of ``margins``."""
+    sp, n = np.sort(positives), int(counts.sum())
+    if not len(sp) or not n:
         return 0.5
+    order = np.argsort(margins, kind="stable")
+    su, below = margins[order], np.concatenate(([0], np.cumsum(counts[order])))
     at = np.unique(sp)
     qp = 1 - np.searchsorted(sp, at, side="left") / len(sp)
-    qu = 1 - np.searchsorted(su, at, side="left") / len(su)
-    margin = math.sqrt(math.log(40) / 2 / len(su)) + math.sqrt(math.log(40) / 2 / len(sp))
+    qu = 1 - below[np.searchsorted(su, at, side="left")] / n
+    margin = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / len(sp))
     best = int(np.argmin((qu + margin) / qp))
     return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
 
 
-def valley(margins: np.ndarray, prior: float, slack: float = 0.03) -> float:
-    """The middle of the widest gap between margins of unlabelled rows near where the prior's share of
-    them lies above: the risk leaves the margin's zero point free, the prior fixes it."""
-    m = np.sort(margins)
-    lo, hi = (int(np.clip((1 - prior + d) * len(m), 0, len(m) - 1)) for d in (-slack, slack))
+def valley(margins: np.ndarray, prior: float, slack: float = 0.03, counts: np.ndarray | None = None) -> float:
+    """The middle of the widest gap between margins of unlabelled rows (``counts`` of each) near where the
+    prior's share of them lies above: the risk leaves the margin's zero point free, the prior fixes it."""
+    order = np.argsort(margins, kind="stable")
+    m = margins[order]
+    upto = np.cumsum(np.ones(len(m), np.int64) if counts is None else counts[order])
+    n = int(upto[-1])
+    lo, hi = (int(np.searchsorted(upto, int(np.clip((1 - prior + d) * n, 0, n - 1)), "right")) for d in (-slack, slack))
     if hi <= lo:
         return float(m[lo])
     k = lo + int(np.argmax(np.diff(m[lo : hi + 1])))
@@ -190,21 +209,41 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
 
 
+def _histogram(described: DataFrame, edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of all rows of a table with features ``x``, to 1 / ``RESOLUTION``, and how many rows have each."""
+
+    @F.arrow_udf("double")
+    def margin(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            x = np.asarray(part.flatten(), float).reshape(len(part), len(FEATURES))
+            yield pa.array(_binned(x, edges) @ weights, pa.float64())
+
+    found = described.groupBy(F.round(margin("x") * RESOLUTION).cast("long").alias("bin")).count().orderBy("bin").collect()
+    return np.array([r["bin"] for r in found], float) / RESOLUTION, np.array([r["count"] for r in found], np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS, threshold: float = 0.3) -> Model | None:
     """Model from at most ``positives`` good labelled documents and ``unlabelled`` others (either the
     least by a hash of the id) outside the fold ``crc32(doc_id) % n == k``; None without positives.
-    The prior's share of the unlabelled rows gets scores from ``threshold`` on."""
+    The prior's share of the unlabelled rows gets scores from ``threshold`` on: prior and cut come from
+    histograms of the margins of all rows outside the fold; bin edges and weights are fitted to the sample."""
     p = _matrix(sample(docs, labels.where("quality = 1"), "quality", held_out, positives).orderBy("doc_id"))
     others = first_by_hash(docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), *held_out)).distinct(), unlabelled)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    u = _matrix(texts.join(F.broadcast(others), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id"))
+    chosen = texts.join(F.broadcast(others), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = chosen.select("doc_id", feature_column().alias("x")).orderBy("doc_id").collect()
+    u = np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
     if not len(p) or not len(u):
         return None
     edges = _edges(np.concatenate((p, u)))
     bp, bu = _binned(p, edges), _binned(u, edges)
-    prior = estimated_prior(bp, bu)
+    described = written(texts.where(~in_fold(F.col("doc_id"), *held_out)).select("doc_id", feature_column().alias("x")), "quality-features")
+    ranking = _ranking(bp, bu)
+    used = docs.sparkSession.createDataFrame([(r.doc_id,) for r in found[::2]], "doc_id long")
+    prior = tail_ratio(bp[1::2] @ ranking, *_histogram(described.join(F.broadcast(used), "doc_id", "left_anti"), edges, ranking))
     weights = non_negative_risk(bp, bu, prior)
-    return Model(edges, weights, prior, valley(bu @ weights, prior), threshold)
+    margins, counts = _histogram(described, edges, weights)
+    return Model(edges, weights, prior, valley(margins, prior, counts=counts), threshold)
 
 
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

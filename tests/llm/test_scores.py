@@ -57,6 +57,14 @@ def test_non_negative_risk_and_prior():
     assert np.mean((margin > pq.valley(margin, prior)) == (np.arange(4000) < 3000)) > 0.96
 
 
+def test_prior_and_cut_come_from_all_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    model = pq.learn(docs, labels, unlabelled=200)
+    rows = docs.select(pq.in_fold(docs.doc_id, 5, 0).alias("held"), pq.feature_column().alias("x")).where("NOT held").collect()
+    margins = pq._binned(np.array([r.x for r in rows]), model.edges) @ model.weights
+    assert model.cut == pytest.approx(pq.valley(margins, model.prior), abs=2 / pq.RESOLUTION)
+
+
 def test_folding_and_matching():
     lexicon = tx.Lexicon({"idiot": 5.0, "clown": 4.0}, ["clown fish"], 1.0, -3.0)
     for text in ("1d10t", "ІDІОТ", "id\u200biot", "ｉｄｉｏｔ", "an idiot!", "idiots"):
