@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.shared import written
 
 
+class Forest:
+    """Union-find over the vertices that a task sees."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        parent = self.parent
+        r = v
+        while parent.get(r, r) != r:
+            r = parent[r]
+        while parent.get(v, v) != r:
+            parent[v], v = r, parent[v]
+        return r
+
+    def join(self, a: int, b: int) -> bool:
+        """Joins two trees; False if they were one."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(v, self.root(v)) for v in self.parent if self.root(v) != v]
+
+    def batch(self) -> pa.RecordBatch:
+        """The edges as columns a, b."""
+        edges = self.edges()
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Each vertex's neighbours (both: the larger ones; else itself and the smaller ones) joined to the
     least vertex of its neighbourhood."""

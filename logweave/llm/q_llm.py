@@ -136,3 +136,11 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.lsh_forest import jaccard_links
 
     return jaccard_links(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_groups")
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and the component of those within two bits."""
+    from logweave.llm.simhash_groups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
