@@ -144,3 +144,39 @@ def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.simhash_groups import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_setm_phrases",
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, generate_subscripts(cut, 1) AS piece, unnest(cut) AS body
+      FROM (SELECT lang, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS cut FROM documents WHERE text IS NOT NULL)),
+    listed AS (SELECT lang, list_filter(regexp_split_to_array(body, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+    phrases AS (
+      SELECT lang, ws[i : i + size - 1] AS words, count(*) AS f
+      FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM listed, (VALUES (1), (2), (3)) sizes(size))
+      GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE len(words) = 1 GROUP BY lang),
+    candidates AS (SELECT lang, words, f AS a FROM phrases WHERE len(words) > 1 AND f >= 10),
+    covered AS (
+      SELECT DISTINCT s.lang, s.words
+      FROM (SELECT lang, a, unnest([words[1:2], words[2:3]]) AS words FROM candidates WHERE len(words) = 3) g
+      JOIN candidates s ON s.lang = g.lang AND s.words = g.words AND 100 * g.a >= 50 * s.a),
+    cuts AS (
+      SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM candidates ANTI JOIN covered USING (lang, words)),
+    scored AS (
+      SELECT c.lang, c.words, c.a, c.k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score
+      FROM cuts c JOIN phrases l ON l.lang = c.lang AND l.words = c.words[1 : c.k]
+      JOIN phrases r ON r.lang = c.lang AND r.words = c.words[c.k + 1 :]),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+    named AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM lowest),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named QUALIFY rank <= 2000)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+    """,
+)
+def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two and three words."""
+    from logweave.llm.setm_phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
