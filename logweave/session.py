@@ -16,6 +16,7 @@ _SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -51,6 +52,13 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ensure_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of up to 8 MB: long texts and blocks go to Python workers a few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != _SESSION_CONF[key]:
+        spark.conf.set(key, _SESSION_CONF[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
