@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.session import ensure_utc, ship_package
+from logweave.session import ensure_small_batches, ensure_utc, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,7 @@ def query(name: str, oracle: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_utc(spark)
+            ensure_small_batches(spark)
             ship_package(spark)
             return fn(spark, sf_dir)
 
@@ -180,3 +181,51 @@ def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.setm_phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_conversation_trie",
+    """
+    WITH turns AS (
+      SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+      SELECT c, max(place) AS own, c - c % 100 AS base,
+             xor(list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+                 lambda crc, x: list_reduce(list_transform(range(8), lambda i: 0::BIGINT), lambda v, z: xor(v >> 1, (v & 1) * 3988292384), xor(crc, x)), 4294967295::BIGINT),
+                 4294967295) % 6 AS h
+      FROM turns GROUP BY c),
+    rebuilt AS (
+      SELECT convs.c, place AS d, role, text FROM convs JOIN turns ON turns.c = base AND place <= h
+      UNION ALL
+      SELECT convs.c, place - h + (SELECT count(*) FROM turns b WHERE b.c = base AND b.place <= h), role, text
+      FROM convs JOIN turns ON turns.c = convs.c AND place > h
+      UNION ALL SELECT c, 0, NULL, NULL FROM convs),
+    prefixes AS (
+      SELECT c, d, text, max(d) OVER (PARTITION BY c) AS len,
+             sha256(coalesce(string_agg(sha256(length(role) || ':' || role || text), ',') OVER upto, '')) AS node,
+             sha256(coalesce(string_agg(sha256(length(role) || ':' || role || text), ',') OVER above, '')) AS parent
+      FROM rebuilt
+      WINDOW upto AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING), above AS (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    nodes AS (
+      SELECT d, node, min(parent) AS parent, min(c) AS c, count(*) AS n_convs, coalesce(max(length(text)), 0) * (count(*) - 1) AS saved,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '')) AS ends
+      FROM prefixes GROUP BY d, node),
+    children AS (
+      SELECT p.d, p.node, count(k.node) AS n_children, any_value(u.c) AS up
+      FROM nodes p LEFT JOIN nodes k ON k.parent = p.node AND k.d = p.d + 1 LEFT JOIN nodes u ON u.node = p.parent AND u.d = p.d - 1
+      GROUP BY p.d, p.node),
+    whole AS (SELECT n.*, n_children, up FROM nodes n JOIN children USING (d, node)),
+    below AS (
+      SELECT a.d, a.node, sum(w.saved) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+      FROM whole w JOIN prefixes a ON a.c = w.c AND a.d <= w.d GROUP BY a.d, a.node)
+    SELECT c AS conv_id, d AS depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends AS ends_sha256
+    FROM whole JOIN below USING (d, node)
+    """,
+)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    from logweave.llm.conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -6,8 +6,8 @@ and by two between pieces.  A step merge-joins the relation with itself at adjac
 occurrences of k + 1 words, counts them by group, keeps the frequent groups and semi-joins the occurrences with
 them; what is left is written as the relation of length k + 1.
 
-Relations are written in blocks, a row for the words of about a million bytes of text, with its places and
-words as sorted arrays.  Pieces don't cross documents, so a block joins with itself alone; a longer text goes
+Relations are written in blocks, a row for the words of about 256 KB of text, with its places and words as
+sorted arrays.  Pieces don't cross documents, so a block joins with itself alone; a longer text goes
 on in the next block, which begins with the last words of the one before (``known`` words, whose phrases are
 counted there).  Words are 64-bit hashes of language and word; a pair of words with one
 hash shows in the word counts, and the work begins again with another seed.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,15 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2_000
 COVERED = 50
 SCALE = 1_000_000
 #: the filter: so many parts of so many bits
-FILTER_PARTS, PART_BITS, PROBES = 256, 1 << 19, 5
+FILTER_PARTS, PART_BITS, PROBES = 256, 1 << 19, 3
+#: bytes of text whose words are hashed at once
+BLOCK = 1 << 18
 
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [10, 11, 12, 13])
 _GAP = _BREAK | np.isin(np.arange(256), [9, 32])
+_LOWER = bytes(range(256)).lower()
+#: 0 in words, 1 between words, 2 between pieces
+_CLASS = (_GAP.astype(np.uint8) + _BREAK).tobytes()
 RELATION = "known int, place binary, word binary"
 
 
@@ -46,22 +52,22 @@ RELATION = "known int, place binary, word binary"
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) bytes, starts and ends of the words, and their places."""
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    gap = _GAP[low]
+    raw = data.tobytes()
+    low, kind = np.frombuffer(raw.translate(_LOWER), np.uint8), np.frombuffer(raw.translate(_CLASS), np.uint8)
+    word = kind == 0
     inner = off[:-1][off[:-1] < len(low)]
-    begin = ~gap
-    begin[1:] &= gap[:-1]
-    begin[inner] = ~gap[inner]
-    starts = np.flatnonzero(begin)
-    stop = gap.copy()
-    stop[inner] = True
-    stops = np.append(np.flatnonzero(stop), len(low))
-    ends = stops[np.searchsorted(stops, starts, "right")]
-    breaks = np.cumsum(_BREAK[low])
-    new = np.zeros(len(starts), bool)
-    new[1:] = breaks[starts[1:]] != breaks[starts[:-1]]
+    before = np.zeros(len(low), bool)
+    before[1:] = word[:-1]
+    before[inner] = False
+    after = np.zeros(len(low), bool)
+    after[:-1] = word[1:]
+    after[inner[inner > 0] - 1] = False
+    starts = np.flatnonzero(word & ~before)
+    ends = np.flatnonzero(word & ~after) + 1
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     doc = np.searchsorted(off, starts, "right")
-    new[1:] |= doc[1:] != doc[:-1]
+    new = np.zeros(len(starts), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
     return low, starts, ends, np.arange(len(starts)) + np.cumsum(new)
 
 
@@ -76,15 +82,15 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np
 
 def texts_in_blocks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """(first row, end row, bytes, offsets, words known from the block before) for blocks of about
-    ``PIECE_CHARS`` bytes; a longer text is cut between words into blocks of its own."""
-    for a, b in row_groups(off, ta.PIECE_CHARS):
+    ``BLOCK`` bytes; a longer text is cut between words into blocks of its own."""
+    for a, b in row_groups(off, BLOCK):
         own = data[off[a] : off[b]]
-        if b - a > 1 or len(own) <= 2 * ta.PIECE_CHARS:
+        if b - a > 1 or len(own) <= 2 * BLOCK:
             yield a, b, own, off[a : b + 1] - off[a], 0
             continue
         at, held, known = 0, own[:0], 0
         while at < len(own):
-            to = at + ta.PIECE_CHARS
+            to = at + BLOCK
             while to < len(own):
                 gap = np.flatnonzero(_GAP[own[to : to + 4096]])
                 to += int(gap[0]) if len(gap) else 4096
@@ -117,13 +123,47 @@ def _blocks(parts: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple]:
             yield names, doc, low, starts, ends, place, word_hashes(low, starts, ends, keys[doc], seed), known
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where each run of equal ones begins in it."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
 def _counted_words(parts: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """(lang, word, h, f) for the words of each block."""
-    for names, doc, low, starts, ends, _, h, known in _blocks(parts, seed):
-        doc, starts, ends, h = doc[known:], starts[known:], ends[known:], h[known:]
-        own, at, n = np.unique(h, return_index=True, return_counts=True)
-        lang = pa.array([names[d] for d in doc[at].tolist()], pa.string())
-        yield pa.RecordBatch.from_arrays([lang, _strings(low, starts[at], ends[at]), pa.array(own.view(np.int64)), pa.array(n)], names=["lang", "word", "h", "f"])
+    """(lang, word, h, f) for the words of each batch of texts."""
+    for part in parts:
+        texts, words, hashes, counts = [], [], [], []
+        names: list[str] = []
+        for names, doc, low, starts, ends, _, h, known in _blocks([part], seed):  # noqa: B007
+            doc, starts, ends, h = doc[known:], starts[known:], ends[known:], h[known:]
+            order, begin = runs(h)
+            at = order[begin]
+            texts.append(doc[at].astype(np.int32))
+            words.append(_strings(low, starts[at], ends[at]))
+            hashes.append(h[at])
+            counts.append(np.diff(np.append(begin, len(h))))
+        if hashes:
+            yield _merged(names, np.concatenate(texts), pa.concat_arrays(words), np.concatenate(hashes), np.concatenate(counts))
+
+
+def _merged(names: list[str], text: np.ndarray, word: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row a hash; if two words, or one of two languages, have the same, all rows stay."""
+    order, begin = runs(h)
+    again = np.ones(len(h), bool)
+    again[begin] = False
+    (other,) = np.nonzero(again)
+    ranks = {x: k for k, x in enumerate(dict.fromkeys(names))}
+    lang = np.array([ranks[x] for x in names], np.int32)[text]
+    same = pc.equal(word.take(pa.array(order[other])), word.take(pa.array(order[other - 1])))
+    f = np.add.reduceat(n[order], begin) if len(h) else n
+    if not (pc.all(same, min_count=0).as_py() and (lang[order[other]] == lang[order[other - 1]]).all()):
+        begin, f = np.arange(len(h)), n[order]
+    at = order[begin]
+    langs = pa.array(list(ranks), pa.string()).take(pa.array(lang[at]))
+    return pa.RecordBatch.from_arrays([langs, word.take(pa.array(at)), pa.array(h[at].view(np.int64)), pa.array(f)], names=["lang", "word", "h", "f"])
 
 
 # ---- relations
@@ -167,8 +207,13 @@ def group_filter(groups: DataFrame):
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter passes."""
+    flat, out = bits.reshape(-1), np.ones(len(keys), bool)
     part, at = _probes(keys)
-    return ((bits[part[:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+    for k in range(PROBES):
+        byte = part * (PART_BITS // 8) + (at[:, k] >> 3)
+        out &= ((flat[byte] >> (at[:, k] & 7).astype(np.uint8)) & 1).astype(bool)
+    return out
 
 
 def joined(place: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -205,15 +250,25 @@ def _arrays(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _counted_phrases(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(w1 .. w_size, f) for the phrases of each block; those within its known words are left out."""
-    for place, words, known in _arrays(parts):
-        at, phrase = joined(place, words, size)
-        phrase = [w[at + size > known] for w in phrase]
-        _, where, inverse, n = np.unique(group_keys(phrase), return_index=True, return_inverse=True, return_counts=True)
-        if any((w[where][inverse] != w).any() for w in phrase):  # two phrases of one key: one by one
-            where = np.arange(len(inverse))
-            n = np.ones(len(inverse), np.int64)
-        yield pa.RecordBatch.from_arrays([*[pa.array(w[where].view(np.int64)) for w in phrase], pa.array(n)], names=[*_columns(size), "f"])
+    """(w1 .. w_size, f) for the phrases of each batch of blocks; those within a block's known words are left out."""
+    for part in parts:
+        found = []
+        for place, words, known in _arrays([part]):
+            at, phrase = joined(place, words, size)
+            found.append([w[at + size > known] for w in phrase])
+        if not found:
+            continue
+        phrase = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order, begin = runs(group_keys(phrase))
+        phrase = [w[order] for w in phrase]
+        same = np.ones(len(order), bool)
+        for w in phrase:
+            same[1:] &= w[1:] == w[:-1]
+        same[begin] = True
+        if not same.all():  # two phrases of one key: one by one
+            begin = np.arange(len(order))
+        n = np.diff(np.append(begin, len(order)))
+        yield pa.RecordBatch.from_arrays([*[pa.array(w[begin].view(np.int64)) for w in phrase], pa.array(n)], names=[*_columns(size), "f"])
 
 
 def _columns(size: int) -> list[str]:
@@ -340,5 +395,6 @@ def collocations(
         scored = rows if scored is None else scored.unionByName(rows)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # the rank as it is in the filter: each task then sends the first rows of a language alone
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -189,7 +189,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least up to the n-th."""
     if len(_POWERS[0]) <= n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())
         inverse = pow(BASE, -1, 1 << 64)
         for k, base in enumerate((BASE, inverse)):
             p = np.full(size, np.uint64(base), np.uint64)

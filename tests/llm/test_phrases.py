@@ -9,8 +9,6 @@ import pyarrow as pa
 import pytest
 
 from logweave.llm import setm_phrases as sp
-from logweave.llm import textarrays as ta
-from logweave.llm.cgk_decontam import utf8
 from tests.llm.conftest import SCHEMA, prose, rows_of
 
 
@@ -52,7 +50,7 @@ def wordy(rng, docs):
 
 @pytest.fixture
 def tiny(monkeypatch):
-    monkeypatch.setattr(ta, "PIECE_CHARS", 64)
+    monkeypatch.setattr(sp, "BLOCK", 64)
 
 
 def test_blocks_cut_anywhere_count_the_same(tiny):
