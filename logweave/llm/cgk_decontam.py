@@ -16,8 +16,8 @@ wherever the item does, and around each place of a piece the exact edit distance
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
-from logweave.llm.shared import free_name, written
+from logweave.llm.shared import free_name, kept, written
 
 #: Steps of a walk (half as many bytes) and sampled steps.
 STEPS, SAMPLED = 48, 12
@@ -108,6 +108,19 @@ def repeats(size: int) -> int:
     return min(MOST_REPEATS, max(LEAST_REPEATS, math.ceil(TRIES / windows))) if windows > 0 else MOST_REPEATS
 
 
+def _flags(keys: np.ndarray) -> np.ndarray:
+    """A bit for each value of the keys' first ``_FLAG_BITS`` bits."""
+    flags = np.zeros(1 << _FLAG_BITS, bool)
+    flags[keys >> np.uint64(64 - _FLAG_BITS)] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def _flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows whose key may be among those of the flags."""
+    at = (keys >> np.uint64(64 - _FLAG_BITS)).astype(np.uint32)
+    return np.flatnonzero((flags[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & np.uint8(1))
+
+
 class ShortItems:
     """Pieces of all items of up to ``SHORT_CHARS`` signs, by length, and the items' signs."""
 
@@ -133,8 +146,7 @@ class ShortItems:
         for size, found in sorted(pieces.items()):
             found.sort()
             keys = np.array([f[0] for f in found], np.uint64)
-            flags = np.zeros(1 << _FLAG_BITS, bool)
-            flags[keys >> np.uint64(64 - _FLAG_BITS)] = True
+            flags = _flags(keys)
             self.tables.append((size, keys, np.array([f[1] for f in found]), np.array([f[2] for f in found]), flags))
 
     def hits(self, data: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], int]:
@@ -146,7 +158,7 @@ class ShortItems:
         best: dict[tuple[int, int], int] = {}
         for size, keys, item, offset, flags in self.tables:
             own = _rolling(text, size)
-            hit = np.flatnonzero(flags[own >> np.uint64(64 - _FLAG_BITS)])
+            hit = _flagged(flags, own)
             lo, hi = np.searchsorted(keys, own[hit], "left"), np.searchsorted(keys, own[hit], "right")
             row = np.searchsorted(where, hit, "right") - 1
             real = (hi > lo) & (hit + size <= where[row + 1])
@@ -248,8 +260,7 @@ class Index:
                 offset.append(starts[inside].astype(np.int32))
             key = np.concatenate([np.zeros(0, np.uint64), *keys])
             order = np.argsort(key, kind="stable")
-            flags = np.zeros(1 << _FLAG_BITS, bool)
-            flags[key >> np.uint64(64 - _FLAG_BITS)] = True
+            flags = _flags(key)
             self.tables.append((key[order], np.concatenate([np.zeros(0, np.int32), *item])[order], np.concatenate([np.zeros(0, np.int32), *offset])[order], flags))
         self.patterns = [_pattern(t) for t in self.texts]
         self.budget = [int(MOST_EDITS * len(t)) for t in self.texts]
@@ -265,7 +276,7 @@ class Index:
             part = anchors[a : a + (1 << 15)]
             for r, (keys, item, offset, flags) in enumerate(self.tables):
                 key, _ = self.walks.keys(data, part, r)
-                hit = np.flatnonzero(flags[key >> np.uint64(64 - _FLAG_BITS)])
+                hit = _flagged(flags, key)
                 lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
                 real = hi > lo
                 hit, lo, hi = hit[real], lo[real], hi[real]
@@ -336,11 +347,6 @@ def _hits(index: Index, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int
             yield row, item, best
 
 
-@lru_cache(maxsize=1)
-def _index(items: tuple) -> Index:
-    return Index(list(items))
-
-
 def utf8(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string array and where each value begins (one more entry)."""
     _, offsets, values = part.buffers()
@@ -365,11 +371,11 @@ SCHEMA = "doc_id long, h long, item long, n_edits int"
 
 
 def _search(docs: DataFrame, items: list[tuple]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
+    shared, name = docs.sparkSession.sparkContext.broadcast(tuple(items)), uuid.uuid4().hex
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("item", pa.int64()), ("n_edits", pa.int32())])
-        index = _index(shared.value)
+        index = kept(("items", name), lambda: Index(list(shared.value)))
         for batch in parts:
             ids, hashes = batch.column(0), batch.column(1)
             data, off = utf8(batch.column(2))

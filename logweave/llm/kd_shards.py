@@ -1,7 +1,7 @@
 """K-d tree sharding: cells split at weighted medians along their widest metadata dimension.
 
 Every document has one 62-bit key a dimension: its value's place between the least and the greatest
-value (31 bits; null lowest) and a hash of the row (31 bits), so equal values can be split anywhere.
+value (31 bits; null lowest; texts by their rank among the distinct ones) and a hash of the row (31 bits), so equal values can be split anywhere.
 A cell of ``c`` shards is cut along its widest dimension where ``c // 2`` shards' share of its bytes
 lies to the left.  The cut is found by histograms of the cells' bytes, each 4,096 times finer than the
 last, until the bin at the cut weighs next to nothing.  All rows stay distributed; the driver sees
@@ -24,14 +24,38 @@ TOLERANCE = 0.002
 ROWS_A_CHUNK = 250_000
 
 
-def _code(df: DataFrame, name: str) -> Column:
-    """A number in the column's order: the first six bytes of a string, a number by its logarithm."""
-    column = F.col(f"`{name}`")
-    if dict(df.dtypes)[name] in ("string", "binary"):
-        six = F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)
-        return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
-    number = column.cast("double")
-    return F.signum(number) * F.log1p(F.abs(number))
+def _is_text(df: DataFrame, name: str) -> bool:
+    return dict(df.dtypes)[name] in ("string", "binary")
+
+
+def _ranks(docs: DataFrame, name: str, i: int) -> DataFrame:
+    """(value, c): the place of each distinct value of a text column in their order, from 0; values are sorted
+    in ranges, whose counts (a row a range) give the offsets."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = docs.select(F.col(f"`{name}`").cast("string").alias(f"v{i}")).where(F.col(f"v{i}").isNotNull()).distinct()
+    placed = values.repartitionByRange(n, f"v{i}").sortWithinPartitions(f"v{i}").withColumn("row", F.monotonically_increasing_id())
+    placed = written(placed.select(f"v{i}", F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND((1 << 33) - 1).alias("at")), "kd-values")
+    counts = placed.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    return placed.join(offsets, "part").select(f"v{i}", (F.col("offset") + F.col("at")).cast("double").alias(f"c{i}"))
+
+
+def _codes(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """One slim row a document: id, size, checksum, a hash of the row, and c0, c1, ...: numbers in the order of
+    the dimensions' values (a text's rank among the distinct ones, a number by its logarithm)."""
+    text = F.col(f"`{text_col}`").cast("string")
+    crc = F.coalesce(F.crc32(text), F.lit(0))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
+    tie = F.xxhash64(F.col(f"`{id_col}`"), crc, *[F.col(f"`{d}`") for d in dims])
+    columns, texts = [], [i for i, d in enumerate(dims) if _is_text(docs, d)]
+    for i, d in enumerate(dims):
+        number = F.col(f"`{d}`").cast("double") if i not in texts else None
+        columns.append(F.col(f"`{d}`").cast("string").alias(f"v{i}") if i in texts else (F.signum(number) * F.log1p(F.abs(number))).alias(f"c{i}"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), tie.alias("tie"), *columns)
+    for i in texts:
+        rows = rows.join(_ranks(docs, dims[i], i), f"v{i}", "left").drop(f"v{i}")
+    return rows
 
 
 def _numbers(values: list[int], index: Column) -> Column:
@@ -42,20 +66,16 @@ def _numbers(values: list[int], index: Column) -> Column:
 
 def _keyed(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
     """One slim row a document: id, size, checksum and a key for each dimension."""
-    text = F.col(f"`{text_col}`").cast("string")
-    codes = docs.select(*[_code(docs, d).alias(f"c{i}") for i, d in enumerate(dims)])
-    ranges = codes.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    crc = F.coalesce(F.crc32(text), F.lit(0))
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
-    tie = F.xxhash64(F.col(f"`{id_col}`"), crc, *[F.col(f"`{d}`") for d in dims])
+    rows = written(_codes(docs, dims, id_col, text_col), "kd-codes")
+    ranges = rows.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
     mask = (1 << PLACE_BITS) - 1
     keys = []
-    for i, d in enumerate(dims):
+    for i in range(len(dims)):
         lo, hi = ranges[f"lo{i}"], ranges[f"hi{i}"]
         scale = (mask - 1) / (hi - lo) if lo is not None and hi > lo else 0.0
-        place = F.coalesce(F.floor((_code(docs, d) - F.lit(lo or 0.0)) * F.lit(scale)).cast("long") + 1, F.lit(0))
-        keys.append((place * F.lit(1 << PLACE_BITS) + (tie.bitwiseAND(F.lit(mask)))).alias(f"k{i}"))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), tie.alias("tie"), *keys, F.lit(0).cast("long").alias("cell"))
+        place = F.coalesce(F.floor((F.col(f"c{i}") - F.lit(lo or 0.0)) * F.lit(scale)).cast("long") + 1, F.lit(0))
+        keys.append((place * F.lit(1 << PLACE_BITS) + (F.col("tie").bitwiseAND(F.lit(mask)))).alias(f"k{i}"))
+    return rows.select("doc_id", "size", "text_crc32", "tie", *keys, F.lit(0).cast("long").alias("cell"))
 
 
 def _cuts(rows: DataFrame, n_dims: int, cells: list[int], share: float) -> list[tuple[int, int]]:

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.cgk_decontam import row_groups, utf8
 from logweave.llm.components import components
-from logweave.llm.shared import free_name, written
+from logweave.llm.shared import written
 
 WORDS = 5
 THRESHOLD = (4, 5)
@@ -349,14 +349,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class of linked ones, that with the least id; same columns.
 
-    Documents without words stay.  Rows equal in id and text count as one document and stay once."""
+    Rows without words all stay, those equal in every column once.  Rows with words that are equal in id and
+    text count as one document: the one whose columns have the least hash stays.  Null ids count as the least."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    linked = _classed(docs, id_col, text_col).withColumn("own", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.col("root"))).withColumn("empty", F.col("n") == 0)
-    first = linked.groupBy("empty", "own").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*")
-    kept = written(first.select(*_identity()).distinct(), "forest-kept")
-    names = {n: free_name(docs, n) for n in ("id", "no_id", "h", "n")}
-    key = [names[n] for n in ("id", "no_id", "h")]
-    own = docs.withColumns({names["id"]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0).cast("long")), names["no_id"]: F.col(f"`{id_col}`").isNull(), names["h"]: F.xxhash64(text)})
-    rows = own.join(kept.toDF(*key), key, "left_semi")
-    rows = rows.withColumn(names["n"], F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where(F.col(names["n"]) == 1)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    linked = _classed(docs, id_col, text_col).where("n > 0")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*")
+    chosen = written(first.select(*_identity()), "forest-kept")
+    key = ["id", "no_id", "h"]
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    blank = ~text.rlike(r"[^\x09-\x0D\x20]")
+    own = docs.where(~blank).select(
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0).cast("long")).alias("id"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.xxhash64(text).alias("h"),
+        F.struct(*whole).alias("row"), F.xxhash64(*whole).alias("of_row"),
+    )
+    # copies meet map-side: a task sends one row of each
+    own = own.groupBy(*key).agg(F.min_by("row", "of_row").alias("row"))
+    return own.join(chosen, key, "left_semi").select("row.*").unionByName(docs.where(blank).distinct())

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.labelled import first_by_hash, in_fold, sample
-from logweave.llm.shared import written
+from logweave.llm.shared import free_name, written
 
 #: Rows of either kind that are learned from, at most.
 POSITIVE_ROWS = 8_000
@@ -61,7 +62,7 @@ def features(text: str | None) -> list[float]:
     hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     n, size = len(words), len(data)
     letters = max(1, int(hist[_UPPER | _LOWER | _HIGH].sum()))
-    distinct = set(words)
+    distinct = Counter(words)
     lines = [x for x in text.split("\n") if x]
     packer = zlib.compressobj(1)
     packed = sum(len(packer.compress(data[at : at + (1 << 20)])) for at in range(0, size, 1 << 20)) + len(packer.flush())
@@ -70,7 +71,7 @@ def features(text: str | None) -> list[float]:
         (size - int(hist[_SPACE].sum())) / n,
         math.log(len(distinct)) / math.log(n) if n > 1 else 1.0,
         sum(map(eq, words, words[1:])) / n,
-        words.count(max(distinct, key=len)) / n if len(distinct) < 64 else 0.0,
+        max(distinct.values()) / n,
         int(hist[_UPPER].sum()) / letters,
         int(hist[_SIGN].sum()) / size,
         int(hist[ord("!")]) / n,
@@ -101,10 +102,29 @@ class Model:
         return _sigmoid(_binned(x, self.edges) @ self.weights - self.cut + math.log(self.at / (1 - self.at)))
 
 
-def _edges(x: np.ndarray) -> np.ndarray:
-    """Bin edges of each feature: quantiles, with more of them in both tails."""
+def _edges(x: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Bin edges of each feature (column; ``counts`` rows of each): quantiles, with more of them in both tails."""
     inner = np.linspace(0, 1, BINS - 3)[1:-1]
-    return np.quantile(x, [0.01, 0.04, *inner, 0.96, 0.99], axis=0).T
+    shares = np.array([0.01, 0.04, *inner, 0.96, 0.99])
+    out = []
+    for column in x.T:
+        order = np.argsort(column, kind="stable")
+        upto = np.cumsum(np.ones(len(x), np.int64) if counts is None else counts[order])
+        out.append(column[order][np.searchsorted(upto, shares * upto[-1])])
+    return np.array(out)
+
+
+def _edges_of(described: DataFrame) -> np.ndarray:
+    """Bin edges over all rows with features ``x``.  Values count by their logarithm to 1 / ``RESOLUTION``: the
+    driver gets a row a feature and step, and the edges depend neither on partitions nor on a sample."""
+    place = F.round(F.signum("v") * F.log1p(F.abs("v")) * RESOLUTION).cast("long").alias("place")
+    found = described.select(F.posexplode("x").alias("feature", "v")).groupBy("feature", place).count().collect()
+    out = []
+    for k in range(len(FEATURES)):
+        at, n = np.array(sorted((r["place"], r["count"]) for r in found if r["feature"] == k), np.int64).T
+        value = np.sign(at) * np.expm1(np.abs(at) / RESOLUTION)
+        out.append(_edges(value[:, None], n)[0] + 1e-9)  # a value lies left of its own edge
+    return np.array(out)
 
 
 def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -225,8 +245,9 @@ def _histogram(described: DataFrame, edges: np.ndarray, weights: np.ndarray) ->
 def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS, threshold: float = 0.3) -> Model | None:
     """Model from at most ``positives`` good labelled documents and ``unlabelled`` others (either the
     least by a hash of the id) outside the fold ``crc32(doc_id) % n == k``; None without positives.
-    The prior's share of the unlabelled rows gets scores from ``threshold`` on: prior and cut come from
-    histograms of the margins of all rows outside the fold; bin edges and weights are fitted to the sample."""
+    The prior's share of the unlabelled rows gets scores from ``threshold`` on: bin edges, prior and cut come
+    from histograms of all rows outside the fold; only the weights are fitted to the sample.  The prior is
+    held between 0.02 and 0.98, below and above which nothing could be learned."""
     p = _matrix(sample(docs, labels.where("quality = 1"), "quality", held_out, positives).orderBy("doc_id"))
     others = first_by_hash(docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), *held_out)).distinct(), unlabelled)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -235,9 +256,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     u = np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
     if not len(p) or not len(u):
         return None
-    edges = _edges(np.concatenate((p, u)))
-    bp, bu = _binned(p, edges), _binned(u, edges)
     described = written(texts.where(~in_fold(F.col("doc_id"), *held_out)).select("doc_id", feature_column().alias("x")), "quality-features")
+    edges = _edges_of(described)
+    bp, bu = _binned(p, edges), _binned(u, edges)
     ranking = _ranking(bp, bu)
     used = docs.sparkSession.createDataFrame([(r.doc_id,) for r in found[::2]], "doc_id long")
     prior = tail_ratio(bp[1::2] @ ranking, *_histogram(described.join(F.broadcast(used), "doc_id", "left_anti"), edges, ranking))
@@ -246,13 +267,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     return Model(edges, weights, prior, valley(margins, prior, counts=counts), threshold)
 
 
-def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
-
-    Null texts count as empty ones, which have a score of their own; without a model (nothing to learn
-    from) every score is 0.5.  Whole texts are scored in place, without a shuffle; columns of those names
-    are replaced, all others and repeated rows stay; an empty table stays empty.
-    """
+def score_column(model: Model | None, text_col: str = "text"):
+    """Column of the scores (0 to 1) of whole texts; null counts as empty, without a model all are 0.5."""
 
     @F.arrow_udf("double")
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -263,10 +279,26 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text",
                 out.append(model.score(x) if model else np.full(len(texts), 0.5))
             yield pa.array(np.concatenate(out), pa.float64())
 
-    rows = docs.withColumn("score", scored(F.col(f"`{text_col}`").cast("string")))
+    return scored(F.col(f"`{text_col}`").cast("string"))
+
+
+def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+
+    Null texts count as empty ones, which have a score of their own; without a model (nothing to learn
+    from) every score is 0.5.  Whole texts are scored in place, without a shuffle; columns of those names
+    are replaced, all others and repeated rows stay; an empty table stays empty.
+    """
+    rows = docs.withColumn("score", score_column(model, text_col))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def good_documents(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns alone, whatever their names."""
+    own = free_name(docs, "score")
+    return docs.withColumn(own, score_column(model, text_col)).where(F.col(own) >= threshold).drop(own)
+
+
 def held_out_scores(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """doc_id, held_out, score, predicted of all ``docs`` by a model learned outside the fold."""
     model = learn(docs, labels, held_out)

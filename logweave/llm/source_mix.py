@@ -85,6 +85,8 @@ def _slots(sources: DataFrame) -> DataFrame:
     s = s.withColumn("count", below("hi") - below("lo"))
     first = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("first", F.coalesce(F.sum("count").over(first), F.lit(0))).where("count > 0")
+    # a task for each part of the shards' slots, not one for the few rows that they come from
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
     slots = s.select("rank", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("j"))
     # a draw beyond the passes is void
     slots = slots.where(F.col("j") < F.col("blocks") * MOST_PASSES)

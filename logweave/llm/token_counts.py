@@ -13,7 +13,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
+from logweave.llm.shared import Remembered, kept
 
-#: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of pre-tokens' counts that a worker remembers.
+REMEMBERED = 32 << 20
 #: Longer pre-tokens are counted one by one, without being remembered.
 LONG = 256
 #: From here on, normalisation is left to the library; below, only case folding is needed.
@@ -103,7 +103,7 @@ class Counter:
         self.merges = Merges(path)
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.classes = ta.unpacked(classes)
-        self.known: dict[int, int] = {}
+        self.known = Remembered(REMEMBERED)
         self.lower = np.arange(PLAIN, dtype=np.uint32)
         for c in range(PLAIN):
             low = chr(c).lower()
@@ -117,7 +117,7 @@ class Counter:
         for rows, pieces in ta.groups(texts):
             plain_rows, plain = [], []
             for row, piece in zip(rows, pieces, strict=True):
-                if special and "<|" in piece:
+                if special and special.search(piece):
                     parts = special.split(piece)
                     total[row] += len(parts) - 1
                 else:
@@ -151,24 +151,22 @@ class Counter:
         return np.diff(sums[np.searchsorted(starts, off)])
 
     def _distinct(self, key: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        get = self.known.get
-        keys = key.tolist()
-        found = np.fromiter((get(k, 0) for k in keys), np.int64, len(keys))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = np.flatnonzero(found == 0)
-        for i, a, b in zip(missing.tolist(), starts[missing].tolist(), ends[missing].tolist(), strict=True):
-            found[i] = self.known[keys[i]] = self._one(text[a:b])
-        return found
+        if self.known.size() > self.known.most:
+            self.known.forget()
+        at = self.known.find(key)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            spans = zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)
+            at[missing] = self.known.add(key[missing], [[self._one(text[a:b])] for a, b in spans])
+        return self.known.values[at].astype(np.int64)  # one value a slot
 
     def _one(self, word: str) -> int:
         return self.merges.count(word.encode("utf-8", "surrogatepass"))
 
 
-@lru_cache(maxsize=2)
 def counter(path: str, classes: bytes) -> Counter:
     """The worker's counter of a vocabulary file, kept over tasks."""
-    return Counter(path, classes)
+    return kept(("counter", path), lambda: Counter(path, classes))
 
 
 def token_count(text: Column | str, path: str) -> Column:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +20,13 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.elias_fano import EliasFano
-from logweave.llm.shared import written
+from logweave.llm.shared import Remembered, kept, written
 from logweave.llm.token_counts import byte_symbols
 
 #: Ids after which a segment ends (a document is never split).
 SEGMENT_IDS = 1 << 18
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 1_000_000
-#: Longer pre-tokens are encoded one by one, without being remembered.
-LONG = 256
+#: Bytes of pre-tokens' ids that a worker remembers; the memory is emptied when full, which changes no result.
+REMEMBERED = 32 << 20
 END_ID = 2
 
 SEGMENTS = "part long, segment long, start long, n_ids long, width int, doc_ids array<long>, bounds binary, ids binary"
@@ -53,12 +50,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.signs = dict(enumerate(byte_symbols()))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known = Remembered(REMEMBERED)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,44 +77,28 @@ class Encoder:
             return [np.zeros(0, np.uint32)] * len(pieces)
         starts = ta.byte_bpe_spans(cp, off, self.classes)
         ends = np.append(starts[1:], len(cp))
-        if (ends - starts).max() > LONG:
-            return [np.array(ids, np.uint32) for ids in self._library(pieces)]
         key, first, back = np.unique(ta.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         at = self._distinct(key, "".join(pieces), starts[first], ends[first])[back]
-        lengths = self.count[at]
-        ids = self.ids[ta.ragged(self.first[at], lengths)]
+        lengths = np.diff(self.known.first)[at]
+        ids = self.known.values[ta.ragged(self.known.first[at], lengths)]
         cuts = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, off)]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _distinct(self, key, text: str, starts, ends) -> np.ndarray:
-        if len(self.known) + len(key) > REMEMBERED and self.known:
-            self._forget()
-        keys = key.tolist()
-        get = self.known.get
-        at = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        """Slots of the pre-tokens (sorted keys, all different)."""
+        if self.known.size() > self.known.most:
+            self.known.forget()
+        at = self.known.find(key)
         missing = np.flatnonzero(at < 0)
-        for i, a, b in zip(missing.tolist(), starts[missing].tolist(), ends[missing].tolist(), strict=True):
-            signs = text[a:b].encode("utf-8").decode("latin-1").translate(self.signs)
-            at[i] = self.known[keys[i]] = self._remember([t.id for t in self.model.tokenize(signs)])
+        if len(missing):
+            signs = (text[a:b].encode("utf-8").decode("latin-1").translate(self.signs) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True))
+            at[missing] = self.known.add(key[missing], [[t.id for t in self.model.tokenize(x)] for x in signs])
         return at
 
-    def _remember(self, ids) -> int:
-        k, n = len(self.known), len(ids)
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        if k >= len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-            self.count = np.concatenate((self.count, np.zeros_like(self.count)))
-        self.ids[self.used : self.used + n] = ids
-        self.first[k], self.count[k] = self.used, n
-        self.used += n
-        return k
-
 
-@lru_cache(maxsize=2)
 def encoder(path: str, classes: bytes) -> Encoder:
     """The worker's encoder of a vocabulary file, kept over tasks."""
-    return Encoder(path, classes)
+    return kept(("encoder", path), lambda: Encoder(path, classes))
 
 
 def _segment(part: int, segment: int, start: int, doc_ids: list, ids: list[np.ndarray]) -> dict:

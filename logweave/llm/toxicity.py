@@ -252,7 +252,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", th
     """``docs`` with ``score`` (0 to 1; null and empty texts have the base rate) and ``predicted``.
 
     Whole texts are scored in place, without a shuffle; columns of those names are replaced, all others
-    and repeated rows stay; an empty table stays empty.
+    and repeated rows stay; an empty table stays empty.  Lexicon entries have ``SHORTEST`` signs or more, so
+    shorter words count only within longer ones or phrases.
     """
     scored = docs.withColumn("score", _scorer(lexicon, True)(F.col(f"`{text_col}`").cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

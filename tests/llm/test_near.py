@@ -15,7 +15,7 @@ from logweave.llm import lsh_forest as lf
 from logweave.llm import piecewise_hash as ph
 from logweave.llm.components import components
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import SCHEMA, prose
+from tests.llm.conftest import SCHEMA, prose, rows_of
 
 
 def edit_distance(a, b):
@@ -331,3 +331,12 @@ def test_pipeline_stages(spark, monkeypatch):
     lengths = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept.collect()}
     out = cp.run(spark, SF_SMALL).collect()
     assert {r.doc_id: r.n_tokens for r in out} == lengths
+
+
+def test_rows_without_words_stay_whatever_their_columns(spark):
+    rows = [(None, None, "en", "a", 0), (None, "", "en", "b", 0), (None, "", "en", "c", 0), (3, " \n", "en", "a", 2), (3, " \n", "en", "a", 2)]
+    rows += [(4, "some words of a text", "en", "a", 5), (4, "some words of a text", "fr", "b", 5), (5, "some words of a text", "en", "a", 5)]
+    got = rows_of(lf.one_of_each(spark.createDataFrame(rows, SCHEMA)))
+    assert sorted(got, key=repr) == sorted([*rows[:4], *[r for r in got if r[0] == 4]], key=repr) and len(got) == 5
+    again = rows_of(lf.one_of_each(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)))
+    assert sorted(again, key=repr) == sorted(got, key=repr)

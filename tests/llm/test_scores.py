@@ -99,3 +99,21 @@ def test_odd_rows(spark, clashing, none, labels):
 def test_features_are_finite():
     for text in (None, "", " ", "a", "a" * 10, "\x00\x01", "Ab! | 12\n\n中", "x y " * 5000):
         assert np.isfinite(pq.features(text)).all() and len(pq.features(text)) == len(pq.FEATURES)
+
+
+def test_share_of_the_most_frequent_word():
+    """Any number of words, ties included: 0.25 of 8 words are 'b', also among hundreds of others."""
+    at = pq.FEATURES.index("top_word")
+    assert pq.features("a b c b d e f g")[at] == 0.25 == pq.features("b a b c d e a f")[at]
+    assert pq.features(" ".join([f"w{k}" for k in range(300)] + ["same"] * 100))[at] == 0.25
+
+
+def test_bin_edges_come_from_all_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.gamma(2.0, 3.0, (20_000, len(pq.FEATURES)))
+    made = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    edges, again = pq._edges_of(made.repartition(7)), pq._edges_of(made.repartition(2))
+    assert (edges == again).all()
+    inner = np.linspace(0, 1, pq.BINS - 3)[1:-1]
+    want = np.quantile(x, [0.01, 0.04, *inner, 0.96, 0.99], axis=0).T
+    assert np.allclose(edges, want, rtol=0.02, atol=0.02)

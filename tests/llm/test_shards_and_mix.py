@@ -126,3 +126,18 @@ def test_main_paths_are_native(small):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     assert rows_of(small.limit(0)) == []
+
+
+def test_texts_with_a_common_beginning_are_split_by_source(spark):
+    """Sources that agree in their first signs have places of their own."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', 30) AS text", "'en' AS lang", "concat('https://common.example/crawl/', lpad(cast(id % 30 AS string), 3, '0')) AS source", "90L AS n_chars")
+    shard = {r["doc_id"]: r["shard"] for r in sharded(docs, shards=10)}
+    by_source = defaultdict(set)
+    for d, s in shard.items():
+        by_source[d % 30].add(s)
+    # 30 sources of equal size over 10 shards: three whole sources a shard, cut at rows only near the edges
+    assert sum(len(s) for s in by_source.values()) <= 40
+    counts = Counter(shard.values())
+    assert max(counts.values()) - min(counts.values()) <= 6
+    codes = kd._codes(docs, ("source", "lang", "n_chars"), "doc_id", "text").select("doc_id", "c0").collect()
+    assert {r.doc_id % 30: r.c0 for r in codes} == {k: float(k) for k in range(30)}
