@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm.cgk_decontam import clean_documents
 from logweave.llm.lsh_forest import one_of_each
-from logweave.llm.pu_quality import learn, score_quality
+from logweave.llm.pu_quality import good_documents, learn
 from logweave.llm.shared import written
 from logweave.llm.source_mix import mixed_documents
 from logweave.llm.token_output import read_boundaries, write_token_ids
@@ -21,33 +21,46 @@ def _ready(spark: SparkSession) -> None:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null and empty texts are scored as empty ones; repeated rows are scored alike; without labels of good
+    quality all stay; an empty table stays empty; columns of any other name stay as they are."""
     _ready(spark)
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return good_documents(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies.
+
+    Texts without words stay (rows equal in every column once); of others equal in id and text one stays; a null id counts as the least; an empty
+    table stays empty; columns of any other name stay as they are."""
     _ready(spark)
     return one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; a document is its id and text, so other texts of one id (or none) stay, and
+    repeated rows stay or go together; an empty table stays empty; columns of any other name stay."""
     _ready(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents made of the words that the mix takes of each."""
+    """Documents made of the words that the mix takes of each.
+
+    Texts without words have nothing to take and go; a null source is a source; rows equal in id and text are
+    interchangeable; an empty table stays empty; columns of any other name stay as they are."""
     _ready(spark)
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Written token ids, by document."""
+    """Written token ids, by document.
+
+    Null and empty texts have the end id alone; null ids come first, repeated rows stay; an empty table gives no
+    row; other columns are left out."""
     _ready(spark)
     return read_boundaries(write_token_ids(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -65,7 +78,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each result written and read again."""
+    """All stages over the whole ``documents`` table, each result written and read again; odd rows and tables as
+    the stages say."""
     _ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
