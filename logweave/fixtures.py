@@ -182,6 +182,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _STAGED:
         df = fixture(spark, sf_dir, name)
         if name in CLUSTERED:
-            df = df.repartitionByRange(CLUSTERED[name])
+            # with a number: a merged result would leave too few files for the cores that scan them
+            df = df.repartitionByRange(spark.sparkContext.defaultParallelism, CLUSTERED[name])
         _STAGED[key] = written(df, f"staged-{name}")
     return _STAGED[key]

@@ -128,21 +128,37 @@ def iso_instant(text: Column) -> Column:
 
 # -- P1 + P12 + P13: OpenSSH prefix (main storage path) ----------------------
 
-def openssh_prefix(line: Column | str, year: int = 2024) -> Column:
-    """Struct of the 7 prefix fields and the timestamp; NULL fields on no match."""
+# the end of a line as ``$`` sees it, taken into the match
+_PREFIX_ALL = OPENSSH_PREFIX[:-1] + r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z"
+
+
+def prefix_groups(line: Column | str) -> Column:
+    """Array of the prefix groups (from place 1 on) by one evaluation of the pattern; NULL on no match.
+    Stage it as a column of its own, and give that to ``openssh_prefix``."""
     line = _col(line)
-    month = group(line, OPENSSH_PREFIX, 1)
-    day = group(line, OPENSSH_PREFIX, 2).try_cast("int")
-    time_text = group(line, OPENSSH_PREFIX, 3)
+    marks = F.regexp_replace(line, _PREFIX_ALL, "".join(f"{_MARK}${i}" for i in range(1, 8)))
+    one = F.when(marks.startswith(_MARK) & ~line.startswith(_MARK), F.split(marks, _MARK, 8))
+    # a mark in the line itself: group by group
+    each = F.when(line.rlike(OPENSSH_PREFIX), F.array(F.lit(""), *[F.regexp_extract(line, OPENSSH_PREFIX, i) for i in range(1, 8)]))
+    return F.when(F.contains(line, F.lit(_MARK)), each).otherwise(one)
+
+
+def openssh_prefix(line: Column | str, year: int = 2024, groups: Column | None = None) -> Column:
+    """Struct of the 7 prefix fields and the timestamp; NULL fields on no match.  ``groups``: the staged
+    ``prefix_groups`` of the line."""
+    groups = prefix_groups(line) if groups is None else groups
+    field = lambda i: F.nullif(F.get(groups, F.lit(i)), F.lit(""))
+    month, time_text = field(1), field(3)
+    day = field(2).try_cast("int")
     return F.struct(
         month.alias("month"),
         day.alias("day"),
         time_text.alias("time_text"),
-        group(line, OPENSSH_PREFIX, 4).alias("host"),
-        F.trim(group(line, OPENSSH_PREFIX, 5)).alias("service"),
-        group(line, OPENSSH_PREFIX, 6).try_cast("int").alias("process_id"),
+        field(4).alias("host"),
+        F.trim(field(5)).alias("service"),
+        field(6).try_cast("int").alias("process_id"),
         # '' is a line with empty content; NULL a line that doesn't match
-        F.when(line.rlike(OPENSSH_PREFIX), F.regexp_extract(line, OPENSSH_PREFIX, 7)).alias("content"),
+        F.get(groups, F.lit(7)).alias("content"),
         ntz_from_parts(year, month_number(month), day, time_text).alias("log_timestamp"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.config import DEFAULT
-from logweave.functions.parse import openssh_prefix
+from logweave.functions.parse import openssh_prefix, prefix_groups
 from logweave.functions.text import classify_level, normalize_storage
 from logweave.sources.lines import limit_lines
 
@@ -18,8 +18,8 @@ LOG_COLUMNS = [
 
 def parse_prefix(lines: DataFrame, year: int = DEFAULT.log_year) -> DataFrame:
     """The OpenSSH prefix fields of every raw line (NULL where no match)."""
-    p = openssh_prefix(F.col("raw_line"), year)
-    return lines.select(
+    p = openssh_prefix(F.col("raw_line"), year, F.col("_prefix"))
+    return lines.select("line_id", "raw_line", prefix_groups("raw_line").alias("_prefix")).select(
         "line_id",
         *[p[f].alias(f) for f in ("month", "day", "time_text", "host", "service", "process_id",
                                    "content", "log_timestamp")],
@@ -53,7 +53,9 @@ def prepare_log_entries(
             "line_id", "raw_message", "event_id", "event_template"
         )
         joined = lines.select("line_id", "raw_line").join(structured, "line_id", "left")
-    p = openssh_prefix(F.col("raw_line"), year)
+    # the pattern is evaluated once a line, in a step of its own
+    joined = joined.withColumn("_prefix", prefix_groups("raw_line"))
+    p = openssh_prefix(F.col("raw_line"), year, F.col("_prefix"))
     raw_message = F.coalesce(F.col("raw_message"), p["content"], F.col("raw_line"))  # N4
     staged = joined.select(
         "line_id",
