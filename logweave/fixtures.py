@@ -186,3 +186,15 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.repartitionByRange(spark.sparkContext.defaultParallelism, CLUSTERED[name])
         _STAGED[key] = written(df, f"staged-{name}")
     return _STAGED[key]
+
+
+def search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged log rows as a search store, written once per application."""
+    from logweave.session import scratch_path
+    from logweave.sources.parquet import write_search_store
+
+    key = (spark.sparkContext.applicationId, sf_dir, "search-store")
+    if key not in _STAGED:
+        path = write_search_store(staged(spark, sf_dir, "f_logs"), scratch_path(spark, "search-store"), row_group_bytes=256 << 10, page_rows=200)
+        _STAGED[key] = spark.read.parquet(path)
+    return _STAGED[key]

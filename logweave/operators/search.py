@@ -1,9 +1,11 @@
 """Semantic, keyword, neighbour and batch searches.
 
-Corpus-side work is one scan with a per-task top-N (TakeOrderedAndProject).
-The matched messages are joined to the log rows without a hint: a short list
-is broadcast from its measured size at run time, a long one is shuffled.
-Query vectors are literals, as a bound SQL parameter would be.
+Corpus-side work is one scan of the vectors with a per-task top-N
+(TakeOrderedAndProject).  Up to ``PUSHED`` matched messages then go to the log
+scan as literals: on a store written by ``sources.parquet.write_search_store``
+only the row groups and pages that hold them are read.  More of them are
+joined without a hint, so their measured size decides between broadcast and
+shuffle.  Query vectors are literals, as a bound SQL parameter would be.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from logweave.operators.analytics import filter_level
 RESULT_COLUMNS = ["id", "line_id", "log_timestamp", "level", "event_id", "raw_message", "event_template"]
 QUERY_BLOCK = 512  # queries that one task of the batch search holds
 CORPUS_BLOCK = 50_000  # vectors that one task of the batch search holds
+PUSHED = 512  # matched messages that go to the log scan as literals
 
 
 def _check_k(top_k: int) -> int:
@@ -55,19 +58,38 @@ def hit_order() -> list:
     ]
 
 
-def _hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
+def rows_of_messages(logs: DataFrame, matches: DataFrame, n: int) -> DataFrame:
+    """Log rows of the matched messages (at most ``n``, with similarity and distance)."""
+    if n > PUSHED:
+        return _with_id(logs).join(matches, "normalized_message")
+    found = matches.select("normalized_message", "similarity", "distance").collect()
+    return _rows_of(logs, [tuple(r) for r in found])
+
+
+def _rows_of(logs: DataFrame, found: list[tuple]) -> DataFrame:
+    """Log rows of a short list of (message, similarity, distance): looked up by literals, without a join."""
+    messages = [m for m, _, _ in found]
+    asked = _with_id(logs).filter(F.col("normalized_message").isin(messages))
+    place = F.array_position(F.array(*[F.lit(m) for m in messages]) if found else F.array().cast("array<string>"), F.col("normalized_message"))
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("double") for v in values]) if found else F.array().cast("array<double>"), F.col("_place") - 1)
+    asked = asked.withColumn("_place", place.cast("int"))
+    return asked.withColumns({"similarity": of([x for _, x, _ in found]), "distance": of([x for _, _, x in found])}).drop("_place")
+
+
+def _hits(matches: DataFrame, logs: DataFrame, n: int, top_k: int, level: str | None,
           exclude_id: int | None = None) -> DataFrame:
-    """Top-k log rows of the matched messages, with the raw distance kept."""
-    hits = _with_id(logs).join(matches, "normalized_message")
+    """Top-k log rows of the ``n`` matched messages, with the raw distance kept."""
+    hits = rows_of_messages(logs, matches, n)
     hits = filter_level(hits, level)  # after the cut, as in the reference
     if exclude_id is not None:
         hits = hits.filter(F.col("id") != F.lit(exclude_id))
     return hits.orderBy(*hit_order()).limit(top_k)
 
 
-def _ranked_hits(matches: DataFrame, logs: DataFrame, top_k: int, level: str | None,
-                 exclude_id: int | None = None) -> DataFrame:
-    return _hits(matches, logs, top_k, level, exclude_id).select(
+def _ranked_hits(vecs: DataFrame, query: Sequence[float], logs: DataFrame, top_k: int, overfetch: int,
+                 level: str | None, exclude_id: int | None = None) -> DataFrame:
+    n = max(top_k, overfetch)
+    return _hits(nearest_messages(vecs, query, n), logs, n, top_k, level, exclude_id).select(
         *RESULT_COLUMNS, F.round("similarity", 6).alias("similarity")
     )
 
@@ -80,18 +102,16 @@ def semantic_search(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     line).  The level filter runs after the cut, so fewer than ``top_k``
     rows can come back (reference semantics)."""
     top_k = _check_k(top_k)
-    matches = nearest_messages(vecs, query, max(top_k, overfetch))
-    return _ranked_hits(matches, logs, top_k, level)
+    return _ranked_hits(vecs, query, logs, top_k, overfetch, level)
 
 
 def message_vector(logs: DataFrame, vecs: DataFrame, log_id: int) -> list[float] | None:
-    """The vector of one log row's message (one row to the driver)."""
-    row = (
-        _with_id(logs).filter(F.col("id") == F.lit(log_id)).select("normalized_message")
-        .join(vecs.select("normalized_message", "embedding"), "normalized_message")
-        .select("embedding").first()
-    )
-    return None if row is None or row[0] is None else [float(x) for x in row[0]]
+    """The vector of one log row's message: two look-ups by literal, the row's message and its vector."""
+    row = _with_id(logs).filter(F.col("id") == F.lit(log_id)).select("normalized_message").first()
+    if row is None or row[0] is None:
+        return None
+    own = vecs.filter(F.col("normalized_message") == F.lit(row[0])).select("embedding").first()
+    return None if own is None or own[0] is None else [float(x) for x in own[0]]
 
 
 def similar_logs(logs: DataFrame, vecs: DataFrame, log_id: int,
@@ -106,8 +126,7 @@ def similar_logs(logs: DataFrame, vecs: DataFrame, log_id: int,
     if vec is None:
         empty = _with_id(logs).limit(0)
         return empty.select(*RESULT_COLUMNS, F.lit(None).cast("double").alias("similarity"))
-    matches = nearest_messages(vecs, vec, max(top_k, overfetch))
-    return _ranked_hits(matches, logs, top_k, None, exclude_id=log_id)
+    return _ranked_hits(vecs, vec, logs, top_k, overfetch, None, exclude_id=log_id)
 
 
 def like_pattern(query: str) -> str:
@@ -147,7 +166,8 @@ def semantic_event_ids(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     """First ``max_events`` distinct non-empty event ids in rank order of
     a semantic result (``top_k`` rows, ranked in one small window)."""
     top_k = _check_k(top_k)
-    hits = _hits(nearest_messages(vecs, query, max(top_k, DEFAULT.semantic_overfetch)), logs, top_k, None)
+    n = max(top_k, DEFAULT.semantic_overfetch)
+    hits = _hits(nearest_messages(vecs, query, n), logs, n, top_k, None)
     w = Window.orderBy(*hit_order())  # a global window over top_k rows
     ranked = hits.withColumn("rank", F.row_number().over(w).cast("long"))
     return (
@@ -164,15 +184,23 @@ def knn_documents(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
     level as a post-filter, vector dropped, score = cosine similarity.
 
     Exact without joining every log row to its vector: the k best rows come
-    from the k best messages that have a row.  The logs are reduced to one
-    row per message once; the vectors of those messages give the k best, and
-    one more pass fetches their rows.
+    from the k best messages that have a row.  The nearest messages are looked
+    up in the logs, more of them each time, until k of them have rows; only
+    past ``PUSHED`` messages are the logs reduced to one row per message.
     """
     top_k = _check_k(top_k)
     logs = _with_id(logs)
-    present = logs.groupBy("normalized_message").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    cand = nearest_messages(vecs.join(present, "normalized_message", "left_semi"), query, top_k)
-    rows = logs.join(cand, "normalized_message")
+    n = 2 * top_k
+    while True:
+        if n > PUSHED:
+            present = logs.groupBy("normalized_message").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+            rows = logs.join(nearest_messages(vecs.join(present, "normalized_message", "left_semi"), query, top_k), "normalized_message")
+            break
+        found = [tuple(r) for r in nearest_messages(vecs, query, n).select("normalized_message", "similarity", "distance").collect()]
+        rows = _rows_of(logs, found)
+        if len(found) < n or rows.select("normalized_message").distinct().count() >= top_k:
+            break
+        n *= 4
     top = rows.orderBy(rank_key(F.col("distance")).asc_nulls_last(), F.col("line_id")).limit(top_k)
     top = filter_level(top, level)
     keep = [c for c in logs.columns if c != "embedding"]

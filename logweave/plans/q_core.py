@@ -34,6 +34,11 @@ def logs(spark, d):
     return fx.staged(spark, d, "f_logs")
 
 
+def search_logs(spark, d):
+    """The same rows in a store clustered by message, for searches (written once per application)."""
+    return fx.search_store(spark, d)
+
+
 def vecs(spark, d):
     """The message_embeddings table (stored input, materialised once)."""
     return fx.staged(spark, d, "f_vecs")

@@ -15,7 +15,7 @@ from logweave.operators import analytics as an
 from logweave.operators import embed as em
 from logweave.operators import search as se
 from logweave.plans import sqlparts as sp
-from logweave.plans.q_core import logs, prepared, vecs
+from logweave.plans.q_core import logs, prepared, search_logs, vecs
 from logweave.plans.registry import query
 from logweave.session import written
 
@@ -59,19 +59,19 @@ def q_cosine_pairs(spark, d):
 
 @query("semantic_search", W(_semantic_sql(), "f_vecs", "f_logs"))
 def q_semantic(spark, d):
-    return se.semantic_search(logs(spark, d), vecs(spark, d), query_vec(spark, d))
+    return se.semantic_search(search_logs(spark, d), vecs(spark, d), query_vec(spark, d))
 
 
 @query("semantic_search_level", W(_semantic_sql(level="ERROR"), "f_vecs", "f_logs"))
 def q_semantic_level(spark, d):
-    return se.semantic_search(logs(spark, d), vecs(spark, d), query_vec(spark, d), level="ERROR")
+    return se.semantic_search(search_logs(spark, d), vecs(spark, d), query_vec(spark, d), level="ERROR")
 
 
 @query("result_projection", W(f"""
 SELECT id, line_id, {sp.iso_text('log_timestamp')} AS log_timestamp, level, event_id, raw_message,
  event_template, similarity FROM ({_semantic_sql()}) t""", "f_vecs", "f_logs"))
 def q_result_projection(spark, d):
-    r = se.semantic_search(logs(spark, d), vecs(spark, d), query_vec(spark, d))
+    r = se.semantic_search(search_logs(spark, d), vecs(spark, d), query_vec(spark, d))
     return r.withColumn("log_timestamp", iso_text(F.col("log_timestamp")))
 
 
@@ -81,7 +81,7 @@ SIM_QV = ("qv AS (SELECT v.embedding AS q FROM f_logs l JOIN f_vecs v "
 
 @query("similar_logs", W(_semantic_sql(exclude=8, qv=SIM_QV), "f_vecs", "f_logs"))
 def q_similar(spark, d):
-    return se.similar_logs(logs(spark, d), vecs(spark, d), log_id=8)
+    return se.similar_logs(search_logs(spark, d), vecs(spark, d), log_id=8)
 
 
 _IDS_SQL = f"""
@@ -98,7 +98,7 @@ ids AS (SELECT event_id, min(rank) AS first_rank FROM hits WHERE event_id IS NOT
 @query("semantic_event_ids", W(f"WITH {QV}, {_IDS_SQL} SELECT event_id, first_rank FROM ids",
                                "f_vecs", "f_logs"))
 def q_event_ids(spark, d):
-    return se.semantic_event_ids(logs(spark, d), vecs(spark, d), query_vec(spark, d))
+    return se.semantic_event_ids(search_logs(spark, d), vecs(spark, d), query_vec(spark, d))
 
 
 @query("timeline_query", W(f"""
@@ -110,7 +110,7 @@ FROM f_logs WHERE log_timestamp IS NOT NULL
 GROUP BY 1 ORDER BY 1""", "f_vecs", "f_logs"))
 def q_timeline_query(spark, d):
     # at most five ids reach the driver (the reference applies them as an IN list)
-    ids = [r[0] for r in se.semantic_event_ids(logs(spark, d), vecs(spark, d), query_vec(spark, d)).collect()]
+    ids = [r[0] for r in se.semantic_event_ids(search_logs(spark, d), vecs(spark, d), query_vec(spark, d)).collect()]
     return an.timeline(logs(spark, d), "day", event_ids=ids or None).withColumn(
         "matched_event_ids", F.lit(",".join(ids)) if ids else F.lit(None).cast("string")
     )
@@ -124,7 +124,7 @@ SELECT * FROM (
  FROM f_logs l JOIN s ON s.normalized_message = l.normalized_message
  ORDER BY round(1 - s.similarity, 9), l.line_id LIMIT 20) t WHERE level = 'WARNING'""", "f_vecs", "f_logs"))
 def q_knn_documents(spark, d):
-    return se.knn_documents(logs(spark, d), vecs(spark, d), query_vec(spark, d), level="WARNING")
+    return se.knn_documents(search_logs(spark, d), vecs(spark, d), query_vec(spark, d), level="WARNING")
 
 
 @query("semantic_search_batch", """
@@ -238,7 +238,7 @@ def q_embed_incremental(spark, d):
 @query("semantic_search_1000", W(_semantic_sql(top_k=1000), "f_vecs", "f_logs"))
 def q_semantic_1000(spark, d):
     """K1 with a large k."""
-    return se.semantic_search(logs(spark, d), vecs(spark, d), query_vec(spark, d), top_k=1000)
+    return se.semantic_search(search_logs(spark, d), vecs(spark, d), query_vec(spark, d), top_k=1000)
 
 
 @query("keyword_search_1000", W(_keyword_sql(KEYWORD, top_k=1000), "prepared"))

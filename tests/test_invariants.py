@@ -266,3 +266,53 @@ def test_replayed_alert_batch_changes_nothing(spark):
     for run in range(2):  # a new checkpoint runs batch 0 again
         st.alerts_stream(stream, model, out, scratch_path(spark, f"alert_ckpt{run}"))
     assert spark.read.parquet(out).count() == f_vecs(spark).count()
+
+
+def test_search_store_skips_what_it_does_not_hold(spark):
+    """Messages pushed as literals: the scan of a store clustered by message reads about their rows alone."""
+    from logweave.session import scratch_path
+    from logweave.sources.parquet import write_search_store
+
+    logs = spark.range(60_000).selectExpr(
+        "id", "id AS line_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS log_timestamp",
+        "'INFO' AS level", "'E1' AS event_id", "concat('raw ', id) AS raw_message", "'t' AS event_template",
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('message ', id % 900) END AS normalized_message")
+    path = write_search_store(logs, scratch_path(spark, "store"), files=4, row_group_bytes=128 << 10, page_rows=200)
+    store = spark.read.parquet(path)
+    assert store.count() == 60_000 and sorted(store.columns) == sorted(logs.columns)
+
+    def scanned(df):
+        df.collect()
+        nodes = [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if "FileSourceScan" in node.getClass().getName():
+                return node.metrics().apply("numOutputRows").value()
+            if "AdaptiveSparkPlan" in node.getClass().getName():
+                nodes.append(node.executedPlan())
+                continue
+            if "QueryStage" in node.getClass().getName():
+                nodes.append(node.plan())
+                continue
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        raise AssertionError("no scan")
+
+    found = [(f"message {k}", 0.9 - k / 1000, 0.1 + k / 1000) for k in (1, 400, 899)]
+    rows = se._rows_of(store, found)
+    assert rows.count() == 200 and scanned(rows) <= 0.05 * 60_000
+    assert scanned(se._with_id(store).filter(F.col("id") == 777)) <= 0.05 * 60_000
+    want = {(r.id, round(r.similarity, 6)) for r in se._rows_of(logs, found).collect()}
+    assert {(r.id, round(r.similarity, 6)) for r in rows.collect()} == want
+    assert se._rows_of(store, []).count() == 0 and se._rows_of(store, [("hot", None, None)]).count() == 20_000
+    many = spark.createDataFrame(found, "normalized_message string, similarity double, distance double")
+    assert se.rows_of_messages(store, many, se.PUSHED + 1).count() == 200  # a long list is joined
+
+
+def test_knn_documents_looks_further_until_rows_are_found(spark):
+    """Nearest messages without rows don't count; the search goes on to those with rows."""
+    vecs = spark.createDataFrame([(f"m{k}", [1.0, k / 100.0]) for k in range(300)], "normalized_message string, embedding array<double>")
+    rows = [(k, k, f"m{270 + k % 20}") for k in range(1, 41)]
+    logs = spark.createDataFrame(rows, "id long, line_id long, normalized_message string").selectExpr(
+        "*", "cast(null AS timestamp_ntz) AS log_timestamp", "'INFO' AS level", "'e' AS event_id", "'r' AS raw_message", "'t' AS event_template")
+    got = [r.line_id for r in se.knn_documents(logs, vecs, [1.0, 0.0], 5).collect()]
+    assert got == [20, 40, 1, 21, 2]
