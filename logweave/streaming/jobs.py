@@ -9,7 +9,6 @@ batch leaves the same rows.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,91 +46,99 @@ def _with_event_time(logs: DataFrame, ts_col: str) -> DataFrame:
     return logs.filter(F.col(ts_col).isNotNull()).withColumn("_et", F.col(ts_col).cast("timestamp"))
 
 
-def _overwrite_each_batch(path: str):
+def _keep_each_batch(path: str):
+    """Each batch's changed counts in a folder of its own: a replayed batch leaves the same rows, and readers
+    never see a folder being rewritten."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
 
+def _window_counts(stream: DataFrame, ts_col: str, watermark: str, size: str) -> DataFrame:
+    """Rows per tumbling window, with the window's start; state goes when the watermark has passed its end."""
+    return (
+        _with_event_time(stream, ts_col).withWatermark("_et", watermark)
+        .groupBy(F.window("_et", size).alias("w"))
+        .agg(F.count(F.lit(1)).alias("count"))
+        .select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "count")
+    )
+
+
 def timeline(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
              granularity: str = "hour", watermark: str = "1 hour", complete: bool = True,
              live_trigger: str | None = None):
     """ST2: live counts per tumbling hour/day window.
 
-    ``complete`` re-emits every window each batch (equals the batch
-    timeline); append mode emits a window once the watermark passes its end
-    and drops rows later than the watermark.
+    ``complete`` gives every window's count as soon as a batch changes it (read
+    by ``current_counts``); else a window comes once, when the watermark has
+    passed its end.  In both forms the state holds the windows that the
+    watermark hasn't passed, and rows of passed windows are dropped; within
+    the watermark a late row is counted.
     """
-    size = {"hour": "1 hour", "day": "1 day"}[granularity]
-    agg = (
-        _with_event_time(stream, ts_col).withWatermark("_et", watermark)
-        .groupBy(F.window("_et", size).alias("w"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "count")
-    )
+    agg = _window_counts(stream, ts_col, watermark, {"hour": "1 hour", "day": "1 day"}[granularity])
     if complete:
-        writer = agg.writeStream.outputMode("complete").foreachBatch(_overwrite_each_batch(out_path))
+        writer = agg.writeStream.outputMode("update").foreachBatch(_keep_each_batch(out_path))
     else:
         writer = agg.writeStream.outputMode("append").format("parquet").option("path", out_path)
     return _run(writer.option("checkpointLocation", checkpoint), live_trigger)
 
 
-def errors_sliding(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
-                   hours: int = 24, level: str = "ERROR", live_trigger: str | None = None):
-    """ST3: ERROR rows per sliding window of ``hours``, advancing hourly.
-
-    The state is one count an hour; each batch adds up the windows from those
-    counts, so a row is counted once and not once per window."""
-    counts = (
-        _with_event_time(stream, ts_col).filter(F.col("level") == level)
-        .groupBy(F.window("_et", "1 hour").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
-    )
+def current_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, count): each window's count by the last batch that changed it."""
+    return spark.read.parquet(path).groupBy("bucket").agg(F.max_by("count", "batch_id").alias("count"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        back = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("back")
-        starts = batch.select("hour", "n", back).select(
-            (F.col("hour") - F.make_dt_interval(F.lit(0), F.col("back"))).alias("window_start"), "n")
-        starts.groupBy("window_start").agg(F.sum("n").alias("count")).write.mode("overwrite").parquet(out_path)
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(write)
+def errors_sliding(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "log_timestamp",
+                   level: str = "ERROR", watermark: str = "1 hour", live_trigger: str | None = None):
+    """ST3: live counts an hour of the rows of a level, from which ``trailing_counts`` adds up the
+    windows.
+
+    A row is counted once, in its hour, and not in each window that holds it.
+    The state is the hours that the watermark hasn't passed, however long the
+    stream runs; rows of passed hours are dropped, later rows within the
+    watermark change their hour's count and so the windows above it."""
+    counts = _window_counts(stream.filter(F.col("level") == level), ts_col, watermark, "1 hour")
+    writer = counts.writeStream.outputMode("update").foreachBatch(_keep_each_batch(out_path))
     return _run(writer.option("checkpointLocation", checkpoint), live_trigger)
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before ``batch_id``; None while the table doesn't exist."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table.filter(F.col("batch_id") < batch_id)
+def trailing_counts(spark: SparkSession, path: str, hours: int = 24) -> DataFrame:
+    """(window_start, count) of the windows of ``hours``, advancing hourly, that hold a row."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("back")
+    starts = current_counts(spark, path).select("bucket", "count", back).select(
+        (F.col("bucket") - F.make_dt_interval(F.lit(0), F.col("back"))).alias("window_start"), F.col("count").alias("n"))
+    return starts.groupBy("window_start").agg(F.sum("n").alias("count"))
 
 
 def embed_stream(stream: DataFrame, table_path: str, checkpoint: str, dim: int = 384,
                  live_trigger: str | None = None):
-    """ST4: each micro-batch writes its messages with their counts to a folder of its own; a message
-    gets its vector in the first batch that has it.  ``stored_embeddings`` is the table of them."""
+    """ST4: two queries over the stream.  One keeps the messages seen as keyed state and passes each on its
+    first sighting, to be embedded; the other writes each batch's counts.  Both read a batch's own rows and
+    nothing of earlier batches.  ``stored_embeddings`` puts them together.
+
+    A null message is a message.  The state has one key a message, as the table has one row; a replayed
+    batch leaves the same rows.  Returns the two queries.
+    """
     from logweave.operators.analytics import distinct_messages
     from logweave.operators.embed import encode
 
-    spark = stream.sparkSession
+    def rows_of(kind: str, make):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            make(batch).select(*STORED).write.mode("overwrite").parquet(f"{table_path}/kind={kind}/batch_id={batch_id}")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        counted = distinct_messages(batch, ordered=False)
-        before = _earlier(spark, table_path, batch_id)
-        if before is None:
-            rows = encode(counted, dim=dim)
-        else:
-            known = before.filter(F.col("embedding").isNotNull()).select("normalized_message").distinct()
-            rows = encode(counted.join(known, "normalized_message", "left_anti"), dim=dim).unionByName(
-                counted.join(known, "normalized_message", "left_semi"), allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        return write
 
-    return _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), live_trigger)
+    counted = rows_of("counts", lambda batch: distinct_messages(batch, ordered=False).withColumn("embedding", F.lit(None).cast("array<float>")))
+    encoded = rows_of("vectors", lambda batch: encode(batch, dim=dim).withColumns(
+        {"representative_event_id": F.lit(None).cast("string"), "representative_level": F.lit(None).cast("string"), "occurrences": F.lit(None).cast("long")}))
+    first = stream.select("normalized_message").dropDuplicates(["normalized_message"])
+    return (_run(first.writeStream.foreachBatch(encoded).option("checkpointLocation", f"{checkpoint}/vectors"), live_trigger),
+            _run(stream.writeStream.foreachBatch(counted).option("checkpointLocation", f"{checkpoint}/counts"), live_trigger))
+
+
+STORED = ("normalized_message", "representative_event_id", "representative_level", "occurrences", "embedding")
 
 
 def stored_embeddings(spark: SparkSession, table_path: str) -> DataFrame:
