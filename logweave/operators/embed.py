@@ -15,18 +15,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.config import DEFAULT
 from logweave.functions.vector import hash_embed
 from logweave.operators.analytics import distinct_messages
+from logweave.session import written
+from logweave.sources.bucketed import BUCKETS, exists, read_bucketed, upsert_bucketed
 
 
 def encode(df: DataFrame, text_col: str = "normalized_message", dim: int = DEFAULT.embedding_dim,
            out: str = "embedding") -> DataFrame:
-    """Default encoder (hashed tokens, JVM-side)."""
+    """Default encoder (tokens hashed in the JVM, bucket sums in an Arrow-batched helper)."""
     return df.withColumn(out, hash_embed(F.col(text_col), dim))
 
 
@@ -97,6 +99,16 @@ def embed_incremental(logs: DataFrame, existing: DataFrame | None = None,
     return upsert(existing, new, "normalized_message"), new
 
 
+def embed_stored(spark: SparkSession, path: str, logs: DataFrame, dim: int = DEFAULT.embedding_dim,
+                 limit_texts: int | None = None, updated_at: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """E1 on a stored table in hash buckets: ``(table after the upsert, rows embedded by this run)``.  Only
+    keys and vectors of messages that are new are written, into their buckets' files."""
+    existing = read_bucketed(spark, path) if exists(spark, path) else None
+    _, new = embed_incremental(logs, existing, dim, limit_texts, updated_at)
+    new = written(new, "embedded-new")
+    return upsert_bucketed(spark, path, new, "normalized_message", buckets), new
+
+
 def embed_summary(new_rows: DataFrame) -> DataFrame:
     """Distinct texts embedded and log rows they cover."""
     return new_rows.agg(

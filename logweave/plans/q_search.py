@@ -17,7 +17,7 @@ from logweave.operators import search as se
 from logweave.plans import sqlparts as sp
 from logweave.plans.q_core import logs, prepared, search_logs, vecs
 from logweave.plans.registry import query
-from logweave.session import written
+from logweave.session import scratch_path
 
 W = sp.sql_with
 QUERY_VEC_ID = 7
@@ -230,8 +230,9 @@ FROM hash_vecs""", "hash_vecs"))
 def q_embed_incremental(spark, d):
     """E1 twice: the second run finds nothing new, so every row keeps its first time."""
     entries = prepared(spark, d)
-    table = written(em.embed_incremental(entries, None, updated_at="2024-01-31 00:00:00")[0], "embedded")
-    table2, _ = em.embed_incremental(entries, table, updated_at="2024-02-01 00:00:00")
+    path = scratch_path(spark, "embedded")
+    em.embed_stored(spark, path, entries, updated_at="2024-01-31 00:00:00", buckets=16)
+    table2, _ = em.embed_stored(spark, path, entries, updated_at="2024-02-01 00:00:00", buckets=16)
     return table2.withColumn("embedding", vector_to_sparse_text(F.col("embedding"), 6))
 
 

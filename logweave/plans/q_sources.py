@@ -120,11 +120,10 @@ def q_doc_upsert(spark, d):
     docs = logs(spark, d).join(vecs(spark, d).select("normalized_message", "embedding"),
                                "normalized_message", "left").withColumn("version", F.lit(1))
     older = docs.withColumn("version", F.lit(0)).withColumn("source", F.lit("outdated"))
-    index, _ = tb.upsert_documents(None, older.unionByName(docs), "id", dim=64, order_by="version")
     path = scratch_path(spark, "doc_index")
-    index.write.mode("overwrite").parquet(path)
+    tb.upsert_index(spark, path, older.unionByName(docs), "id", dim=64, order_by="version", buckets=16)
     refreshed = docs.filter("id % 2 = 0").withColumn("source", F.lit("reindexed"))
-    index2, counts = tb.upsert_documents(spark.read.parquet(path), refreshed, "id", dim=64, order_by="version")
+    index2, counts = tb.upsert_index(spark, path, refreshed, "id", dim=64, order_by="version", buckets=16)
     return index2.select("id", "source", "level", counts.select("indexed").scalar().alias("indexed"),
                          counts.select("errors").scalar().alias("errors"))
 

@@ -12,7 +12,7 @@ from logweave.plans.q_core import lines, logs, prepared, vecs
 from logweave.plans.q_anomaly import SEVERITY_SQL, STORED_SQL, stored_model
 from logweave.plans.q_search import COS, QV, query_vec
 from logweave.plans.registry import query
-from logweave.session import scratch_path
+from logweave.session import scratch_path, written
 from logweave.streaming import jobs as st
 
 W = sp.sql_with
@@ -147,3 +147,36 @@ def q_ann_recall(spark, d):
         recall = float(ann.recall_at_k(ann.search(spark, idx, q, 20, p), exact, "normalized_message"))
         rows.append((p, recall == 1.0 if p == 16 else 0.0 <= recall <= 1.0))
     return spark.createDataFrame(rows, "nprobe int, in_range boolean")
+
+
+def _many(spark, d, n_cells=16):
+    """A compressed index over all vectors by id, the queries (ids divisible by 20) and their exact 20 nearest."""
+    vectors = vecs(spark, d).select("vec_id", "embedding")
+    idx = ann.build(vectors, scratch_path(spark, "ann_many"), n_cells=n_cells, key="vec_id")
+    ann.compress(spark, idx)
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+    return idx, asked, se.semantic_search_batch(vectors, asked, k=20)
+
+
+@query("ann_recall_many")
+def q_ann_recall_many(spark, d):
+    """K8: recall@20 by probe count of the compressed index, over all queries against all rows."""
+    idx, asked, exact = _many(spark, d)
+    exact = written(exact, "ann-exact")
+    out = None
+    for p in (1, 4, 8, 12, 16):
+        row = ann.recall_many(ann.search_many(spark, idx, asked, k=20, nprobe=p), exact, "vec_id").withColumn("nprobe", F.lit(p))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("ann_search_many", """
+WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
+pairs AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 9) AS sim
+  FROM q CROSS JOIN embeddings WHERE embedding IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
+def q_ann_search_many(spark, d):
+    """K8: the 5 nearest of each query from codes in all cells, 40 of them for each re-ranked exactly."""
+    idx, asked, _ = _many(spark, d)
+    return ann.search_many(spark, idx, asked, k=5, nprobe=16, rerank=40)

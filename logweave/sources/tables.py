@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import schemas
+from logweave.sources.bucketed import BUCKETS, upsert_bucketed
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -45,14 +46,8 @@ def load_processed(spark: SparkSession, logs: DataFrame, templates: DataFrame, r
     }
 
 
-def upsert_documents(existing: DataFrame | None, docs: DataFrame, key: str = "id",
-                     dim: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keyed upsert of search documents.  Rows with a NULL key or a
-    vector of the wrong dimension are errors and are not indexed.  Of several
-    rows with one key the last by ``order_by`` stays (NULL first; ties and no
-    column: by a hash of the row), so the index holds one document a key.
-    Returns ``(index after upsert, one-row {indexed, errors})``; ``indexed``
-    counts the accepted rows."""
+def accepted_documents(docs: DataFrame, key: str = "id", dim: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(one row a key, one-row {indexed, errors})`` of a batch of documents, as ``upsert_documents`` says."""
     bad = F.col(key).isNull() | F.col("embedding").isNull()
     if dim is not None:
         bad = bad | (F.size("embedding") != dim)
@@ -65,12 +60,32 @@ def upsert_documents(existing: DataFrame | None, docs: DataFrame, key: str = "id
     rank = [F.col(order_by)] if order_by else []
     last = F.max_by(F.struct(*docs.columns), F.struct(*rank, F.xxhash64(*docs.columns)))
     good = good.groupBy(key).agg(last.alias("_d")).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
+    return good, counts
+
+
+def upsert_documents(existing: DataFrame | None, docs: DataFrame, key: str = "id",
+                     dim: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Keyed upsert of search documents.  Rows with a NULL key or a
+    vector of the wrong dimension are errors and are not indexed.  Of several
+    rows with one key the last by ``order_by`` stays (NULL first; ties and no
+    column: by a hash of the row), so the index holds one document a key.
+    Returns ``(index after upsert, one-row {indexed, errors})``; ``indexed``
+    counts the accepted rows."""
+    good, counts = accepted_documents(docs, key, dim, order_by)
     if existing is None:
         return good, counts
     kept = existing.join(good.select(key), key, "left_anti")
     return kept.unionByName(good), counts
 
 
+def upsert_index(spark: SparkSession, path: str, docs: DataFrame, key: str = "id", dim: int | None = None,
+                 order_by: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """S11 on a stored index in hash buckets: as ``upsert_documents``, but only the files of buckets with
+    changed keys are rewritten."""
+    good, counts = accepted_documents(docs, key, dim, order_by)
+    return upsert_bucketed(spark, path, good, key, buckets), counts
+
+
 def index_stats(spark: SparkSession, path: str) -> DataFrame:
     """Exists, document count and stored bytes of an index table (file
     sizes from the hidden ``_metadata`` column; no extra file-system calls)."""
