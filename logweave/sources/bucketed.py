@@ -36,6 +36,7 @@ def upsert_bucketed(spark: SparkSession, path: str, new: DataFrame, key: str, bu
     """The table at ``path`` (made if it isn't there) after ``new``, one row a key, has replaced the rows of
     its keys.  ``buckets`` has to be that of the table's first upsert.
 
+    Read the table again after each upsert: frames over it name the files that were there before.
     Null keys are one key.  Without new rows nothing is written.  Bucket numbers of the new keys (up to
     ``buckets`` of them) reach the driver.
     """
