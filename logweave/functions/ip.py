@@ -1,8 +1,8 @@
 """IPv4 classification as column expressions.
 
 Addresses become 32-bit numbers; membership in a CIDR block is a range
-test, so enrichment never leaves the JVM.  IPv6 strings go through a small
-Arrow-batched helper (``enrich_ip_v6``) because they need Python's parser.
+test, so enrichment never leaves the JVM.  IPv6 strings alone go through a
+small Arrow-batched helper because they need Python's parser.
 """
 
 from __future__ import annotations
@@ -124,19 +124,36 @@ _V6_SCHEMA = T.StructType([
 
 
 @F.pandas_udf(_V6_SCHEMA)
-def enrich_ip_v6(ips: pd.Series) -> pd.DataFrame:
-    """T4: addresses Spark's IPv4 expression cannot read (IPv6), via Python's
-    parser; a small per-value helper, batched through Arrow."""
-    rows = []
-    for s in ips:
+def _parsed_v6(ips: pd.Series) -> pd.DataFrame:
+    """Each distinct address of a batch by Python's parser; null rows (IPv4, handled by columns) stay null."""
+    found = {None: (None,) * len(_V6_SCHEMA)}
+    for s in ips.dropna().unique():
         try:
             a = ipaddress.ip_address(s)
-        except (ValueError, TypeError):
-            rows.append((s, False, False, False, False, 0.0, ["invalid"], None))
+        except ValueError:
+            found[s] = (s, False, False, False, False, 0.0, ["invalid"], None)
             continue
         tags = [t for t, on in (("private", a.is_private), ("loopback", a.is_loopback),
                                 ("multicast", a.is_multicast)) if on]
         risk = 0.0 if a.is_private else RISK_PUBLIC
-        rows.append((s, True, a.is_private, a.is_loopback, a.is_multicast, risk, tags, a.version))
-    return pd.DataFrame(rows, columns=["value", "is_valid", "is_private", "is_loopback",
-                                       "is_multicast", "risk_score", "tags", "version"])
+        found[s] = (s, True, a.is_private, a.is_loopback, a.is_multicast, risk, tags, a.version)
+    rows = [found[s if isinstance(s, str) else None] for s in ips]
+    return pd.DataFrame(rows, columns=_V6_SCHEMA.names, dtype=object)
+
+
+def enrich_ip_v6(ip: Column) -> Column:
+    """T4: struct of an address of either version, as Python's parser sees it.
+
+    Dotted quads and anything else without a colon are range tests on columns; only values with a colon
+    go to Python, each distinct one of a batch once.  Null and malformed values are invalid."""
+    number = ipv4_number(ip)
+    flags = ipv4_flags(number)
+    tags = F.filter(F.array(*[F.when(flags[f"is_{t}"], F.lit(t)) for t in ("private", "loopback", "multicast")]), lambda t: t.isNotNull())
+    v4 = F.struct(
+        ip.alias("value"), number.isNotNull().alias("is_valid"), flags["is_private"].alias("is_private"),
+        flags["is_loopback"].alias("is_loopback"), flags["is_multicast"].alias("is_multicast"),
+        F.when(number.isNotNull() & ~flags["is_private"], F.lit(RISK_PUBLIC)).otherwise(F.lit(0.0)).alias("risk_score"),
+        F.when(number.isNull(), F.array(F.lit("invalid"))).otherwise(tags).alias("tags"),
+        F.when(number.isNotNull(), F.lit(4)).alias("version"))
+    colon = F.coalesce(F.contains(ip, F.lit(":")), F.lit(False))
+    return F.when(colon, _parsed_v6(F.when(colon, ip))).otherwise(v4)

@@ -124,6 +124,15 @@ def q_anomaly_summary(spark, d):
     return an.summary(v, model).select("n_samples", "n_anomalies", "contamination")
 
 
+@query("anomaly_summary_stored", W(f"""
+SELECT count(*) AS n_samples, count(*) FILTER (raw < 0) AS n_anomalies, 0.05::DOUBLE AS contamination,
+ round(avg(raw), 6) AS score_mean, round(stddev_pop(raw), 6) AS score_std FROM {STORED_SQL}""", "f_vecs"))
+def q_anomaly_summary_stored(spark, d):
+    """A10 of a stored model: all five columns, mean and population deviation of the decision values too."""
+    s = an.summary(vecs(spark, d), stored_model(spark))
+    return s.withColumns({c: F.round(c, 6) for c in ("score_mean", "score_std")})
+
+
 # -- data quality ----------------------------------------------------------------
 
 @query("dq_duplicates", W("SELECT line_id, CAST(2 AS BIGINT) AS n FROM prepared", "prepared"))

@@ -43,6 +43,22 @@ def test_ipv6(spark):
     assert got["1::2::3"].tags == ["invalid"] and got[None].is_valid is False
 
 
+def test_addresses_of_both_versions_equal_the_standard_library(spark):
+    ips = [str(ipaddress.ip_address(n * 65_537_003 % 2**32)) for n in range(200)]
+    ips += ["192.0.0.9", "192.0.0.170", "224.0.0.1", "255.255.255.255", "127.3.2.1", "::1", "::ffff:10.0.0.1", "fe80::1%eth0", "2001:db8::7", "ff02::1", "2606:4700::1"]
+    bad = ["1.2.3", "01.2.3.4", "1.2.3.256", "", "a:b", "1::2::3", ":", None]
+    df = spark.createDataFrame([(i,) for i in [*ips, *bad, "::1"]], "ip string")
+    got = df.select("ip", enrich_ip_v6(F.col("ip")).alias("e")).collect()
+    for r in got:
+        if r.ip in bad:
+            assert (r.e["value"], r.e.is_valid, r.e.tags, r.e.risk_score, r.e.version) == (r.ip, False, ["invalid"], 0.0, None), r
+            continue
+        a = ipaddress.ip_address(r.ip)
+        tags = [t for t, on in (("private", a.is_private), ("loopback", a.is_loopback), ("multicast", a.is_multicast)) if on]
+        assert (r.e.is_valid, r.e.is_private, r.e.is_loopback, r.e.is_multicast, r.e.tags, r.e.version) == (True, a.is_private, a.is_loopback, a.is_multicast, tags, a.version), r
+        assert r.e.risk_score == (0.0 if a.is_private else 0.3)
+
+
 def test_text_risk(spark):
     texts = ["probe by 91.10.20.30 on port 2222", "nothing to see", "via 172.16.5.5, 91.1.1.1 and 100.100.0.1", None]
     rows = {r.text: r for r in threat_enrich(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
