@@ -188,6 +188,14 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _STAGED[key]
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The frame that ``build()`` gives over stored tables, made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        _STAGED[key] = build()
+    return _STAGED[key]
+
+
 def search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged log rows as a search store, written once per application."""
     from logweave.session import scratch_path

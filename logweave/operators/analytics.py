@@ -159,6 +159,11 @@ def stats_overview(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """
     counts = logs.groupBy("level", "event_id", "normalized_message").agg(
         F.count(F.lit(1)).alias("n"), F.min("log_timestamp").alias("lo"), F.max("log_timestamp").alias("hi"))
+    return stats_of_counts(counts, embeddings)
+
+
+def stats_of_counts(counts: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """A1 from counts (level, event_id, normalized_message, n, lo, hi: first and last time)."""
     known = embeddings.select("normalized_message", F.lit(True).alias("_known")).distinct()
     marked = counts.join(known, "normalized_message", "left")
     by_event = marked.groupBy("level", "event_id").agg(

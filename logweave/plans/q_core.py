@@ -8,8 +8,11 @@ from logweave import fixtures as fx
 from logweave.functions import text as tx
 from logweave.operators import analytics as an
 from logweave.operators import prepare as pr
+from logweave.operators import rollups as ru
 from logweave.plans import sqlparts as sp
-from logweave.plans.registry import query
+from logweave.plans.registry import ORACLE, query
+from logweave.session import scratch_path
+from logweave.sources.versioned import TableSet
 
 W = sp.sql_with
 PREFIX = sp.PREFIX
@@ -238,3 +241,40 @@ SELECT count(*) AS total_logs,
 FROM f_logs""", "f_logs", "f_vecs"))
 def q_stats(spark, d):
     return an.stats_overview(logs(spark, d), vecs(spark, d))
+
+
+def rollup(spark, d):
+    """Counts of the log rows in three batches, the second replayed, the first two merged (written once per application)."""
+    def build():
+        tables = TableSet(spark, scratch_path(spark, "rollup"))
+        for batch in (0, 1, 1, 2):
+            ru.add_batch(tables, batch, logs(spark, d).filter(F.col("id") % 3 == batch))
+        ru.compact(tables, 1)
+        ru.add_batch(tables, 1, logs(spark, d).filter("id % 3 = 1"))
+        return ru.read_counts(tables)
+
+    return fx.once(spark, d, "rollup", build)
+
+
+@query("rollup_stats", ORACLE["stats_overview"])
+def q_rollup_stats(spark, d):
+    """A1 from stored counts."""
+    return ru.stats_overview(rollup(spark, d), vecs(spark, d))
+
+
+@query("rollup_frequent_errors", ORACLE["frequent_errors_1000"])
+def q_rollup_errors(spark, d):
+    """A2 from stored counts."""
+    return ru.frequent_errors(rollup(spark, d), limit=1000)
+
+
+@query("rollup_timeline", ORACLE["timeline_hour"])
+def q_rollup_timeline(spark, d):
+    """A3 from stored counts."""
+    return ru.timeline(rollup(spark, d), "hour")
+
+
+@query("rollup_volume", ORACLE["volume_hour_level"])
+def q_rollup_volume(spark, d):
+    """A5 from stored counts."""
+    return ru.volume_hour_level(rollup(spark, d))

@@ -17,6 +17,7 @@ from logweave.sources import csv as cs
 from logweave.sources import lines as ln
 from logweave.sources import parquet as pq
 from logweave.sources import tables as tb
+from logweave.sources.versioned import TableSet
 
 W = sp.sql_with
 
@@ -87,6 +88,22 @@ def q_load(spark, d):
         e.select(F.lit("log_entries").alias("table_name"), "n_rows"))
 
 
+@query("load_versioned", W("""
+SELECT 1 AS version, 'event_templates' AS table_name, count(*) AS n_rows FROM f_templ
+UNION ALL SELECT 1, 'log_entries', count(*) FROM prepared
+UNION ALL SELECT 2, 'event_templates', 2 * count(*) FROM f_templ
+UNION ALL SELECT 2, 'log_entries', 2 * count(*) FROM prepared""", "f_templ", "prepared"))
+def q_load_versioned(spark, d):
+    """S7 by commits: a reset load and an append; the rows of both versions."""
+    tables = TableSet(spark, scratch_path(spark, "versioned"))
+    entries, templates = prepared(spark, d), fx.fixture(spark, d, "f_templ")
+    for reset in (True, False):
+        tb.load_versioned(tables, entries, templates, reset)
+    parts = [tables.read(name, v).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(v).alias("version"), F.lit(name).alias("table_name"), "n_rows")
+             for v in (1, 2) for name in ("event_templates", "log_entries")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("prepare_summary", W("""
 SELECT (SELECT count(*) FROM prepared) AS log_rows, (SELECT count(*) FROM f_templ) AS template_rows""",
                             "prepared", "f_templ"))

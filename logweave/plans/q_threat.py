@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logweave import fixtures as fx
 from logweave.functions import ip as I
+from logweave.operators import networks as nw
 from logweave.operators import threat as th
 from logweave.plans import oracle_values as V
 from logweave.plans import sqlparts as sp
@@ -117,3 +118,39 @@ def q_enrich_v6(spark, d):
     out = tokens.select("ip", I.enrich_ip_v6(F.col("ip")).alias("e"))
     return out.select("ip", "e.is_valid", "e.is_private", "e.is_loopback", "e.is_multicast", "e.risk_score",
                       F.concat_ws(",", "e.tags").alias("tags"), "e.version")
+
+
+# networks of several lengths around the addresses and tokens that the tables hold, some with host bits set
+NETWORKS = """
+SELECT DISTINCT concat(ip, '/', CASE length(ip) % 4 WHEN 0 THEN 8 WHEN 1 THEN 20 WHEN 2 THEN 27 ELSE 32 END) AS network FROM {v4}
+UNION ALL SELECT DISTINCT concat('2a00:1450:', user_id % 10, '::/', CASE user_id % 2 WHEN 0 THEN 48 ELSE 40 END) FROM {events}
+UNION ALL SELECT 'fd00::/8' UNION ALL SELECT '::/0' UNION ALL SELECT '10.0.0.0/33'"""
+V4_ONLY = f"SELECT ip FROM {IPS_SQL} WHERE regexp_matches(ip, {sp.lit(V.STRICT_IPV4)}) AND list_max([CAST(o AS INTEGER) FOR o IN string_split(ip, '.')]) <= 255"
+
+
+@query("network_longest_prefix", W(f"""
+WITH v4 AS ({V4_ONLY}), nets AS ({NETWORKS.replace('{v4}', 'v4').replace('{events}', 'events')}),
+n4 AS (SELECT network, CAST(split_part(network, '/', 2) AS INTEGER) AS len, split_part(network, '/', 1) AS base FROM nets
+  WHERE network NOT LIKE '%:%' AND network NOT LIKE '%/33'),
+b4 AS (SELECT min(network) AS network, len, num // (1::BIGINT << (32 - len)) AS top FROM (SELECT *, list_reduce(
+  [CAST(o AS BIGINT) FOR o IN string_split(base, '.')], lambda a, o: a * 256 + o) AS num FROM n4) GROUP BY 2, 3),
+ips AS (SELECT ip FROM {IPS_SQL} UNION SELECT ip FROM ({V6_TOKENS.replace('{events}', 'events')})),
+a4 AS (SELECT ip, list_reduce([CAST(o AS BIGINT) FOR o IN string_split(ip, '.')], lambda a, o: a * 256 + o) AS num FROM v4),
+m4 AS (SELECT a.ip, arg_max(b.network, b.len) AS network, max(b.len) AS len FROM a4 a
+  JOIN b4 b ON b.top = a.num // (1::BIGINT << (32 - b.len)) GROUP BY 1),
+a6 AS (SELECT ip FROM ips WHERE ip LIKE '%:%' AND ip NOT LIKE '12345%' AND ip NOT LIKE '1:2:3%'),
+n6 AS (SELECT network, CAST(split_part(network, '/', 2) AS INTEGER) AS len, split_part(network, '::/', 1) AS head FROM nets WHERE network LIKE '%:%'),
+-- groups below 16 leave the first 40 bits of 2a00:1450:x:: at 2a00:1450, so every /40 is one network
+b6 AS (SELECT min(network) AS network, len, CASE len WHEN 48 THEN head || ':' WHEN 40 THEN '2a00:1450:' WHEN 8 THEN 'fd' ELSE '' END AS head
+  FROM n6 GROUP BY 2, 3),
+m6 AS (SELECT a.ip, arg_max(b.network, b.len) AS network, max(b.len) AS len FROM a6 a JOIN b6 b ON starts_with(a.ip, b.head) GROUP BY 1)
+SELECT i.ip, CASE WHEN i.ip IN (SELECT ip FROM a4) THEN 4 WHEN i.ip IN (SELECT ip FROM a6) THEN 6 END AS version,
+ coalesce(m4.network, m6.network) AS network, coalesce(m4.len, m6.len) AS prefix_length
+FROM ips i LEFT JOIN m4 ON m4.ip = i.ip LEFT JOIN m6 ON m6.ip = i.ip""", "f_lines"))
+def q_network_longest_prefix(spark, d):
+    """J6, T1, T4 for a list of networks of any length: the longest that holds each address of the lines and events."""
+    events = fx.table(spark, d, "events")
+    v4 = th.distinct_ips(lines(spark, d), "raw_message")
+    valid = nw.with_address(v4, "ip").filter("_version = 4").select("ip")
+    tokens = spark.sql(V6_TOKENS, events=events)
+    return nw.longest_prefix(v4.unionByName(tokens), spark.sql(NETWORKS, v4=valid, events=events))

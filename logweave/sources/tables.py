@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logweave import schemas
 from logweave.sources.bucketed import BUCKETS, upsert_bucketed
+from logweave.sources.versioned import TableSet
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -46,6 +47,20 @@ def load_processed(spark: SparkSession, logs: DataFrame, templates: DataFrame, r
     }
 
 
+def load_versioned(tables: TableSet, logs: DataFrame, templates: DataFrame, reset: bool = True) -> dict[str, int]:
+    """S7 as one commit: readers see both tables of a load or the former ones, also if it fails half-way.
+    A reset takes out the embeddings of the old entries, an append keeps them."""
+    base = tables.version()
+    before = {} if reset else tables.tables(base)
+    changes: dict[str, list[str] | None] = {"message_embeddings": None} if reset else {}
+    counts = {}
+    for name, df, schema in (("event_templates", templates, schemas.EVENT_TEMPLATES), ("log_entries", logs, schemas.LOG_ENTRIES)):
+        path, counts[name] = tables.stage(conform(df, schema), name)
+        changes[name] = [*before.get(name, []), path]
+    tables.commit(changes, base)
+    return counts
+
+
 def accepted_documents(docs: DataFrame, key: str = "id", dim: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(one row a key, one-row {indexed, errors})`` of a batch of documents, as ``upsert_documents`` says."""
     bad = F.col(key).isNull() | F.col("embedding").isNull()
