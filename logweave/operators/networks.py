@@ -3,8 +3,12 @@
 An address of either version becomes two 64-bit numbers (an IPv4 address fills
 the top 32 bits of the first), a network the same with a prefix length.  An
 address is masked to each prefix length that the list has, at most 33 + 129 of
-them, and joined on (version, length, masked numbers): hash or sort-merge joins
-on equal keys, whatever the size of the list.  The longest match wins.
+them, and joined on (version, length, masked numbers): joins on equal keys,
+whatever the size of the list.  The longest match wins.
+
+A short network can hold any share of the addresses.  Those of up to 16 bits
+are fewer than 2 x 2^17 (about 20 MB) and are broadcast; a longer one holds at
+most 2^16 IPv4 addresses, and IPv6 networks are dealt to ``SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 from logweave.functions.ip import ipv4_number
 
 V6_GROUP = r"^[0-9A-Fa-f]{1,4}$"
+SHORT = 16
+SALTS = 32
 
 
 def _step(df: DataFrame, **columns: Column) -> DataFrame:
@@ -85,12 +91,21 @@ def longest_prefix(ips: DataFrame, networks: DataFrame, ip_col: str = "ip", netw
     table = parsed_networks(networks, network_col)
     # at most 33 + 129 rows, whatever the list
     lengths = table.groupBy("version").agg(F.collect_set("length").alias("lengths"))
-    addresses = with_address(ips.select(F.col(f"`{ip_col}`").alias("ip")).distinct(), "ip")
-    asked = addresses.join(F.broadcast(lengths), F.col("_version") == F.col("version")).select(
-        "ip", "version", "_hi", "_lo", F.explode("lengths").alias("length"))
+    addresses = with_address(ips.select(F.col(f"`{ip_col}`").alias("ip")).distinct(), "ip").withColumnRenamed("_version", "version")
+    asked = addresses.join(F.broadcast(lengths), "version", "left").select(
+        "ip", "version", "_hi", "_lo", F.xxhash64("ip").alias("_hash"), F.explode_outer("lengths").alias("length"))
     hi, lo = _masked("_hi", "_lo", "length")
-    asked = asked.select("ip", "version", "length", hi.alias("hi"), lo.alias("lo"))
-    hits = asked.join(table, ["version", "length", "hi", "lo"]).groupBy("ip").agg(
-        F.max(F.struct("length", "network")).alias("best"))
-    return addresses.select("ip", F.col("_version").alias("version")).join(hits, "ip", "left").select(
+    asked = asked.select("ip", "version", "length", hi.alias("hi"), lo.alias("lo"), "_hash")
+    key = ["version", "length", "hi", "lo"]
+    short = table.filter(F.col("length") <= SHORT).withColumnRenamed("network", "short")
+    asked = asked.join(F.broadcast(short), key, "left")
+    # no network of the second join is short: such rows, and those without a length, are spread by their hash
+    long = F.coalesce(F.col("length") > SHORT, F.lit(False))
+    asked = asked.withColumn("hi", F.when(long, F.col("hi")).otherwise(F.col("_hash"))).withColumn("lo", F.coalesce("lo", F.lit(0)))
+    asked = asked.withColumns({"length": F.coalesce("length", F.lit(0)), "salt": F.when(F.col("version") == 6, F.pmod("_hash", F.lit(SALTS))).otherwise(0).cast("int")})
+    salts = F.when(F.col("version") == 6, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = table.filter(F.col("length") > SHORT).withColumn("salt", F.explode(salts))
+    hits = asked.join(dealt, [*key, "salt"], "left").withColumn("network", F.coalesce("network", "short"))
+    best = F.max(F.when(F.col("network").isNotNull(), F.struct("length", "network")))
+    return hits.groupBy("ip").agg(F.max("version").alias("version"), best.alias("best")).select(
         "ip", "version", F.col("best.network").alias("network"), F.col("best.length").alias("prefix_length"))
