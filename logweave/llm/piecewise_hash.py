@@ -55,10 +55,11 @@ def _signature(ends: np.ndarray, sums: np.ndarray) -> str:
     """Symbols of the chunks that end at ``ends`` (the last: the text's end); ``sums``: hash sums there."""
     starts = np.append([0], ends[:-1])
     inverse = ta.powers(1)[1]
-    if starts[-1] < len(inverse):
-        back = inverse[starts]
-    else:
-        back = np.array([pow(_BASE, -s, _WORD) for s in starts.tolist()], np.uint64)
+    turn, place = np.divmod(starts, len(inverse))
+    back = inverse[place]
+    if turn[-1]:
+        whole = [pow(_BASE, -k * len(inverse), _WORD) for k in range(int(turn[-1]) + 1)]
+        back = back * np.array(whole, np.uint64)[turn]
     h = (sums - np.append(np.zeros(1, np.uint64), sums[:-1])) * back
     h = ta.mix64(h ^ (ends - starts).astype(np.uint64)) >> np.uint64(52)
     return _SIGNS[np.stack((h >> np.uint64(6), h & np.uint64(63)), 1).astype(np.intp)].tobytes().decode()
