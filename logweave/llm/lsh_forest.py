@@ -1,11 +1,16 @@
-"""N-gram Jaccard join by MinHash banding with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts are sets of five-word shingles.  Each band (tree) has MinHash values of its own; documents that
-share a prefix of one fixed depth meet: the longest with which a pair at the threshold meets in some band
-with the target recall.  There are no prefix tries, and no prefix is shortened or extended by document:
-pairs that share a longer prefix share this one too.  Where prefixes meet, all
-signatures are compared, and pairs whose estimate is near or above the threshold link their documents to
-one family.  Inside a family, every pair of different sets is verified exactly, in blocks of documents.
+Texts are sets of five-word shingles.  Each tree of the forest is a prefix trie: a document's path in it is
+the string of its MinHash values, a byte each.  The join descends from the whole paths to shorter prefixes,
+level by level: documents under one node that aren't of one family yet are compared by all their signature
+values, and those whose estimate is near or above the threshold become one family.  A node whose documents
+are one family has no work left, so copies that met under long prefixes aren't compared again under short
+ones.  A document goes down until a partner as unlike as its set's size allows has been met with the target
+recall; sets that are too small for any partner but an equal set stay out.
+
+Nodes of many documents are compared in blocks, first each block by itself (other blocks in each tree), then
+across blocks what is still of different families.  In the end every pair of different sets of a family is
+verified exactly, in blocks of documents.
 
 Documents of equal sets count as one class before anything is paired.  Pairs themselves are never
 written: a block gives counts for each class and the edges of a spanning forest.
@@ -22,12 +27,14 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.cgk_decontam import row_groups, utf8
-from logweave.llm.components import components
+from logweave.llm.components import Forest, components
 from logweave.llm.shared import written
 
 WORDS = 5
 THRESHOLD = (4, 5)
 TREES, DEPTH, RECALL = 32, 12, 0.999
+#: Values by which prefixes are shortened from one level to the next.
+STEP = 2
 #: An estimate from all signature values may lie so many standard deviations below the threshold.
 SIGMAS = 5.0
 #: Documents of one block: two blocks are compared in one task.
@@ -37,15 +44,42 @@ SEED = 77
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def matched_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Values of the shortened prefix: the longest one with which a pair at the threshold meets in some
-    tree with probability ``recall``."""
+def matched_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Length of the longest prefix with which a pair of that similarity meets in some tree with probability
+    ``recall``."""
     for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+        if 1 - (1 - similarity**d) ** trees >= recall:
             return d
     return 1
 
 
+def least_similarity(n: int) -> float | None:
+    """The least Jaccard similarity from the threshold on that a set of ``n`` shingles can have with a
+    different set; None if it can have none."""
+    num, den = THRESHOLD
+    pairs = [(-(-num * union // den), union) for union in range(n, n * den // num + 1)]
+    return min((both / union for both, union in pairs if both < union), default=None)
+
+
+def own_depth() -> F.Column:
+    """Length of the prefix at which a document (column n: shingles of its set) has the target recall; null
+    if nothing but an equal set can be its partner."""
+    num, den = THRESHOLD
+    depth = F.lit(matched_depth(num / den))
+    # sizes from here on allow a union that is a multiple of den: the threshold itself
+    for n in range(num * (den - 1) - 1, 0, -1):
+        s = least_similarity(n)
+        depth = F.when(F.col("n") == n, F.lit(matched_depth(s)) if s else F.lit(None).cast("int")).otherwise(depth)
+    return depth
+
+
+def levels() -> list[int]:
+    """Prefix lengths of the descent, the longest first."""
+    num, den = THRESHOLD
+    last = matched_depth(num / den)
+    return [*range(DEPTH, last, -STEP), last]
+
+
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the five-word shingles of each text (bytes between white space are words; a text
     of one to four words has one shingle of them all), and where each text's begin."""
@@ -93,97 +127,139 @@ def set_keys(sets: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(sets: np.ndarray, off: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each non-empty text: a label a tree (hash of the prefix), and one byte of each MinHash value."""
+def signatures(sets: np.ndarray, off: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """One byte of each MinHash value of each non-empty text, tree by tree: its paths in the tries."""
     full = np.flatnonzero(np.diff(off))
     starts = off[:-1][full]
     small = (sets >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(SEED)
     odd = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * 2 + 1
     add = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
-    labels = np.zeros((len(full), trees), np.uint64)
     low = np.zeros((len(full), trees * depth), np.uint8)
-    for t in range(trees):
-        label = np.full(len(full), t, np.uint64)
-        for k in range(t * depth, (t + 1) * depth):
-            least = np.minimum.reduceat(small * odd[k] + add[k], starts) if len(full) else np.zeros(0, np.uint32)
-            label = ta.mix64(label + least)
-            low[:, k] = (ta.mix64(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-        labels[:, t] = ta.mix64(label + np.uint64(t))
-    return labels, low
-
-
-def _signed(parts: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("labels", pa.list_(pa.int64())), ("signature", pa.binary())])
+    for k in range(trees * depth if len(full) else 0):
+        least = np.minimum.reduceat(small * odd[k] + add[k], starts)
+        low[:, k] = (ta.mix64(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    return low
+
+
+def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("signature", pa.binary())])
     for batch in parts:
         data, off = utf8(batch.column(2))
         for a, b in row_groups(off, ta.PIECE_CHARS):
             sets, where = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
             keys = set_keys(sets, where)
-            full = iter(zip(*signatures(sets, where, TREES, depth), strict=True))
+            full = iter(signatures(sets, where, TREES, DEPTH))
             rows = []
             ids, hashes = (batch.column(c).slice(a, b - a).to_pylist() for c in range(2))
             for (x, y, n), doc_id, h in zip(keys, ids, hashes, strict=True):
-                labels, low = next(full) if n else (None, None)
-                rows.append((doc_id, h, x, y, n, labels.astype(np.int64).tolist() if n else [], low.tobytes() if n else b""))
+                rows.append((doc_id, h, x, y, n, next(full).tobytes() if n else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-class _Forest:
-    """Union-find over the rows of a task."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, v: int) -> int:
-        parent = self.parent
-        r = v
-        while parent.get(r, r) != r:
-            r = parent[r]
-        while parent.get(v, v) != r:
-            parent[v], v = r, parent[v]
-        return r
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def edges(self) -> list[tuple[int, int]]:
-        return [(v, self.root(v)) for v in self.parent if self.root(v) != v]
-
-
 def _near(parts: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, side, class, signature) in order of (bucket, i, j): edges between classes of a
-    bucket whose signatures agree in ``least`` of their bytes.  A bucket block ends within the partition."""
-    forest = _Forest()
+    """Rows (node, i, j, side, root, signature) in order of (node, i, j): edges between families (roots) with
+    two documents in a pair of blocks whose signatures agree in ``least`` of their bytes.  What the task has
+    joined in one block isn't compared again in the next."""
+    forest = Forest()
 
     def compare(block: list[tuple]) -> None:
-        ids = np.array([r[0] for r in block])
+        family = np.array([forest.root(r[1]) for r in block])
+        if (family == family[0]).all():
+            return
         low = np.stack([np.frombuffer(r[2], np.uint8) for r in block])
-        side = np.array([r[1] for r in block])
+        side = np.array([r[0] for r in block])
         for k in range(len(block) - 1):
-            near = np.flatnonzero(((low[k + 1 :] == low[k]).mean(1) >= least) & ((side[k + 1 :] != side[k]) | (side[k] == 0))) + k + 1
-            for other in ids[near].tolist():
-                forest.join(int(ids[k]), other)
+            other = np.flatnonzero((family[k + 1 :] != family[k]) & ((side[k + 1 :] != side[k]) | (side[k] == 0))) + k + 1
+            for m in other[(low[other] == low[k]).mean(1) >= least].tolist():
+                a, b = int(family[k]), int(family[m])
+                if forest.join(a, b):
+                    family[family == max(a, b)] = min(a, b)
 
     held: list[tuple] = []
     key = None
     for batch in parts:
         cols = [c.to_pylist() for c in batch.columns]
-        for bucket, i, j, side, cls, low in zip(*cols, strict=True):
-            if (bucket, i, j) != key:
+        for node, i, j, side, root, low in zip(*cols, strict=True):
+            if (node, i, j) != key:
                 if len(held) > 1:
                     compare(held)
-                held, key = [], (bucket, i, j)
-            held.append((cls, side, low))
+                held, key = [], (node, i, j)
+            held.append((side, root, low))
     if len(held) > 1:
         compare(held)
-    yield _edges(forest.edges())
-
-
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+    yield forest.batch()
+
+
+def _compared(rows: DataFrame, least: float) -> DataFrame:
+    """Edges between families, of rows (node, i, j, side, root, signature)."""
+    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").select("node", "i", "j", "side", "root", "signature")
+    return rows.mapInArrow(lambda parts: _near(parts, least), "a long, b long")
+
+
+def _trie(first: DataFrame) -> DataFrame:
+    """(cls, own, tree, path, signature) of documents that share a node of the shortest prefix in the tree."""
+    paths = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(signature, t * {DEPTH} + 1, {levels()[-1]}))")
+    first = first.select(F.col("rid").alias("cls"), own_depth().alias("own"), "signature").where("own IS NOT NULL")
+    nodes = first.select("cls", F.posexplode(paths).alias("tree", "path")).select("cls", "tree", F.xxhash64("tree", "path").alias("node"))
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").select("node")
+    met = nodes.join(shared, "node").select("cls", "tree")
+    return met.join(first, "cls").withColumn("path", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows (node, cls, root, ...) for each pair of blocks of their node that can hold two families.  A
+    family of more than ``BLOCK`` rows under a node has blocks of its own, never paired with each other;
+    smaller ones share blocks.  Pairs are formed of families and counts of blocks, not of rows."""
+    per = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
+    f = F.when(F.col("size") > BLOCK, F.col("root")).otherwise(F.lit(-1).cast("long"))
+    per = per.withColumn("f", f)
+    groups = per.groupBy("node", "f").agg(F.expr(f"(sum(size) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    left, right = (groups.select("node", F.col("f").alias(f"f{k}"), F.col("blocks").alias(f"n{k}")) for k in (1, 2))
+    pairs = left.join(right, "node").where("f1 < f2 OR (f1 = -1 AND f2 = -1)")
+    pairs = pairs.withColumn("k1", F.explode(F.expr("sequence(0L, n1 - 1)"))).withColumn("k2", F.explode(F.expr("sequence(0L, n2 - 1)")))
+    pairs = pairs.where("f1 < f2 OR k1 <= k2").select("node", "f1", "k1", "f2", "k2")
+    ends = F.array(*[F.struct(F.col(f"f{k}").alias("f"), F.col(f"k{k}").alias("k"), F.when(F.expr("f1 = f2 AND k1 = k2"), 0).otherwise(k).alias("side")) for k in (1, 2)])
+    pairs = pairs.select("node", F.xxhash64("f1", "k1").alias("i"), F.xxhash64("f2", "k2").alias("j"), F.explode(F.array_distinct(ends)).alias("end"))
+    pairs = pairs.select("node", "i", "j", "end.f", "end.k", "end.side")
+    k = F.pmod(F.xxhash64(F.lit(SEED), F.when(F.col("f") < 0, F.col("root")).otherwise(F.col("cls"))), F.col("blocks"))
+    placed = rows.join(per.select("node", "root", "f"), ["node", "root"]).join(groups, ["node", "f"]).withColumn("k", k)
+    return placed.join(pairs, ["node", "f", "k"])
+
+
+def _families(first: DataFrame) -> DataFrame:
+    """(vertex, root) of the classes (rows that stand for one) whose signatures are linked by estimates."""
+    num, den = THRESHOLD
+    least = num / den - SIGMAS * (num / den * (1 - num / den) / (TREES * DEPTH)) ** 0.5
+    trie = written(_trie(first), "forest-trie")
+    families = None
+    longer = DEPTH + 1
+    for depth in levels():
+        # documents that reached the recall at a longer prefix are done
+        under = trie.where(F.col("own") < longer).select("cls", "signature", F.expr(f"xxhash64(tree, substring(path, 1, {depth}))").alias("node"))
+        for across in (False, True):
+            if families is None:
+                rows = under.withColumn("root", F.col("cls"))
+            else:
+                rows = under.join(families.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+            nodes = written(nodes.where("low <> high").where(F.col("size") > (BLOCK if across else 1)).select("node", "size"), "forest-nodes")
+            if nodes.isEmpty():
+                continue
+            rows = rows.join(nodes, "node")
+            if across:
+                rows = _across(rows.drop("size"))
+            else:
+                block = F.pmod(F.xxhash64("node", "cls"), F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
+                rows = rows.withColumn("i", block).withColumn("j", block).withColumn("side", F.lit(0))
+            edges = written(_compared(rows, least), "forest-edges")
+            if families is not None:
+                edges = edges.unionByName(families.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+            families = written(components(edges, "forest-components"), "forest-families")
+        longer = depth
+    if families is None:
+        families = first.sparkSession.createDataFrame([], "vertex long, root long")
+    return families
 
 
 def _blocks(rows: DataFrame, group: str) -> DataFrame:
@@ -238,7 +314,7 @@ def _verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(r[0], None, int(t), int(d)) for r, t, d in zip(left, linked.sum(1), linked @ copies[1], strict=True) if t]
             if not within:
                 out += [(r[0], None, int(t), int(d)) for r, t, d in zip(right, linked.sum(0), copies[0] @ linked, strict=True) if t]
-            forest = _Forest()
+            forest = Forest()
             for k, row in enumerate(linked):
                 for m in np.flatnonzero(row).tolist():
                     forest.join(left[k][0], right[m][0])
@@ -276,11 +352,9 @@ def _member_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row a document: doc_id, h (of the text), n, root and cls (of its class; null without words),
     class_id, text_id, copies, texts, docs."""
-    num, den = THRESHOLD
-    depth = matched_depth(num / den)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    signed = rows.mapInArrow(lambda parts: _signed(parts, depth), "doc_id long, h long, x long, y long, n int, labels array<long>, signature binary")
+    signed = rows.mapInArrow(_signed, "doc_id long, h long, x long, y long, n int, signature binary")
     signed = written(signed.withColumn("rid", F.monotonically_increasing_id()), "forest-signatures")
 
     full = signed.where("n > 0")
@@ -289,14 +363,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = written(classes, "forest-classes")
     first = full.join(classes.select(F.col("cls").alias("rid")), "rid")
 
-    # prefixes that two classes or more share; then their signatures
-    prefixes = first.select(F.col("rid").alias("cls"), F.explode("labels").alias("bucket"))
-    met = written(_blocks(prefixes, "bucket"), "forest-buckets")
-    least = num / den - SIGMAS * (num / den * (1 - num / den) / (TREES * depth)) ** 0.5
-    compared = met.join(first.select(F.col("rid").alias("cls"), "signature"), "cls")
-    compared = compared.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "side", "cls", "signature")
-    families = components(compared.mapInArrow(lambda parts: _near(parts, least), "a long, b long"), "forest-families")
-    families = written(families, "forest-members")
+    families = _families(first)
 
     # the members' sets, by the texts of the rows that stand for them
     ids = signed.join(families.select(F.col("vertex").alias("rid")), "rid").select(F.col("rid").alias("cls"), "x", "y", *_identity())

@@ -172,6 +172,67 @@ def test_shortened_prefix_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** lf.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** lf.TREES
 
 
+def test_depth_of_a_document_follows_from_its_size(spark):
+    for n in range(1, 40):
+        possible = [both / union for union in range(n, 3 * n) for both in range(1, n + 1) if both < union and 5 * both >= 4 * union]
+        assert lf.least_similarity(n) == min(possible, default=None)
+    sizes = spark.range(1, 40).select(lf.F.col("id").cast("int").alias("n")).withColumn("own", lf.own_depth())
+    for r in sizes.collect():
+        s = lf.least_similarity(r.n)
+        assert r.own == (lf.matched_depth(s) if s else None)
+        assert s is None or 1 - (1 - s**r.own) ** lf.TREES >= lf.RECALL
+    assert lf.levels()[0] == lf.DEPTH and lf.levels()[-1] == lf.matched_depth(0.8) and sorted(lf.levels(), reverse=True) == lf.levels()
+
+
+def signature_rows(groups, seed):
+    """(rid, n, signature): in a group, a byte in twenty differs from the group's; groups share each tree's first eight."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 256, lf.TREES * lf.DEPTH, dtype=np.uint8)
+    out = []
+    for size in groups:
+        base = rng.integers(0, 256, lf.TREES * lf.DEPTH, dtype=np.uint8)
+        head = np.arange(lf.TREES * lf.DEPTH) % lf.DEPTH < 8
+        base[head] = common[head]
+        for _ in range(size):
+            own = base.copy()
+            own[rng.random(len(own)) < 0.01] = 1
+            out.append((len(out), 100, bytearray(own)))
+    return out
+
+
+def test_descent_joins_what_any_pair_under_a_node_would(spark, monkeypatch):
+    groups = [90, 40, 3, 1, 1]
+    rows = signature_rows(groups, 4)
+    first = spark.createDataFrame(rows, "rid long, n int, signature binary").repartition(4)
+    low = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
+    least = 0.8 - lf.SIGMAS * (0.16 / low.shape[1]) ** 0.5
+    root = list(range(len(rows)))
+    paths = low.reshape(len(rows), lf.TREES, lf.DEPTH)[:, :, : lf.levels()[-1]]
+    for a in range(len(rows)):
+        for b in range(a):
+            if (paths[a] == paths[b]).all(1).any() and (low[a] == low[b]).mean() >= least and root[a] != root[b]:
+                one, other = min(root[a], root[b]), max(root[a], root[b])
+                root = [one if r == other else r for r in root]
+    expected = {(v, r) for v, r in enumerate(root) if root.count(r) > 1}
+    for block in (256, 8):
+        monkeypatch.setattr(lf, "BLOCK", block)
+        assert {(r.vertex, r.root) for r in lf._families(first).collect()} == expected
+
+
+def test_pairs_of_blocks_meet_every_two_families(spark, monkeypatch):
+    monkeypatch.setattr(lf, "BLOCK", 4)
+    rows = [(n, 100 * n + v, 100 * n + min(v // 9, 2) * 9 if v < 20 else 100 * n + v) for n in range(2) for v in range(30)]
+    placed = lf._across(spark.createDataFrame(rows, "node long, cls long, root long")).collect()
+    meet = {}
+    for r in placed:
+        meet.setdefault((r.node, r.i, r.j), []).append(r)
+    pairs = {frozenset((a.cls, b.cls)) for m in meet.values() for a in m for b in m if a.root != b.root and (a.side != b.side or a.side == 0)}
+    assert pairs == {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    large = [r for r in placed if r.f >= 0]
+    assert large and all(len({x.f for x in meet[r.node, r.i, r.j] if x.f >= 0} | {r.f}) in (1, 2) for r in large)
+    assert not [m for m in meet.values() if len(m) > 1 and len({(x.f, x.side) for x in m if x.f >= 0}) > len({x.f for x in m if x.f >= 0})]
+
+
 def test_one_of_each_class(spark, odd, clashing, none):
     kept = lf.one_of_each(clashing)
     assert kept.columns == clashing.columns
