@@ -57,11 +57,13 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(vertex, root) of every vertex in ``edges`` (a, b: long); the root is the component's least vertex."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    table = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    last = table(now)
     while True:
-        then = now
         now = written(_stars(written(_stars(now, True), name), False), name)
         # at the end every vertex hangs from its root alone: the table stays as it is
-        sums = [t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for t in (then, now)]
-        if tuple(sums[0]) == tuple(sums[1]):
+        sums = table(now)
+        if sums == last:
             break
+        last = sums
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())

@@ -34,7 +34,7 @@ WORDS = 5
 THRESHOLD = (4, 5)
 TREES, DEPTH, RECALL = 32, 12, 0.999
 #: Values by which prefixes are shortened from one level to the next.
-STEP = 2
+STEP = 3
 #: An estimate from all signature values may lie so many standard deviations below the threshold.
 SIGMAS = 5.0
 #: Documents of one block: two blocks are compared in one task.
@@ -237,13 +237,19 @@ def _families(first: DataFrame) -> DataFrame:
     for depth in levels():
         # documents that reached the recall at a longer prefix are done
         under = trie.where(F.col("own") < longer).select("cls", "signature", F.expr(f"xxhash64(tree, substring(path, 1, {depth}))").alias("node"))
+        wide = None
         for across in (False, True):
+            if across and (wide is None or wide.isEmpty()):
+                continue
             if families is None:
                 rows = under.withColumn("root", F.col("cls"))
             else:
                 rows = under.join(families.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            if across:
+                rows = rows.join(wide.select("node"), "node")
             nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-            nodes = written(nodes.where("low <> high").where(F.col("size") > (BLOCK if across else 1)).select("node", "size"), "forest-nodes")
+            nodes = written(nodes.where("low <> high").select("node", "size"), "forest-nodes")
+            wide = nodes.where(F.col("size") > BLOCK)
             if nodes.isEmpty():
                 continue
             rows = rows.join(nodes, "node")
