@@ -54,6 +54,12 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def contracted(edges: DataFrame, name: str) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` do, after one round of stars: most vertices hang from the least
+    one of their component, some still from another."""
+    return written(_stars(written(_stars(edges, True), name), False), name)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(vertex, root) of every vertex in ``edges`` (a, b: long); the root is the component's least vertex."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textarrays as ta
 from logweave.llm.cgk_decontam import row_groups, utf8
-from logweave.llm.components import Forest, components
+from logweave.llm.components import Forest, components, contracted
 from logweave.llm.shared import written
 
 WORDS = 5
@@ -232,7 +232,7 @@ def _families(first: DataFrame) -> DataFrame:
     num, den = THRESHOLD
     least = num / den - SIGMAS * (num / den * (1 - num / den) / (TREES * DEPTH)) ** 0.5
     trie = written(_trie(first), "forest-trie")
-    families = None
+    links = None
     longer = DEPTH + 1
     for depth in levels():
         # documents that reached the recall at a longer prefix are done
@@ -241,10 +241,12 @@ def _families(first: DataFrame) -> DataFrame:
         for across in (False, True):
             if across and (wide is None or wide.isEmpty()):
                 continue
-            if families is None:
+            if links is None:
                 rows = under.withColumn("root", F.col("cls"))
             else:
-                rows = under.join(families.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+                # one name may be short of the component's least one: two names of a family cost a comparison, no link
+                names = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
+                rows = under.join(names, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
             if across:
                 rows = rows.join(wide.select("node"), "node")
             nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -259,13 +261,11 @@ def _families(first: DataFrame) -> DataFrame:
                 block = F.pmod(F.xxhash64("node", "cls"), F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
                 rows = rows.withColumn("i", block).withColumn("j", block).withColumn("side", F.lit(0))
             edges = written(_compared(rows, least), "forest-edges")
-            if families is not None:
-                edges = edges.unionByName(families.where("vertex <> root").select(F.col("vertex").alias("a"), F.col("root").alias("b")))
-            families = written(components(edges, "forest-components"), "forest-families")
+            links = contracted(edges if links is None else edges.unionByName(links), "forest-contracted")
         longer = depth
-    if families is None:
-        families = first.sparkSession.createDataFrame([], "vertex long, root long")
-    return families
+    if links is None:
+        return first.sparkSession.createDataFrame([], "vertex long, root long")
+    return written(components(links, "forest-components"), "forest-families")
 
 
 def _blocks(rows: DataFrame, group: str) -> DataFrame:
