@@ -14,17 +14,20 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.config import DEFAULT
-from logweave.functions.vector import cosine_to_query, rank_key
+from logweave.functions.vector import RANK_DECIMALS, cosine_to_query, rank_key
 from logweave.operators.analytics import filter_level
 
 RESULT_COLUMNS = ["id", "line_id", "log_timestamp", "level", "event_id", "raw_message", "event_template"]
 QUERY_BLOCK = 512  # queries that one task of the batch search holds
 CORPUS_BLOCK = 50_000  # vectors that one task of the batch search holds
+LEAST_QUERIES, LEAST_VECTORS = 2048, 20_000  # smaller blocks are sent too often
+CELLS = 1 << 20  # similarities that one task holds at a time
 PUSHED = 512  # matched messages that go to the log scan as literals
 
 
@@ -209,25 +212,60 @@ def knn_documents(logs: DataFrame, vecs: DataFrame, query: Sequence[float],
 
 # -- K9: batch search -----------------------------------------------------------
 
+def _matrix(values: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of vectors as doubles; NaN for a missing vector."""
+    column = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.unique(pc.list_value_length(column).drop_null().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError("vectors of one search must have one length")
+    out = np.full((len(column), int(sizes[0]) if len(sizes) else 0), np.nan)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(int(there.sum()), out.shape[1])
+    return out
+
+
+def _best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best of each row by rounded distance, then id; missing similarities (-inf) last."""
+    t, n = sims.shape
+    k = min(k, n)
+    # the k-th best of the maxima of groups of columns is no better than the k-th best of all
+    groups = max(k, n // 32)
+    most = sims[:, : n // groups * groups].reshape(t, -1, groups).max(axis=1)
+    kth = np.partition(most, groups - k, axis=1)[:, groups - k]
+    # distances that round to that of the k-th compete by id
+    rows, cols = np.nonzero(sims >= (kth - 2 * 10.0**-RANK_DECIMALS)[:, None])
+    dist = np.round(1.0 - sims[rows, cols], RANK_DECIMALS)
+    order = np.lexsort((ids[cols], dist, rows))
+    rows, cols = rows[order], cols[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, np.arange(t))[rows] < k
+    return rows[kept], cols[kept]
+
+
 def _block_topk(k: int, key: str):
     """Scorer of one block of vectors against one block of queries: the k best of each query."""
 
-    def run(pair, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(pair, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("similarity", pa.float64()), ("part", pa.int64())])
         if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], key: [], "similarity": [], "part": []})
-        q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        m = np.stack(vectors["embedding"].to_numpy()).astype(np.float64)
+            return schema.empty_table()
+        q, m = _matrix(queries["vector"]), _matrix(vectors["embedding"])
+        if not q.shape[1]:  # no query has a vector
+            q = np.full((len(q), m.shape[1]), np.nan)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        norm = np.linalg.norm(m, axis=1)
-        ids = vectors[key].to_numpy(dtype=np.int64)
-        best = min(k, len(ids))
-        out = []
-        for qid, vector in zip(queries["query_id"].to_numpy(dtype=np.int64), q, strict=True):
-            sims = (m @ vector) / np.where(norm == 0, np.nan, norm)
-            dist = np.round(1.0 - sims, 9)
-            order = np.lexsort((ids, dist))[:best]
-            out.append(pd.DataFrame({"query_id": qid, key: ids[order], "similarity": sims[order], "part": int(pair[0])}))
-        return pd.concat(out)
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+        norm[norm == 0] = np.nan
+        m /= norm[:, None]
+        keys, asked = vectors[key].combine_chunks().cast(pa.int64()), queries["query_id"].combine_chunks().cast(pa.int64())
+        ids = keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        step, out = max(1, CELLS // len(m)), []
+        for at in range(0, len(q), step):
+            sims = q[at : at + step] @ m.T
+            sims[np.isnan(sims)] = -np.inf
+            rows, cols = _best_of(sims, ids, k)
+            found = sims[rows, cols]
+            columns = [asked.take(pa.array(rows + at)), keys.take(pa.array(cols)), pa.array(found, mask=np.isinf(found)), pa.array(np.full(len(rows), pair[0].as_py()), pa.int64())]
+            out.append(pa.Table.from_arrays(columns, schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
@@ -238,22 +276,28 @@ def semantic_search_batch(vecs: DataFrame, queries: DataFrame, k: int = 10, key:
 
     Queries and vectors are dealt into blocks by hash; each pair of blocks is
     one cogrouped task that keeps the k best of each query, so no pair table
-    is formed and nothing passes through the driver but two counts.  The
-    results merge by query and a part of the corpus, then by query.
+    is formed and nothing passes through the driver but two counts.  Every
+    block of queries is sent to each block of vectors, so the copies grow with
+    the number of blocks: sizes under ``LEAST_QUERIES`` and ``LEAST_VECTORS``
+    are raised to these.  A task scores ``CELLS`` pairs at a time.  The
+    results merge by query and a part of the corpus, then by query.  A query
+    without a vector has the least keys, without a similarity.
     """
     vecs = vecs.filter(F.col("embedding").isNotNull()).select(key, "embedding")
     queries = queries.select("query_id", F.col("embedding").alias("vector"))
-    n_q = max(1, -(-queries.count() // query_block))
-    n_c = max(1, -(-vecs.count() // corpus_block))
+    n_q = _blocks_of(queries.count(), query_block, LEAST_QUERIES)
+    n_c = _blocks_of(vecs.count(), corpus_block, LEAST_VECTORS)
 
     def dealt(df: DataFrame, by: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
         block = F.pmod(F.xxhash64(by), F.lit(own))
-        return df.withColumn(names[0], block).withColumn(
+        placed = df.withColumn(names[0], block).withColumn(
             names[1], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+        # with a number: merged by their size, few tasks would score all pairs
+        return placed.repartition(min(2 * n_q * n_c, 2000), "_c", "_q")
 
     left = dealt(vecs, key, n_c, n_q, ("_c", "_q"))
     right = dealt(queries, "query_id", n_q, n_c, ("_q", "_c"))
-    found = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInPandas(
+    found = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(
         _block_topk(k, key), f"query_id long, {key} long, similarity double, part long")
     order = [F.round(1 - F.col("similarity"), 9).asc_nulls_last(), F.col(key)]
     w1 = Window.partitionBy("query_id", F.pmod("part", F.lit(64))).orderBy(*order)
@@ -264,3 +308,8 @@ def semantic_search_batch(vecs: DataFrame, queries: DataFrame, k: int = 10, key:
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", key, F.round("similarity", 6).alias("similarity"))
     )
+
+
+def _blocks_of(n: int, block: int, least: int) -> int:
+    """Number of blocks of ``n`` rows."""
+    return max(1, -(-n // max(block, least)))

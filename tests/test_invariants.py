@@ -185,6 +185,31 @@ def test_batch_search_without_queries_is_empty(spark):
     assert out.count() == 0 and out.columns == ["query_id", "rank", "vec_id", "similarity"]
 
 
+def test_batch_search_sends_small_blocks_together(spark, monkeypatch):
+    """Copies of queries and vectors don't grow with the square of the table; any dealing gives the same rows."""
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(90, 4)), 1).astype(np.float32)
+    m[40:70] = m[3]  # equal vectors rank by id
+    m[7] = 0
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)] + [(90, None)]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vecs.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    assert se._blocks_of(30_000, 16, se.LEAST_QUERIES) * 100_000 <= 2_000_000 and se._blocks_of(0, 16, 4) == 1
+    pairs = se.semantic_search_batch(vecs, queries, k=5, query_block=1, corpus_block=1)
+    assert "FlatMapCoGroups" in pairs._jdf.queryExecution().executedPlan().toString()
+    norm = np.linalg.norm(m.astype(float), axis=1)
+    want = set()
+    for q in [k for k, _ in rows if k % 3 == 0]:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = m.astype(float) @ m[q].astype(float) / (norm * max(norm[q], 1e-300)) if q < 90 else np.full(90, np.nan)
+        order = np.lexsort((np.arange(90), np.round(1 - s, 9)))[:5]
+        want |= {(q, r + 1, int(v), None if np.isnan(s[v]) else round(float(s[v]), 6)) for r, v in enumerate(order)}
+    assert {tuple(r) for r in pairs.collect()} == want
+    monkeypatch.setattr(se, "LEAST_QUERIES", 7)
+    monkeypatch.setattr(se, "LEAST_VECTORS", 11)
+    assert {tuple(r) for r in se.semantic_search_batch(vecs, queries, k=5, query_block=1, corpus_block=1).collect()} == want
+
+
 def test_append_timeline_drops_rows_behind_the_watermark(spark):
     import datetime as dt
 
