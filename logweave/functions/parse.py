@@ -103,12 +103,20 @@ ISO_SHAPE = (
 )
 
 
-def iso_instant(text: Column) -> Column:
+def instant_groups(text: Column) -> Column:
+    """Array of the groups of an ISO text (from place 1 on) by one evaluation of the shape; NULL for other shapes
+    and texts with a mark.  Stage it as a column of its own, and give that to ``iso_instant``."""
+    marks = F.regexp_replace(text, ISO_SHAPE, "".join(f"{_MARK}${i}" for i in range(1, 13)))
+    return F.when(~F.contains(text, F.lit(_MARK)) & marks.startswith(_MARK), F.split(marks, _MARK, 13))
+
+
+def iso_instant(text: Column, groups: Column | None = None) -> Column:
     """ISO date or date and time, extended or basic, with or without an offset -> timestamp_ntz in UTC;
-    NULL for other shapes (a time or a year alone) and for instants that don't exist."""
+    NULL for other shapes (a time or a year alone) and for instants that don't exist.  ``groups``: the staged
+    ``instant_groups`` of the text."""
 
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, ISO_SHAPE, i), F.lit(""))
+        return F.nullif(F.regexp_extract(text, ISO_SHAPE, i) if groups is None else F.get(groups, F.lit(i)), F.lit(""))
 
     def number(c: Column) -> Column:
         return F.coalesce(c.try_cast("int"), F.lit(0))
@@ -122,7 +130,7 @@ def iso_instant(text: Column) -> Column:
     local = F.try_make_timestamp_ntz(year, month, day, hour, minute, F.when(second < 60, seconds))
     ahead = number(part(10)) * 3600 + number(part(11)) * 60 + number(part(12))
     ahead = F.when(part(9) == "-", -ahead).otherwise(ahead)
-    valid = text.rlike(ISO_SHAPE) & (number(part(10)) < 24) & (number(part(11)) < 60)
+    valid = (text.rlike(ISO_SHAPE) if groups is None else groups.isNotNull()) & (number(part(10)) < 24) & (number(part(11)) < 60)
     return F.when(valid, local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ahead.cast("decimal(18,6)")))
 
 
@@ -250,16 +258,19 @@ def _ssh(raw: Column, year: int, parts: Column | None = None) -> tuple[Column, d
     }
 
 
-def _syslog(raw: Column, parts: Column | None = None) -> tuple[Column, dict[str, Column]]:
+def _syslog_time(g) -> Column:
+    return F.replace(g(3), F.lit("Z"), F.lit("+00:00"))
+
+
+def _syslog(raw: Column, parts: Column | None = None, instant: Column | None = None) -> tuple[Column, dict[str, Column]]:
     ok, g = _access(raw, _SYSLOG_LINE, parts)
     # groups: 1 pri, 2 version, 3 ts, 4 host, 5 app, 6 procid, 7 msgid, 8 sd, 9 msg
     pri = g(1).try_cast("long")
     sev = (pri % 8).cast("int")
     procid = g(6)
-    ts_text = F.replace(g(3), F.lit("Z"), F.lit("+00:00"))
     return ok, {
         "source": F.lit("syslog"),
-        "log_timestamp": iso_instant(ts_text),
+        "log_timestamp": iso_instant(_syslog_time(g), instant),
         "level": F.coalesce(F.array(*[F.lit(x) for x in SYSLOG_SEVERITY])[sev], F.lit("INFO")),
         "host": g(4), "process": g(5),
         "pid": F.when(procid.rlike("^[0-9]+$"), procid.try_cast("int")),
@@ -350,7 +361,7 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
     at = staged or {}
     per_source = {
         "openssh": _ssh(raw, year, at.get("openssh"))[1],
-        "syslog": _syslog(raw, at.get("syslog"))[1],
+        "syslog": _syslog(raw, at.get("syslog"), at.get("instant"))[1],
         "windows_event": _windows(raw, at.get("windows_event"))[1],
     }
     generic = _generic(raw)
@@ -368,19 +379,41 @@ def parse_line(line: Column | str, source_hint: str | None = None, year: int = 2
     return _struct(fields)
 
 
+#: pattern and number of groups of each parser that a line can fail
+_PARTS = {"openssh": (_SSH_LINE, 7), "syslog": (_SYSLOG_LINE, 9), "windows_event": (_WINDOWS_LINE, 5)}
+
+
+def _staged_parts(df, line_col: str, sources):
+    """``df`` with a column of the groups of each parser's match, and one of the groups of a syslog line's time:
+    every pattern is evaluated once a line, and what reads the groups reads plain columns."""
+    steps = df.withColumns({f"_{n}": marked(F.col(line_col), *_PARTS[n]) for n in sources})
+    steps = steps.withColumns({f"_{n}": groups_of(F.col(f"_{n}"), _PARTS[n][1]) for n in sources})
+    if "syslog" in sources:
+        steps = steps.withColumn("_instant", instant_groups(_syslog_time(lambda i: F.get("_syslog", F.lit(i)))))
+    return steps
+
+
+def parse_source(df, source: str, line_col: str = "raw_line", year: int = 2024, out: str = "parsed"):
+    """The rows of ``df`` that the parser of ``source`` (openssh, syslog or windows_event) matches, with its struct."""
+    steps = _staged_parts(df, line_col, [source]).filter(F.col(f"_{source}").isNotNull())
+    raw, parts = F.col(line_col), F.col(f"_{source}")
+    if source == "syslog":
+        _, fields = _syslog(raw, parts, F.col("_instant"))
+    else:
+        _, fields = _ssh(raw, year, parts) if source == "openssh" else _windows(raw, parts)
+    return steps.withColumn(out, _struct(fields)).drop(f"_{source}", "_instant")
+
+
 def parse_lines(df, line_col: str = "raw_line", source_hint: str | None = None, year: int = 2024,
                 out: str = "parsed"):
     """DataFrame form of ``parse_line``: each parser's pattern is evaluated once a line, its groups and
     then the detected source are projected first, and every field reads plain columns (Catalyst keeps
     the projections apart because their columns are read by many fields)."""
     raw = F.col(line_col)
-    patterns = {"openssh": (_SSH_LINE, 7), "syslog": (_SYSLOG_LINE, 9), "windows_event": (_WINDOWS_LINE, 5)}
-    if source_hint in patterns:
-        patterns = {source_hint: patterns[source_hint]}
-    steps = df.withColumns({f"_{n}": marked(raw, p, k) for n, (p, k) in patterns.items()})
-    steps = steps.withColumns({f"_{n}": groups_of(F.col(f"_{n}"), k) for n, (_, k) in patterns.items()})
+    patterns = [source_hint] if source_hint in _PARTS else list(_PARTS)
+    steps = _staged_parts(df, line_col, patterns)
     never = F.lit(None).cast("array<string>")
-    staged = {n: F.col(f"_{n}") if n in patterns else never for n in ("openssh", "syslog", "windows_event")}
+    staged = {n: F.col(f"_{n}") if n in patterns else never for n in _PARTS} | {"instant": F.col("_instant") if "syslog" in patterns else never}
     steps = steps.withColumn("_source", detect_source(raw, source_hint, year, staged))
     parsed = steps.withColumn(out, parse_line(raw, source_hint, year, source=F.col("_source"), staged=staged))
-    return parsed.drop("_source", *[f"_{n}" for n in patterns])
+    return parsed.drop("_source", "_instant", *[f"_{n}" for n in patterns])

@@ -21,11 +21,12 @@ def _fields(parsed, names):
     return [parsed[n].alias(n) for n in names]
 
 
-def _only(spark, d, parser, extra=()):
-    # parse once into a struct column, then filter and unpack it
-    df = lines(spark, d).select("line_id", parser(F.col("raw_line")).alias("p"))
-    return df.filter(F.col("p").isNotNull()).select("line_id", "p.*").select(
-        "line_id", *COMMON, *extra)
+def _only(spark, d, source, extra=()):
+    return _rows(spark, d, source).select("line_id", *COMMON, *extra)
+
+
+def _rows(spark, d, source):
+    return P.parse_source(lines(spark, d).select("line_id", "raw_line"), source, out="p").select("line_id", "p.*")
 
 
 def _sel(prefix, extra=""):
@@ -40,21 +41,16 @@ def _sel(prefix, extra=""):
     return f"SELECT line_id, {cols}{extra} FROM parsed_lines WHERE {prefix}_ok"
 
 
-def _ssh_rows(spark, d):
-    df = lines(spark, d).select("line_id", P.parse_openssh(F.col("raw_line")).alias("p"))
-    return df.filter(F.col("p").isNotNull()).select("line_id", "p.*")
-
-
 @query("parse_openssh", W(_sel("ssh"), "parsed_lines"))
 def q_parse_openssh(spark, d):
-    return _only(spark, d, P.parse_openssh)
+    return _only(spark, d, "openssh")
 
 
 @query("ssh_auth_failure", W("""
 SELECT line_id, fail_method AS method, fail_user AS "user", fail_ip AS ip
 FROM parsed_lines WHERE ssh_ok AND fail_ip IS NOT NULL""", "parsed_lines"))
 def q_auth_failure(spark, d):
-    df = _ssh_rows(spark, d).filter(F.col("auth_failure").isNotNull())
+    df = _rows(spark, d, "openssh").filter(F.col("auth_failure").isNotNull())
     return df.select("line_id", "auth_failure.method", "auth_failure.user", "auth_failure.ip")
 
 
@@ -62,7 +58,7 @@ def q_auth_failure(spark, d):
 SELECT line_id, ok_method AS method, ok_user AS "user", ok_ip AS ip
 FROM parsed_lines WHERE ssh_ok AND ok_ip IS NOT NULL""", "parsed_lines"))
 def q_auth_success(spark, d):
-    df = _ssh_rows(spark, d).filter(F.col("auth_success").isNotNull())
+    df = _rows(spark, d, "openssh").filter(F.col("auth_success").isNotNull())
     return df.select("line_id", "auth_success.method", "auth_success.user", "auth_success.ip")
 
 
@@ -70,26 +66,24 @@ def q_auth_success(spark, d):
 SELECT line_id, disconnect_ip AS ip FROM parsed_lines WHERE ssh_ok AND disconnect_ip IS NOT NULL""",
                            "parsed_lines"))
 def q_disconnect(spark, d):
-    df = _ssh_rows(spark, d).filter(F.col("disconnect_ip").isNotNull())
+    df = _rows(spark, d, "openssh").filter(F.col("disconnect_ip").isNotNull())
     return df.select("line_id", F.col("disconnect_ip").alias("ip"))
 
 
 @query("parse_syslog", W(_sel("sys"), "parsed_lines"))
 def q_parse_syslog(spark, d):
-    return _only(spark, d, P.parse_syslog)
+    return _only(spark, d, "syslog")
 
 
 @query("syslog_facility", W("""
 SELECT line_id, facility, severity, msgid FROM parsed_lines WHERE sys_ok""", "parsed_lines"))
 def q_syslog_facility(spark, d):
-    df = lines(spark, d).select("line_id", P.parse_syslog(F.col("raw_line")).alias("p"))
-    return df.filter(F.col("p").isNotNull()).select("line_id", "p.*").select(
-        "line_id", "facility", "severity", "msgid")
+    return _rows(spark, d, "syslog").select("line_id", "facility", "severity", "msgid")
 
 
 @query("parse_windows_event", W(_sel("win", ", win_event_id AS event_id"), "parsed_lines"))
 def q_parse_windows(spark, d):
-    return _only(spark, d, P.parse_windows_event, extra=("event_id",))
+    return _only(spark, d, "windows_event", extra=("event_id",))
 
 
 @query("parse_generic", W("""
@@ -97,7 +91,8 @@ SELECT line_id, gen_ts AS log_timestamp, gen_level AS level, CAST(NULL AS VARCHA
  CAST(NULL AS VARCHAR) AS process, CAST(NULL AS INTEGER) AS pid, gen_message AS message
 FROM parsed_lines""", "parsed_lines"))
 def q_parse_generic(spark, d):
-    return _only(spark, d, P.parse_generic)
+    df = lines(spark, d).select("line_id", P.parse_generic(F.col("raw_line")).alias("p"))
+    return df.select("line_id", "p.*").select("line_id", *COMMON)
 
 
 @query("parse_auto", W(f"""

@@ -98,3 +98,17 @@ def test_table_form_equals_expression_form(spark, hint):
     table = {r.i: r.parsed for r in P.parse_lines(df, source_hint=hint).collect()}
     single = {r.i: r.p for r in df.select("i", P.parse_line("raw_line", hint).alias("p")).collect()}
     assert table == single
+
+
+@pytest.mark.parametrize(("source", "parser"), [("openssh", P.parse_openssh), ("syslog", P.parse_syslog), ("windows_event", P.parse_windows_event)])
+def test_rows_of_one_parser(spark, source, parser):
+    """Same rows as the parser's expression, with no pattern evaluated a field at a time."""
+    stamps = ("2024-06-15T10:00:00.5Z", "20240615T1000+0200", "2024-06-15", "2024-13-01T00:00:00", "-", "10:15:00", "2024-06-15T00:30:00+01:00", "2024-01-01T00:00:00+25:00")
+    lines = [REFUSED, LET_IN, QUEUE, AUDIT, "plain", "", None, "  " + LET_IN, "\x1f" + QUEUE, QUEUE + " a\x1fb\x1f", "$1 \\ " + AUDIT, QUEUE + " $2 \\1", *(f"<13>1 {t} h a 7 - - m" for t in stamps)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, raw_line string")
+    found = P.parse_source(df, source)
+    assert found.columns == ["i", "raw_line", "parsed"]
+    want = {r.i: r.p for r in df.select("i", parser("raw_line").alias("p")).collect() if r.p is not None}
+    assert want and {r.i: r.parsed for r in found.collect()} == want
+    plan = found.select("parsed.log_timestamp", "parsed.host", "parsed.message")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("regexp_replace") <= 6
