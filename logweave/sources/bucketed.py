@@ -16,15 +16,21 @@ from pyspark.sql import functions as F
 from logweave.session import written
 
 BUCKETS = 64
+#: rows of a bucket that one task sorts and writes, about
+PART_ROWS = 100_000
 
 
 def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
-def _place(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    """Writes the buckets that ``df`` has rows of, each by one task."""
-    placed = df.withColumn("bucket", bucket_of(key, buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", key)
+def _place(df: DataFrame, path: str, key: str, buckets: int, touched: int) -> None:
+    """Writes the ``touched`` buckets that ``df`` has rows of, each by as many tasks as its rows need."""
+    parts = max(1, -(-df.count() // (PART_ROWS * max(1, touched))))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts)).cast("int")
+    placed = df.withColumn("bucket", bucket_of(key, buckets))
+    # by number: two buckets never meet in one task, as their hashes would
+    placed = placed.repartitionById(buckets * parts, F.col("bucket") * parts + part).sortWithinPartitions("bucket", key)
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
@@ -43,14 +49,14 @@ def upsert_bucketed(spark: SparkSession, path: str, new: DataFrame, key: str, bu
     new = written(new, "upsert-new")
     touched = [r.bucket for r in new.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]
     if not exists(spark, path):
-        _place(new, path, key, buckets)
+        _place(new, path, key, buckets, len(touched))
         return read_bucketed(spark, path)
     if touched:
         old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
         other = new.select(F.col(key).alias("_key"))
         kept = old.join(other, old[key].eqNullSafe(other["_key"]), "left_anti")
         # a table of its own first: a bucket isn't replaced while it is read
-        _place(written(kept.unionByName(new), "upsert-merged"), path, key, buckets)
+        _place(written(kept.unionByName(new), "upsert-merged"), path, key, buckets, len(touched))
     return read_bucketed(spark, path)
 
 

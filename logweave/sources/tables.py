@@ -74,7 +74,8 @@ def accepted_documents(docs: DataFrame, key: str = "id", dim: int | None = None,
     )
     rank = [F.col(order_by)] if order_by else []
     last = F.max_by(F.struct(*docs.columns), F.struct(*rank, F.xxhash64(*docs.columns)))
-    good = good.groupBy(key).agg(last.alias("_d")).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
+    # dealt by key before they are sorted: a task that reads much would else sort all that it reads
+    good = good.repartition(key).groupBy(key).agg(last.alias("_d")).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
     return good, counts
 
 

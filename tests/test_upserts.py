@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from logweave.operators import ann
@@ -54,6 +55,20 @@ def test_stored_index_equals_the_whole_upsert(spark):
     assert counts.collect() == same.collect()
 
 
+def test_large_buckets_are_written_by_many_tasks(spark, monkeypatch):
+    """What a task sorts and writes doesn't grow with the table; documents are dealt by key before they are sorted."""
+    monkeypatch.setattr(bk, "PART_ROWS", 50)
+    path = scratch_path(spark, "large_buckets")
+    bk.upsert_bucketed(spark, path, spark.range(4_000).selectExpr("id", "'old' AS v"), "id", buckets=4)
+    sizes = [pq.read_metadata(f.removeprefix("file:")).num_rows for f in files(path.removeprefix("file:"))]
+    assert sum(sizes) == 4_000 and max(sizes) <= 100 and len(sizes) >= 60
+    table = bk.upsert_bucketed(spark, path, spark.range(10).selectExpr("id", "'new' AS v"), "id", buckets=4)
+    assert sorted(map(tuple, table.collect())) == [(k, "new" if k < 10 else "old") for k in range(4_000)]
+    docs = spark.range(50).selectExpr("id", "1 AS version", "array(1.0D, id) AS embedding")
+    plan = tb.accepted_documents(docs, "id", 2, "version")[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max_by") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
 def test_stored_embeddings_write_new_messages_alone(spark):
     logs = spark.range(400).selectExpr("concat('message ', id % 40) AS normalized_message", "'E' AS event_id", "'INFO' AS level")
     path = scratch_path(spark, "stored")
