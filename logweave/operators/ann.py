@@ -162,6 +162,20 @@ def _best(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return some.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= k)
 
 
+def _probes(cents: np.ndarray, nprobe: int):
+    """A row (query_id, cell, vector) for each of a query's nearest cells, ``QUERY_BLOCK`` queries at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_BLOCK):
+                pdf = batch[at : at + QUERY_BLOCK]
+                q = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+                cells = np.argsort(-(q @ cents.T), axis=1, kind="stable")[:, :nprobe]
+                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), cells.shape[1]), "cell": cells.reshape(-1), "vector": list(np.repeat(q, cells.shape[1], axis=0))})
+
+    return run
+
+
 def search_many(spark: SparkSession, index: AnnIndex, queries: DataFrame, k: int = 20, nprobe: int = 12, rerank: int = 20) -> DataFrame:
     """K8 for a table of queries (query_id, embedding): query_id, rank, key, similarity of the ``k`` nearest
     among the ``nprobe`` nearest cells of each.
@@ -174,15 +188,8 @@ def search_many(spark: SparkSession, index: AnnIndex, queries: DataFrame, k: int
     cents, books, key = index.centroids, _codebooks(spark, index.path), index.key
     cuts, keep = _cuts(cents.shape[1], len(books)), rerank * k
 
-    def probes(batches):
-        for pdf in batches:
-            if len(pdf):
-                q = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-                cells = np.argsort(-(q @ cents.T), axis=1, kind="stable")[:, :nprobe]
-                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), cells.shape[1]), "cell": cells.reshape(-1), "vector": list(np.repeat(q, cells.shape[1], axis=0))})
-
     asked = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    asked = written(asked.mapInPandas(probes, "query_id long, cell int, vector array<double>"), "ann-probes")
+    asked = written(asked.mapInPandas(_probes(cents, nprobe), "query_id long, cell int, vector array<double>"), "ann-probes")
     codes = spark.read.parquet(f"{index.path}/codes").withColumn("cell", F.col("cell").cast("int"))
     kind = dict(codes.dtypes)[key]
     # blocks of each cell: two small tables of counts

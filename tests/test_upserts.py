@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -104,3 +105,13 @@ def test_compressed_cells_keep_their_recall(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(map(tuple, again))
     whole = ann.search_many(spark, idx, asked, k=3, nprobe=8, rerank=200).select("query_id", "rank", "vec_id")
     assert sorted(map(tuple, whole.collect())) == sorted((r.query_id, r["rank"], r.vec_id) for r in exact.filter("rank <= 3").collect())
+
+
+def test_probed_cells_of_many_queries_come_in_pieces():
+    rng = np.random.default_rng(6)
+    cents, m = rng.normal(size=(9, 5)), rng.normal(size=(1_000, 5))
+    pieces = list(ann._probes(cents, 4)([pd.DataFrame({"query_id": range(1_000), "embedding": list(m)})]))
+    assert max(map(len, pieces)) <= 4 * ann.QUERY_BLOCK and len(pieces) == 4
+    rows = pd.concat(pieces)
+    want = np.argsort(-(m / np.linalg.norm(m, axis=1, keepdims=True) @ cents.T), axis=1)[:, :4]
+    assert rows["cell"].tolist() == want.reshape(-1).tolist() and rows["query_id"].tolist() == np.repeat(range(1_000), 4).tolist()
