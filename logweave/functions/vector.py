@@ -77,22 +77,31 @@ def token_hashes(text: Column) -> Column:
     return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
 
 
+#: rows whose bucket sums a task holds as doubles at a time
+SUM_ROWS = 512
+
+
 def _bucket_sums(dim: int):
     """Arrow-batched helper: signed bucket counts of each row's token hashes,
-    L2-normalised, float32.  One ``bincount`` per batch (rows x dim), so the
-    cost is linear in tokens, not tokens x dim."""
-    @F.pandas_udf("array<float>")
-    def sums(hashes: pd.Series) -> pd.Series:
-        n = len(hashes)
-        lens = np.fromiter((0 if h is None else len(h) for h in hashes), dtype=np.int64, count=n)
-        flat = (np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes if h is not None and len(h)])
-                if lens.sum() else np.zeros(0, dtype=np.int64))
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        sign = np.where((flat // dim) % 2 == 0, 1.0, -1.0)
-        mat = np.bincount(rows * dim + flat % dim, weights=sign, minlength=n * dim).astype(np.float64).reshape(n, dim)
-        norms = np.sqrt((mat * mat).sum(axis=1))
-        out = np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
-        return pd.Series(list(out.astype(np.float32)))
+    L2-normalised, float32.  One ``bincount`` per ``SUM_ROWS`` rows, so the
+    cost is linear in tokens, not tokens x dim, and a batch holds no more
+    than its own result besides."""
+    @F.arrow_udf("array<float>")
+    def sums(hashes: pa.Array) -> pa.Array:
+        n, rows_at_once = len(hashes), SUM_ROWS
+        lens = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        all_hashes = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(lens)))
+        out = np.zeros((n, dim), np.float32)
+        for at in range(0, n, rows_at_once):
+            some = lens[at : at + rows_at_once]
+            flat = all_hashes[ends[at] : ends[at + len(some)]]
+            rows = np.repeat(np.arange(len(some), dtype=np.int64), some)
+            sign = np.where((flat // dim) % 2 == 0, 1.0, -1.0)
+            mat = np.bincount(rows * dim + flat % dim, weights=sign, minlength=len(some) * dim).astype(np.float64).reshape(-1, dim)
+            norms = np.sqrt((mat * mat).sum(axis=1))
+            out[at : at + len(some)] = np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(out.reshape(-1)))
 
     return sums
 

@@ -60,3 +60,24 @@ def test_vector_text(spark):
     text = df.select(vector_to_text(F.col("v")).alias("t"))
     assert text.first()[0] == "[0.2500000000,-3.0000000000,0.0000001000]"
     assert list(text.select(text_to_vector(F.col("t"))).first()[0]) == [0.25, -3.0, 1e-7]
+
+
+def test_bucket_sums_hold_a_batch_once(spark):
+    """A batch of hashes gives the encoder's vectors, and needs little more memory than these."""
+    import hashlib
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from logweave.functions import vector as ve
+    from logweave.operators.embed import encode_query
+
+    texts = [f"session {k} opened" if k % 5 else "" for k in range(4_096)]
+    hashes = [[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in x.split()] for x in texts] + [None]
+    tracemalloc.start()
+    got = ve._bucket_sums(384).func(pa.array(hashes, pa.list_(pa.int64())))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2 * 4_097 * 384 * 4
+    assert [np.asarray(got[k].as_py(), np.float32).tolist() for k in (0, 1, 777, 4_096)] == [encode_query(t) for t in ("", texts[1], texts[777], "")]
