@@ -60,16 +60,17 @@ def contracted(edges: DataFrame, name: str) -> DataFrame:
     return written(_stars(written(_stars(edges, True), name), False), name)
 
 
+def _hung(edges: DataFrame) -> bool:
+    """Whether every vertex of ``edges`` (a > b, each once) hangs from one vertex that hangs from none."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    each = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return each.where("below > 1 OR (below = 1 AND above = 1)").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(vertex, root) of every vertex in ``edges`` (a, b: long); the root is the component's least vertex."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    table = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = table(now)
-    while True:
+    while not _hung(now):
         now = written(_stars(written(_stars(now, True), name), False), name)
-        # at the end every vertex hangs from its root alone: the table stays as it is
-        sums = table(now)
-        if sums == last:
-            break
-        last = sums
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())

@@ -8,8 +8,9 @@ are one family has no work left, so copies that met under long prefixes aren't c
 ones.  A document goes down until a partner as unlike as its set's size allows has been met with the target
 recall; sets that are too small for any partner but an equal set stay out.
 
-Nodes of many documents are compared in blocks, first each block by itself (other blocks in each tree), then
-across blocks what is still of different families.  In the end every pair of different sets of a family is
+Nodes of many documents are compared in blocks, at each level each block by itself (other blocks in each
+tree).  When all levels are done, the blocks of the nodes of the shortest prefix, which hold those of the longer
+ones, are compared across for what is still of different families.  In the end every pair of different sets of a family is
 verified exactly, in blocks of documents.
 
 Documents of equal sets count as one class before anything is paired.  Pairs themselves are never
@@ -203,7 +204,7 @@ def _trie(first: DataFrame) -> DataFrame:
     first = first.select(F.col("rid").alias("cls"), own_depth().alias("own"), "signature").where("own IS NOT NULL")
     nodes = first.select("cls", F.posexplode(paths).alias("tree", "path")).select("cls", "tree", F.xxhash64("tree", "path").alias("node"))
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").select("node")
-    met = nodes.join(shared, "node").select("cls", "tree")
+    met = nodes.join(shared, "node", "left_semi").select("cls", "tree")
     return met.join(first, "cls").withColumn("path", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
 
 
@@ -214,57 +215,58 @@ def _across(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
     f = F.when(F.col("size") > BLOCK, F.col("root")).otherwise(F.lit(-1).cast("long"))
     per = per.withColumn("f", f)
-    groups = per.groupBy("node", "f").agg(F.expr(f"(sum(size) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    left, right = (groups.select("node", F.col("f").alias(f"f{k}"), F.col("blocks").alias(f"n{k}")) for k in (1, 2))
-    pairs = left.join(right, "node").where("f1 < f2 OR (f1 = -1 AND f2 = -1)")
+    groups = per.groupBy("node", "f").agg(F.expr(f"(sum(size) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count(F.lit(1)).alias("roots"))
+    left, right = (groups.select("node", F.col("f").alias(f"f{k}"), F.col("blocks").alias(f"n{k}"), F.col("roots").alias(f"r{k}")) for k in (1, 2))
+    pairs = left.join(right, "node").where("f1 < f2 OR (f1 = -1 AND f2 = -1 AND r1 > 1)")
     pairs = pairs.withColumn("k1", F.explode(F.expr("sequence(0L, n1 - 1)"))).withColumn("k2", F.explode(F.expr("sequence(0L, n2 - 1)")))
     pairs = pairs.where("f1 < f2 OR k1 <= k2").select("node", "f1", "k1", "f2", "k2")
     ends = F.array(*[F.struct(F.col(f"f{k}").alias("f"), F.col(f"k{k}").alias("k"), F.when(F.expr("f1 = f2 AND k1 = k2"), 0).otherwise(k).alias("side")) for k in (1, 2)])
     pairs = pairs.select("node", F.xxhash64("f1", "k1").alias("i"), F.xxhash64("f2", "k2").alias("j"), F.explode(F.array_distinct(ends)).alias("end"))
     pairs = pairs.select("node", "i", "j", "end.f", "end.k", "end.side")
     k = F.pmod(F.xxhash64(F.lit(SEED), F.when(F.col("f") < 0, F.col("root")).otherwise(F.col("cls"))), F.col("blocks"))
-    placed = rows.join(per.select("node", "root", "f"), ["node", "root"]).join(groups, ["node", "f"]).withColumn("k", k)
+    placed = rows.join(per.select("node", "root", "f"), ["node", "root"]).join(groups.drop("roots"), ["node", "f"]).withColumn("k", k)
     return placed.join(pairs, ["node", "f", "k"])
 
 
+def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rows`` with the name of their document's family (root).  One name may be short of the component's least
+    one: two names of a family cost a comparison, no link."""
+    if links is None:
+        return rows.withColumn("root", F.col("cls"))
+    names = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
+    return rows.join(names, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def _families(first: DataFrame) -> DataFrame:
     """(vertex, root) of the classes (rows that stand for one) whose signatures are linked by estimates."""
     num, den = THRESHOLD
     least = num / den - SIGMAS * (num / den * (1 - num / den) / (TREES * DEPTH)) ** 0.5
     trie = written(_trie(first), "forest-trie")
+    at = lambda depth: F.expr(f"xxhash64(tree, substring(path, 1, {depth}))").alias("node")
     links = None
     longer = DEPTH + 1
     for depth in levels():
         # documents that reached the recall at a longer prefix are done
-        under = trie.where(F.col("own") < longer).select("cls", "signature", F.expr(f"xxhash64(tree, substring(path, 1, {depth}))").alias("node"))
-        wide = None
-        for across in (False, True):
-            if across and (wide is None or wide.isEmpty()):
-                continue
-            if links is None:
-                rows = under.withColumn("root", F.col("cls"))
-            else:
-                # one name may be short of the component's least one: two names of a family cost a comparison, no link
-                names = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
-                rows = under.join(names, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            if across:
-                rows = rows.join(wide.select("node"), "node")
-            nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-            nodes = written(nodes.where("low <> high").select("node", "size"), "forest-nodes")
-            wide = nodes.where(F.col("size") > BLOCK)
-            if nodes.isEmpty():
-                continue
-            rows = rows.join(nodes, "node")
-            if across:
-                rows = _across(rows.drop("size"))
-            else:
-                block = F.pmod(F.xxhash64("node", "cls"), F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
-                rows = rows.withColumn("i", block).withColumn("j", block).withColumn("side", F.lit(0))
-            edges = written(_compared(rows, least), "forest-edges")
-            links = contracted(edges if links is None else edges.unionByName(links), "forest-contracted")
+        rows = _named(trie.where(F.col("own") < longer).select("cls", "signature", at(depth)), links)
         longer = depth
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        nodes = written(nodes.where("low <> high").select("node", "size"), "forest-nodes")
+        if nodes.isEmpty():
+            continue
+        block = F.pmod(F.xxhash64("node", "cls"), F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
+        rows = rows.join(nodes, "node").withColumn("i", block).withColumn("j", block).withColumn("side", F.lit(0))
+        edges = written(_compared(rows, least), "forest-edges")
+        links = contracted(edges, "forest-contracted") if links is None else links.unionByName(edges)
     if links is None:
         return first.sparkSession.createDataFrame([], "vertex long, root long")
+    # blocks of one node meet once, at the end: a node of the shortest prefix holds those of all longer ones.
+    # Documents that were done before meet the others of their node once more
+    under = trie.select("cls", "signature", at(levels()[-1]))
+    wide = written(under.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("node"), "forest-nodes")
+    if not wide.isEmpty():
+        links = contracted(links, "forest-contracted")
+        rows = _named(under.join(wide, "node", "left_semi"), links)
+        links = links.unionByName(written(_compared(_across(rows), least), "forest-edges"))
     return written(components(links, "forest-components"), "forest-families")
 
 

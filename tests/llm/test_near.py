@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import re
 from collections import Counter
 
@@ -219,6 +220,22 @@ def test_descent_joins_what_any_pair_under_a_node_would(spark, monkeypatch):
         assert {(r.vertex, r.root) for r in lf._families(first).collect()} == expected
 
 
+def test_blocks_of_wide_nodes_meet_once(spark, monkeypatch):
+    """One pass a level and one across blocks, however many levels have wide nodes; a star needs no round."""
+    names = []
+    for module in (lf, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: names.append(name) or f(df, name))
+    monkeypatch.setattr(lf, "BLOCK", 8)
+    first = spark.createDataFrame(signature_rows([60, 30, 1], 5), "rid long, n int, signature binary").repartition(4)
+    roots = {r.vertex: r.root for r in lf._families(first).collect()}
+    assert roots == {v: 0 if v < 60 else 60 for v in range(90)}
+    assert names.count("forest-edges") <= len(lf.levels()) + 1 and names.count("forest-contracted") <= 4
+    names.clear()
+    star = spark.createDataFrame([(v, 0) for v in range(1, 9)] + [(20, 11)], "a long, b long")
+    assert {r.vertex: r.root for r in components(star, "t").collect()} == {v: 0 for v in range(9)} | {11: 11, 20: 11}
+    assert names == ["t"]
+
+
 def test_pairs_of_blocks_meet_every_two_families(spark, monkeypatch):
     monkeypatch.setattr(lf, "BLOCK", 4)
     rows = [(n, 100 * n + v, 100 * n + min(v // 9, 2) * 9 if v < 20 else 100 * n + v) for n in range(2) for v in range(30)]
