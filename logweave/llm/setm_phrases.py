@@ -6,12 +6,16 @@ and by two between pieces.  A step merge-joins the relation with itself at adjac
 occurrences of k + 1 words, counts them by group, keeps the frequent groups and semi-joins the occurrences with
 them; what is left is written as the relation of length k + 1.
 
-Relations are written in blocks, a row for the words of about 256 KB of text, with its places and words as
+Relations are written in blocks, a row for the words of about 64 KB of text, with its places and words as
 sorted arrays.  Pieces don't cross documents, so a block joins with itself alone; a longer text goes
 on in the next block, which begins with the last words of the one before (``known`` words, whose phrases are
 counted there).  Words are 64-bit hashes of language and word; a pair of words with one
 hash shows in the word counts, and the work begins again with another seed.
 
+Counts are summed over arrays: a task sums those of its blocks up to ``HELD`` rows, cuts them into buckets by
+hash and sends one row a bucket, its columns as packed arrays; a bucket is summed and filtered in one piece.
+The JVM thus sees arrays and frequent phrases, never a row an occurrence.
+
 The semi-join asks a filter of fixed size, broadcast: it passes all frequent groups and a few others, whose
 phrases are counted exactly and go by their counts.  Beyond its size it passes more and changes no result.
 """
@@ -19,7 +23,7 @@ phrases are counted exactly and go by their counts.  Beyond its size it passes m
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,14 @@ SCALE = 1_000_000
 #: the filter: so many parts of so many bits
 FILTER_PARTS, PART_BITS, PROBES = 256, 1 << 19, 3
 #: bytes of text whose words are hashed at once
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+#: counted phrases that a task holds at once, buckets a shuffle partition has at least, occurrences a bucket has
+#: about, bytes of buckets sent at once
+HELD, SPREAD, PER_BUCKET, SENT = 3 << 19, 8, 1 << 20, 1 << 22
+#: parts of a language that are ranked one by one before the best of them are ranked together
+SHARES = 32
+#: of relations: a writer holds one row group, and the arrays have nothing to gain from a dictionary
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [10, 11, 12, 13])
 _GAP = _BREAK | np.isin(np.arange(256), [9, 32])
@@ -166,6 +177,72 @@ def _merged(names: list[str], text: np.ndarray, word: pa.Array, h: np.ndarray, n
     return pa.RecordBatch.from_arrays([langs, word.take(pa.array(at)), pa.array(h[at].view(np.int64)), pa.array(f)], names=["lang", "word", "h", "f"])
 
 
+# ---- buckets
+
+def _packed_schema(columns: list[tuple[str, str]]) -> str:
+    """Of the buckets of rows with these columns (name, type): strings have their bytes and their lengths."""
+    return ", ".join(["bucket int", *[f"{c} binary" + f", {c}_n binary" * (kind == "string") for c, kind in columns]])
+
+
+def _packed(batch: pa.RecordBatch, cut: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket, whose columns (64-bit numbers and strings) are the packed arrays of its rows; bucket k has the rows from
+    ``cut[k]`` to ``cut[k + 1]``."""
+    names, out = ["bucket"], [pa.array(np.arange(len(cut) - 1, dtype=np.int32))]
+
+    def add(name, raw, ends):
+        names.append(name)
+        out.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)]))
+
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        if pa.types.is_string(column.type):
+            raw, off = utf8(column)
+            add(name, raw, off[cut])
+            add(f"{name}_n", np.diff(off), cut * 8)
+        else:
+            add(name, np.ascontiguousarray(column.to_numpy(zero_copy_only=False)), cut * 8)
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _raw(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a binary column."""
+    return np.concatenate([np.zeros(0, np.uint8), *[utf8(x.cast(pa.binary()))[0] for x in column.chunks]])
+
+
+def _unpacked(table: pa.Table, columns: list[tuple[str, str]]) -> dict[str, np.ndarray | pa.Array]:
+    """The columns of the rows of packed buckets, numbers as unsigned ones."""
+    out = {}
+    for name, kind in columns:
+        raw = _raw(table.column(name))
+        if kind == "string":
+            off = np.concatenate(([0], np.cumsum(_raw(table.column(f"{name}_n")).view(np.int64))))
+            out[name] = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(raw)])
+        else:
+            out[name] = raw.view(np.uint64)
+    return out
+
+
+def _dealt(parts: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch as packed buckets, by ``keys_of`` the batch; a few buckets at a time."""
+    for batch in parts:
+        keys = keys_of(batch)
+        if (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, batch = keys[order], batch.take(pa.array(order))
+        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        packed = _packed(batch, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)))
+        step = max(1, buckets * SENT // max(1, batch.nbytes))
+        for a in range(0, buckets if batch.num_rows else 0, step):
+            yield packed.slice(a, step)
+
+
+def _numbers(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
+    return [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)).view(np.uint64) for c in columns]
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 # ---- relations
 
 def group_keys(words: list[np.ndarray]) -> np.ndarray:
@@ -249,26 +326,59 @@ def _arrays(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield place.astype(np.int64), words, batch.column(0)[k].as_py()
 
 
+def summed(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Pieces (key, w1 .. w_size, f) as one, sorted by key, with one row a phrase; ``held`` is emptied."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    key, f = np.concatenate(columns.pop(0)), np.concatenate(columns.pop())
+    order, begin = runs(key)
+    new = np.zeros(len(order), bool)
+    new[begin] = True
+    words = []
+    while columns:
+        w = np.concatenate(columns.pop(0))[order]
+        if (~new[1:] & (w[1:] != w[:-1])).any():  # two phrases of one key: sorted by all words as well
+            words = [*[_back(x, order) for x in words], _back(w, order), *[np.concatenate(x) for x in columns]]
+            order = np.lexsort([*words, key])
+            words = [x[order] for x in words]
+            for x in words:
+                new[1:] |= x[1:] != x[:-1]
+            begin = np.flatnonzero(new)
+            break
+        words.append(w)
+    return [key[order][begin], *[w[begin] for w in words], np.add.reduceat(f[order], begin) if len(f) else f]
+
+
+def _back(column: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A column as it was before it was put in this order."""
+    out = np.empty_like(column)
+    out[order] = column
+    return out
+
+
+def _phrases(size: int, words: list[np.ndarray], f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*words, f)], names=[*_columns(size), "f"])
+
+
 def _counted_phrases(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(w1 .. w_size, f) for the phrases of each batch of blocks; those within a block's known words are left out."""
-    for part in parts:
-        found = []
-        for place, words, known in _arrays([part]):
-            at, phrase = joined(place, words, size)
-            found.append([w[at + size > known] for w in phrase])
-        if not found:
-            continue
-        phrase = [np.concatenate(x) for x in zip(*found, strict=True)]
-        order, begin = runs(group_keys(phrase))
-        phrase = [w[order] for w in phrase]
-        same = np.ones(len(order), bool)
-        for w in phrase:
-            same[1:] &= w[1:] == w[:-1]
-        same[begin] = True
-        if not same.all():  # two phrases of one key: one by one
-            begin = np.arange(len(order))
-        n = np.diff(np.append(begin, len(order)))
-        yield pa.RecordBatch.from_arrays([*[pa.array(w[begin].view(np.int64)) for w in phrase], pa.array(n)], names=[*_columns(size), "f"])
+    """(w1 .. w_size, f) for the phrases of as many blocks as ``HELD`` rows allow; those within a block's known words are left out."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for place, words, known in _arrays(parts):
+        at, phrase = joined(place, words, size)
+        phrase = [w[at + size > known] for w in phrase]
+        held.append([group_keys(phrase), *phrase, np.ones(len(phrase[0]), np.int64)])
+        n += len(phrase[0])
+        if n >= HELD:
+            held = [summed(held)]
+            n = len(held[0][0])
+            if n > HELD // 2:
+                _, *phrase, f = held.pop()
+                yield _phrases(size, phrase, f)
+                n = 0
+    if held:
+        _, *phrase, f = summed(held)
+        yield _phrases(size, phrase, f)
 
 
 def _columns(size: int) -> list[str]:
@@ -297,16 +407,64 @@ def _next_relation(relation: DataFrame, bits, size: int) -> DataFrame:
     return relation.mapInArrow(rows, RELATION)
 
 
-def _groups(relation: DataFrame, size: int, least: int) -> DataFrame:
+def _groups(relation: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
     """(w1 .. w_size, f) of the phrases with ``least`` occurrences or more."""
-    schema = ", ".join(f"{c} long" for c in [*_columns(size), "f"])
-    found = relation.mapInArrow(lambda parts: _counted_phrases(parts, size), schema)
-    return found.groupBy(*_columns(size)).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    columns = [(c, "long") for c in [*_columns(size), "f"]]
+
+    def dealt(parts):
+        yield from _dealt(_counted_phrases(parts, size), lambda batch: group_keys(_numbers(batch, _columns(size))), buckets)
+
+    def frequent(table: pa.Table) -> pa.Table:
+        *words, f = _unpacked(table, columns).values()
+        _, *words, f = summed([[group_keys(words), *words, f.view(np.int64)]])
+        return pa.Table.from_batches([_phrases(size, [w[f >= least] for w in words], f[f >= least])])
+
+    found = relation.mapInArrow(dealt, _packed_schema(columns))
+    return found.groupBy("bucket").applyInArrow(frequent, ", ".join(f"{c} long" for c, _ in columns))
+
+
+def _one_row_a_word(table: pa.Table) -> pa.Table:
+    """(lang, word, h, f) with the counts of equal words summed."""
+    out = table.group_by(["lang", "word", "h"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+    return out.cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("f", pa.int64())]))
+
+
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted words of several batches as one."""
+    held: list[pa.RecordBatch] = []
+    for batch in parts:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= 4 * SENT:
+            yield from _one_row_a_word(pa.Table.from_batches(held)).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from _one_row_a_word(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+
+def _words(pieces: DataFrame, seed: int) -> DataFrame:
+    """(lang, word, h, f) of all words."""
+    columns = [("lang", "string"), ("word", "string"), ("h", "long"), ("f", "long")]
+    buckets = SPREAD * _partitions(pieces)
+
+    def dealt(parts):
+        yield from _dealt(_gathered(_counted_words(parts, seed)), lambda batch: _numbers(batch, ["h"])[0], buckets)
+
+    def whole(table: pa.Table) -> pa.Table:
+        own = _unpacked(table, columns)
+        return _one_row_a_word(pa.table({"lang": own["lang"], "word": own["word"], "h": own["h"].view(np.int64), "f": own["f"].view(np.int64)}))
+
+    found = pieces.mapInArrow(dealt, _packed_schema(columns))
+    return found.groupBy("bucket").applyInArrow(whole, ", ".join(f"{c} {kind}" for c, kind in columns))
+
+
+def _in_few_files(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` written and read again, in files of the size that adaptive execution asks for, not one a task."""
+    return written(df.hint("rebalance", by), name)
 
 
 def _occurrences(df: DataFrame, name: str) -> DataFrame:
     """``df``, a relation, written and read again."""
-    return written(df, name, compression="zstd")
+    return written(df, name, compression="zstd", **ROW_GROUPS)
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str, text_col: str, max_words: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -314,8 +472,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str, text_col: str, max_words: i
     pieces = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     seed = 0
     while True:
-        counted = pieces.mapInArrow(lambda parts, s=seed: _counted_words(parts, s), "lang string, word string, h long, f long")
-        words = written(counted.groupBy("lang", "word", "h").agg(F.sum("f").alias("f")), "phrases-words")
+        words = _in_few_files(_words(pieces, seed), "h", "phrases-words")
         same = words.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f")).where((F.col("n") > 1) & (F.col("f") >= least))
         if same.isEmpty():
             break
@@ -324,9 +481,11 @@ def frequent_phrases(docs: DataFrame, lang_col: str, text_col: str, max_words: i
     bits = group_filter(groups)
     relation = _occurrences(_first_relation(pieces, bits, seed), "phrases-1")
     bits.unpersist()
+    n = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    buckets = max(SPREAD * _partitions(docs), n // PER_BUCKET)
     out = []
     for size in range(2, max_words + 1):
-        found = written(_groups(relation, size, least), f"phrases-groups-{size}")
+        found = _in_few_files(_groups(relation, size, least, buckets), "w1", f"phrases-groups-{size}")
         out.append(found)
         if size < max_words:
             bits = group_filter(found.select(*_columns(size)))
@@ -388,13 +547,14 @@ def collocations(
     if not 2 <= max_words <= MAX_WORDS:
         raise ValueError(f"max_words must be from 2 to {MAX_WORDS}")
     words, groups = frequent_phrases(docs, lang_col, text_col, max_words, least)
-    frequent = written(words.where(F.col("f") >= least), "phrases-frequent")
+    frequent = _in_few_files(words.where(F.col("f") >= least), "h", "phrases-frequent")
     scored = None
     for size, phrases in enumerate(groups, 2):
         rows = _scored(_uncovered(phrases, size, groups[size - 1 :]), size, frequent, groups)
         scored = rows if scored is None else scored.unionByName(rows)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    # the rank as it is in the filter: each task then sends the first rows of a language alone
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = scored.withColumn("share", F.expr(f"pmod(xxhash64(phrase), {SHARES})"))
+    for by in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -102,11 +102,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
-def written(df, name: str, compression: str | None = None):
+def written(df, name: str, compression: str | None = None, **options: str):
     """``df`` as a Parquet table in the shared folder, read again: cuts the
     lineage, survives lost executors, and later scans prune and push down."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

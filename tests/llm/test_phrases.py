@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from logweave.llm import setm_phrases as sp
@@ -120,3 +121,71 @@ def test_very_long_text(spark):
     text = prose(rng, 40) + " alpha beta" * 200_000 + "\n" + "z" * 2_500_000
     got = sp.collocations(spark.createDataFrame([(1, text, "en", "a", 1)], SCHEMA)).collect()
     assert {(r.phrase, r.a) for r in got} == {("alpha beta alpha", 199_999), ("beta alpha beta", 199_999)}
+
+
+def relation_of(*words):
+    """A relation with one block for each list of words."""
+    return [sp._relation(np.arange(len(ws)), np.array(ws, np.uint64), 0) for ws in words]
+
+
+def totals(parts):
+    got = Counter()
+    for part in parts:
+        for *p, f in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            got[tuple(p)] += f
+    return got
+
+
+def test_counts_of_many_blocks_are_held_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, 9, 400) for _ in range(30)]
+    want = Counter(p for ws in blocks for p in zip(ws.tolist(), ws[1:].tolist(), strict=False))
+    (whole,) = sp._counted_phrases(iter(relation_of(*blocks)), 2)
+    assert whole.num_rows == len(want) and totals([whole]) == want
+    monkeypatch.setattr(sp, "HELD", 100)
+    parts = list(sp._counted_phrases(iter(relation_of(*blocks)), 2))
+    assert len(parts) > 5 and totals(parts) == want
+
+
+def test_phrases_of_one_key_are_counted_apart(monkeypatch):
+    monkeypatch.setattr(sp, "group_keys", lambda words: words[0] % np.uint64(3))
+    rng = np.random.default_rng(6)
+    ws = rng.integers(0, 7, 900)
+    (got,) = sp._counted_phrases(iter(relation_of(ws)), 3)
+    want = Counter(zip(ws.tolist(), ws[1:].tolist(), ws[2:].tolist(), strict=False))
+    assert got.num_rows == len(want) and totals([got]) == want
+
+
+def test_buckets_hold_all_rows_of_their_keys(monkeypatch):
+    monkeypatch.setattr(sp, "SENT", 200)
+    rng = np.random.default_rng(7)
+    h = rng.integers(-(2**63), 2**63, 500, dtype=np.int64)
+    rows = {"lang": ["en", "", "é"] * 166 + ["fr", "x"], "word": [chr(97 + k % 26) * (k % 40) for k in range(500)], "h": h, "f": np.arange(500)}
+    columns = [("lang", "string"), ("word", "string"), ("h", "long"), ("f", "long")]
+    parts = list(sp._dealt(iter([pa.record_batch(rows)] * 2), lambda batch: batch.column(2).to_numpy().view(np.uint64), 16))
+    assert len(parts) > 4
+    table = pa.Table.from_batches(parts)
+    seen = []
+    for bucket in range(16):
+        own = sp._unpacked(table.filter(pc.equal(table["bucket"], bucket)), columns)
+        assert ((own["h"] >> np.uint64(60)) == bucket).all()
+        seen += zip(own["lang"].to_pylist(), own["word"].to_pylist(), own["h"].view(np.int64).tolist(), own["f"].tolist(), strict=True)
+    assert Counter(seen) == Counter(list(zip(rows["lang"], rows["word"], h.tolist(), range(500), strict=True)) * 2)
+
+
+def test_no_row_an_occurrence_is_summed_by_the_jvm(spark, small):
+    text = small.selectExpr("'en' as lang", "text")
+    relation = sp._first_relation(text, spark.sparkContext.broadcast(np.full((sp.FILTER_PARTS, sp.PART_BITS // 8), 255, np.uint8)), 0)
+    for df in (sp._words(text, 0), sp._groups(relation, 2, 10, 8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_best_of_a_language_are_first_the_best_of_its_parts(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame(list(wordy(rng, 300)), SCHEMA)
+    ranked = sp.collocations(docs, least=2, top=7)
+    rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
+    assert set(rows_of(ranked)) == best(rows, 2, 7)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(lang" in line and "share" in line for line in plan.split("\n"))
