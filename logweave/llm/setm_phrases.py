@@ -45,7 +45,7 @@ FILTER_PARTS, PART_BITS, PROBES = 256, 1 << 19, 3
 BLOCK = 1 << 16
 #: counted phrases that a task holds at once, buckets a shuffle partition has at least, occurrences a bucket has
 #: about, bytes of buckets sent at once
-HELD, SPREAD, PER_BUCKET, SENT = 3 << 19, 8, 1 << 20, 1 << 22
+HELD, SPREAD, PER_BUCKET, SENT = 1 << 20, 8, 1 << 20, 1 << 22
 #: parts of a language that are ranked one by one before the best of them are ranked together
 SHARES = 32
 #: of relations: a writer holds one row group, and the arrays have nothing to gain from a dictionary
@@ -233,6 +233,7 @@ def _dealt(parts: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch],
         step = max(1, buckets * SENT // max(1, batch.nbytes))
         for a in range(0, buckets if batch.num_rows else 0, step):
             yield packed.slice(a, step)
+        pa.default_memory_pool().release_unused()  # else the worker keeps it for the steps after
 
 
 def _numbers(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
